@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import simhash, toxicity
+from . import quality, simhash, toxicity
 
-MODULES = (simhash, toxicity)
+MODULES = (quality, simhash, toxicity)
 
 QUERIES: dict = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLES.items()}
