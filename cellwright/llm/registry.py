@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pii, quality, simhash, toxicity
+from . import pii, quality, secrets, simhash, toxicity
 
-MODULES = (quality, pii, simhash, toxicity)
+MODULES = (quality, pii, secrets, simhash, toxicity)
 
 QUERIES: dict = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLES.items()}
