@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality, secrets, simhash, toxicity
+from . import decontamination, mixing, pii, quality, secrets, simhash, toxicity
 
-MODULES = (mixing, quality, pii, secrets, simhash, toxicity)
+MODULES = (mixing, quality, pii, decontamination, secrets, simhash, toxicity)
 
 QUERIES: dict = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLES.items()}
