@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, mixing, pii, quality, secrets, simhash, toxicity
+from . import decontamination, html_text, mixing, pii, quality, secrets, simhash, token_shards, toxicity
 
-MODULES = (mixing, quality, pii, decontamination, html_text, secrets, simhash, toxicity)
+MODULES = (mixing, quality, pii, decontamination, html_text, secrets, simhash, token_shards, toxicity)
 
 QUERIES: dict = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLES.items()}
