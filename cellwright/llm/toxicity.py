@@ -39,6 +39,8 @@ SAMPLE = 10_000
 MIN_ROWS, MIN_ODDS = 4, 3.0
 #: Entries at most, best first; lengths of stems; letters from which one edit is allowed.
 ENTRIES, STEMS, MIN_FUZZY = 1000, range(4, 9), 5
+#: Bytes that are read at once, whatever the batch or the length of a text.
+SLICE = 1 << 21
 #: Bytes on each side of a hit that its window holds.
 WINDOW = 80
 QUOTES = '"“”„«»'
@@ -137,13 +139,26 @@ class Automaton:
 
     def run(self, texts: list[bytes]) -> pd.DataFrame:
         """Hits: row of the text, start and end in the joined bytes, entry, kind (0 plain, 1 near, 2 stem)."""
-        buf = np.frombuffer(b"\n".join(texts).lower() + b"\n", dtype=np.uint8)
+        whole = np.frombuffer(b"\n".join(texts).lower() + b"\n", dtype=np.uint8)
+        parts, at = [], 0
+        while at < len(whole):
+            end = min(at + SLICE, len(whole))
+            while end < len(whole) and LETTER[whole[end - 1]]:  # never cut a word
+                end += 1
+            parts.append(self._slice(whole[at:end], at))
+            at = end
+        word, start, end, entry, kind = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, int),) * 5
+        first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return pd.DataFrame({"row": np.searchsorted(first, start, side="right") - 1, "start": start, "end": end, "entry": entry, "kind": kind})
+
+    def _slice(self, buf: np.ndarray, offset: int) -> tuple[np.ndarray, ...]:
+        """Hits of a stretch of whole words: word, start, end, entry, kind."""
         letter = LETTER[buf]
         for lead, second, size in ((0xE2, (0x80, 0x81), 3), (0xC2, range(0x80, 0xC0), 2)):  # typographic marks are no letters
-            at = np.flatnonzero(buf[:-2] == lead)
+            at = np.flatnonzero(buf[:-1] == lead)
             at = at[np.isin(buf[at + 1], list(second))]
             for k in range(size):
-                letter[at + k] = False
+                letter[(at + k)[at + k < len(buf)]] = False
         edge = np.flatnonzero(np.diff(letter.astype(np.int8), prepend=np.int8(0)))
         start, end = edge[0::2], edge[1::2]
         code = self.classes[buf]
@@ -165,9 +180,7 @@ class Automaton:
         word, entry, kind = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
         order = np.argsort(word, kind="stable")
         word, entry, kind = word[order], entry[order], kind[order]
-        first = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        row = np.searchsorted(first, start[word], side="right") - 1
-        return pd.DataFrame({"row": row, "start": start[word], "end": end[word], "entry": entry, "kind": kind})
+        return word, start[word] + offset, end[word] + offset, entry, kind
 
 
 def _quoted(text: bytes, a: int, b: int) -> bool:
