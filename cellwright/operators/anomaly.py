@@ -210,4 +210,4 @@ def detect(cube: DataFrame, states: DataFrame, cols: int, s: Thresholds = Thresh
     scored = score_cells(cube, states, s, **columns).join(span.select("month"), "month", "left_semi")
     marked = mark_cells(scored, s)
     numbered = event_cells(marked, cols, s)
-    return {"cells": marked, "events": events(numbered, s), "diagnosis": month_diagnosis(marked, s), "months": month_results(span, marked, s)}
+    return {"cells": marked, "events": events(numbered, s), "diagnosis": month_diagnosis(marked, s), "months": month_results(states, marked, s).join(span.select("month"), "month", "left_semi")}

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CrossSectionRules
+from .components import written
 
 
 def _pct(c: str) -> Column:
@@ -85,6 +86,7 @@ def regression(points: DataFrame, key: str, r: CrossSectionRules = CrossSectionR
 
 def variants(light: DataFrame, reference: DataFrame, r: CrossSectionRules = CrossSectionRules(), **options) -> DataFrame:
     """The main regression and its counter-checks, one row each."""
+    light, reference = written(light), written(reference)  # read by every variant
     main = select_countries(light, reference, r, **options)
     sets = {"main": (main, "light_sum"), "pure_cells_only": (main, "light_pure")}
     for limit in r.purity_variants:

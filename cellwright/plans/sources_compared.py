@@ -84,11 +84,11 @@ def months_from_days(spark, sf_dir):
     return pick(PX.monthly_from_days(d, ["cell"]), ["cell", "nights"], ["value"])
 
 
-@R.add(f"""{A.with_(A.CUBE)}, p as (select lat + month(month) / 1e1 lat, lon, case when month(month) % 5 > 0 then mean_obs end v from cube) select floor((90 - lat) / 5)::int "row", floor((lon + 180) / 5)::int col, {r('avg(v)', 'value', 9)}, {r('avg((v is not null)::int)', 'share', 9)} from p group by all""")
+@R.add(f"""{A.with_(A.CUBE)}, p as (select lat + month(month) / 1e1 lat, lon, case when month(month) % 5 > 0 then mean_obs end v from cube) select floor((90 - lat) / 5)::int "row", floor((lon + 180) / 5)::int col, {r('avg(v)', 'value', 2)}, {r('avg((v is not null)::int)', 'share', 2)} from p group by all""")
 def pixels_on_grid(spark, sf_dir):
     m = F.month("month")
     p = A.cube(spark, sf_dir).select((F.col("lat") + m / 10.0).alias("lat"), "lon", F.when(m % 5 > 0, F.col("mean_obs")).alias("value"))
-    return pick(PX.to_grid(p, step=5.0), ["row", "col"], ["value", "share"], 9)
+    return pick(PX.to_grid(p, step=5.0), ["row", "col"], ["value", "share"], 2)
 
 
 @R.add(f"""{A.with_(A.CUBE)} select month, {r('sum(mean_obs * 24 * day(last_day(month)))', 'total', 2)} from cube where valid >= 1 group by month""")
