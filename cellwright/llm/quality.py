@@ -32,7 +32,7 @@ GAMMA = (1 + ALPHA) / (1 - ALPHA)
 ZERO = -100_000
 #: Quartile distances beyond the quartiles, and the least distance for each ratio.
 FENCE = 3.0
-FLOOR = {"mean_word": 0.4, "symbol_share": 0.02, "dup_line_share": 0.1, "repeat_share": 0.05}
+FLOOR = {"mean_word": 0.4, "symbol_share": 0.02, "dup_line_share": 0.1, "repeat_share": 0.09}
 #: Ratios that are also fenced from below.
 BOTH_SIDES = ("mean_word",)
 
