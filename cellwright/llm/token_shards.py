@@ -44,6 +44,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LENGTH = 1024
 SLOTS = 8192
 WAVES = 4
+#: Tokens that a task gathers before it cuts them into sequences.
+HELD = 1 << 20
 KEY = 0x5EED_0F_0DE2
 ROUNDS = 6
 STRIDE = 2 * LENGTH
@@ -128,11 +130,16 @@ def sequences(df: DataFrame, id_col: str = "doc_id", text: str = "text", vocabul
         for pdf in batches:
             pieces, end = [rest], len(rest)
             for i, t in zip(pdf["doc_id"], pdf["body"]):
-                ids = np.array([*encode(t or ""), END], dtype="<u2")
-                pieces.append(ids)
-                end += len(ids)
+                ids = np.array(encode(t or ""), dtype="<u2")
+                pieces += [ids, np.array([END], dtype="<u2")]
+                end += len(ids) + 1
                 owners.append((end, None if pd.isna(i) else int(i)))
+                if end >= HELD:
+                    rest = np.concatenate(pieces)
+                    yield rows(end // length)
+                    pieces, end = [rest], len(rest)
             rest = np.concatenate(pieces)
+        while len(rest) >= length:
             yield rows(len(rest) // length)
         if len(rest):
             yield rows(1)
