@@ -71,7 +71,7 @@ def marked(spark, sf_dir):
     return AN.mark_cells(rows, DEMO, "p")
 
 
-@R.add(f"{MARKED} select month, \"row\", col, {rs('p')}, bh, marked, sign, run from marked")
+@R.add(f"{MARKED} select month, \"row\", col, {rs('p')}, bh, marked, sign, run::int run from marked")
 def false_discovery_and_runs(spark, sf_dir):
     return pick(marked(spark, sf_dir), ["month", "row", "col", "bh", "marked", "sign", "run"], ["p"])
 

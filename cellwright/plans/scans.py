@@ -61,7 +61,7 @@ def series_scan(spark, sf_dir):
 
 @R.add(
     f"{CS}, {READY}, axis as (select unnest(range(0, 12)) k), cells as (select distinct \"row\", col from ready), v as (select \"row\", col, (year(month) * 12 + month(month) - 1)::int t, mean_obs x from ready) "
-    f"select \"row\", col, 1998 * 12 + k t, {r('x')} from cells cross join axis left join v on v.\"row\" = cells.\"row\" and v.col = cells.col and v.t = 1998 * 12 + k".replace("select \"row\", col, 1998", "select cells.\"row\", cells.col, 1998")
+    f"select cells.\"row\", cells.col, (1998 * 12 + k)::int t, {r('x')} from cells cross join axis left join v on v.\"row\" = cells.\"row\" and v.col = cells.col and v.t = 1998 * 12 + k"
 )
 def dense_series(spark, sf_dir):
     rows = reader(spark, sf_dir).read_finished(["mean_obs"]).select("row", "col", months.month_index(F.col("month")).alias("t"), F.col("mean_obs").alias("x"))
