@@ -55,6 +55,18 @@ def pair_statistics(series: DataFrame, cell: list[str], value: str = "y", t: str
     return out.select(*cell, "n", "s", var.alias("var_s"), z.alias("z"), "slope")
 
 
+def autocorrelation(series: DataFrame, cell: list[str], lags: int, value: str = "y", t: str = "t") -> DataFrame:
+    """(cell..., lag, rho): autocorrelation by time step, so gaps lower the number of pairs, not their distance.
+
+    Mean and denominator come from all values; a constant series has none.
+    """
+    rows = series.where(F.col(value).isNotNull()).select(*cell, F.col(t).alias("t"), F.col(value).alias("y"))
+    whole = rows.groupBy(*cell).agg(F.avg("y").alias("mean"), (F.var_pop("y") * F.count("*")).alias("square"))
+    d = rows.join(whole, cell).withColumn("d", F.col("y") - F.col("mean"))
+    ahead = d.select(*cell, F.col("d").alias("d2"), F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), "t").withColumn("t", F.col("t") - F.col("lag"))
+    return d.join(ahead, [*cell, "t"]).where("square > 0").groupBy(*cell, "lag").agg((F.sum(F.col("d") * F.col("d2")) / F.first("square")).alias("rho"))
+
+
 # --- array kernels: rows are cells, columns time steps, NaN is missing
 
 

@@ -150,6 +150,30 @@ def mann_kendall_and_sen(spark, sf_dir):
     return pick(TR.pair_statistics(TR.deseason(series(spark, sf_dir), ["row", "col"]), ["row", "col"]), ["row", "col", "n", "s"], ["var_s", "z", "slope"])
 
 
+@R.add(
+    f"""{SERIES}, v as (select "row", col, t, y, y - avg(y) over (partition by "row", col) d from ys where y is not null), w as (select "row", col, sum(d * d) sq from v group by all)
+    select a."row", a.col, (b.t - a.t)::int lag, {r('sum(a.d * b.d) / min(sq)', 'rho')} from v a join v b on a."row" = b."row" and a.col = b.col and b.t - a.t between 1 and 3 join w on w."row" = a."row" and w.col = a.col where sq > 1e-9 group by all"""
+)
+def autocorrelation(spark, sf_dir):
+    rows = TR.deseason(series(spark, sf_dir), ["row", "col"])
+    return pick(TR.autocorrelation(rows, ["row", "col"], 3), ["row", "col", "lag"], ["rho"])
+
+
+@R.add(f"""{SERIES} select "row", col, t, rank() over (partition by "row", col order by x) + (count(*) over (partition by "row", col, x) - 1) / 2e0 rank from ys""")
+def mid_ranks(spark, sf_dir):
+    return DI.mid_ranks(series(spark, sf_dir), ["row", "col"], "x", "rank").select("row", "col", "t", "rank")
+
+
+@R.add(
+    """with p as (select event_id, event_type, pow(((event_id * 7919) % 100003 + 1) / 100004e0, 3) p from events), i as (select *, row_number() over (partition by event_type order by p) i, count(*) over (partition by event_type) m from p),
+    c as (select event_type, max(p) cut from i where p <= 1e-1 * i / m group by event_type) select event_id, coalesce(p <= cut, false) significant from p left join c using (event_type)"""
+)
+def false_discovery_by_family(spark, sf_dir):
+    p = F.pow(((F.col("event_id") * 7919) % 100003 + 1) / 100004.0, F.lit(3.0))
+    rows = A.table(spark, sf_dir, "events").select("event_id", "event_type", p.alias("p"))
+    return AN.benjamini_hochberg(rows, "p", 0.1, ["event_type"]).select("event_id", "significant")
+
+
 SHORT = TrendSettings(lengths=MinLengths(mann_kendall=24, autocorrelation=36), min_cells=2)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import DiagnosisRules
 from ..functions import grid, months, quality, scalars, solar
+from ..operators import geometry
 from ..operators.indicators import reconcile as reconcile_codes
 from ..sources import tables
 from ..sources.cube import CubeReader, dense, region_mask
@@ -222,6 +223,27 @@ def code_reconciliation(spark, sf_dir):
     return out
 
 
+@R.add(
+    """with p as (select c_custkey k, (c_custkey * 37 % 1800) / 1e1 - 90 lat, (c_custkey * 53 % 3600) / 1e1 - 180 lon from customer),
+    b as (select n_nationkey box, n_nationkey * 13 - 170e0 west, n_nationkey * 13 - 170e0 + 17 east, n_nationkey * 6 - 80e0 south, n_nationkey * 6 - 80e0 + 21 north from nation) select k, box from p join b on lon between west and east and lat between south and north"""
+)
+def points_in_boxes(spark, sf_dir):
+    k, n = F.col("c_custkey"), F.col("n_nationkey")
+    points = A.table(spark, sf_dir, "customer").select(k.alias("k"), ((k * 37 % 1800) / 10.0 - 90).alias("lat"), ((k * 53 % 3600) / 10.0 - 180).alias("lon"))
+    boxes = A.table(spark, sf_dir, "nation").select(n.alias("box"), (n * 13 - 170.0).alias("west"), (n * 13 - 170.0 + 17).alias("east"), (n * 6 - 80.0).alias("south"), (n * 6 - 80.0 + 21).alias("north"))
+    return geometry.points_in_boxes(points, boxes).select("k", "box")
+
+
+@R.add("""select strftime(o_orderdate, '%Y-%m') as month, (row_number() over (order by case when strftime(o_orderdate, '%Y-%m') in ('1997-03', '1996-01') then 0 when strftime(o_orderdate, '%Y-%m') >= '1998-01' then 1 else 2 end,
+    case strftime(o_orderdate, '%Y-%m') when '1997-03' then 1 when '1996-01' then 2 else 0 end, strftime(o_orderdate, '%Y-%m')))::int as place from (select distinct date_trunc('month', o_orderdate) o_orderdate from orders)""")
+def work_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    m = A.table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month")).distinct()
+    ordered = tables.work_order(m, "1998-01", ["1997-03", "1996-01"]).coalesce(1).withColumn("id", F.monotonically_increasing_id())
+    return ordered.select("month", F.row_number().over(Window.orderBy("id")).alias("place"))
+
+
 LOG = [
     "2024-01-01 00:00:00 UTC  run started", "2024-01-01 00:00:05 UTC  2018-01: start", "2024-01-01 00:01:00 UTC  2018-01: 540 tiles reported", "2024-01-01 01:00:00 UTC  2018-01: finished", "2024-01-01 01:00:01 UTC  2018-02: start",
     "Traceback (most recent call last):", "2024-01-01 01:10:00 UTC  ERROR timeout", "2024-01-01 01:10:01 UTC  2018-02: deferred", "2024-01-02 00:00:00 UTC  run started", "2024-01-02 00:00:05 UTC  2018-02: start", "2024-01-02 00:02:00 UTC  2018-02: 188 tiles reported",
