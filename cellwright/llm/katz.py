@@ -27,10 +27,10 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, staged
+from .common import lookup, read, staged
 from .token_shards import _shuffles_removed
 
 #: Counts up to this are discounted.
@@ -112,13 +112,11 @@ def vocabulary(chunk: DataFrame) -> DataFrame:
     """(word, c, id) of all words of training texts, numbered from ``FIRST`` without gaps."""
     seen = chunk.select(F.explode(F.arrays_zip("words", "n")).alias("x")).where("x.n > 0")
     table = staged(seen.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.n").alias("c")).withColumn("at", F.monotonically_increasing_id()), "vocabulary")
-    part = F.shiftrightunsigned("at", 33)
-    starts, total = {}, FIRST
-    for p, n in sorted(table.groupBy(part.alias("p")).count().collect()):
-        starts[p] = total
-        total += n
-    first = F.create_map(*[F.lit(x) for p in starts.items() for x in p]) if starts else F.create_map(F.lit(0), F.lit(0))
-    return table.select("word", "c", (first[part.cast("int")] + F.col("at").bitwiseAND((1 << 33) - 1)).cast("long").alias("id"))
+    table = table.withColumn("part", F.shiftrightunsigned("at", 33)).withColumn("row", F.col("at").bitwiseAND((1 << 33) - 1))
+    counts = table.groupBy("part").agg(F.count("*").alias("n"))
+    # one row per task that wrote the table
+    starts = staged(counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n") + FIRST).alias("first")), "vocabulary-starts")
+    return lookup(table, "part", "inner", small=starts).select("word", "c", (F.col("first") + F.col("row")).cast("long").alias("id"))
 
 
 def coded(chunk: DataFrame, vocab: DataFrame) -> DataFrame:
