@@ -93,6 +93,8 @@ class _Forest:
 
 def tile_links(left: np.ndarray, right: np.ndarray, radius: int = RADIUS, same: bool = False) -> np.ndarray:
     """Spanning forest of the links between two tiles, as rows (fingerprint, root)."""
+    if not len(left) or not len(right):
+        return np.zeros((0, 2), dtype=np.uint64)
     nodes = left if same else np.concatenate((left, right))
     sides = []
     for part, shift in ((left, 0), (right, 0 if same else len(left))):
@@ -121,41 +123,35 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     """Links (a, b) that connect whatever lies within the radius.
 
     ``prints`` holds one row per distinct fingerprint in column ``fp``. The
-    number of tiles of each bit count follows the rows there; at most 65 counts
-    come to the driver.
+    number of tiles of each bit count follows the rows there. Tiles are numbered
+    by bit count, so those that a tile can meet have consecutive numbers; only
+    the bit counts, at most 65, come to the driver.
     """
     counted = prints.select("fp", F.bit_count("fp").alias("ones"))
     tiles = {r["ones"]: -(-r["n"] // tile) for r in counted.groupBy("ones").agg(F.count("*").alias("n")).collect()}
-    # the partner of each tile: itself, later tiles of its own count, all tiles of the next counts
-    near = {p: [(q, k) for q in range(p, p + radius + 1) for k in range(tiles.get(q, 0))] for p in tiles}
-    first = {p: sum(n for q, n in tiles.items() if q < p) for p in tiles}
-    number = {(p, k): first[p] + k for p in tiles for k in range(tiles[p])}
-    meets: dict[int, list[tuple[int, int]]] = {n: [] for n in number.values()}
-    for (p, k), n in number.items():
-        for q, j in near[p]:
-            if q > p or j >= k:
-                m = number[q, j]
-                meets[n].append((n, m))
-                if m != n:
-                    meets[m].append((n, m))
-    spark = prints.sparkSession
-    plan = spark.createDataFrame([(n, [m[0] * 1_000_000_000 + m[1] for m in ms]) for n, ms in meets.items()], "tile int, meets array<long>")
-    offsets = F.create_map(*[F.lit(x) for p in sorted(tiles) for x in (p, first[p])]) if tiles else F.create_map(F.lit(0), F.lit(0))
-    sizes = F.create_map(*[F.lit(x) for p in sorted(tiles) for x in (p, tiles[p])]) if tiles else F.create_map(F.lit(0), F.lit(1))
-    dealt = counted.select("fp", (offsets[F.col("ones")] + F.pmod(F.xxhash64("fp"), sizes[F.col("ones")])).cast("int").alias("tile"))
-    packed = dealt.groupBy("tile").applyInPandas(
-        lambda key, pdf: pd.DataFrame({"tile": [key[0]], "fps": [np.sort(pdf["fp"].to_numpy(np.int64).view(np.uint64)).tobytes()]}),
-        "tile int, fps binary",
-    )
-    met = packed.join(plan, "tile").select("tile", "fps", F.explode("meets").alias("meet"))
+
+    def before(p: int) -> int:
+        return sum(n for q, n in tiles.items() if q < p)
+
+    plan = [(p, before(p), n, before(p - radius), before(p + radius + 1) - 1) for p, n in tiles.items()]
+    plan = prints.sparkSession.createDataFrame(plan, "ones int, first long, n long, low long, high long")
+    dealt = counted.join(F.broadcast(plan), "ones").select("fp", "low", "high", (F.col("first") + F.pmod(F.xxhash64("fp"), "n")).alias("tile"))
+
+    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        fps = np.sort(pdf["fp"].to_numpy(np.int64).view(np.uint64)).tobytes()
+        return pd.DataFrame({"tile": [key[0]], "low": [pdf["low"].iloc[0]], "high": [pdf["high"].iloc[0]], "fps": [fps]})
+
+    packed = dealt.groupBy("tile").applyInPandas(pack, "tile long, low long, high long, fps binary")
+    met = packed.select("tile", "fps", F.explode(F.sequence("low", "high")).alias("other"))
+    met = met.select("tile", "fps", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"))
 
     def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
         got = {t: np.frombuffer(b, dtype=np.uint64) for t, b in zip(pdf["tile"], pdf["fps"])}
-        n, m = divmod(key[0], 1_000_000_000)
-        found = tile_links(got[n], got[m], radius, same=n == m).view(np.int64)
+        none = np.zeros(0, dtype=np.uint64)  # for a tile that the hash left empty
+        found = tile_links(got.get(key[0], none), got.get(key[1], none), radius, same=key[0] == key[1]).view(np.int64)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    return met.groupBy("meet").applyInPandas(compare, "a long, b long")
+    return met.groupBy("left", "right").applyInPandas(compare, "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:

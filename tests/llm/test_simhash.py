@@ -74,6 +74,15 @@ def test_tiles_and_chains(spark):
     assert {(v, f"{v:016x}", roots.get(v, v)) for v in x} == want
 
 
+def test_tiles_left_empty(spark):
+    r = np.random.default_rng(3)
+    x = [int(v) for v in r.integers(0, 2**63, 40)]
+    x = sorted({*x, *(v ^ 5 for v in x[:20]), *(v ^ 1 << 40 for v in x[10:30])})
+    df = spark.createDataFrame([(v,) for v in x], "fp long")
+    roots = {a: b for a, b in S.components(S.links(df, tile=1)).collect()}
+    assert {(v, f"{v:016x}", roots.get(v, v)) for v in x} == brute_components([(v, v) for v in x])
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.simhash_components(df).count() == 0
