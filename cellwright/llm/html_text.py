@@ -2,16 +2,18 @@
 
 A page is read once, tag by tag, into lines, one for each block of text. Lines
 of menus, headers, footers, sidebars, notices, adverts, forms and comments, by
-element, role or name, have no weight; nor has what lies outside an article or
-main element, where the page has one. A window slides over the lines and sums
-their weights. Where the sum surges from nothing to the bound and where it dives
-again, text begins and ends; what lies between is kept, if it is not small
-against the longest such stretch. Without article or main element the bound is
-higher and text inside links weighs nothing.
+element, role or name, have no weight, articles of comments or related texts
+among them. Text in an article or main element weighs ``RAISE`` times as much;
+text inside links weighs its length there and nothing elsewhere. A window slides
+over the lines and sums their weights; it ends where boilerplate or another
+landmark begins. Where the sum surges from nothing to the bound and where it
+dives again, text begins and ends; what lies between is kept, if it is not small
+against the heaviest such stretch or stands in the same container as a kept one.
 
 Defined cases: null and empty pages give empty text; unclosed and unmatched
 tags are closed by what encloses them; a hidden section that never ends gives
-way to the article; repeated rows are read each; an empty table gives no rows.
+way to the article, one with an end tag behind the article keeps it; repeated
+rows are read each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-#: Lines of a window, its least weight without and with a landmark, least share of the longest stretch.
-LINES, BOUND, BOUND_INSIDE, SHARE = 3, 80, 1, 0.2
+#: Lines of a window, its least weight, least share of the heaviest stretch, weight of a character in a landmark.
+LINES, BOUND, SHARE, RAISE = 3, 80, 0.2, 80
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMED = re.compile(r"""\b(class|id|role|aria-hidden|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -44,6 +46,11 @@ NAMES = set(
     "masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted recommended related reply replies respond search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Those that mark an article as none of the page's own, unless a word of state stands beside them.
+FOREIGN = set("ad ads advert adverts advertisement advertising comment comments disqus popup promo promoted recommended related reply replies respond sponsor sponsored widget".split())
+STATE = {"no", "has", "with", "without", "allow", "open", "closed", "enabled", "disabled"}
+#: Elements that hold the text of one part of a page.
+CONTAINER = {"div", "section", "blockquote", "table"}
 #: With one of these beside it, header or footer belongs to the text itself.
 OWN = {"article", "entry", "post", "content", "story"}
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
@@ -52,7 +59,7 @@ SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 def _is_boiler(tag: str, attrs: str, in_landmark: bool) -> bool:
     if tag in BOILER and not (tag == "header" and in_landmark):
         return True
-    if tag in LANDMARK or tag in ("body", "html") or not attrs:
+    if tag in ("body", "html") or not attrs:
         return False
     for name, *values in NAMED.findall(attrs):
         value, name = next((v for v in values if v), ""), name.lower()
@@ -61,25 +68,41 @@ def _is_boiler(tag: str, attrs: str, in_landmark: bool) -> bool:
         if name in ("class", "id"):
             for one in value.split():
                 words = set(SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower()))
-                if words & NAMES and not (words & OWN and words & NAMES <= {"header", "footer"}):
+                if tag in LANDMARK:
+                    if words & FOREIGN and not words & STATE:
+                        return True
+                elif words & NAMES and not (words & OWN and words & NAMES <= {"header", "footer"}):
                     return True
     return False
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight outside links, inside a landmark) of each block; weight -1 marks boilerplate."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, landmark, each with what encloses it
+class _Part:
+    """An open element with what encloses it: boilerplate around its landmark and inside it, outermost landmark, container."""
+
+    __slots__ = ("tag", "ended", "around", "within", "box", "container")
+
+    def __init__(self, tag: str, outer: _Part | None):
+        self.tag, self.ended = tag, False
+        self.around, self.within, self.box, self.container = (outer.around, outer.within, outer.box, outer.container) if outer else ((), (), 0, 0)
+
+    def is_boiler(self) -> bool:
+        # around an article, a part never closed is one that ended before
+        return bool(self.within) or any(p.ended or p.tag in ("aside", "footer", "form") for p in self.around)
+
+
+def page_lines(page: str) -> list[tuple[str, int, int, int]]:
+    """(text, weight outside links, outermost landmark, container) of each block; weight -1 marks boilerplate."""
+    out: list[tuple[str, int, _Part | None]] = []
+    stack: list[_Part] = []
     text: list[str] = []
-    linked = links = 0
+    linked = links = parts = 0
 
     def close_line() -> None:
         nonlocal linked
         line = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if line:
-            boiler, inside = stack[-1][1:] if stack else (False, False)
-            out.append((line, -1 if boiler else max(0, len(line) - linked), inside))
+            out.append((line, max(0, len(line) - linked), stack[-1] if stack else None))
         linked = 0
 
     def add(piece: str) -> None:
@@ -107,10 +130,11 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             links = 0 if m[1] else 1
         if tag in BLOCK or tag in BOILER:
             if m[1]:
-                if any(s[0] == tag for s in stack):
+                if any(s.tag == tag for s in stack):
                     close_line()
-                    while stack.pop()[0] != tag:
+                    while (last := stack.pop()).tag != tag:
                         pass
+                    last.ended = True
                     links = 0
                 elif tag == "p":
                     close_line()
@@ -119,49 +143,68 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             links = 0
             if tag in VOID:
                 continue
-            if tag in ("p", "li", "dt", "dd") and stack and stack[-1][0] == tag:
+            if tag in ("p", "li", "dt", "dd") and stack and stack[-1].tag == tag:
                 stack.pop()
-            elif stack and stack[-1][0] == "p":
+            elif stack and stack[-1].tag == "p":
                 stack.pop()
             if m[3].endswith("/"):
                 continue
-            boiler, inside = stack[-1][1:] if stack else (False, False)
-            if tag in LANDMARK:  # an article in a part never closed: that part ended before
-                boiler, inside = boiler and any(s[0] in ("aside", "footer", "form") for s in stack), True
-            stack.append((tag, boiler or _is_boiler(tag, m[3], inside), inside))
+            part = _Part(tag, stack[-1] if stack else None)
+            parts += 1
+            if tag in LANDMARK:
+                part.around, part.within, part.box = part.around + part.within, (), part.box or parts
+            if _is_boiler(tag, m[3], part.box > 0):
+                part.within += (part,)
+            if tag in CONTAINER:
+                part.container = parts
+            stack.append(part)
     if at < len(page):
         add(re.sub(r"<[a-zA-Z/!][^>]*$", "", page[at:]))
     close_line()
-    return out
+    return [(t, -1 if p and p.is_boiler() else w, p.box if p else 0, (p.box or p.container) if p else 0) for t, w, p in out]
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the main text, joined by an empty line."""
     lines = page_lines(page or "")
-    weight = np.array([w for _, w, _ in lines], dtype=np.int64)
-    size = np.array([len(t) for t, _, _ in lines], dtype=np.int64)
-    inside = np.array([i for _, _, i in lines], dtype=bool) & (weight >= 0)
-    landmark = inside.any()
-    value = np.where(inside, size, 0) if landmark else np.maximum(weight, 0)
-    bound = BOUND_INSIDE if landmark else BOUND
-    # sums of the windows that begin at each line; a window ends where boilerplate begins
-    usable = inside if landmark else weight >= 0
+    if not lines:
+        return ""
+    size, weight, box, container = np.array([(len(t), w, b, c) for t, w, b, c in lines], dtype=np.int64).T
+    usable = weight >= 0
+    weight = np.maximum(weight, 0)
+    value = np.where(usable, np.where(box > 0, weight * RAISE + np.maximum(size - weight, 0), weight), 0)
+    # sums of the windows that begin at each line; a window ends where boilerplate or another landmark begins
+    follows = np.append(usable[1:] & (box[1:] == box[:-1]), False)
     total = np.concatenate(([0], np.cumsum(value)))
     stop = np.arange(len(lines)) + 1
     for _ in range(LINES - 1):
-        stop = np.where((stop < len(lines)) & np.append(usable, False)[np.minimum(stop, len(lines))], stop + 1, stop)
-    sums = total[stop] - total[:-1] if len(lines) else total[:0]
+        stop = np.where(follows[stop - 1], stop + 1, stop)
+    sums = total[stop] - total[:-1]
     keep = np.zeros(len(lines), dtype=bool)
-    for i in np.flatnonzero((sums >= bound) & usable):
+    for i in np.flatnonzero((sums >= BOUND) & usable):
         keep[i : stop[i]] = True
-    keep &= usable
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], keep.astype(np.int8), [0]))))
-    runs = []
-    for a, b in zip(edges[0::2], edges[1::2]):
-        full = a + np.flatnonzero(value[a:b])  # lines without weight at either end are no text
-        runs.append((full[0], full[-1] + 1, value[a:b].sum()))
+
+    def stretches(on: np.ndarray) -> list[tuple[int, int, int]]:
+        starts = np.flatnonzero(on & ~np.concatenate(([False], on[:-1] & follows[:-1])))
+        ends = np.flatnonzero(on & ~np.append(on[1:] & follows[:-1], False)) + 1
+        found = []
+        for a, b in zip(starts, ends):
+            full = a + np.flatnonzero(value[a:b])  # lines without weight at either end are no text
+            if len(full):
+                found.append((full[0], full[-1] + 1, value[a:b].sum()))
+        return found
+
+    runs = stretches(keep)
     most = max((n for _, _, n in runs), default=0)
-    return "\n\n".join(lines[i][0] for a, b, n in runs if landmark or n >= SHARE * most for i in range(a, b))
+    final, homes = np.zeros(len(lines), dtype=bool), set()
+    for a, b, n in runs:
+        if n >= SHARE * most:
+            final[a:b] = True
+            homes |= {c for c in np.unique(container[a:b]) if c and value[a:b][container[a:b] == c].sum() >= BOUND}
+    # short stretches beside an advert or the like belong to the text of their container
+    for a, b, _ in stretches(usable & ~final & np.isin(container, list(homes))):
+        final[a:b] = True
+    return "\n\n".join(lines[i][0] for i in np.flatnonzero(final))
 
 
 def extract(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:

@@ -38,6 +38,25 @@ def test_article_with_inner_parts():
     assert H.main_text(page) == "Head\n\nOne bold word\n\nTwo"
 
 
+def test_articles_that_are_no_main_text():
+    s = " ".join(LONG.split())
+    comment = f"<article class=comment><p>{LONG}</p></article>"
+    assert H.main_text(f"<div class=content><p>{LONG}</p></div><section id=comments>{comment}</section>") == s
+    assert H.main_text(f"<div class=content><p>{LONG}</p></div><section class=related><article><p>Another {LONG}</p></article></section>") == s
+    assert H.main_text(f"<article class='post comments-open'><p>{LONG}</p>{comment}<p>End</p></article>") == s + "\n\nEnd"
+    # a small article elsewhere does not take the place of the text, nor a teaser join it
+    assert H.main_text(f"<div class=content>{f'<p>{LONG}</p>' * 20}</div><article><p>C</p></article>") == "\n\n".join([s] * 20)
+    assert H.main_text(f"<article><p>{LONG}</p></article><article class=teaser><p>More here</p></article>") == s
+
+
+def test_short_stretch_of_the_same_container():
+    s = " ".join(LONG.split())
+    page = f"<div class=content><p>{LONG}</p><p>{LONG}</p><div class=advert>buy</div><p>The end.</p></div><div><p>Elsewhere.</p></div>"
+    assert H.main_text(page) == "\n\n".join([s, s, "The end."])
+    # in an article too, even a line of links alone
+    assert H.main_text(f"<article><p>{LONG}</p><aside>x</aside><p><a href=x>More</a></p></article>") == s + "\n\nMore"
+
+
 def test_broken_and_empty():
     assert H.main_text(None) == H.main_text("") == H.main_text("<p>") == ""
     assert H.main_text(f"<nav><ul><li>x<article><p>{LONG}<p>y") == " ".join(LONG.split()) + "\n\ny"
