@@ -5,7 +5,8 @@ last return the columns of documents. ``run`` writes each stage's result as
 Parquet in the shared folder and reads it again as the next one's input.
 
 * toxicity: documents that score one half or more go.
-* near_dedup: of each group of near copies the document with the smallest id stays.
+* near_dedup: of each group of near copies, texts whose five-word shingles share
+  0.8 or more, the document with the smallest id stays.
 * decontamination: documents that hold a benchmark item go.
 * mixing: documents are repeated, or left out, so that every source's words
   meet its target; copies of a document are equal rows.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwright.llm import decontamination, mixing, simhash, token_shards, toxicity
+from cellwright.llm import decontamination, mixing, near_copies, token_shards, toxicity
 from cellwright.llm.common import read, staged
 
 
@@ -29,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_copies(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
