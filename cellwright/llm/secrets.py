@@ -5,14 +5,16 @@ hexadecimal runs. The method looks at candidate strings, runs of the characters
 that keys are written in: a window slides over a candidate and the Shannon
 entropy of its characters, within the alphabet of their class (hexadecimal,
 base-36, base-64), follows from counts that change by one character in and one
-out. The longest run of windows above the class's bound becomes a span, unless
-an allow-list pattern covers it (words with hyphens, file paths, web addresses,
-dates, versions, UUIDs, runs of one class of letters).
+out. Every window above the high bound of its class opens a span, and the span
+goes on over neighbouring windows above the low bound, so a dip cuts no key. No
+span opens in a window that an allow-list pattern covers (words with hyphens,
+file paths, dates, UUIDs, runs of one class of letters), nor in one that neither
+mixes letters with digits nor holds many letters of either case.
 
 Defined cases: null text counts as empty; rows that repeat are scanned each;
 an empty table gives no rows; candidates of any length cost time in proportion
-to it. Positions are code points, ends exclusive. A method span that overlaps a
-base span adds nothing and is left out.
+to it. Positions are code points, ends exclusive. What base spans cover of a
+method span is cut out of it; the rest stays.
 """
 
 from __future__ import annotations
@@ -38,8 +40,11 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
-#: Bits a character that the windows of a class need: of 4, 5.2 and 6 at most.
-BOUNDS = {"hex": 2.8, "base36": 3.6, "base64": 3.7}
+#: Bits a character that open and that continue a span: quantiles 0.005 and 0.00005 of
+#: windows of random keys, of the narrowest alphabet of the class (16, 32, 64 characters).
+BOUNDS = {"hex": (2.82, 2.48), "base36": (3.28, 2.96), "base64": (3.6, 3.3)}
+#: Upper and lower case letters, of each, that a window without a digit needs to open a span.
+MIXED = 7
 ALLOWED = (
     re.compile(r"[a-z]+([-_/][a-z]+)+", re.I),
     re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[A-Z]?[a-z]+"),
@@ -76,21 +81,48 @@ def window_entropies(s: str, size: int = WINDOW) -> list[float]:
     return out
 
 
-def entropy_span(s: str) -> tuple[int, int] | None:
-    """Start and end of the longest stretch whose windows all exceed the bound of the class."""
+def _opens(w: str) -> bool:
+    """Whether a window may be that of a key by what its characters are."""
+    upper, lower = sum(c.isupper() for c in w), sum(c.islower() for c in w)
+    if not (upper + lower and any(c.isdigit() for c in w)) and min(upper, lower) < MIXED:
+        return False
+    return not any(p.fullmatch(w) for p in ALLOWED)
+
+
+def entropy_spans(s: str) -> list[tuple[int, int]]:
+    """Starts and ends of all stretches with a window above the high bound and none below the low one."""
     if any(p.fullmatch(s) for p in ALLOWED):
-        return None
-    if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-        return None
-    bound, best, since = BOUNDS[char_class(s)], None, None
-    for i, e in enumerate([*window_entropies(s), 0.0]):
-        if e >= bound:
+        return []
+    out, since, opened = [], None, False
+    entropies = window_entropies(s)
+    for i, e in enumerate([*entropies, 0.0]):
+        w = s[i : i + WINDOW]
+        high, low = BOUNDS[char_class(w)] if i < len(entropies) else (1.0, 1.0)
+        if e >= low:
             since = i if since is None else since
+            opened = opened or e >= high and _opens(w)
         elif since is not None:
-            if best is None or i - since > best[1] - best[0]:
-                best = (since, i)
-            since = None
-    return (best[0], best[1] - 1 + WINDOW) if best else None
+            if opened:
+                out.append((since, i - 1 + WINDOW))
+            since, opened = None, False
+    # stretches of windows may overlap where they are read as characters
+    joined: list[tuple[int, int]] = []
+    for a, b in out:
+        if joined and a <= joined[-1][1]:
+            a = joined.pop()[0]
+        joined.append((a, b))
+    return joined
+
+
+def without(a: int, b: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of a span beside the base spans, sorted by start."""
+    out = []
+    for x, y in base:
+        if x < b and a < y:
+            if a < x:
+                out.append((a, x))
+            a = max(a, y)
+    return out + [(a, b)] if a < b else out
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:
@@ -105,10 +137,9 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     base = sorted((a, b) for a, b, _ in out)
     for m in CANDIDATE.finditer(text):
-        if span := entropy_span(m[0]):
-            a, b = m.start() + span[0], m.start() + span[1]
-            if not any(x < b and a < y for x, y in base):
-                out.append((a, b, "entropy"))
+        for a, b in entropy_spans(m[0]):
+            rest = without(m.start() + a, m.start() + b, base)
+            out += [(x, y, "entropy") for x, y in rest if text[x:y].strip("+/_=-")]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

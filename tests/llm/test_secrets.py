@@ -43,6 +43,33 @@ def test_entropy_finds_keys_and_spares_words():
         assert S.scan(t) == [], t
 
 
+def test_keys_are_found_whole():
+    r = random.Random(9)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"base32": upper + "234567", "base36": upper.lower() + digits, "base64": upper + upper.lower() + digits + "+/"}
+    for name, alphabet in kinds.items():
+        for n in (20, 40, 128):
+            missed = 0
+            for _ in range(1000):
+                key = "".join(r.choice(alphabet) for _ in range(n))
+                found = {i for a, b, k in S.scan(f"the key {key} here") for i in range(a, b)}
+                missed += not found >= set(range(8, 8 + n))
+            assert missed <= 40, (name, n, missed)
+
+
+def test_every_key_of_a_candidate():
+    r = random.Random(10)
+    one, two = ("".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(40)) for _ in range(2))
+    text = f"x {one}{'-' * 30}{two} and {'deadbeef' * 4}{two}"
+    found = {i for a, b, k in S.scan(text) for i in range(a, b)}
+    for at in (text.index(one), text.index(two), text.rindex(two)):
+        assert found >= set(range(at, at + 40))
+    spans = sorted((a, b) for a, b, _ in S.scan(text))
+    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+    # letters alone, in mixed case
+    assert [s[2] for s in S.scan("qWzKpLxTbNvRcJhGdFsYmAeU")] == ["entropy"]
+
+
 def test_query(spark):
     p = "/root/testdata/sf0.001"
     docs = {r["doc_id"]: r["text"] for r in S.read(spark, p, "documents").collect()}
