@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +17,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 _LOCAL: dict[str, str] = {}
+#: Folders of the tables that ``staged`` has written and nobody has discarded, by the table.
+_WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (tests on one machine) a local
+    Only on a local master without that setting (tests on one machine) a local
     folder is used, one for each application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         root = _LOCAL.get(app) or _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="cellwright-shared-", dir="/tmp"))
     return f"{root.rstrip('/')}/tables"
@@ -39,7 +45,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``staged`` returned, once nothing reads them any more."""
+    for t in tables:
+        if path := _WRITTEN.pop(t, None):
+            place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def numbered(df: DataFrame, out: str = "__row") -> DataFrame:
+    """Add a key of each row that is the same whenever the table is read: its file and place there.
+
+    Rows that come from no Parquet file are written first.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return df.withColumn(out, place)
+    except AnalysisException:
+        return staged(df, "rows").withColumn(out, place)
 
 
 def lookup(df: DataFrame, how_on, how: str = "left", rows: int | None = None, *, small: DataFrame) -> DataFrame:

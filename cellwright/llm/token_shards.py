@@ -10,8 +10,7 @@ permutes these numbers; the result is the sequence's slot in training order.
 
 Shards hold a fixed number of slots of a fixed width, so slot s lies in shard
 s // slots at byte (s % slots) * stride, and a reader can begin anywhere. Slots
-are dealt by range to the tasks that write them, sorted; a task streams its
-rows into files and renames each when it is whole, so a repeated task replaces
+name the tasks that write them, sorted there; a task streams its rows into files and renames each when it is whole, so a repeated task replaces
 the same bytes. The shuffle runs in waves over ranges of slots, and each wave's
 shuffle files are removed when it ends.
 
@@ -24,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,16 +34,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, read, shared_dir, staged
+from .common import discard, lookup, read, shared_dir, staged
 
 # The published splitting pattern that belongs to the vocabulary, and its free id.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50_256
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
+#: Characters of white space (the pattern's class) that are encoded as a piece of their own.
+LONG = 10_000
+LONG_SPACE = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG},}}")
+
 LENGTH = 1024
 SLOTS = 8192
 WAVES = 4
+#: Tasks of a wave at most.
+TASKS = 20_000
 #: Tokens that a task gathers before it cuts them into sequences.
 HELD = 1 << 20
 KEY = 0x5EED_0F_0DE2
@@ -64,6 +70,21 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def encode_text(text: str, path: str = VOCABULARY) -> list[int]:
+    """Token ids of a text of any length.
+
+    A very long run of white space overflows the pattern's backtracking. The
+    pattern takes such a run as one piece, less its last character where
+    something follows, so it is encoded as that piece, apart from the rest.
+    """
+    enc, out, at = encoder(path), [], 0
+    for m in LONG_SPACE.finditer(text) if len(text) >= LONG else ():
+        out += enc.encode_ordinary(text[at : m.start()])
+        at = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc._encode_single_piece(text[m.start() : at])
+    return out + enc.encode_ordinary(text[at:])
+
+
 def _mixed(x: np.ndarray, k: int) -> np.ndarray:
     """Finaliser of a 64-bit hash, keyed."""
     with np.errstate(over="ignore"):
@@ -105,7 +126,6 @@ def sequences(df: DataFrame, id_col: str = "doc_id", text: str = "text", vocabul
         from pyspark import TaskContext
 
         part, k = TaskContext.get().partitionId(), 0
-        encode = encoder(vocabulary).encode_ordinary
         rest, owners = np.zeros(0, dtype="<u2"), []  # tokens not yet cut, and (end, id) of their texts
 
         def rows(full: int) -> pd.DataFrame:
@@ -130,7 +150,7 @@ def sequences(df: DataFrame, id_col: str = "doc_id", text: str = "text", vocabul
         for pdf in batches:
             pieces, end = [rest], len(rest)
             for i, t in zip(pdf["doc_id"], pdf["body"]):
-                ids = np.array(encode(t or ""), dtype="<u2")
+                ids = np.array(encode_text(t or "", vocabulary), dtype="<u2")
                 pieces += [ids, np.array([END], dtype="<u2")]
                 end += len(ids) + 1
                 owners.append((end, None if pd.isna(i) else int(i)))
@@ -215,9 +235,13 @@ def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "
             if waves > shards:
                 a, b = w * slots, (w + 1) * slots
             part = placed.where((F.col("slot") >= a) & (F.col("slot") < b))
-            dealt = part.withColumn("shard", F.floor(F.col("slot") / slots)).repartitionByRange(max(1, (b - a) // slots), "shard").sortWithinPartitions("slot").drop("shard")
+            # the slot names its task: whole shards, several for each beyond TASKS of them
+            n = max(1, (b - a) // slots)
+            task = F.floor((F.col("slot") - a) / (slots * -(-n // TASKS))).cast("int")
+            dealt = part.repartitionById(min(n, TASKS), task).sortWithinPartitions("slot")
             done = staged(dealt.mapInPandas(write, "slot long, shard long, offset long, n_tokens int, doc_ids array<long>, crc32 long, part int, k long"), "written")
             out = done if out is None else out.unionAll(done)
+    discard(held, starts)
     with place.open_output_stream(f"{root}/manifest.json") as f:
         f.write(json.dumps({"sequences": total, "shards": shards, "slots": slots, "length": length, "stride": 2 * length, "key": key, "end": END}).encode())
     if out is None:

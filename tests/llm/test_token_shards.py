@@ -56,3 +56,13 @@ def test_edges(spark, tmp_path):
     assert first["doc_ids"][:4] == [1, None, 2, 2]
     assert T.write_shards(df.limit(0), f"file://{tmp_path}/b").count() == 0
     assert list(T.read_slots(f"file://{tmp_path}/b")) == []
+
+
+def test_any_text_is_encoded(spark, tmp_path):
+    plain = T.encoder(T.VOCABULARY).encode_ordinary
+    for t in (" " * 20_000, "a" + " " * 20_000, " " * 20_000 + "b", "a" + "\t \n　" * 5000 + "b c", "x" + "\n" * 12_000 + " y" + " " * 30_000 + "z", "\x1c" * 12_000 + " q"):
+        assert T.encode_text(t) == plain(t)
+    long = [" " * 5_000_000, " " * 1_000_000 + "x", "a" * 5_000_000, "ab 1  \n" * 700_000, "word" + " \n" * 2_500_000 + "word"]
+    path = f"file://{tmp_path}/long"
+    rows = T.write_shards(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").coalesce(1), path).collect()
+    assert sorted(texts(path, rows)) == sorted(long)
