@@ -58,7 +58,19 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
-def numbered(df: DataFrame, out: str = "__row") -> DataFrame:
+def renamed(table: DataFrame, names: dict[str, str]) -> DataFrame:
+    """A table of ``staged`` under other column names, which can be discarded in its place."""
+    out = table.withColumnsRenamed(names)
+    if path := _WRITTEN.pop(table, None):
+        _WRITTEN[out] = path
+    return out
+
+
+#: Name of the key column that ``numbered`` adds.
+ROW = "__cellwright_row"
+
+
+def numbered(df: DataFrame, out: str = ROW) -> DataFrame:
     """Add a key of each row that is the same whenever the table is read: its file and place there.
 
     Rows that come from no Parquet file are written first.

@@ -1,41 +1,49 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard share of 0.8 or more.
-
-The join is exact. Shingles are put in one order for all texts; two sets that
-share enough have a shingle in common among the first fifth of each, so only
-these are joined, and pairs that their sizes and places rule out fall away at
-once. Shingles that many texts hold come last in the order, as counted in a
-sample: the sample decides how many pairs are looked at, never which are found.
-Pairs are verified on the whole sets, and verified pairs make components.
+"""SimHash near-dedup of texts whose five-word shingles have a Jaccard share of 0.8 or more.
+
+The tiled comparison of ``simhash`` finds the candidates, on fingerprints of
+``LANES`` times 64 bits over the distinct shingles of a text. Sets that share
+0.8 differ by 19 of 128 bits, with a deviation of 4; texts that share nothing by
+64, with one of 6. ``RADIUS`` lies between, so next to no link is missed (0.002 %
+of those at exactly 0.8, 0.3 % between texts of four and five shingles) and next
+to no pair is looked at in vain. Tiles are dealt by the number of shingles: sets
+that share 0.8 differ by a quarter at most, so only neighbouring bands meet.
+
+A meeting gives each text its ``NEAREST`` candidates of another component.
+These pairs are verified on the whole shingle sets, and verified links make
+components. Texts with further candidates outside their component go through
+another round with more of them, until none is left. So a group of thousands of
+near copies never gives all its pairs, and no pair is left out.
 
 Texts are compared once each, in lower case and with single spaces, so copies
-of equal words cost nothing. A group of many near copies that all differ costs
-its number of pairs.
+of equal words cost nothing.
 
 Defined cases: null text counts as empty, empty texts are copies of each other;
 a text of fewer words than a shingle is one shingle; repeated rows are copies;
-an empty table gives no rows. Equality of shingles is that of 64-bit hashes.
+an empty table gives no rows; further columns of any name and type stay as they
+are. Equality of texts and shingles is that of 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, staged
-from .simhash import components
+from .common import ROW, discard, lookup, numbered, staged
+from .simhash import SEED, SLICE, components, meetings, near_blocks, tile_size
+from .token_shards import _mixed
 
 SHINGLE = 5
 #: Least share of two sets, as numerator and denominator.
 SHARE = (4, 5)
-SEED = 42
-#: Rows of the sample; texts of it that make a shingle frequent; most frequent shingles remembered.
-SAMPLE, OFTEN, MOST = 10_000, 3, 50_000
-#: Rows of texts and their shingles that go through Python at once.
-ROWS = 500
+LANES, RADIUS = 2, 36
+#: Candidates a text takes in the first round, and how many times more in each further one.
+NEAREST, MORE = 8, 8
+#: Candidates that a meeting holds before it keeps the nearest.
+HELD = 1 << 21
 
 
 def shingle_hashes(text: bytes | None, width: int = SHINGLE) -> tuple[int, np.ndarray]:
@@ -51,48 +59,90 @@ def shingle_hashes(text: bytes | None, width: int = SHINGLE) -> tuple[int, np.nd
         ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
         found = [digest(line[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())]
-    return digest(line, 0), np.unique(np.array(found, dtype=np.uint64)).view(np.int64)
-
-
-def prefix(hashes: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, rare ones before frequent ones: as many as two near sets cannot both lack."""
-    if not len(hashes):
-        return hashes
-    place = np.zeros(len(hashes), dtype=np.int64)
-    if len(often):
-        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
-        place = np.where(often[at] == hashes, rank[at], 0)
-    n = len(hashes)
-    return hashes[np.lexsort((hashes, place))[: n + (-SHARE[0] * n // SHARE[1]) + 1]]
-
-
-def _frequent(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample hold, sorted, and their counts there."""
-    n = df.count()
-
-    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k in range(0, len(pdf), ROWS):
-                yield pd.DataFrame({"g": np.concatenate([shingle_hashes(t)[1] for t in pdf["body"].iloc[k : k + ROWS]])})
-
-    part = df.select(F.col(text).cast("binary").alias("body")).sample(min(1.0, SAMPLE / max(1, n)), SEED)
-    counted = part.mapInPandas(held, "g long").groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    rows = counted.orderBy(F.desc("n"), "g").limit(MOST).collect()
-    got = np.array([(r["g"], r["n"]) for r in rows], dtype=np.int64).reshape(-1, 2)
-    got = got[np.argsort(got[:, 0])]
-    return got[:, 0], got[:, 1]
-
-
-def near_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs (a, b, a's size, b's size) that may be near, of distinct texts (text_id, size, first)."""
-    flat = texts.select("text_id", "size", F.posexplode("first").alias("pos", "g"))
-    a, b = (flat.select("g", *[F.col(c).alias(f"{side}_{c}") for c in ("text_id", "size", "pos")]) for side in "ab")
-    less, more = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
-    # behind the first shingle that two sets share, in the order, they hold no more than this together
-    rest = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
-    enough = rest * (SHARE[0] + SHARE[1]) >= SHARE[0] * (F.col("a_size") + F.col("b_size"))
-    near = (F.col("a_text_id") < F.col("b_text_id")) & (SHARE[1] * less >= SHARE[0] * more) & enough
-    return a.join(b, "g").where(near).select(F.col("a_text_id").alias("a"), F.col("b_text_id").alias("b")).distinct()
+    return digest(line, 0), np.unique(np.array(found, dtype=np.uint64))
+
+
+def lanes(hashes: np.ndarray) -> list[int]:
+    """Majority of the bits of the hashes, and of the same hashes mixed anew for each further lane."""
+    out = []
+    for k in range(LANES):
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes), SLICE):
+            h = hashes[at : at + SLICE] if k == 0 else _mixed(hashes[at : at + SLICE], k)
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def signed(text: Column) -> Column:
+    """Hash of the words, number of distinct shingles and fingerprint of a text."""
+
+    @F.pandas_udf("text_id long, size int, lanes array<long>")
+    def made(col: pd.Series) -> pd.DataFrame:
+        ids, sizes, prints = np.zeros(len(col), dtype=np.uint64), [], []
+        for i, t in enumerate(col):
+            ids[i], found = shingle_hashes(t)
+            sizes.append(len(found))
+            prints.append(lanes(found))
+        return pd.DataFrame({"text_id": ids.view(np.int64), "size": sizes, "lanes": prints})
+
+    return made(text)
+
+
+def nearest(left: np.ndarray, right: np.ndarray, same: bool, most: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates between two tiles, and the texts that have more than these.
+
+    Rows of a tile are text, component, shingles and lanes. Pairs (row of left,
+    row of right) are of different components and of sizes that allow the share;
+    each row of left keeps the ``most`` nearest.
+    """
+    (lprint, lroot, lsize), (rprint, rroot, rsize) = ((x[:, 3:].view(np.uint64), x[:, 1], x[:, 2]) for x in (left, right))
+    bound = np.full(len(left), radius + 1)  # distance from which a row of left takes no more
+    more = [np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)]
+    held = [np.zeros((0, 3), dtype=np.int64)]
+
+    def drop(p: np.ndarray, q: np.ndarray) -> None:
+        more[0][p] = True
+        more[1][q] = True
+
+    def keep(all_: np.ndarray) -> np.ndarray:
+        all_ = all_[np.lexsort((all_[:, 1], all_[:, 2], all_[:, 0]))]
+        first = np.searchsorted(all_[:, 0], all_[:, 0])
+        rank = np.arange(len(all_)) - first
+        drop(*all_[rank >= most, :2].T)
+        last = all_[rank == most - 1]
+        bound[last[:, 0]] = last[:, 2]
+        return all_[rank < most]
+
+    for p, q, far in near_blocks(lprint, rprint, radius, same):
+        fits = (lroot[p] != rroot[q]) & (SHARE[1] * np.minimum(lsize[p], rsize[q]) >= SHARE[0] * np.maximum(lsize[p], rsize[q]))
+        p, q, far = p[fits], q[fits], far[fits]
+        late = far >= bound[p]
+        drop(p[late], q[late])
+        held.append(np.stack((p[~late], q[~late], far[~late].astype(np.int64)), axis=1))
+        if sum(map(len, held)) > HELD:
+            held = [keep(np.concatenate(held))]
+    got = keep(np.concatenate(held))
+    texts = np.unique(np.concatenate((left[more[0], 0], right[more[1], 0])))
+    return np.stack((left[got[:, 0], 0], right[got[:, 1], 0]), axis=1), texts
+
+
+def candidates(texts: DataFrame, most: int, tile: int | None = None) -> DataFrame:
+    """(a, b) pairs to verify of texts (text_id, root, size, lanes); b is null for texts with further ones."""
+    width = 3 + LANES
+    band = F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / math.log(SHARE[1] / SHARE[0]))).otherwise(-2).cast("int")
+    row = F.concat(F.array("text_id", "root", F.col("size").cast("long")), "lanes")
+    met = meetings(texts.select(band.alias("band"), row.alias("row")), "band", "row", 1, tile or tile_size(texts.count()))
+
+    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        got = {t: np.asarray(x, dtype=np.int64).reshape(-1, width) for t, x in zip(pdf["tile"], pdf["rows"])}
+        if not all(k in got for k in key):  # a tile that the hash left empty
+            return pd.DataFrame({"a": pd.array([], dtype="Int64"), "b": pd.array([], dtype="Int64")})
+        pairs, more = nearest(got[key[0]], got[key[1]], key[0] == key[1], most)
+        a = np.concatenate((pairs[:, 0], more))
+        return pd.DataFrame({"a": a, "b": pd.array([*pairs[:, 1].tolist(), *[None] * len(more)], dtype="Int64")})
+
+    return met.groupBy("left", "right").applyInPandas(compare, "a long, b long")
 
 
 def near_links(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -100,38 +150,50 @@ def near_links(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def sets(col: pd.Series) -> pd.Series:
-        return pd.Series([shingle_hashes(t)[1] for t in col], dtype=object)
+        return pd.Series([shingle_hashes(t)[1].view(np.int64) for t in col], dtype=object)
 
     held = staged(bodies.select("text_id", sets("body").alias("held")), "near-sets")
     left, right = (held.select(F.col("text_id").alias(side), F.col("held").alias(f"of_{side}")) for side in "ab")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     near = SHARE[1] * shared >= SHARE[0] * (F.size("of_a") + F.size("of_b") - shared)
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
+    found = staged(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"), "near-links")
+    discard(held)
+    return found
+
+
+def near_roots(texts: DataFrame, keyed: DataFrame, tile: int | None = None, most: int = NEAREST) -> DataFrame:
+    """(node, root) of every text (text_id, row, size, lanes) that has a near copy; ``keyed`` holds ROW and body."""
+    active, links, roots = texts.select("text_id", F.col("text_id").alias("root"), "size", "lanes"), None, None
+    while True:
+        found = staged(candidates(active, most, tile), "near-candidates")
+        pairs = found.where("b is not null")
+        asked = staged(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct(), "text_id").select("text_id", F.col("row").alias(ROW)), "near-asked")
+        bodies = lookup(keyed, ROW, "inner", small=asked).select("text_id", "body")
+        new = near_links(pairs, bodies)
+        links = new if links is None else links.unionAll(new)
+        discard(asked, *([roots] if roots is not None else []))
+        roots = components(links)
+        open_ = found.where("b is null").select(F.col("a").alias("text_id")).distinct()
+        left = texts.join(open_, "text_id").join(roots.withColumnRenamed("node", "text_id").withColumnRenamed("root", "now"), "text_id", "left")
+        before = active
+        active = staged(left.select("text_id", F.coalesce("now", "text_id").alias("root"), "size", "lanes"), "near-active")
+        discard(found, before)
+        if active.isEmpty():
+            discard(active)
+            return roots
+        most *= MORE
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep one row of each component: that of its smallest id, first by content if ids repeat."""
-    often, rank = _frequent(df, text_col)
-
-    @F.pandas_udf("text_id long, size int, first array<long>")
-    def signed(col: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in col:
-            line, found = shingle_hashes(t)
-            out.append((line, len(found), prefix(found, often, rank)))
-        ids = np.array([o[0] for o in out], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"text_id": ids, "size": [o[1] for o in out], "first": [o[2] for o in out]})
-
-    mark = F.xxhash64(*[F.col(c) for c in df.columns])
-    keyed = df.withColumn("__row", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), mark.alias("mark")))
-    found = staged(keyed.select("__row", signed(F.col(text_col).cast("binary")).alias("s")).select("__row", "s.*"), "signed")
-    texts = staged(found.groupBy("text_id").agg(F.min("__row").alias("least"), F.any_value("size").alias("size"), F.any_value("first").alias("first")), "distinct-texts")
-    out = keyed.withColumn("__mark", F.col("__row.mark")).withColumn("__id", F.coalesce("__row.id", F.lit(0)))
-    pairs = staged(near_pairs(texts), "near-pairs")
-    asked = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct(), "text_id")
-    asked = staged(asked.select("text_id", F.col("least.mark").alias("__mark"), F.coalesce("least.id", F.lit(0)).alias("__id")), "near-asked")
-    bodies = lookup(out, ["__mark", "__id"], "inner", small=asked).dropDuplicates(["text_id"]).select("text_id", F.col(text_col).cast("binary").alias("body"))
-    roots = components(near_links(pairs, bodies))
+    """Keep one row of each component: that of its smallest id, nulls last, columns unchanged."""
+    keyed = numbered(df)
+    body = F.col(text_col).cast("binary")
+    found = staged(keyed.select(ROW, F.col(id_col).alias("id"), signed(body).alias("s")).select(ROW, "id", "s.*"), "signed")
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", F.col(ROW).alias("row")))
+    texts = staged(found.groupBy("text_id").agg(least.alias("least"), F.any_value("size").alias("size"), F.any_value("lanes").alias("lanes")), "distinct-texts")
+    roots = near_roots(texts.withColumn("row", F.col("least.row")), keyed.select(ROW, body.alias("body")))
     member = texts.join(roots, texts["text_id"] == roots["node"], "left").select("least", F.coalesce("root", "text_id").alias("root"))
-    kept = member.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.mark").alias("__mark"), F.coalesce("least.id", F.lit(0)).alias("__id"))
-    return out.join(kept, ["__mark", "__id"], "left_semi").dropDuplicates(["__mark", "__id"]).select(*df.columns)
+    kept = member.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(ROW))
+    gone = staged(found.select(ROW).join(kept, ROW, "left_anti"), "near-copies")
+    discard(found, texts, roots)
+    return lookup(keyed, ROW, "left_anti", small=gone).select(*df.columns)

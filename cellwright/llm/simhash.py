@@ -17,6 +17,7 @@ Texts of any length are read in slices, so memory does not grow with a text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import discard, renamed, staged
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Mean fingerprints of a tile, and of the block that one comparison holds.
-TILE = 1 << 15
+#: Mean fingerprints of a tile, at least and at most, and of the block that one comparison holds.
+TILE, MOST_TILE = 1 << 15, 1 << 20
 BLOCK = 512
 #: Shingles whose bits are counted at once.
 SLICE = 1 << 16
@@ -70,7 +71,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
 
 
 def _byte_counts(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.view(np.uint8).reshape(-1, 8))
+    return np.bitwise_count(x.view(np.uint8).reshape(len(x), -1))
 
 
 class _Forest:
@@ -91,62 +92,92 @@ class _Forest:
                 self.root = up
 
 
-def tile_links(left: np.ndarray, right: np.ndarray, radius: int = RADIUS, same: bool = False) -> np.ndarray:
-    """Spanning forest of the links between two tiles, as rows (fingerprint, root)."""
-    if not len(left) or not len(right):
-        return np.zeros((0, 2), dtype=np.uint64)
-    nodes = left if same else np.concatenate((left, right))
+def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differing bits of each pair of rows; a row is one fingerprint of one or more 64-bit lanes."""
+    return sum(np.bitwise_count(left[:, None, k] ^ right[None, :, k]) for k in range(left.shape[1]))
+
+
+def near_blocks(left: np.ndarray, right: np.ndarray, radius: int, same: bool, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of left, rows of right, distances) within the radius, block by block.
+
+    Blocks of like bit counts per byte are formed first; two blocks whose counts
+    differ by more than the radius hold no pair. In one tile a pair comes once.
+    """
     sides = []
-    for part, shift in ((left, 0), (right, 0 if same else len(left))):
+    for part in (left, right):
         counts = _byte_counts(part)
         order = np.lexsort(counts.T[::-1])
-        part, counts = part[order], counts[order]
-        cuts = range(0, len(part), BLOCK)
-        sides.append((part, order + shift, cuts, np.array([counts[k : k + BLOCK].min(axis=0) for k in cuts], dtype=np.int16), np.array([counts[k : k + BLOCK].max(axis=0) for k in cuts], dtype=np.int16)))
+        cuts = range(0, len(part), block)
+        counts = counts[order]
+        low, high = (np.array([f(counts[k : k + block], axis=0) for k in cuts], dtype=np.int16) for f in (np.min, np.max))
+        sides.append((part[order], order, cuts, low, high))
     (lx, li, lcuts, llow, lhigh), (rx, ri, rcuts, rlow, rhigh) = sides
-    forest = _Forest(len(nodes))
     for i, a in enumerate(lcuts):
         gap = np.maximum(0, np.maximum(llow[i] - rhigh, rlow - lhigh[i])).sum(axis=1)
         for j in np.flatnonzero(gap <= radius):
             if same and j < i:
                 continue
             b = rcuts[j]
-            near = np.bitwise_count(lx[a : a + BLOCK, None] ^ rx[None, b : b + BLOCK]) <= radius
+            far = distances(lx[a : a + block], rx[b : b + block])
+            near = far <= radius
+            if same and j == i:
+                near &= np.tri(len(near), k=-1, dtype=bool)
             if near.any():
                 p, q = np.nonzero(near)
-                forest.link(li[a + p], ri[b + q])
+                yield li[a + p], ri[b + q], far[p, q]
+
+
+def tile_links(left: np.ndarray, right: np.ndarray, radius: int = RADIUS, same: bool = False) -> np.ndarray:
+    """Spanning forest of the links between two tiles, as rows (fingerprint, root)."""
+    if not len(left) or not len(right):
+        return np.zeros((0, 2), dtype=np.uint64)
+    nodes = left if same else np.concatenate((left, right))
+    forest = _Forest(len(nodes))
+    for p, q, _ in near_blocks(left[:, None], right[:, None], radius, same):
+        forest.link(p, q if same else q + len(left))
     moved = np.flatnonzero(forest.root != np.arange(len(nodes)))
     return np.stack((nodes[moved], nodes[forest.root[moved]]), axis=1)
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) that connect whatever lies within the radius.
+def tile_size(n: int) -> int:
+    """Fingerprints of a tile: they grow with the root of all, so that what tiles that meet send stays below n ** 1.5."""
+    return min(MOST_TILE, max(TILE, math.isqrt(n) * 32))
 
-    ``prints`` holds one row per distinct fingerprint in column ``fp``. The
-    number of tiles of each bit count follows the rows there. Tiles are numbered
-    by bit count, so those that a tile can meet have consecutive numbers; only
-    the bit counts, at most 65, come to the driver.
+
+def meetings(prints: DataFrame, band: str, value: str, reach: int, tile: int) -> DataFrame:
+    """(left, right, tile, rows): both tiles of each pair that can hold links, ``rows`` a flat list of ``value``.
+
+    ``band`` is a small number per row, and bands further apart than ``reach``
+    hold no link. The number of tiles of a band follows the rows there. Tiles
+    are numbered by band, so those that a tile can meet have consecutive
+    numbers; only the counts of the bands come to the driver.
     """
-    counted = prints.select("fp", F.bit_count("fp").alias("ones"))
-    tiles = {r["ones"]: -(-r["n"] // tile) for r in counted.groupBy("ones").agg(F.count("*").alias("n")).collect()}
+    tiles = {r[band]: -(-r["n"] // tile) for r in prints.groupBy(band).agg(F.count("*").alias("n")).collect()}
 
     def before(p: int) -> int:
         return sum(n for q, n in tiles.items() if q < p)
 
-    plan = [(p, before(p), n, before(p - radius), before(p + radius + 1) - 1) for p, n in tiles.items()]
-    plan = prints.sparkSession.createDataFrame(plan, "ones int, first long, n long, low long, high long")
-    dealt = counted.join(F.broadcast(plan), "ones").select("fp", "low", "high", (F.col("first") + F.pmod(F.xxhash64("fp"), "n")).alias("tile"))
+    plan = [(p, before(p), n, before(p - reach), before(p + reach + 1) - 1) for p, n in tiles.items()]
+    plan = prints.sparkSession.createDataFrame(plan, f"{band} int, first long, n long, low long, high long")
+    dealt = prints.join(F.broadcast(plan), band).withColumn("tile", F.col("first") + F.pmod(F.xxhash64(value), "n"))
+    packed = dealt.groupBy("tile").agg(F.any_value("low").alias("low"), F.any_value("high").alias("high"), F.collect_list(value).alias("rows"))
+    if dict(prints.dtypes)[value].startswith("array"):
+        packed = packed.withColumn("rows", F.flatten("rows"))
+    met = packed.select("tile", "rows", F.explode(F.sequence("low", "high")).alias("other"))
+    return met.select("tile", "rows", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"))
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        fps = np.sort(pdf["fp"].to_numpy(np.int64).view(np.uint64)).tobytes()
-        return pd.DataFrame({"tile": [key[0]], "low": [pdf["low"].iloc[0]], "high": [pdf["high"].iloc[0]], "fps": [fps]})
 
-    packed = dealt.groupBy("tile").applyInPandas(pack, "tile long, low long, high long, fps binary")
-    met = packed.select("tile", "fps", F.explode(F.sequence("low", "high")).alias("other"))
-    met = met.select("tile", "fps", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"))
+def links(prints: DataFrame, radius: int = RADIUS, tile: int | None = None) -> DataFrame:
+    """Links (a, b) that connect whatever lies within the radius.
+
+    ``prints`` holds one row per distinct fingerprint in column ``fp``; their
+    bands are the numbers of set bits.
+    """
+    counted = prints.select("fp", F.bit_count("fp").alias("ones"))
+    met = meetings(counted, "ones", "fp", radius, tile or tile_size(prints.count()))
 
     def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = {t: np.frombuffer(b, dtype=np.uint64) for t, b in zip(pdf["tile"], pdf["fps"])}
+        got = {t: np.asarray(x, dtype=np.int64).view(np.uint64) for t, x in zip(pdf["tile"], pdf["rows"])}
         none = np.zeros(0, dtype=np.uint64)  # for a tile that the hash left empty
         found = tile_links(got.get(key[0], none), got.get(key[1], none), radius, same=key[0] == key[1]).view(np.int64)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
@@ -167,13 +198,15 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = staged(large, name)
+        old = edges
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = staged(small, name)
+        discard(old, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return renamed(edges, {"a": "node", "b": "root"})
         seen = now
 
 
@@ -185,22 +218,10 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     member = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     whole = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = staged(member.join(whole, "root").select("fp", "component_id"), "members")
+    discard(prints, roots)
     return rows.join(named, "fp").select("id", "fp", "component_id")
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Keep one row of each component: that of its smallest id, first by content if ids repeat."""
-    mark = F.xxhash64(*[F.col(c) for c in df.columns])
-    keyed = df.withColumn("__row", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), mark.alias("mark")))
-    found = staged(with_fingerprint(keyed.select("__row", F.col(text_col).alias("body")), "body", "fp").select("__row", "fp"), "prints")
-    prints = staged(found.groupBy("fp").agg(F.min("__row").alias("least")), "distinct-prints")
-    roots = components(links(prints.select("fp"), radius))
-    member = prints.join(roots, prints["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
-    kept = member.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.mark").alias("__mark"), F.coalesce("least.id", F.lit(0)).alias("__id"))
-    out = keyed.withColumn("__mark", F.col("__row.mark")).withColumn("__id", F.coalesce("__row.id", F.lit(0)))
-    return out.join(kept, ["__mark", "__id"], "left_semi").dropDuplicates(["__mark", "__id"]).select(*df.columns)
-
-
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = simhash_components(docs)

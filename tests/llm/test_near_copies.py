@@ -66,6 +66,28 @@ def test_tables_match_brute_force(spark):
     assert sorted(r["doc_id"] for r in N.drop_near_copies(docs).collect()) == brute(rows)
 
 
+def test_rounds_and_tiles(spark, monkeypatch):
+    r = random.Random(5)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(300):  # one large group of texts that all differ, and texts apart
+        w = list(base)
+        w[r.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(300 + i, " ".join(f"t{r.randrange(900)}" for _ in range(r.randrange(5, 80)))) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for held, nearest in ((50, 1), (1 << 21, 8)):
+        monkeypatch.setattr(N, "HELD", held)
+        monkeypatch.setattr(N.near_roots, "__defaults__", (61, nearest))
+        assert sorted(x["doc_id"] for x in N.drop_near_copies(df).collect()) == brute(rows)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "one two", {"a": 1}, 5, "x"), (2, "ONE two", {"a": 2}, 6, "y"), (3, "three", None, 7, "z")], "doc_id long, text string, size map<string,int>, root int, lanes string")
+    got = sorted(N.drop_near_copies(df).collect(), key=lambda r: r["doc_id"])
+    assert [(r["doc_id"], r["size"], r["root"], r["lanes"]) for r in got] == [(1, {"a": 1}, 5, "x"), (3, None, 7, "z")]
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, "a b"), (3, "A b"), (3, "A b"), (4, None), (None, "")], "doc_id long, text string")
     got = N.drop_near_copies(df).collect()
