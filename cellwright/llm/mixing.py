@@ -14,8 +14,9 @@ falls is put in order, so a source that holds a third of all rows costs no more.
 
 Defined cases: null text has size zero and is taken with its source's whole
 repetitions; a null source is a source of its own, last in order; rows that
-repeat in their id are taken or left together; equal hashes likewise; sources
-without weight get none; an empty table gives no rows.
+repeat in their id are taken or left together, as are rows without id of equal
+text; sources without weight get none; an empty table gives no rows; further
+columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, read, staged
+from .common import WORD, discard, lookup, read, staged
 
 SEED = "mix-1"
 BUDGET, MAX_EPOCHS = 1.5, 2
@@ -62,44 +63,67 @@ def water_fill(sizes: DataFrame, budget: float = BUDGET, max_epochs: int = MAX_E
     return free.withColumn("target", target).drop("cap", "level", "free", "water")
 
 
-def _hash(key: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+def _hash(key: Column, text: Column, seed: str) -> Column:
+    """Place of a row in its source's order; rows without id are told apart by their texts."""
+    named = F.coalesce(key.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), named))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: str = SEED, weights=cycled_weights) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, copies (times the mix takes the row)."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), _hash(F.col(id_col), seed).alias("h"))
-    rows = staged(rows.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)), "sizes")
+def limits(rows: DataFrame, budget: float, max_epochs: int, weights) -> DataFrame:
+    """Per source of ``rows`` (source, size, h): s, source_size, target, whole repetitions and ``cut``.
+
+    Rows whose hash is at most ``cut`` are taken once more. Hash buckets are
+    summed first; only the bucket in which the target falls is put in order.
+    """
+    rows = rows.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     buckets = staged(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "buckets")
-    sizes = buckets.groupBy("source").agg(F.sum("n").alias("source_size"))
-    plan = water_fill(weights(sizes), budget, max_epochs)
+    plan = water_fill(weights(buckets.groupBy("source").agg(F.sum("n").alias("source_size"))), budget, max_epochs)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     plan = staged(plan.withColumn("want", F.col("target") - F.col("whole") * F.col("source_size")), "plan").withColumnRenamed("source", "s")
-    small = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
+    n = plan.count()
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    run = buckets.withColumn("upto", F.sum("n").over(upto)).join(small.select("s", "want"), F.col("source").eqNullSafe(F.col("s")))
-    edge = run.where((F.col("upto") - F.col("n") < F.col("want")) & (F.col("upto") > F.col("want"))).select("s", F.col("bucket").alias("edge"), (F.col("upto") - F.col("n")).alias("below"))
-    edge = edge.withColumnRenamed("s", "es")
+    wanted = plan.select("s", "want").where("want > 0")
+    run = lookup(buckets.withColumn("upto", F.sum("n").over(upto)), F.col("source").eqNullSafe(F.col("s")), "inner", rows=n, small=wanted)
+    edge = run.where((F.col("upto") - F.col("n") < F.col("want")) & (F.col("upto") > F.col("want")))
+    edge = edge.select(F.col("s").alias("es"), F.col("bucket").alias("edge"), (F.col("upto") - F.col("n")).alias("below"), "want")
     full = run.where(F.col("upto") <= F.col("want")).groupBy("s").agg(F.max("bucket").alias("full")).withColumnRenamed("s", "fs")
-    limits = staged(plan.join(edge, F.col("s").eqNullSafe(F.col("es")), "left").join(full, F.col("s").eqNullSafe(F.col("fs")), "left").drop("es", "fs"), "limits")
-    limits = F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits
-    met = rows.join(limits, F.col("source").eqNullSafe(F.col("s")), "left")
-    by_bucket = met.where("edge is null or bucket <> edge").withColumn("extra", F.coalesce(F.col("bucket") <= F.col("full"), F.lit(False)))
+    inside = lookup(rows, F.col("source").eqNullSafe(F.col("es")) & (F.col("bucket") == F.col("edge")), "inner", rows=n, small=edge)
     own = Window.partitionBy("source").orderBy("h").rangeBetween(Window.unboundedPreceding, 0)
     peers = Window.partitionBy("source", "h")
-    in_edge = met.where("bucket = edge").withColumn("mid", 2 * (F.col("below") + F.sum("size").over(own)) - F.sum("size").over(peers))
-    in_edge = in_edge.withColumn("extra", F.col("mid") <= 2 * F.col("want")).drop("mid")
-    both = by_bucket.unionByName(in_edge)
-    copies = F.coalesce(F.col("whole") + F.col("extra").cast("long"), F.lit(0).cast("long"))
-    return both.select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"))
+    mid = inside.withColumn("mid", 2 * (F.col("below") + F.sum("size").over(own)) - F.sum("size").over(peers))
+    last = mid.where(F.col("mid") <= 2 * F.col("want")).groupBy("es").agg(F.max("h").alias("last"))
+    out = plan.join(last, F.col("s").eqNullSafe(F.col("es")), "left").join(full, F.col("s").eqNullSafe(F.col("fs")), "left")
+    # "g" comes after all hexadecimal digits, so a bucket's name with it stands behind the whole bucket
+    cut = F.coalesce("last", F.concat("full", F.lit("g")), F.lit(""))
+    out = staged(out.select("s", "source_size", "target", "whole", cut.alias("cut")), "limits")
+    discard(buckets)
+    return out
+
+
+def _sized(df: DataFrame, id_col: str, text: str, source: str, seed: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), _hash(F.col(id_col), F.col(text), seed).alias("h"))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: str = SEED, weights=cycled_weights) -> DataFrame:
+    """Per row: doc_id, source, size, source_size, target, copies (times the mix takes the row)."""
+    rows = staged(_sized(df, id_col, text, source, seed), "sizes")
+    met = lookup(rows, F.col("source").eqNullSafe(F.col("s")), small=limits(rows, budget, max_epochs, weights))
+    return met.select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), _copies().alias("copies"))
+
+
+def _copies() -> Column:
+    return F.coalesce(F.col("whole") + (F.col("h") <= F.col("cut")).cast("long"), F.lit(0).cast("long"))
 
 
-def repeat_documents(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it, columns unchanged."""
-    taken = mix(df, id_col, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("copies").alias("__copies"))
-    source = options.get("source", "source")
-    met = df.join(taken, df[id_col].eqNullSafe(taken["__id"]) & df[source].eqNullSafe(taken["__source"]))
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[df[c] for c in df.columns])
+def repeat_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: str = SEED, weights=cycled_weights) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it, columns unchanged; no text is shuffled."""
+    rows = staged(_sized(df, id_col, text, source, seed), "sizes")
+    found = limits(rows, budget, max_epochs, weights)
+    discard(rows)
+    whole = F.struct(*[F.col(c) for c in df.columns]).alias("__all")
+    met = lookup(df.select(whole, F.col(source).alias("source"), _hash(F.col(id_col), F.col(text), seed).alias("h")), F.col("source").eqNullSafe(F.col("s")), small=found)
+    times = met.withColumn("copies", _copies()).where("copies > 0")
+    return times.select("__all", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__all.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
@@ -108,7 +132,7 @@ def op1_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint size, md5('{SEED}:' || coalesce(doc_id::varchar, '')) h from documents),
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint size, md5('{SEED}:' || coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, '')))) h from documents),
 s as (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) - 1 k from d group by source),
 w as (select source, source_size, case k % 3 when 0 then {CYCLE[0]} when 1 then {CYCLE[1]} else {CYCLE[2]} end weight, {MAX_EPOCHS} * source_size cap from s),
 l as (select *, ({BUDGET} * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))::double

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from cellwright.llm import mixing as M
 
 from .oracle import agree
@@ -40,6 +42,7 @@ def test_oracle(spark):
 def test_targets_are_met(spark):
     r = random.Random(10)
     rows = [(i, "w " * r.randrange(1, 60), r.choice(["hot", "hot", "hot", "a", "b", None])) for i in range(4000)]
+    rows += [(None, f"n{r.randrange(10**6)} " * r.randrange(1, 60), "no ids") for _ in range(1000)]
     got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     by = {}
     for x in got:
@@ -56,4 +59,6 @@ def test_edges(spark):
     assert M.mix(df).count() == 5
     out = M.repeat_documents(df)
     assert out.columns == df.columns and out.count() >= 5
+    odd = df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("h", "s", "copies", "cut", "whole", "col"))], F.create_map(F.lit(1), F.lit(2)).alias("m"))
+    assert sorted(out.collect(), key=repr) == sorted(M.repeat_documents(odd).select(*df.columns).collect(), key=repr)
     assert M.mix(df.limit(0)).count() == 0 and M.repeat_documents(df.limit(0)).count() == 0
