@@ -50,6 +50,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def shared_path(table: DataFrame) -> str:
+    """Where ``staged`` wrote a table, as a URI that tasks can open."""
+    path = _WRITTEN[table]
+    return path if "://" in path else f"file://{path.removeprefix('file:')}"
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``staged`` returned, once nothing reads them any more."""
     for t in tables:

@@ -1,38 +1,54 @@
-"""Benchmark decontamination: BM25 over an inverted index of test items, by block maxima.
+"""Benchmark decontamination: BM25 over an inverted index of test items, by block-max WAND.
 
 Test items are indexed, training passages are the queries. A passage is a
-window of two cells of words, so every item lies whole in one passage. Items
-are cut into blocks; per term the index holds the greatest weight in each
-block. A passage looks into a block only if the sum of these maxima reaches the
-least threshold there; inside, all items are scored from the postings. Every
-item has its own threshold: its score against itself less the heaviest terms
-that a passage may lack and still be verified. So everything that can be
-verified is retrieved. Verification counts the item's word shingles that the
-passage holds: over the whole item, in the question and in the answer (the
-second half of the item where it has no answer of its own).
-
-The index is made in groups of at most ``GROUP`` items, so what the tasks get
-with their code is bounded; further groups are further passes.
+window of two cells of words, and a cell is at least twice as long as the item,
+so an item lies whole in one passage even where as many foreign words stand
+between its parts. Items are put into classes by length, each with its own cell.
+
+Postings are cut into blocks of ``BLOCK``; the index holds the greatest weight of
+each term and of each block. A passage has a cursor for each of its terms. The
+pivot is the first item at which the terms' maxima together reach the threshold;
+if the maxima of the blocks there do not, the cursors skip to the next block
+boundary, otherwise the item is scored. Passages whose terms have no pivot at
+all are passed over for a whole text at once. Every item has its own threshold:
+its score against itself less the heaviest terms that a passage may lack and
+still be verified. So everything that can be verified is retrieved. Verification
+counts the item's word shingles that the passage holds: over the whole item, in
+the question and in the answer (the second half of the item where it has no
+answer of its own).
+
+The index is made on Spark, one row for each group of at most about ``GROUP``
+items of a class, and written to the shared folder. A task that scans texts
+reads it from there, group by group, and keeps it while it is small; neither
+items nor postings pass through the driver.
 
 Defined cases: null and empty texts match nothing; an item without words is
 left out, one of fewer words than a shingle is one shingle; rows that repeat
-are examined each; empty tables give no rows.
+are examined each; empty tables give no rows; further columns of any name stay
+as they are. Equality of shingles is that of 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import io
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, shared_path, staged
 
 SHINGLE = 5
 OVERLAP, PART_OVERLAP = 0.8, 0.5
 K1, B = 1.2, 0.75
-#: Items of one index, blocks of their postings, least words of a cell.
-GROUP, BLOCKS, CELL = 20_000, 32, 64
+#: Items of one index, postings of one block, least words of a cell.
+GROUP, BLOCK, CELL = 20_000, 64, 64
+#: Bytes of indexes that a task keeps; it reads further ones anew for each batch of texts.
+KEPT = 256 << 20
+_EPS = 1e-6
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -43,116 +59,232 @@ def shingles(w: list[bytes], n: int = SHINGLE) -> list[bytes]:
     return [b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
 
 
+def hashes(parts: list[bytes]) -> np.ndarray:
+    """Distinct hashes, sorted."""
+    import xxhash
+
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), dtype=np.uint64, count=len(parts)))
+
+
+def cell_of(n: int) -> int:
+    """Words of a cell for items of ``n`` words: a power of two of at least twice as many."""
+    return max(CELL, 1 << (2 * n - 1).bit_length())
+
+
 class Index:
-    """Postings with block maxima for (id, text, answer or None)."""
+    """Postings with block maxima for (id, text, answer or None) of one class of lengths."""
 
     def __init__(self, items: list[tuple[int, bytes, bytes | None]]):
-        self.ids, self.whole, self.question, self.answer, terms = [], [], [], [], []
-        for i, text, answer in items:
-            w, a = words(text), words(answer)
+        ids, terms, whole, question, answer, lost, widths = [], [], [], [], [], [], []
+        for i, text, answer_ in items:
+            w, a = words(text), words(answer_)
             if not w:
                 continue
-            whole = w + a
+            both = w + a
             half = len(w) if a else (len(w) + 1) // 2
-            s = shingles(whole)
-            self.ids.append(i)
-            self.whole.append(frozenset(s))
-            self.question.append(frozenset(s[: max(1, half - SHINGLE + 1)]))
-            self.answer.append(frozenset(s[min(half, len(s) - 1) :]))
-            terms.append(whole)
-        n = len(terms)
-        self.cell = max([CELL, *map(len, terms)])
-        self.term: dict[bytes, int] = {}
-        for w in terms:
-            for t in w:
-                self.term.setdefault(t, len(self.term))
-        df = np.zeros(len(self.term))
-        for w in terms:
-            df[[self.term[t] for t in set(w)]] += 1
+            s = shingles(both)
+            ids.append(i)
+            terms.append(both)
+            widths.append(min(len(both), SHINGLE))
+            whole.append(hashes(s))
+            question.append(hashes(s[: max(1, half - SHINGLE + 1)]))
+            answer.append(hashes(s[min(half, len(s) - 1) :]))
+            lost.append(int((1 - OVERLAP) * len(whole[-1]) + 1e-9))
+        n = len(ids)
+        self.ids, self.width = np.array(ids, dtype=np.int64), np.array(widths, dtype=np.int64)
+        self.cell = max([CELL, *(cell_of(len(w)) for w in terms)])
+        self.parts = [(np.cumsum([0, *map(len, x)]), np.concatenate(x) if n else np.zeros(0, dtype=np.uint64)) for x in (whole, question, answer)]
+        number: dict[bytes, int] = {}
+        rows = [np.unique([number.setdefault(t, len(number)) for t in w], return_counts=True) for w in terms]
+        df = np.zeros(len(number))
+        for t, _ in rows:
+            df[t] += 1
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         mean = np.mean([len(w) for w in terms]) if n else 1
-        size = max(1, -(-n // BLOCKS))
-        self.block_items = [range(b, min(n, b + size)) for b in range(0, n, size)]
-        # weights are divided by the item's threshold, so that one is the threshold of all
-        self.block_max = np.zeros((len(self.term) + 1, max(1, len(self.block_items))), dtype=np.float32)
-        self.postings: list[dict[int, np.ndarray]] = [{} for _ in self.block_items]
-        for b, members in enumerate(self.block_items):
-            lists: dict[int, list[tuple[int, float]]] = {}
-            for k in members:
-                w = terms[k]
-                ids, tf = np.unique([self.term[t] for t in w], return_counts=True)
-                weight = idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
-                lost = int((1 - OVERLAP) * len(self.whole[k]) + 1e-9)
-                need = weight.sum() - np.sort(weight)[::-1][:lost].sum()
-                for t, v in zip(ids, weight / max(need, 1e-9) + 1e-6):
-                    lists.setdefault(int(t), []).append((k - members[0], v))
-                    self.block_max[t, b] = max(self.block_max[t, b], v)
-            for t, pairs in lists.items():
-                self.postings[b][t] = np.array(pairs)
+        weights = []
+        for k, (t, tf) in enumerate(rows):
+            v = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(terms[k]) / mean))
+            need = v.sum() - np.sort(v)[::-1][: lost[k]].sum()
+            # divided by the item's threshold, so that one is the threshold of all
+            weights.append(v / max(need, 1e-9) + _EPS)
+        term = np.concatenate([t for t, _ in rows]) if n else np.zeros(0, dtype=np.int64)
+        item = np.repeat(np.arange(n), [len(t) for t, _ in rows])
+        order = np.lexsort((item, term))
+        self.item, self.weight = item[order].astype(np.int64), np.concatenate(weights)[order] if n else np.zeros(0)
+        self.first = np.concatenate(([0], np.cumsum(df.astype(np.int64))))
+        self.terms = list(number)
+        self._ready()
+
+    def _ready(self) -> None:
+        """What follows from the arrays: numbers of terms, maxima of terms and of their blocks."""
+        self.number = {t: k for k, t in enumerate(self.terms)}
+        self.most = np.maximum.reduceat(self.weight, self.first[:-1]) if len(self.item) else np.zeros(0)
+        self.lists: dict[int, tuple[list, list, list, list]] = {}
+
+    def postings(self, t: int) -> tuple[list, list, list, list]:
+        """Items and weights of a term, greatest weight and last item of each of its blocks."""
+        if t not in self.lists:
+            a, b = self.first[t], self.first[t + 1]
+            items, weights = self.item[a:b], self.weight[a:b]
+            cuts = np.arange(0, b - a, BLOCK)
+            last = items[np.minimum(cuts + BLOCK, b - a) - 1]
+            self.lists[t] = (items.tolist(), weights.tolist(), np.maximum.reduceat(weights, cuts).tolist(), last.tolist())
+        return self.lists[t]
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        arrays = {f"{k}{i}": x for i, pair in enumerate(self.parts) for k, x in zip(("at", "of"), pair)}
+        lengths = np.array([len(t) for t in self.terms], dtype=np.int64)
+        np.savez(out, ids=self.ids, width=self.width, cell=self.cell, item=self.item, weight=self.weight, first=self.first, lengths=lengths, terms=np.frombuffer(b"".join(self.terms), dtype=np.uint8), **arrays)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> Index:
+        self, z = cls.__new__(cls), np.load(io.BytesIO(blob))
+        self.ids, self.width, self.cell, self.item, self.weight, self.first = (z[k] for k in ("ids", "width", "cell", "item", "weight", "first"))
+        self.cell = int(self.cell)
+        self.parts = [(z[f"at{i}"], z[f"of{i}"]) for i in range(3)]
+        raw, ends = z["terms"].tobytes(), np.cumsum(z["lengths"]).tolist()
+        self.terms = [raw[a:b] for a, b in zip([0, *ends], ends)]
+        self._ready()
+        return self
+
+    def retrieve(self, terms: list[int]) -> list[int]:
+        """Items that a passage of these distinct terms scores at one or more, by block-max WAND."""
+        cursors = [[0, self.postings(t), float(self.most[t])] for t in terms]
+        out = []
+        while cursors:
+            cursors.sort(key=lambda c: c[1][0][c[0]])
+            total, pivot = 0.0, None
+            for k, c in enumerate(cursors):
+                total += c[2]
+                if total >= 1 - _EPS:
+                    pivot = c[1][0][c[0]]
+                    break
+            if pivot is None:
+                return out
+            while k + 1 < len(cursors) and cursors[k + 1][1][0][cursors[k + 1][0]] == pivot:
+                k += 1
+            # greatest weights of the blocks that the pivot would lie in, and where the first of them ends
+            total, upto = 0.0, None
+            for at, (_, _, block_max, block_last), _ in cursors[: k + 1]:
+                b = bisect_left(block_last, pivot, at // BLOCK)
+                if b < len(block_last):
+                    total += block_max[b]
+                    upto = block_last[b] if upto is None else min(upto, block_last[b])
+            if total < 1 - _EPS:
+                to = pivot + 1 if upto is None else upto + 1
+                if k + 1 < len(cursors):
+                    to = min(to, cursors[k + 1][1][0][cursors[k + 1][0]])
+                to = max(to, pivot + 1)
+            else:
+                score = 0.0
+                for c in cursors[: k + 1]:
+                    c[0] = bisect_left(c[1][0], pivot, c[0])
+                    if c[0] < len(c[1][0]) and c[1][0][c[0]] == pivot:
+                        score += c[1][1][c[0]]
+                if score >= 1 - _EPS:
+                    out.append(pivot)
+                to = pivot + 1
+            for c in cursors[: k + 1]:
+                c[0] = bisect_left(c[1][0], to, c[0])
+            cursors = [c for c in cursors if c[0] < len(c[1][0])]
+        return out
 
     def candidates(self, w: list[bytes]) -> list[tuple[int, int]]:
         """(first word of the passage, item) for all passages of a text that reach the item's threshold."""
-        get, none = self.term.get, len(self.term)
+        get, none = self.number.get, len(self.number)
         ids = np.fromiter((get(x, none) for x in w), dtype=np.int64, count=len(w))
         at = np.flatnonzero(ids != none)
         if not len(at):
             return []
         key = np.unique(at // self.cell * none + ids[at])
         cell, term = np.divmod(key, none)
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        bound = np.zeros(((len(w) - 1) // self.cell + 2, self.block_max.shape[1]), dtype=np.float32)
-        bound[cell[first]] = np.add.reduceat(self.block_max[term], first, axis=0)
         # a passage is a cell and the next; one that begins in the last cell adds nothing unless it is the only one
         last = max(1, (len(w) - 1) // self.cell)
+        bound = np.bincount(cell, weights=self.most[term], minlength=last + 1)
         out = []
-        for p, b in zip(*np.nonzero(bound[:last] + bound[1 : last + 1] >= 1 - 1e-3)):
+        for p in np.flatnonzero(bound[:last] + bound[1 : last + 1] >= 1 - _EPS):
             lo, hi = np.searchsorted(cell, [p, p + 2])
-            score = np.zeros(len(self.block_items[b]))
-            for t in np.unique(term[lo:hi]).tolist():
-                if (pairs := self.postings[b].get(t)) is not None:
-                    score[pairs[:, 0].astype(int)] += pairs[:, 1]
-            out += [(int(p) * self.cell, self.block_items[b][k]) for k in np.flatnonzero(score >= 1)]
+            own = np.unique(term[lo:hi])
+            if self.most[own].sum() >= 1 - _EPS:  # terms of both cells count once
+                out += [(int(p) * self.cell, k) for k in self.retrieve(own.tolist())]
         return out
 
     def matches(self, text: bytes | None) -> list[dict]:
         """Verified items of a text with their best overlaps."""
         w = words(text)
         found: dict[int, list[float]] = {}
-        held: dict[int, set[bytes]] = {}
+        held: dict[tuple[int, int], np.ndarray] = {}
         for p, k in self.candidates(w):
-            if p not in held:
-                held[p] = set(shingles(w[p : p + 2 * self.cell]))
-                # items shorter than a shingle are looked for as they are
-            have = held[p]
-            if len(next(iter(self.whole[k])).split()) < SHINGLE:
-                have = set(shingles(w[p : p + 2 * self.cell], len(next(iter(self.whole[k])).split())))
-            shares = [len(part & have) / len(part) for part in (self.whole[k], self.question[k], self.answer[k])]
+            if (key := (p, int(self.width[k]))) not in held:
+                held[key] = hashes(shingles(w[p : p + 2 * self.cell], key[1]))
+            shares = []
+            for at, of in self.parts:
+                part = of[at[k] : at[k + 1]]
+                shares.append(np.isin(part, held[key], assume_unique=True).sum() / len(part))
             if shares[0] >= OVERLAP and min(shares[1:]) >= PART_OVERLAP:
-                found[k] = [max(x) for x in zip(found.get(k, [0, 0, 0]), shares)]
-        return [{"item_id": self.ids[k], "overlap": o, "question_overlap": q, "answer_overlap": a} for k, (o, q, a) in sorted(found.items())]
+                found[k] = [float(max(x)) for x in zip(found.get(k, [0, 0, 0]), shares)]
+        return [{"item_id": int(self.ids[k]), "overlap": o, "question_overlap": q, "answer_overlap": a} for k, (o, q, a) in sorted(found.items())]
 
 
 MATCHES = "array<struct<item_id:long,overlap:double,question_overlap:double,answer_overlap:double>>"
 
 
-def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", answer: str | None = None) -> list[Index]:
-    """One index for each group of at most ``GROUP`` items."""
-    n = items.count()
-    groups = max(1, -(-n // GROUP))
-    rows = items.select(F.col(item_id).alias("i"), F.col(text).cast("binary").alias("t"), (F.col(answer) if answer else F.lit(None)).cast("binary").alias("a"))
-    out = []
-    for g in range(groups):
-        part = rows.where(F.pmod(F.xxhash64("i"), F.lit(groups)) == g).orderBy("i", "t").collect()
-        out.append(Index([(r["i"], bytes(r["t"] or b""), r["a"] and bytes(r["a"])) for r in part]))
-    return out
+def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", answer: str | None = None) -> DataFrame:
+    """The written index: one row (blob) for each group of items of like length."""
+    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("binary").alias("t"), (F.col(answer) if answer else F.lit(None)).cast("binary").alias("a"))
+
+    @F.pandas_udf("int")
+    def cells(t: pd.Series, a: pd.Series) -> pd.Series:
+        sizes = [len(words(x)) and len(words(x)) + len(words(y)) for x, y in zip(t, a)]
+        return pd.Series([cell_of(n) if n else 0 for n in sizes], dtype="int32")
+
+    rows = staged(rows.withColumn("cell", cells("t", "a")).where("cell > 0"), "benchmark-items")
+    groups = rows.groupBy("cell").agg(F.ceil(F.count("*") / GROUP).alias("groups"))  # a class is a power of two: few rows
+    dealt = rows.join(F.broadcast(groups), "cell").withColumn("g", F.pmod(F.xxhash64("i", "t"), "groups"))
+
+    def built(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["i", "t"])
+        return pd.DataFrame({"blob": [Index(list(zip(pdf["i"], pdf["t"], pdf["a"]))).to_bytes()]})
+
+    return staged(dealt.groupBy("cell", "g").applyInPandas(built, "blob binary"), "benchmark-index")
+
+
+_READ: dict[str, list[Index]] = {}
+
+
+def _written(path: str) -> Iterator[Index]:
+    """Indexes under a path, one at a time; the process keeps them while they are small."""
+    if path in _READ:
+        yield from _READ[path]
+        return
+    from pyarrow import dataset, fs
+
+    place, root = fs.FileSystem.from_uri(path)
+    kept, size = [], 0
+    for batch in dataset.dataset(root, filesystem=place, format="parquet").to_batches(columns=["blob"], batch_size=1, batch_readahead=1, fragment_readahead=1):
+        for blob in batch["blob"]:
+            index = Index.from_bytes(blob.as_py())
+            size += blob.as_buffer().size
+            kept = [*kept, index] if size <= KEPT else []
+            yield index
+    if size <= KEPT:
+        _READ.clear()  # of an earlier table
+        _READ[path] = kept
 
 
-def with_matches(df: DataFrame, index: Index, text: str = "text", out: str = "matches") -> DataFrame:
-    """Add the verified items of each text."""
+def with_matches(df: DataFrame, index: DataFrame, text: str = "text", out: str = "matches") -> DataFrame:
+    """Add the verified items of each text, by a written index."""
+    path = shared_path(index)
 
     @F.pandas_udf(MATCHES)
     def found(col: pd.Series) -> pd.Series:
-        return pd.Series([index.matches(t) for t in col])
+        got: list[list[dict]] = [[] for _ in col]
+        for ix in _written(path):
+            for have, t in zip(got, col):
+                have += ix.matches(t)
+        return pd.Series(got)
 
     return df.withColumn(out, found(F.col(text).cast("binary")))
 
@@ -160,19 +292,12 @@ def with_matches(df: DataFrame, index: Index, text: str = "text", out: str = "ma
 def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, overlap, question_overlap, answer_overlap) of all verified pairs."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("body"))
-    parts = [with_matches(rows, ix, "body", "found").select("doc_id", F.inline("found")) for ix in indexes(items)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    return with_matches(rows, indexes(items), "body", "found").select("doc_id", F.inline("found"))
 
 
 def drop_contaminated(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """Rows whose text holds no item, columns unchanged."""
-    out = df
-    for ix in indexes(items):
-        out = with_matches(out, ix, text, "__matches").where(F.size("__matches") == 0).select(*df.columns)
-    return out
+    return with_matches(df, indexes(items), text, "__cellwright_matches").where(F.size("__cellwright_matches") == 0).select(*df.columns)
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -184,14 +309,13 @@ _SH = f"case when len(w) < {SHINGLE} then [array_to_string(w, ' ')] else [array_
 ORACLE = f"""
 with b as (select item_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') w from benchmark),
 i as (select item_id, len(w) n, {_SH} s from b where len(w) > 0),
-c as (select greatest({CELL}, max(n)) cell from i),
-k as (select item_id, (n + 1) // 2 half, len(s) m, unnest(s) g, unnest(range(len(s))) j from i),
-ik as (select item_id, g, bool_or(j < greatest(1, half - {SHINGLE - 1})) q, bool_or(j >= least(half, m - 1)) a from k group by item_id, g),
+k as (select item_id, greatest({CELL}, pow(2, ceil(log2(2 * n))))::bigint cell, (n + 1) // 2 half, len(s) m, unnest(s) g, unnest(range(len(s))) j from i),
+ik as (select item_id, cell, g, bool_or(j < greatest(1, half - {SHINGLE - 1})) q, bool_or(j >= least(half, m - 1)) a from k group by item_id, cell, g),
 n as (select item_id, count(*) nw, count(*) filter (q) nq, count(*) filter (a) na from ik group by item_id),
 d as (select row_number() over () uid, doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') w from documents),
 x as (select uid, doc_id, len(w) lw, unnest({_SH}) g, unnest(range(greatest(1, len(w) - {SHINGLE - 1}))) j from d where len(w) > 0),
 h as (select uid, doc_id, lw, j, ik.* from x join ik using (g)),
-p as (select distinct uid, doc_id, item_id, g, q, a, unnest([j // cell, j // cell - 1]) p, j, lw, cell from h, c),
+p as (select distinct uid, doc_id, item_id, g, q, a, unnest([j // cell, j // cell - 1]) p, j, lw, cell from h),
 v as (select uid, doc_id, item_id, p, count(distinct g) w, count(distinct g) filter (q) wq, count(distinct g) filter (a) wa from p
     where p >= 0 and p < greatest(1, (lw - 1) // cell) and j + {SHINGLE} <= greatest({SHINGLE}, least(lw, (p + 2) * cell)) group by all)
 select doc_id, item_id, max(w / nw) overlap, max(wq / nq) question_overlap, max(wa / na) answer_overlap
