@@ -5,13 +5,13 @@ window of two cells of words, and a cell is at least twice as long as the item,
 so an item lies whole in one passage even where as many foreign words stand
 between its parts. Items are put into classes by length, each with its own cell.
 
-Postings are cut into blocks of ``BLOCK``; the index holds the greatest weight of
-each term and of each block. A passage has a cursor for each of its terms. The
-pivot is the first item at which the terms' maxima together reach the threshold;
-if the maxima of the blocks there do not, the cursors skip to the next block
-boundary, otherwise the item is scored. Passages whose terms have no pivot at
-all are passed over for a whole text at once. Every item has its own threshold:
-its score against itself less the heaviest terms that a passage may lack and
+Blocks are runs of ``BLOCK`` items, the same for all terms; the index holds the
+greatest weight of each term in each block where it stands. Blocks in which the
+maxima of a passage's terms do not reach the threshold are skipped, for all
+passages of a text at once. In the others the passage has a cursor for each of
+its terms: the pivot is the first item at which the maxima of the terms up to it
+reach the threshold; it is scored once all of them stand there, and without a
+pivot the block is left. Every item has its own threshold: its score against itself less the heaviest terms that a passage may lack and
 still be verified. So everything that can be verified is retrieved. Verification
 counts the item's word shingles that the passage holds: over the whole item, in
 the question and in the answer (the second half of the item where it has no
@@ -44,8 +44,8 @@ from .common import read, shared_path, staged
 SHINGLE = 5
 OVERLAP, PART_OVERLAP = 0.8, 0.5
 K1, B = 1.2, 0.75
-#: Items of one index, postings of one block, least words of a cell.
-GROUP, BLOCK, CELL = 20_000, 64, 64
+#: Items of one index and of one block, least words of a cell.
+GROUP, BLOCK, CELL = 20_000, 4, 64
 #: Bytes of indexes that a task keeps; it reads further ones anew for each batch of texts.
 KEPT = 256 << 20
 _EPS = 1e-6
@@ -116,20 +116,15 @@ class Index:
         self._ready()
 
     def _ready(self) -> None:
-        """What follows from the arrays: numbers of terms, maxima of terms and of their blocks."""
+        """What follows from the arrays: numbers of terms, and the maxima of their blocks."""
         self.number = {t: k for k, t in enumerate(self.terms)}
-        self.most = np.maximum.reduceat(self.weight, self.first[:-1]) if len(self.item) else np.zeros(0)
-        self.lists: dict[int, tuple[list, list, list, list]] = {}
-
-    def postings(self, t: int) -> tuple[list, list, list, list]:
-        """Items and weights of a term, greatest weight and last item of each of its blocks."""
-        if t not in self.lists:
-            a, b = self.first[t], self.first[t + 1]
-            items, weights = self.item[a:b], self.weight[a:b]
-            cuts = np.arange(0, b - a, BLOCK)
-            last = items[np.minimum(cuts + BLOCK, b - a) - 1]
-            self.lists[t] = (items.tolist(), weights.tolist(), np.maximum.reduceat(weights, cuts).tolist(), last.tolist())
-        return self.lists[t]
+        term = np.repeat(np.arange(len(self.terms)), np.diff(self.first))
+        starts = np.flatnonzero(np.diff(term * (len(self.ids) + 1) + self.item // BLOCK, prepend=-1))
+        self.block = self.item[starts] // BLOCK
+        self.block_max = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
+        self.block_start = np.append(starts, len(self.item))
+        self.block_first = np.searchsorted(term[starts], np.arange(len(self.terms) + 1))
+        self.blocks = -(-len(self.ids) // BLOCK)
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -149,48 +144,51 @@ class Index:
         self._ready()
         return self
 
-    def retrieve(self, terms: list[int]) -> list[int]:
-        """Items that a passage of these distinct terms scores at one or more, by block-max WAND."""
-        cursors = [[0, self.postings(t), float(self.most[t])] for t in terms]
+    def _bounds(self, place: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place and block as one key, sorted; sum of the maxima there) of terms at places."""
+        n = self.block_first[term + 1] - self.block_first[term]
+        at = np.repeat(self.block_first[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        key, inverse = np.unique(np.repeat(place, n) * self.blocks + self.block[at], return_inverse=True)
+        return key, np.bincount(inverse, weights=self.block_max[at], minlength=len(key))
+
+    def _in_block(self, terms: np.ndarray, block: int) -> list[int]:
+        """Items of a block that a passage of these distinct terms scores at one or more."""
+        cursors = []
+        for t in terms.tolist():
+            a, b = self.block_first[t], self.block_first[t + 1]
+            k = a + np.searchsorted(self.block[a:b], block)
+            if k < b and self.block[k] == block:
+                own = slice(self.block_start[k], self.block_start[k + 1])
+                cursors.append([0, self.item[own].tolist(), self.weight[own].tolist(), float(self.block_max[k])])
         out = []
         while cursors:
-            cursors.sort(key=lambda c: c[1][0][c[0]])
+            cursors.sort(key=lambda c: c[1][c[0]])
             total, pivot = 0.0, None
-            for k, c in enumerate(cursors):
-                total += c[2]
+            for c in cursors:
+                total += c[3]
                 if total >= 1 - _EPS:
-                    pivot = c[1][0][c[0]]
+                    pivot = c[1][c[0]]
                     break
             if pivot is None:
-                return out
-            while k + 1 < len(cursors) and cursors[k + 1][1][0][cursors[k + 1][0]] == pivot:
-                k += 1
-            # greatest weights of the blocks that the pivot would lie in, and where the first of them ends
-            total, upto = 0.0, None
-            for at, (_, _, block_max, block_last), _ in cursors[: k + 1]:
-                b = bisect_left(block_last, pivot, at // BLOCK)
-                if b < len(block_last):
-                    total += block_max[b]
-                    upto = block_last[b] if upto is None else min(upto, block_last[b])
-            if total < 1 - _EPS:
-                to = pivot + 1 if upto is None else upto + 1
-                if k + 1 < len(cursors):
-                    to = min(to, cursors[k + 1][1][0][cursors[k + 1][0]])
-                to = max(to, pivot + 1)
-            else:
-                score = 0.0
-                for c in cursors[: k + 1]:
-                    c[0] = bisect_left(c[1][0], pivot, c[0])
-                    if c[0] < len(c[1][0]) and c[1][0][c[0]] == pivot:
-                        score += c[1][1][c[0]]
-                if score >= 1 - _EPS:
+                break
+            if cursors[0][1][cursors[0][0]] == pivot:
+                here = [c for c in cursors if c[1][c[0]] == pivot]
+                if sum(c[2][c[0]] for c in here) >= 1 - _EPS:
                     out.append(pivot)
                 to = pivot + 1
-            for c in cursors[: k + 1]:
-                c[0] = bisect_left(c[1][0], to, c[0])
-            cursors = [c for c in cursors if c[0] < len(c[1][0])]
+            else:
+                to = pivot
+            for c in cursors:
+                if c[1][c[0]] < to:
+                    c[0] = bisect_left(c[1], to, c[0])
+            cursors = [c for c in cursors if c[0] < len(c[1])]
         return out
 
+    def retrieve(self, terms: np.ndarray) -> list[int]:
+        """Items that a passage of these distinct terms scores at one or more."""
+        block, bound = self._bounds(np.zeros(len(terms), dtype=np.int64), terms)
+        return [k for b in block[bound >= 1 - _EPS].tolist() for k in self._in_block(terms, b)]
+
     def candidates(self, w: list[bytes]) -> list[tuple[int, int]]:
         """(first word of the passage, item) for all passages of a text that reach the item's threshold."""
         get, none = self.number.get, len(self.number)
@@ -198,17 +196,16 @@ class Index:
         at = np.flatnonzero(ids != none)
         if not len(at):
             return []
-        key = np.unique(at // self.cell * none + ids[at])
-        cell, term = np.divmod(key, none)
         # a passage is a cell and the next; one that begins in the last cell adds nothing unless it is the only one
-        last = max(1, (len(w) - 1) // self.cell)
-        bound = np.bincount(cell, weights=self.most[term], minlength=last + 1)
+        last, cell = max(1, (len(w) - 1) // self.cell), at // self.cell
+        own = np.unique(np.concatenate((cell[cell < last] * none + ids[at[cell < last]], (cell[cell > 0] - 1) * none + ids[at[cell > 0]])))
+        passage, term = np.divmod(own, none)
+        key, bound = self._bounds(passage, term)
         out = []
-        for p in np.flatnonzero(bound[:last] + bound[1 : last + 1] >= 1 - _EPS):
-            lo, hi = np.searchsorted(cell, [p, p + 2])
-            own = np.unique(term[lo:hi])
-            if self.most[own].sum() >= 1 - _EPS:  # terms of both cells count once
-                out += [(int(p) * self.cell, k) for k in self.retrieve(own.tolist())]
+        for x in key[bound >= 1 - _EPS].tolist():
+            p, b = divmod(x, self.blocks)
+            lo, hi = np.searchsorted(passage, [p, p + 1])
+            out += [(p * self.cell, k) for k in self._in_block(term[lo:hi], b)]
         return out
 
     def matches(self, text: bytes | None) -> list[dict]:

@@ -61,7 +61,7 @@ def test_wand_skips_and_loses_nothing():
     found = 0
     for _ in range(60):
         a = r.randrange(50_000)
-        own = sorted({index.number[x.encode()] for x in w[a : a + r.randrange(5, 120)] if x.encode() in index.number})
+        own = np.array(sorted({index.number[x.encode()] for x in w[a : a + r.randrange(5, 120)] if x.encode() in index.number}), dtype=np.int64)
         score = np.zeros(len(index.ids))
         for t in own:
             score[index.item[index.first[t] : index.first[t + 1]]] += index.weight[index.first[t] : index.first[t + 1]]
