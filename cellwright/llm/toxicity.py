@@ -37,8 +37,8 @@ SEEDS = ("clown", "disgusting", "dumb", "idiot", "imbecile", "jerk", "loser", "m
 SAMPLE = 10_000
 #: Rows of the toxic class that a learned entry needs, at least, and its least log odds.
 MIN_ROWS, MIN_ODDS = 4, 3.0
-#: Entries at most, best first; lengths of stems; letters from which one edit is allowed.
-ENTRIES, STEMS, MIN_FUZZY = 1000, range(4, 9), 5
+#: Lengths of stems; letters from which one edit is allowed.
+STEMS, MIN_FUZZY = range(4, 9), 5
 #: Bytes that are read at once, whatever the batch or the length of a text.
 SLICE = 1 << 21
 #: Bytes on each side of a hit that its window holds.
@@ -245,7 +245,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> D
     for kind in (0, 1):
         part = marked.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         picked = part if picked is None else picked.union(part)
-    return docs.where(may).select("doc_id", F.coalesce("text", F.lit("")).alias("body")).join(F.broadcast(picked), "doc_id").select("body", "toxic")
+    found = docs.where(may).select("doc_id", F.coalesce("text", F.lit("")).alias("body")).join(F.broadcast(picked), "doc_id")
+    # ids that repeat count once, with one of their texts and their greater label
+    return found.groupBy("doc_id").agg(F.min("body").alias("body"), F.max("toxic").alias("toxic")).select("body", "toxic")
 
 
 def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, bool, float]]:
@@ -269,18 +271,23 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[s
     odds = F.log(((F.col("bad") + 0.1) / (n_toxic + 0.2)) / ((F.col("good") + 0.1) / (n_clean + 0.2)))
     # by chance a word of few rows falls into toxic rows alone: its share must exceed a cautious bound
     telling = counts.withColumn("odds", odds).where((F.col("bad") >= MIN_ROWS) & (F.col("odds") >= MIN_ODDS) & (F.col("bad") >= 0.8 * (F.col("bad") + F.col("good"))))
-    rows = telling.orderBy(F.desc(F.col("bad") * F.col("odds")), "term", "stem").limit(8 * ENTRIES).collect()
+    # bounded by the sample: an entry has MIN_ROWS of its rows
+    rows = telling.orderBy(F.desc(F.col("bad") * F.col("odds")), "term", "stem").collect()
     stems_, out = {}, {s: (s, False, 4.0) for s in SEEDS}
-    single = {r["term"]: r["bad"] for r in rows if not r["stem"]}
+    single: dict[str, int] = {}  # most rows of a word with this beginning
+    for r in rows:
+        if not r["stem"]:
+            for k in STEMS:
+                single[r["term"][:k]] = max(single.get(r["term"][:k], 0), r["bad"])
     for r in sorted((r for r in rows if r["stem"]), key=lambda r: len(r["term"])):
         t = r["term"]
         inside = any(t[:k] in stems_ for k in STEMS if k < len(t))
-        if not inside and r["bad"] > 1.2 * max([n for w, n in single.items() if w.startswith(t)], default=0):
+        if not inside and r["bad"] > 1.2 * single.get(t, 0):
             stems_[t] = float(r["odds"])
     for r in rows:
-        if not r["stem"] and not any(r["term"][:k] in stems_ for k in STEMS) and len(out) < ENTRIES:
+        if not r["stem"] and not any(r["term"][:k] in stems_ for k in STEMS):
             out[r["term"]] = (r["term"], False, float(r["odds"]))
-    return [*out.values(), *((t, True, w) for t, w in list(stems_.items())[:ENTRIES])]
+    return [*out.values(), *((t, True, w) for t, w in stems_.items())]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[Automaton, np.ndarray]:

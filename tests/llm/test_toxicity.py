@@ -71,3 +71,10 @@ def test_edges(spark):
     assert X.drop_toxic(docs, model).columns == docs.columns and X.drop_toxic(docs, model).count() == 4
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 1)], "doc_id long, toxic int")
     assert X.score(docs.limit(0), X.train(docs, labels)).count() == 0
+
+
+def test_repeated_ids_count_once(spark):
+    docs = spark.createDataFrame([(i % 7, f"text {i}") for i in range(70)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 7, i % 2) for i in range(28)], "doc_id long, toxic int")
+    got = X.labelled_sample(docs, labels).collect()
+    assert len(got) == len({r["body"] for r in got}) <= 7
