@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,8 @@ from .common import read
 #: Lines of a window, its least weight, least share of the heaviest stretch, weight of a character in a landmark.
 LINES, BOUND, SHARE, RAISE = 3, 80, 0.2, 80
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+UNQUOTED = re.compile(r"[^>\"']*")
 NAMED = re.compile(r"""\b(class|id|role|aria-hidden|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements whose content is no text, read over to their end tag.
 OPAQUE = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "object", "canvas", "head", "title")}
@@ -76,26 +78,75 @@ def _is_boiler(tag: str, attrs: str, in_landmark: bool) -> bool:
     return False
 
 
+class _Tags:
+    """Tags of a page, by one pass: what is known to be missing further on is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes, self.absent = page, page.rfind(">"), True, set()
+
+    def _end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag; once quotes fail to close, the next one ends every tag."""
+        first = self.page.find(">", at)
+        while self.quotes:
+            at = UNQUOTED.match(self.page, at).end()
+            if at < len(self.page) and self.page[at] == ">":
+                return at
+            at = self.page.find(self.page[at], at + 1) + 1 if at < len(self.page) else 0
+            self.quotes = at > 0
+        return first
+
+    def content_end(self, tag: str, at: int) -> int | None:
+        """Place behind the end tag of an element whose content is no text."""
+        m = None if tag in self.absent else OPAQUE[tag].search(self.page, at)
+        if m is None:
+            self.absent.add(tag)
+        return m.end() if m else None
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next tag; comments and declarations have no name."""
+        page = self.page
+        while 0 <= (at := page.find("<", at)) <= self.last:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(page), "", "", ""
+            if page.startswith(("<!", "<?"), at):
+                return at, page.find(">", at) + 1, "", "", ""
+            if m := NAME.match(page, at):
+                end = self._end(m.end())
+                return at, end + 1, m[1], m[2].lower(), page[m.end() : end]
+            at += 1
+        return None
+
+
 class _Part:
-    """An open element with what encloses it: boilerplate around its landmark and inside it, outermost landmark, container."""
+    """An open element: what encloses it, whether it is boilerplate by itself, outermost landmark, container."""
 
-    __slots__ = ("tag", "ended", "around", "within", "box", "container")
+    __slots__ = ("tag", "ended", "outer", "own", "box", "container", "within", "told", "around")
 
     def __init__(self, tag: str, outer: _Part | None):
-        self.tag, self.ended = tag, False
-        self.around, self.within, self.box, self.container = (outer.around, outer.within, outer.box, outer.container) if outer else ((), (), 0, 0)
+        self.tag, self.ended, self.outer, self.own = tag, False, outer, False
+        self.box, self.container = (outer.box, outer.container) if outer else (0, 0)
 
-    def is_boiler(self) -> bool:
-        # around an article, a part never closed is one that ended before
-        return bool(self.within) or any(p.ended or p.tag in ("aside", "footer", "form") for p in self.around)
+    def settle(self) -> None:
+        """Boilerplate inside the nearest landmark, and around it; called for the outer element first.
+
+        Around an article, a part never closed is one that ended before.
+        """
+        above, mark = self.outer, self.tag in LANDMARK
+        self.within = self.own or bool(above and not mark and above.within)
+        self.told = self.own and (self.ended or self.tag in ("aside", "footer", "form")) or bool(above and not mark and above.told)
+        self.around = bool(above and (above.around or mark and above.told))
 
 
 def page_lines(page: str) -> list[tuple[str, int, int, int]]:
     """(text, weight outside links, outermost landmark, container) of each block; weight -1 marks boilerplate."""
     out: list[tuple[str, int, _Part | None]] = []
     stack: list[_Part] = []
+    every: list[_Part] = []
+    opened: Counter = Counter()
     text: list[str] = []
-    linked = links = parts = 0
+    linked = links = 0
+    tags = _Tags(page)
 
     def close_line() -> None:
         nonlocal linked
@@ -111,28 +162,33 @@ def page_lines(page: str) -> list[tuple[str, int, int, int]]:
         if links:
             linked += len(piece)
 
+    def leave() -> _Part:
+        last = stack.pop()
+        opened[last.tag] -= 1
+        return last
+
     at = 0
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    while found := tags.next(at):
+        start, end, slash, tag, attrs = found
+        if start > at:
+            add(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
         if tag in OPAQUE:
-            if not m[1] and not m[3].endswith("/"):
-                end = OPAQUE[tag].search(page, at)
-                at = end.end() if end else (at if tag in ("head", "title") else len(page))
+            if not slash and not attrs.endswith("/"):
+                end = tags.content_end(tag, at)
+                at = end or (at if tag in ("head", "title") else len(page))
             continue
         if tag in ("br", "td", "th"):
             text.append(" ")
         if tag == "a":
-            links = 0 if m[1] else 1
+            links = 0 if slash else 1
         if tag in BLOCK or tag in BOILER:
-            if m[1]:
-                if any(s.tag == tag for s in stack):
+            if slash:
+                if opened[tag]:
                     close_line()
-                    while (last := stack.pop()).tag != tag:
+                    while (last := leave()).tag != tag:
                         pass
                     last.ended = True
                     links = 0
@@ -143,25 +199,26 @@ def page_lines(page: str) -> list[tuple[str, int, int, int]]:
             links = 0
             if tag in VOID:
                 continue
-            if tag in ("p", "li", "dt", "dd") and stack and stack[-1].tag == tag:
-                stack.pop()
-            elif stack and stack[-1].tag == "p":
-                stack.pop()
-            if m[3].endswith("/"):
+            if stack and (stack[-1].tag == "p" or tag in ("li", "dt", "dd") and stack[-1].tag == tag):
+                leave()
+            if attrs.endswith("/"):
                 continue
             part = _Part(tag, stack[-1] if stack else None)
-            parts += 1
+            every.append(part)
+            opened[tag] += 1
             if tag in LANDMARK:
-                part.around, part.within, part.box = part.around + part.within, (), part.box or parts
-            if _is_boiler(tag, m[3], part.box > 0):
-                part.within += (part,)
+                part.box = part.box or len(every)
+            part.own = _is_boiler(tag, attrs, part.box > 0)
             if tag in CONTAINER:
-                part.container = parts
+                part.container = len(every)
             stack.append(part)
-    if at < len(page):
-        add(re.sub(r"<[a-zA-Z/!][^>]*$", "", page[at:]))
+    rest = page[at:]
+    broken = re.search(r"<[a-zA-Z/!]", rest)  # a tag that never ends
+    add(rest[: broken.start()] if broken else rest)
     close_line()
-    return [(t, -1 if p and p.is_boiler() else w, p.box if p else 0, (p.box or p.container) if p else 0) for t, w, p in out]
+    for part in every:
+        part.settle()
+    return [(t, -1 if p and (p.within or p.around) else w, p.box if p else 0, (p.box or p.container) if p else 0) for t, w, p in out]
 
 
 def main_text(page: str | None) -> str:
@@ -200,7 +257,8 @@ def main_text(page: str | None) -> str:
     for a, b, n in runs:
         if n >= SHARE * most:
             final[a:b] = True
-            homes |= {c for c in np.unique(container[a:b]) if c and value[a:b][container[a:b] == c].sum() >= BOUND}
+            own, place = np.unique(container[a:b], return_inverse=True)
+            homes |= {c for c in own[np.bincount(place, weights=value[a:b]) >= BOUND].tolist() if c}
     # short stretches beside an advert or the like belong to the text of their container
     for a, b, _ in stretches(usable & ~final & np.isin(container, list(homes))):
         final[a:b] = True

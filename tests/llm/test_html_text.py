@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from cellwright.llm import html_text as H
 
@@ -69,3 +70,23 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, None, "t"), (1, "<article>a", "t"), (1, "<article>a", "t")], "page_id long, html string, text string")
     assert sorted(r["text"] for r in H.extract(df).collect()) == ["", "a", "a"]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_broken_pages_take_seconds():
+    text = "<p>" + "text " * 20 + "</p>"
+    for piece in ("<a ", '<p a="', "<p a='\">", "<!", "<div>", "<nav>", "<title>", "</section>", "<div></p>", "<", "<b \"'>"):
+        page = text + piece * (2_000_000 // len(piece))
+        for end in ("", ">"):
+            start = time.time()
+            H.main_text(page + end)
+            assert time.time() - start < 30, piece
+    start = time.time()
+    assert H.main_text("<div>" * 200_000 + text + "</section>" * 200_000) == ("text " * 20).strip()
+    assert time.time() - start < 30
+
+
+def test_windows_decide_without_landmarks(spark):
+    pages = [r["html"] or "" for r in H.read(spark, "/root/testdata/sf0.01", "pages").collect()]
+    plain = [re.sub(r"<(/?)(article|main)\b", r"<\1div", p) for p in pages]
+    same = sum(H.main_text(a) == H.main_text(b) for a, b in zip(pages, plain))
+    assert same >= 0.98 * len(pages)
