@@ -4,10 +4,16 @@ Each text gives a few counts, all by DataFrame functions. Ratios of them go
 into logarithmic-bin sketches per language and source: a sketch is the table of
 its bins' counts, so two sketches merge by adding, a bin's value is exact to
 ``ALPHA``, and partial aggregation keeps a hot source from meeting in one task.
-Sketches of a language, and of all rows, are sums of the finer ones. A group
-with too few rows takes the thresholds of its language, then of all rows. The
-fence of a ratio lies ``FENCE`` spreads beyond the quartiles; ``FLOOR`` is the
-least spread, where most texts of a group share one value.
+Sketches of a language, and of all rows, are sums of the finer ones. Each group
+adds ``PRIOR`` rows' worth of its language's sketch and as many of that of all
+rows to its own, so a small group leans on them and a large one stands for
+itself, without a size at which this changes. Rows that fail the base rule are
+out already and tell nothing of the others; they are in no sketch.
+
+The length of words is fenced on both sides, ``FENCE`` quartile distances beyond
+the quartiles. Shares, which are zero for most texts, may reach ``MULTIPLE`` times
+the quantile of the group that ``UPPER`` names; ``GUARD`` only keeps a lone
+symbol from deciding where that quantile is zero.
 
 Defined cases: null text counts as empty (no words, base rule fails); null
 language or source is a group of its own; repeated rows are counted and kept
@@ -17,22 +23,26 @@ Equality of lines and of word windows within a text is that of 64-bit hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, read, staged, words
+from .common import lookup, read, staged, words
 
 SPAN = 8
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT = 20, 30
-#: Relative accuracy of a bin; rows a group needs for thresholds of its own.
-ALPHA, MIN_ROWS = 0.01, 50
+#: Relative accuracy of a bin; rows that a group takes from its language, and from all.
+ALPHA, PRIOR = 0.01, 20
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
 #: Bin of the value zero.
 ZERO = -100_000
-#: Quartile distances beyond the quartiles, and the least distance for each ratio.
-FENCE = 3.0
-FLOOR = {"mean_word": 0.4, "symbol_share": 0.02, "dup_line_share": 0.1, "repeat_share": 0.09}
+#: Quartile distances beyond the quartiles.
+FENCE = 4.0
+#: Quantile of each share, how many times it passes, and what passes in any group.
+UPPER = {"symbol_share": 0.8, "dup_line_share": 0.99, "repeat_share": 0.99}
+MULTIPLE, GUARD = 1.5, 0.01
+#: Sums of parts may differ by their order; quantiles are taken with this margin of a row.
+MARGIN = 1e-6
 #: Ratios that are also fenced from below.
 BOTH_SIDES = ("mean_word",)
 
@@ -99,45 +109,66 @@ def merge(bins: DataFrame, keys: list[str]) -> DataFrame:
     return bins.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
 
 
+def blended(fine: DataFrame) -> DataFrame:
+    """Sketches of each (lang, source) with ``PRIOR`` rows of its language's and of all added: lang, source, metric, bin, n."""
+    parts = []
+    groups = fine.select("lang", "source").distinct()
+    for keys in (["lang"], []):
+        coarse = merge(fine, keys)
+        size = coarse.groupBy(*keys, "metric").agg(F.sum("n").alias("rows")).withColumnsRenamed({k: f"of_{k}" for k in keys}).withColumnRenamed("metric", "of_metric")
+        same = F.col("metric") == F.col("of_metric")
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col(f"of_{k}"))
+        scaled = coarse.join(size, same).select(*[F.col(k).alias(f"of_{k}") for k in keys], "metric", "bin", (PRIOR * F.col("n") / F.col("rows")).alias("n"))
+        own = F.lit(True)
+        for k in keys:
+            own &= F.col(k).eqNullSafe(F.col(f"of_{k}"))
+        parts.append((groups.join(scaled, own) if keys else groups.crossJoin(scaled)).select("lang", "source", "metric", "bin", "n"))
+    both = fine.select("lang", "source", "metric", "bin", F.col("n").cast("double").alias("n"))
+    for p in parts:
+        both = both.unionAll(p)
+    return both.groupBy("lang", "source", "metric", "bin").agg(F.sum("n").alias("n"))
+
+
 def fences(bins: DataFrame, keys: list[str]) -> DataFrame:
     """Per group and metric: its rows, and the least and greatest value that pass."""
-    from pyspark.sql import Window
-
     own = Window.partitionBy(*keys, "metric")
     run = bins.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("rows", F.sum("n").over(own))
     value = F.when(F.col("bin") == ZERO, F.lit(0.0)).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bin")) / (GAMMA + 1))
-    quantile = {q: F.min(F.when(F.col("upto") > F.floor(q * (F.col("rows") - 1)), value)) for q in (0.25, 0.75)}
-    got = run.groupBy(*keys, "metric").agg(F.max("rows").alias("rows"), quantile[0.25].alias("q1"), quantile[0.75].alias("q3"))
-    floors = F.create_map(*[F.lit(x) for p in FLOOR.items() for x in p])[F.col("metric")]
-    reach = FENCE * F.greatest(F.col("q3") - F.col("q1"), floors)
-    return got.select(*keys, "metric", "rows", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
-
-
-def thresholds(df: DataFrame, lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row per (lang, source): low_* and high_* of each ratio, from the finest group with enough rows."""
-    fine = staged(sketches(df.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *{c for r in RATIOS.values() for c in r}), ["lang", "source"]), "sketch")
-    by_lang = fences(merge(fine, ["lang"]), ["lang"]).select(F.col("lang").alias("l"), F.col("metric").alias("m"), F.struct("rows", "low", "high").alias("of_lang"))
-    of_all = fences(merge(fine, []), []).select(F.col("metric").alias("k"), F.struct("rows", "low", "high").alias("of_all"))
-    own = fences(fine, ["lang", "source"]).withColumn("own", F.struct("rows", "low", "high"))
-    each = own.join(by_lang, own["lang"].eqNullSafe(by_lang["l"]) & (own["metric"] == by_lang["m"])).join(of_all, own["metric"] == of_all["k"])
-    best = F.when(F.col("own.rows") >= min_rows, F.col("own")).when(F.col("of_lang.rows") >= min_rows, F.col("of_lang")).otherwise(F.col("of_all"))
-    each = each.select("lang", "source", "metric", best.alias("t"))
-    wide = [F.max(F.when(F.col("metric") == m, F.col("t")[side])).alias(f"{side}_{m}") for m in RATIOS for side in ("low", "high")]
+
+    def quantile(q: Column | float) -> Column:
+        return F.min(F.when(F.col("upto") >= q * F.col("rows") - MARGIN, value))
+
+    upper = F.create_map(*[F.lit(x) for p in UPPER.items() for x in p])[F.col("metric")]
+    got = run.groupBy(*keys, "metric").agg(F.max("rows").alias("rows"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"), quantile(upper).alias("top"))
+    reach = FENCE * (F.col("q3") - F.col("q1"))
+    high = F.when(F.col("metric").isin(*UPPER), MULTIPLE * F.col("top") + GUARD).otherwise(F.col("q3") + reach)
+    return got.select(*keys, "metric", "rows", (F.col("q1") - reach).alias("low"), high.alias("high"))
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
+
+
+def thresholds(df: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """One row per (lang, source) with a row that passes the base rule: low_* and high_* of each ratio."""
+    rows = df.where(~base_failed()).select(F.col(lang).alias("lang"), F.col(source).alias("source"), *{c for r in RATIOS.values() for c in r})
+    fine = staged(sketches(rows, ["lang", "source"]), "sketch")
+    each = fences(blended(fine), ["lang", "source"])
+    wide = [F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{side}_{m}") for m in RATIOS for side in ("low", "high")]
     return each.groupBy("lang", "source").agg(*wide)
 
 
 def judged(df: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Add base_failed and kept, joining each row to its group's thresholds."""
     small = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
-    small = F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-    met = df.join(small, df[lang].eqNullSafe(small["__lang"]) & df[source].eqNullSafe(small["__source"]), "left")
+    met = lookup(df, F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source")), small=small)
     ok = F.lit(True)
     for m, r in RATIOS.items():
         ok &= _share(*r) <= F.col(f"high_{m}")
         if m in BOTH_SIDES:
             ok &= _share(*r) >= F.col(f"low_{m}")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    return met.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(ok, F.lit(True))).drop(*[c for c in small.columns])
+    return met.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(ok, F.lit(True))).drop(*[c for c in small.columns])
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -155,21 +186,10 @@ def op2_quality(spark, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     share = {m: f"(case when {b} > 0 then {a} / {b} else 0.0 end)" for m, (a, b) in RATIOS.items()}
     lines = "list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))"
-    bins = " union all ".join(f"select uid, lang, source, '{m}' metric, {s} x from c" for m, s in share.items())
-    floors = "case metric " + " ".join(f"when '{m}' then {v}" for m, v in FLOOR.items()) + " end"
-
-    def fence(keys: str) -> str:
-        by = f"{keys}, metric" if keys else "metric"
-        return f"""select {by}, max(rows_) n_rows, min(case when upto > floor(0.25 * (rows_ - 1)) then v end) q1, min(case when upto > floor(0.75 * (rows_ - 1)) then v end) q3
-            from (select {by}, bin, case when bin = {ZERO} then 0.0 else 2 * pow({GAMMA!r}, bin) / ({GAMMA!r} + 1) end v,
-                sum(n) over (partition by {by} order by bin) upto, sum(n) over (partition by {by}) rows_
-                from (select {by}, bin, sum(n) n from sk group by {by}, bin)) group by {by}"""
-
-    side = {"low": "q1 -", "high": "q3 +"}
-    picked = ", ".join(
-        f"max(case when o.metric = '{m}' then case when o.n_rows >= {MIN_ROWS} then o.{s} when l.n_rows >= {MIN_ROWS} then l.{s} else a.{s} end end) {s}_{m}" for m in RATIOS for s in side
-    )
-    lim = {k: f"(select *, {', '.join(f'{e} {FENCE} * greatest(q3 - q1, {floors}) {s}' for s, e in side.items())} from ({fence(q)}))" for k, q in (("o", "lang, source"), ("l", "lang"), ("a", ""))}
+    failed = f"(n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words)"
+    bins = " union all ".join(f"select uid, lang, source, '{m}' metric, {s} x from c where not {failed}" for m, s in share.items())
+    upper = "case metric " + " ".join(f"when '{m}' then {v}" for m, v in UPPER.items()) + " end"
+    picked = ", ".join(f"max(case when metric = '{m}' then {s} end) {s}_{m}" for m in RATIOS for s in ("low", "high"))
     ok = " and ".join([f"{share[m]} <= high_{m}" for m in RATIOS] + [f"{share[m]} >= low_{m}" for m in BOTH_SIDES])
     return f"""
     with d as (select row_number() over () uid, doc_id, lang, source, coalesce(text, '') t from documents),
@@ -180,9 +200,19 @@ def _oracle() -> str:
     c as (select uid, doc_id, lang, source, len(ws)::bigint n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::bigint word_chars,
         length(regexp_replace(t, '[^{SYMBOLS}]+', '', 'g'))::bigint n_symbols, len(ls)::bigint n_lines, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines,
         coalesce(n, 0)::bigint n_repeat_words from s left join rep using (uid)),
-    sk as (select lang, source, metric, case when x > 0 then ceil(ln(x) / ln({GAMMA!r}))::int else {ZERO} end bin, count(*) n from ({bins}) group by all),
-    lim as (select o.lang, o.source, {picked} from {lim['o']} o join {lim['l']} l on o.lang is not distinct from l.lang and o.metric = l.metric join {lim['a']} a on o.metric = a.metric group by o.lang, o.source),
-    j as (select c.*, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words base_failed, {ok} ok from c left join lim on c.lang is not distinct from lim.lang and c.source is not distinct from lim.source)
+    sk as (select lang, source, metric, case when x > 0 then ceil(ln(x) / ln({GAMMA!r}))::int else {ZERO} end bin, count(*)::double n from ({bins}) group by all),
+    g as (select distinct lang, source from sk),
+    ofl as (select lang, metric, bin, {PRIOR} * sum(n) / sum(sum(n)) over (partition by lang, metric) n from sk group by lang, metric, bin),
+    ofa as (select metric, bin, {PRIOR} * sum(n) / sum(sum(n)) over (partition by metric) n from sk group by metric, bin),
+    bl as (select lang, source, metric, bin, sum(n) n from (select lang, source, metric, bin, n from sk
+        union all select g.lang, source, metric, bin, n from g join ofl on g.lang is not distinct from ofl.lang union all select lang, source, metric, bin, n from g, ofa) group by all),
+    ru as (select *, case when bin = {ZERO} then 0.0 else 2 * pow({GAMMA!r}, bin) / ({GAMMA!r} + 1) end v, {upper} up,
+        sum(n) over (partition by lang, source, metric order by bin) upto, sum(n) over (partition by lang, source, metric) rows_ from bl),
+    fe as (select lang, source, metric, min(case when upto >= 0.25 * rows_ - {MARGIN!r} then v end) q1, min(case when upto >= 0.75 * rows_ - {MARGIN!r} then v end) q3,
+        min(case when upto >= up * rows_ - {MARGIN!r} then v end) top from ru group by all),
+    li as (select lang, source, metric, q1 - {FENCE} * (q3 - q1) low, case when metric in ({", ".join(f"'{m}'" for m in UPPER)}) then {MULTIPLE} * top + {GUARD} else q3 + {FENCE} * (q3 - q1) end high from fe),
+    lim as (select lang, source, {picked} from li group by lang, source),
+    j as (select c.*, {failed} base_failed, {ok} ok from c left join lim on c.lang is not distinct from lim.lang and c.source is not distinct from lim.source)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(ok, true) kept from j"""
 
 

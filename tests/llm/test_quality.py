@@ -54,3 +54,28 @@ def test_edges(spark):
     got = Q.quality_rules(df).collect()
     assert len(got) == 3 and all(r["base_failed"] for r in got)
     assert Q.quality_rules(df.limit(0)).count() == 0
+
+
+def test_thresholds_follow_their_group(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(4000):
+        source, wide = ("wide", True) if i % 2 else ("narrow", False)
+        n = r.randrange(100, 200)
+        many = r.random() < 0.4
+        chars = int(n * r.uniform(*((3, 9) if wide else (4.8, 5.2))))
+        rows.append(("en", source, n, chars, r.randrange(60) if wide and many else 0, 20, r.randrange(10) if wide and many else 0, r.randrange(30) if wide and many else 0))
+    rows += [("en", "tiny", 100, 500, 0, 20, 0, 0)]
+    df = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
+    got = {x["source"]: x for x in Q.thresholds(df).collect()}
+    for m in Q.RATIOS:
+        assert got["wide"][f"high_{m}"] > 1.2 * got["narrow"][f"high_{m}"]
+        assert got["narrow"][f"high_{m}"] <= got["tiny"][f"high_{m}"] <= 1.05 * got["wide"][f"high_{m}"]
+
+
+def test_long_text_and_clashing_columns(spark):
+    t = "word " * 400_000 + "\n" * 1000 + "$" * 1000
+    rows = [(i, t if i == 0 else f"some words of text {i} " * 3, "en", "s", 1, 2, 3) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int, rows int, metric int")
+    got = {r["doc_id"]: r for r in Q.quality_rules(df).collect()}
+    assert len(got) == 5 and got[0]["n_words"] == 400_001 and got[0]["n_symbols"] == 1000 and got[0]["base_failed"]
