@@ -1,18 +1,22 @@
-"""LM scoring with a Katz backoff model of word bigrams.
+"""LM scoring with a Katz backoff model of word trigrams.
 
 Counts are discounted by Good-Turing up to ``KEEP`` (Katz's formula), and what
 the discount leaves of a history is given to the words unseen after it in
-proportion to their unigram probability, so every history sums to one. Unigrams
-are discounted in the same way; what that leaves is the probability of a word
-outside the vocabulary. A token is scored by the bigram if it was seen, else
-recursively by the backoff weight of its history times the unigram.
+proportion to their probability after the shorter history, so every history sums
+to one. Unigrams are discounted in the same way; what that leaves is the
+probability of a word outside the vocabulary. A token is scored by the trigram
+if it was seen, else by the backoff weight of its history (one, if that was
+never seen) times the score by the bigram, and so on down to the unigram.
 
 Work is cut so that no table of the whole vocabulary meets in one task. Texts
 are written once as chunks of local word numbers. A chunk's own words are joined
-to the vocabulary table and come back as that chunk's dictionary. Bigrams are
-packed per chunk and bucket of their history, counted per bucket, and stored as
-a partitioned table beside that of the backoff weights. Scoring sends each
-chunk's bigrams to the bucket's tables and gets one sum per text back.
+to the vocabulary table and come back as that chunk's dictionary. Trigrams are
+counted per chunk, packed by bucket of the last word before, added up per bucket
+and stored as partitioned tables beside that of the backoff weights: bigrams,
+trigrams and the histories of both that share this word lie in one bucket. So
+scoring sends each chunk's distinct trigrams there once, with the texts they
+stand in, and gets one sum per text back. Buckets of frequent words answer in
+several tasks, each with a copy of the tables.
 
 Defined cases: null text counts as empty and is the end token alone; a text
 without id is learned from (its hash is not 2) and keeps a null id; repeated
@@ -30,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, read, staged
+from .common import discard, lookup, read, staged
 from .token_shards import _shuffles_removed
 
 #: Counts up to this are discounted.
@@ -39,6 +43,8 @@ KEEP = 5
 CHUNK, BUCKET, MIN_BUCKETS = 4_000_000, 2_000_000, 16
 #: From this many buckets on, buckets grow to this many tokens before there are more of them.
 MANY_BUCKETS, LARGE_BUCKET = 256, 32_000_000
+#: Trigrams of a bucket that are held before equal ones are added up.
+HELD = 4_000_000
 #: Word numbers: outside the vocabulary, begin of a text (a history only); words follow.
 UNKNOWN, BEGIN, FIRST = 0, 1, 2
 
@@ -132,7 +138,7 @@ def coded(chunk: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def _tokens(row) -> tuple[np.ndarray, ...]:
-    """History, word, count of the word and text of each token of a chunk."""
+    """Word before last, last word, word, count of the word and text of each token of a chunk."""
     codes, = unpack(row.codes)
     lens = np.frombuffer(row.lens, dtype="<i4")
     ids, count = np.zeros((2, int(codes.max()) + 1), dtype=np.int64)
@@ -140,10 +146,24 @@ def _tokens(row) -> tuple[np.ndarray, ...]:
         i, number, c = unpack(row.own)
         ids[i], count[i] = number, c
     word = ids[codes]
-    history = np.empty_like(word)
-    history[1:] = word[:-1]
-    history[np.cumsum(lens) - lens] = BEGIN
-    return history, word, count[codes], np.repeat(np.arange(len(lens)), lens)
+    starts = np.cumsum(lens) - lens
+    last = np.concatenate(([BEGIN], word[:-1]))
+    last[starts] = BEGIN
+    before = np.concatenate(([BEGIN], last[:-1]))
+    before[starts] = BEGIN
+    return before, last, word, count[codes], np.repeat(np.arange(len(lens)), lens)
+
+
+def _grouped(h2: np.ndarray, h1: np.ndarray, w: np.ndarray, buckets: int):
+    """Distinct bigrams and trigrams, bucket by bucket of the last word before.
+
+    Returns the first token of each bigram, the first token and the bigram of
+    each trigram, and the trigram of each token.
+    """
+    top = int(h1.max()) // buckets + 1 if len(h1) else 1
+    _, pair_first, pair = np.unique(((h1 % buckets * top + h1 // buckets) << 32) | w, return_index=True, return_inverse=True)
+    _, first, gram = np.unique((pair << 32) | h2, return_index=True, return_inverse=True)
+    return pair_first, first, pair[first], gram
 
 
 def _cut(bucket: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
@@ -154,31 +174,57 @@ def _cut(bucket: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
             yield b, slice(edges[b], edges[b + 1])
 
 
-def _pairs(batches, buckets: int):
-    """Per chunk and bucket: training bigrams with their counts and that of their word."""
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=0)
+
+
+def _counted(batches, buckets: int):
+    """Per chunk and bucket: training bigrams with the count of their word, and trigrams with their counts."""
     for pdf in batches:
         for row in pdf.itertuples():
-            h, w, c1, doc = _tokens(row)
+            h2, h1, w, c1, doc = _tokens(row)
             train = ~np.array(row.held, dtype=bool)[doc]
-            h, w, c1 = h[train], w[train], c1[train]
-            _, first, n = np.unique((h << 32) | w, return_index=True, return_counts=True)
-            order = np.argsort(h[first] % buckets, kind="stable")
-            first, n = first[order], n[order]
-            out = [(b, pack(np.diff(h[first[s]] // buckets, prepend=0), w[first[s]], n[s], c1[first[s]])) for b, s in _cut(h[first] % buckets, buckets)]
+            h2, h1, w, c1 = h2[train], h1[train], w[train], c1[train]
+            pf, first, pair, gram = _grouped(h2, h1, w, buckets)
+            n = np.bincount(gram, minlength=len(first))
+            pairs = dict(_cut(h1[pf] % buckets, buckets))
+            out = []
+            for b, t in _cut(h1[first] % buckets, buckets):
+                p = pairs[b]
+                out.append((b, pack(_steps(h1[pf[p]] // buckets), w[pf[p]], c1[pf[p]], _steps(pair[t] - p.start), h2[first[t]], n[t])))
             if out:
                 yield pd.DataFrame(out, columns=["bucket", "blob"])
 
 
+def _summed_up(rows: list[np.ndarray]) -> np.ndarray:
+    """Columns h1, h2, w, count of w, n with the n of equal trigrams added, sorted."""
+    x = np.concatenate(rows, axis=1)
+    x = x[:, np.lexsort((x[2], x[1], x[0]))]
+    new = np.ones(x.shape[1], dtype=bool)
+    new[1:] = (x[:3, 1:] != x[:3, :-1]).any(axis=0)
+    first = np.flatnonzero(new)
+    out = x[:, first]
+    out[4] = np.add.reduceat(x[4], first)
+    return out
+
+
 def _grams(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The bucket's bigram table and its counts of counts."""
-    parts = [unpack(b) for b in pdf["blob"]]
-    h, w, n, c1 = (np.concatenate([np.cumsum(p[0]) if k == 0 else p[k] for p in parts]) for k in range(4))
-    order = np.lexsort((w, h))
-    h, w, n, c1 = h[order], w[order], n[order], c1[order]
-    first = np.flatnonzero(np.diff((h << 32) | w, prepend=-1))
-    c = np.add.reduceat(n, first)
-    times = np.bincount(np.minimum(c, KEEP + 2), minlength=KEEP + 3)[1 : KEEP + 2]
-    return pd.DataFrame({"bucket": [key[0]], "blob": [pack(np.diff(h[first], prepend=0), w[first], c, c1[first])], "times": [times.tolist()]})
+    """The bucket's tables of bigrams and trigrams, and the counts of counts of both."""
+    held, size = [], 0
+    for blob in pdf["blob"]:
+        h1, w, c1, pair, h2, n = unpack(blob)
+        h1, pair = np.cumsum(h1), np.cumsum(pair)
+        held.append(np.stack((h1[pair], h2, w[pair], c1[pair], n)))
+        size += len(n)
+        if size > HELD:
+            held = [_summed_up(held)]
+            size = 0
+    h1, h2, w, c1, n = _summed_up(held)
+    _, first, place = np.unique((h1 << 32) | w, return_index=True, return_inverse=True)
+    c = np.bincount(place, weights=n).astype(np.int64)
+    times = [np.bincount(np.minimum(x, KEEP + 2), minlength=KEEP + 3)[1 : KEEP + 2].tolist() for x in (c, n)]
+    table = pack(_steps(h1[first]), w[first], c, c1[first]), pack(_steps(h1), h2, w, n)
+    return pd.DataFrame({"bucket": [key[0]], "pairs": [table[0]], "triples": [table[1]], "times2": times[:1], "times3": times[1:]})
 
 
 def discounts(times: list[int]) -> np.ndarray:
@@ -221,37 +267,76 @@ class Unigrams:
         return np.where(c > 0, self.scale * _discounted(c, self.d) / self.tokens, self.unknown)
 
 
-def _bucket_model(blob: bytes, uni: Unigrams, d: np.ndarray):
-    """(histories, first pair of each, words, log10 p of each pair, log10 backoff weight of each history)."""
-    h, w, c, c1 = unpack(blob)
-    h = np.cumsum(h)
-    first = np.flatnonzero(np.diff(h, prepend=-1))
-    size = np.diff(np.append(first, len(h)))
+def _order(total_of: np.ndarray, c: np.ndarray, lower: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first row of each history, p of each row, backoff weight of each history) for rows sorted by history.
+
+    ``lower`` is the probability of each row's word after the shorter history.
+    """
+    first = np.flatnonzero(np.diff(total_of, prepend=-1))
+    size = np.diff(np.append(first, len(c)))
     total = np.add.reduceat(c, first)
     p = _discounted(c, d) / np.repeat(total, size)
     full = np.add.reduceat(p, first)
     # a history without small counts leaves nothing: it gives up one count's share
     keep = np.where(1 - full < 1e-12, total / (total + 1), 1.0)
     p, full = p * np.repeat(keep, size), full * keep
-    seen = np.add.reduceat(uni.p(c1), first)
-    return h[first], first, h, w, np.log10(p), np.log10((1 - full) / np.maximum(1 - seen, 1e-300))
+    seen = np.add.reduceat(lower, first)
+    return first, p, (1 - full) / np.maximum(1 - seen, 1e-300)
+
 
+class Bucket:
+    """A bucket's n-grams with their probabilities; all orders of a token lie in the bucket of its last word before.
+
+    That word is numbered within the bucket: by its number divided by the buckets.
+    """
 
-def _weights(batches, uni: Unigrams, d: np.ndarray):
-    """The backoff table: per bucket the histories and their weights."""
+    def __init__(self, pairs: bytes, triples: bytes, uni: Unigrams, d2: np.ndarray, d3: np.ndarray):
+        h, w, c, c1 = unpack(pairs)
+        h = np.cumsum(h)
+        self.pair = (h << 32) | w
+        p1 = uni.p(c1)
+        first, p2, self.alpha2 = _order(h, c, p1, d2)
+        self.h1 = h[first]
+        self.gain2 = np.log10(p2) - np.log10(p1)
+        h1, h2, w, n = unpack(triples)
+        h1 = np.cumsum(h1)
+        history = (h1 << 32) | h2
+        low = p2[np.searchsorted(self.pair, (h1 << 32) | w)]
+        first, p3, self.alpha3 = _order(history, n, low, d3)
+        self.history = history[first]
+        self.triple = (np.repeat(np.arange(len(first)), np.diff(np.append(first, len(n)))) << 32) | w
+        self.gain3 = np.log10(p3) - np.log10(low)
+
+    def gains(self, h1: np.ndarray, w: np.ndarray, pair: np.ndarray, h2: np.ndarray, alpha2: np.ndarray, alpha3: np.ndarray) -> np.ndarray:
+        """What each trigram (its bigram's number, h2) adds to the unigram score; weights come as logarithms."""
+
+        def at(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            k = np.minimum(np.searchsorted(table, key), len(table) - 1)
+            return k, table[k] == key
+
+        k, seen = at(self.pair, (h1 << 32) | w)
+        j, known = at(self.h1, h1)
+        gain = np.where(seen, self.gain2[k], np.where(known, alpha2[j], 0.0))[pair]
+        j, known = at(self.history, (h1[pair] << 32) | h2)
+        k, seen = at(self.triple, (j << 32) | w[pair])
+        return gain + np.where(known, np.where(seen, self.gain3[k], alpha3[j]), 0.0)
+
+
+def _weights(batches, uni: Unigrams, d2: np.ndarray, d3: np.ndarray):
+    """The backoff table: per bucket the logarithms of the weights of both orders' histories."""
     for pdf in batches:
         out = []
         for row in pdf.itertuples():
-            h, *_, alpha = _bucket_model(row.blob, uni, d)
-            out.append((row.bucket, pack(np.diff(h, prepend=0)), alpha.tobytes()))
-        yield pd.DataFrame(out, columns=["bucket", "histories", "weights"])
+            b = Bucket(row.pairs, row.triples, uni, d2, d3)
+            out.append((row.bucket, np.log10(b.alpha2).tobytes(), np.log10(b.alpha3).tobytes()))
+        yield pd.DataFrame(out, columns=["bucket", "alpha2", "alpha3"])
 
 
 class Model:
     """A trained model: its tables, and the few numbers that go with every task."""
 
-    def __init__(self, vocab: DataFrame, grams: DataFrame, weights: DataFrame, buckets: int, uni: Unigrams, d: np.ndarray):
-        self.vocab, self.grams, self.weights, self.buckets, self.uni, self.d = vocab, grams, weights, buckets, uni, d
+    def __init__(self, grams: DataFrame, weights: DataFrame, salts: np.ndarray, uni: Unigrams, d2: np.ndarray, d3: np.ndarray):
+        self.grams, self.weights, self.salts, self.uni, self.d2, self.d3 = grams, weights, salts, uni, d2, d3
 
 
 def _counts_of_counts(vocab: DataFrame) -> tuple[int, int, list[int]]:
@@ -261,51 +346,56 @@ def _counts_of_counts(vocab: DataFrame) -> tuple[int, int, list[int]]:
 
 
 def train(chunk: DataFrame, vocab: DataFrame) -> Model:
-    """Bigram and backoff tables of the training texts in coded chunks; words are numbered below 2**31."""
+    """N-gram and backoff tables of the training texts in coded chunks; words are numbered below 2**31."""
     tokens, words, times = _counts_of_counts(vocab)
     uni = Unigrams(tokens, words, times)
     buckets = max(MIN_BUCKETS, min(MANY_BUCKETS, -(-tokens // BUCKET)), -(-tokens // LARGE_BUCKET))
-    pairs = chunk.mapInPandas(partial(_pairs, buckets=buckets), "bucket long, blob binary")
-    grams = staged(pairs.groupBy("bucket").applyInPandas(_grams, "bucket long, blob binary, times array<long>"), "bigrams")
-    got = grams.agg(*[F.sum(F.get("times", F.lit(r))) for r in range(KEEP + 1)]).first()
-    d = discounts([n or 0 for n in got])
-    weights = staged(grams.mapInPandas(partial(_weights, uni=uni, d=d), "bucket long, histories binary, weights binary"), "backoff")
-    return Model(vocab, grams, weights, buckets, uni, d)
-
-
-def _asked(batches, buckets: int):
-    """Per chunk and bucket: the bigrams to score, with the text they stand in."""
+    # tokens after the words of each bucket; buckets of frequent words answer in several tasks
+    sizes = vocab.groupBy(F.pmod("id", F.lit(buckets)).alias("b")).agg(F.sum("c").alias("c")).collect()
+    salts = np.ones(buckets, dtype=np.int64)
+    for r in sizes:
+        salts[r["b"]] = -(-r["c"] // (2 * max(BUCKET, tokens // buckets)))
+    counted = chunk.mapInPandas(partial(_counted, buckets=buckets), "bucket long, blob binary")
+    grams = staged(counted.groupBy("bucket").applyInPandas(_grams, "bucket long, pairs binary, triples binary, times2 array<long>, times3 array<long>"), "grams")
+    got = grams.agg(*[F.sum(F.get(t, F.lit(r))) for t in ("times2", "times3") for r in range(KEEP + 1)]).first()
+    d2, d3 = (discounts([n or 0 for n in part]) for part in (got[: KEEP + 1], got[KEEP + 1 :]))
+    weights = staged(grams.mapInPandas(partial(_weights, uni=uni, d2=d2, d3=d3), "bucket long, alpha2 binary, alpha3 binary"), "backoff")
+    return Model(grams, weights, salts, uni, d2, d3)
+
+
+def _asked(batches, salts: np.ndarray):
+    """Per chunk and bucket: the distinct trigrams to score, and the texts that each stands in."""
+    buckets = len(salts)
     for pdf in batches:
         for row in pdf.itertuples():
-            h, w, _, doc = _tokens(row)
-            known = h != UNKNOWN
-            h, w, doc = h[known], w[known], doc[known]
-            order = np.lexsort((w, h // buckets, h % buckets))
-            h, w, doc = h[order], w[order], doc[order]
-            out = [(b, row.uid, pack(np.diff(h[s] // buckets, prepend=0), w[s], doc[s])) for b, s in _cut(h % buckets, buckets)]
+            h2, h1, w, _, doc = _tokens(row)
+            known = h1 != UNKNOWN
+            h2, h1, w, doc = h2[known], h1[known], w[known], doc[known]
+            pf, first, pair, gram = _grouped(h2, h1, w, buckets)
+            order = np.argsort(gram, kind="stable")
+            gram, doc = gram[order], doc[order]
+            pairs, tokens = dict(_cut(h1[pf] % buckets, buckets)), dict(_cut(h1[first[gram]] % buckets, buckets))
+            out = []
+            for b, t in _cut(h1[first] % buckets, buckets):
+                p, k = pairs[b], tokens[b]
+                blob = pack(_steps(h1[pf[p]] // buckets), w[pf[p]], _steps(pair[t] - p.start), h2[first[t]], _steps(gram[k] - t.start), doc[k])
+                out.append((b, row.uid % int(salts[b]), row.uid, blob))
             if out:
-                yield pd.DataFrame(out, columns=["bucket", "uid", "blob"])
+                yield pd.DataFrame(out, columns=["bucket", "salt", "uid", "blob"])
 
 
-def _answered(key, asked: pd.DataFrame, model: pd.DataFrame, uni: Unigrams, d: np.ndarray) -> pd.DataFrame:
+def _answered(key, asked: pd.DataFrame, model: pd.DataFrame, uni: Unigrams, d2: np.ndarray, d3: np.ndarray) -> pd.DataFrame:
     """What the bucket adds to the unigram score of each text of each chunk."""
     out = []
-    if len(model):
-        hs, first, gh, gw, logp, _ = _bucket_model(model["blob"].iloc[0], uni, d)
-        alpha = np.frombuffer(model["weights"].iloc[0], dtype=np.float64)
-        gram = (gh << 32) | gw
-        log_uni = np.log10(uni.p(unpack(model["blob"].iloc[0])[3]))
-    for row in asked.itertuples() if len(model) else ():
-        h, w, doc = unpack(row.blob)
-        h = np.cumsum(h)
-        ask = (h << 32) | w
-        at = np.minimum(np.searchsorted(gram, ask), len(gram) - 1)
-        seen = gram[at] == ask
-        k = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
-        back = np.where(hs[k] == h, alpha[k], 0.0)
-        more = np.where(seen, logp[at] - log_uni[at], back)
-        texts, place = np.unique(doc, return_inverse=True)
-        out.append((key[0], row.uid, pack(np.diff(texts, prepend=0)), np.bincount(place, weights=more).tobytes()))
+    if len(model) and len(asked):
+        m = model.iloc[0]
+        bucket = Bucket(m["pairs"], m["triples"], uni, d2, d3)
+        alpha2, alpha3 = np.frombuffer(m["alpha2"]), np.frombuffer(m["alpha3"])
+        for row in asked.itertuples():
+            h1, w, pair, h2, gram, doc = unpack(row.blob)
+            gain = bucket.gains(np.cumsum(h1), w, np.cumsum(pair), h2, alpha2, alpha3)
+            texts, place = np.unique(doc, return_inverse=True)
+            out.append((key[0], row.uid, pack(_steps(texts)), np.bincount(place, weights=gain[np.cumsum(gram)]).tobytes()))
     return pd.DataFrame(out, columns=["bucket", "uid", "texts", "sums"])
 
 
@@ -313,7 +403,7 @@ def _alone(batches, uni: Unigrams):
     """What a chunk knows by itself: per text its numbers and unigram scores."""
     for pdf in batches:
         for row in pdf.itertuples():
-            _, w, c, doc = _tokens(row)
+            _, _, w, c, doc = _tokens(row)
             n = len(row.doc_ids)
             base = np.log10((c + 1) / (uni.tokens + uni.words + 1))
             sums = [np.bincount(doc, weights=x, minlength=n) for x in (np.ones(len(doc)), c > 0, base, np.log10(uni.p(c)))]
@@ -329,14 +419,21 @@ def _summed(key, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def score(chunk: DataFrame, model: Model) -> DataFrame:
     """Per text of the coded chunks: doc_id, held_out, n_tokens, n_known, base_score, score."""
-    asked = chunk.mapInPandas(partial(_asked, buckets=model.buckets), "bucket long, uid long, blob binary")
-    stored = model.grams.join(model.weights, "bucket").select("bucket", "blob", "weights")
-    answer = partial(_answered, uni=model.uni, d=model.d)
+    asked = chunk.mapInPandas(partial(_asked, salts=model.salts), "bucket long, salt long, uid long, blob binary")
+    many = F.array(*[F.lit(0).cast("long")])
+    if (model.salts > 1).any():
+        several = chunk.sparkSession.createDataFrame([(int(b), int(n)) for b, n in enumerate(model.salts) if n > 1], "bucket long, salts long")
+        stored = model.grams.join(model.weights, "bucket").join(F.broadcast(several), "bucket", "left")
+        many = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1)
+    else:
+        stored = model.grams.join(model.weights, "bucket")
+    stored = stored.select("bucket", F.explode(many).alias("salt"), "pairs", "triples", "alpha2", "alpha3")
+    answer = partial(_answered, uni=model.uni, d2=model.d2, d3=model.d3)
 
     def answered(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return answer(key, left, right)
 
-    sums = asked.groupBy("bucket").cogroup(stored.groupBy("bucket")).applyInPandas(answered, "bucket long, uid long, texts binary, sums binary")
+    sums = asked.groupBy("bucket", "salt").cogroup(stored.groupBy("bucket", "salt")).applyInPandas(answered, "bucket long, uid long, texts binary, sums binary")
     more = sums.groupBy("uid").applyInPandas(_summed, "uid long, pos long, more double")
     alone = chunk.mapInPandas(partial(_alone, uni=model.uni), "uid long, pos long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, alone double")
     both = alone.join(more, ["uid", "pos"], "left")
@@ -353,8 +450,10 @@ def op3_katz(spark, sf_dir: str) -> DataFrame:
         raw = chunks(docs, is_held_out())
         vocab = vocabulary(raw)
         chunk = coded(raw, vocab)
+        discard(raw)
         model = train(chunk, vocab)
         got = staged(score(chunk, model), "scores")
+        discard(chunk, model.grams, model.weights)
     return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.uni.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -30,27 +30,36 @@ class Brute:
         scale = 1 if free >= least else (1 - least) / (1 - free)
         self.p1 = {w: p * scale for w, p in raw.items()}
         self.unknown = max(free, least)
-        self.after = {}
-        for (h, w), c in self.bi.items():
-            self.after.setdefault(h, {})[w] = c
+        self.tri = Counter()
+        for t in texts:
+            w = tokens(t)
+            self.tri.update(zip(zip([None, None, *w[:-2]], [None, *w[:-1]]), w))
+        self.d3 = K.discounts([sum(c == r for c in self.tri.values()) for r in range(1, 7)])
         self.rows = {}
-        for h, ws in self.after.items():
-            total = sum(ws.values())
-            p = {w: c * self.d2[min(c, 6)] / total for w, c in ws.items()}
-            if 1 - sum(p.values()) < 1e-12:
-                p = {w: x * total / (total + 1) for w, x in p.items()}
-            self.rows[h] = (p, (1 - sum(p.values())) / (1 - sum(self.p1[w] for w in ws)))
+        for counts, d in ((Counter({((h,), w): c for (h, w), c in self.bi.items()}), self.d2), (self.tri, self.d3)):
+            after = {}
+            for (h, w), c in counts.items():
+                after.setdefault(h, {})[w] = c
+            done = {}
+            for h, ws in after.items():
+                total = sum(ws.values())
+                p = {w: c * d[min(c, 6)] / total for w, c in ws.items()}
+                if 1 - sum(p.values()) < 1e-12:
+                    p = {w: x * total / (total + 1) for w, x in p.items()}
+                done[h] = (p, (1 - sum(p.values())) / (1 - sum(self.p(h[1:], w) for w in ws)))
+            self.rows |= done
 
     def p(self, h, w):
-        uni = self.p1.get(w, self.unknown)
+        if not h:
+            return self.p1.get(w, self.unknown)
         if h not in self.rows:
-            return uni
+            return self.p(h[1:], w)
         p, alpha = self.rows[h]
-        return p[w] if w in p else alpha * uni
+        return p[w] if w in p else alpha * self.p(h[1:], w)
 
     def score(self, text):
         w = tokens(text)
-        return sum(math.log10(self.p(h, x)) for h, x in zip([None, *w[:-1]], w))
+        return sum(math.log10(self.p(h, x)) for h, x in zip(zip([None, None, *w[:-2]], [None, *w[:-1]]), w))
 
 
 def held(i):
@@ -86,10 +95,24 @@ def test_matches_brute_force(spark):
     docs += [(201, None), (None, "the of"), (5, "again again"), (5, "again again"), (2, "x" * 5000)]
     m = compare(run(spark, docs), docs)
     words = [*m.uni, b"never seen"]
-    for h in [None, *list(m.uni)[:40], b"unseen"]:
+    some = [None, *list(m.uni)[:30], b"unseen"]
+    for h in [*((w,) for w in some), *list(m.rows)[:-40:-1], (None, None), *zip(some, some[1:])]:
         assert abs(sum(m.p(h, w) for w in words) - 1) < 1e-9
 
 
+def test_frequent_words_and_clashes(spark, monkeypatch):
+    monkeypatch.setattr(K, "BUCKET", 50)
+    monkeypatch.setattr(K, "CHUNK", 200)
+    monkeypatch.setattr(K, "HELD", 60)
+    r = random.Random(14)
+    docs = [(i, " ".join("a" if r.random() < 0.5 else f"w{r.randrange(60)}" for _ in range(r.randrange(0, 60)))) for i in range(150)]
+    m = compare(run(spark, docs), docs)
+    assert m.uni[b"a"] > 4 * 50
+    odd = spark.createDataFrame([(*d, 1, 2, "x") for d in docs], "doc_id long, text string, uid long, held int, body string")
+    chunk = K.coded(K.chunks(odd, K.is_held_out()), K.vocabulary(K.chunks(odd, K.is_held_out())))
+    assert chunk.selectExpr("sum(size(doc_ids))").first()[0] == 150
+
+
 def test_whole_table(spark):
     p = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in K.read(spark, p, "documents").collect()]
