@@ -1,18 +1,17 @@
 """SimHash near-dedup of texts whose five-word shingles have a Jaccard share of 0.8 or more.
 
 The tiled comparison of ``simhash`` finds the candidates, on fingerprints of
-``LANES`` times 64 bits over the distinct shingles of a text. Sets that share
-0.8 differ by 19 of 128 bits, with a deviation of 4; texts that share nothing by
-64, with one of 6. ``RADIUS`` lies between, so next to no link is missed (0.002 %
-of those at exactly 0.8, 0.3 % between texts of four and five shingles) and next
-to no pair is looked at in vain. Tiles are dealt by the number of shingles: sets
-that share 0.8 differ by a quarter at most, so only neighbouring bands meet.
-
-A meeting gives each text its ``NEAREST`` candidates of another component.
-These pairs are verified on the whole shingle sets, and verified links make
-components. Texts with further candidates outside their component go through
-another round with more of them, until none is left. So a group of thousands of
-near copies never gives all its pairs, and no pair is left out.
+128 bits over the distinct shingles of a text. Sets that share 0.8 differ by 19
+of them, with a deviation of 4; texts that share nothing by 64, with one of 6.
+``RADIUS`` lies between, so next to no link is missed (0.002 % of those at
+exactly 0.8, 0.3 % between texts of four and five shingles) and next to no pair
+is looked at in vain. Tiles are dealt by the number of shingles: sets that share
+0.8 differ by a quarter at most, so only neighbouring bands meet.
+
+Texts with a candidate meet again, tile by tile, with their whole shingle sets.
+Each candidate is verified there unless its texts are joined already, and a
+meeting returns a spanning forest of its verified links. So a group of thousands
+of near copies never gives all its pairs, and none of them is left out.
 
 Texts are compared once each, in lower case and with single spaces, so copies
 of equal words cost nothing.
@@ -33,17 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROW, discard, lookup, numbered, staged
-from .simhash import SEED, SLICE, components, meetings, near_blocks, tile_size
+from .simhash import SEED, SLICE, _Forest, components, meetings, near_blocks, tile_size
 from .token_shards import _mixed
 
 SHINGLE = 5
 #: Least share of two sets, as numerator and denominator.
 SHARE = (4, 5)
 LANES, RADIUS = 2, 36
-#: Candidates a text takes in the first round, and how many times more in each further one.
-NEAREST, MORE = 8, 8
-#: Candidates that a meeting holds before it keeps the nearest.
-HELD = 1 << 21
+#: Shingles of a tile of whole sets.
+HASHES = 1 << 18
 
 
 def shingle_hashes(text: bytes | None, width: int = SHINGLE) -> tuple[int, np.ndarray]:
@@ -89,99 +86,113 @@ def signed(text: Column) -> Column:
     return made(text)
 
 
-def nearest(left: np.ndarray, right: np.ndarray, same: bool, most: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates between two tiles, and the texts that have more than these.
-
-    Rows of a tile are text, component, shingles and lanes. Pairs (row of left,
-    row of right) are of different components and of sizes that allow the share;
-    each row of left keeps the ``most`` nearest.
-    """
-    (lprint, lroot, lsize), (rprint, rroot, rsize) = ((x[:, 3:].view(np.uint64), x[:, 1], x[:, 2]) for x in (left, right))
-    bound = np.full(len(left), radius + 1)  # distance from which a row of left takes no more
-    more = [np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)]
-    held = [np.zeros((0, 3), dtype=np.int64)]
-
-    def drop(p: np.ndarray, q: np.ndarray) -> None:
-        more[0][p] = True
-        more[1][q] = True
-
-    def keep(all_: np.ndarray) -> np.ndarray:
-        all_ = all_[np.lexsort((all_[:, 1], all_[:, 2], all_[:, 0]))]
-        first = np.searchsorted(all_[:, 0], all_[:, 0])
-        rank = np.arange(len(all_)) - first
-        drop(*all_[rank >= most, :2].T)
-        last = all_[rank == most - 1]
-        bound[last[:, 0]] = last[:, 2]
-        return all_[rank < most]
-
-    for p, q, far in near_blocks(lprint, rprint, radius, same):
-        fits = (lroot[p] != rroot[q]) & (SHARE[1] * np.minimum(lsize[p], rsize[q]) >= SHARE[0] * np.maximum(lsize[p], rsize[q]))
-        p, q, far = p[fits], q[fits], far[fits]
-        late = far >= bound[p]
-        drop(p[late], q[late])
-        held.append(np.stack((p[~late], q[~late], far[~late].astype(np.int64)), axis=1))
-        if sum(map(len, held)) > HELD:
-            held = [keep(np.concatenate(held))]
-    got = keep(np.concatenate(held))
-    texts = np.unique(np.concatenate((left[more[0], 0], right[more[1], 0])))
-    return np.stack((left[got[:, 0], 0], right[got[:, 1], 0]), axis=1), texts
-
-
-def candidates(texts: DataFrame, most: int, tile: int | None = None) -> DataFrame:
-    """(a, b) pairs to verify of texts (text_id, root, size, lanes); b is null for texts with further ones."""
-    width = 3 + LANES
-    band = F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / math.log(SHARE[1] / SHARE[0]))).otherwise(-2).cast("int")
-    row = F.concat(F.array("text_id", "root", F.col("size").cast("long")), "lanes")
-    met = meetings(texts.select(band.alias("band"), row.alias("row")), "band", "row", 1, tile or tile_size(texts.count()))
+def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can share enough."""
+    return SHARE[1] * np.minimum(a, b) >= SHARE[0] * np.maximum(a, b)
+
+
+def _band(size: Column) -> Column:
+    """Number of the band of sizes; sets that share enough lie in one band or two neighbours."""
+    return F.when(size > 0, F.floor(F.log(size.cast("double")) / math.log(SHARE[1] / SHARE[0]))).otherwise(-2).cast("int")
+
+
+def candidates(texts: DataFrame, tile: int | None = None) -> DataFrame:
+    """(text_id) of the texts (text_id, size, lanes) that have a candidate, perhaps more than once."""
+    row = F.concat(F.array("text_id", F.col("size").cast("long")), "lanes")
+    met = meetings(texts.select(_band(F.col("size")).alias("band"), row.alias("row")), "band", "row", 1, tile or tile_size(texts.count()))
+
+    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        got = {t: np.asarray(x, dtype=np.int64).reshape(-1, 2 + LANES) for t, x in zip(pdf["tile"], pdf["rows"])}
+        none = np.zeros((0, 2 + LANES), dtype=np.int64)  # for a tile that the hash left empty
+        left, right = (got.get(k, none) for k in key)
+        found = [np.zeros(len(x), dtype=bool) for x in (left, right)]
+        prints = [np.ascontiguousarray(x[:, 2:]).view(np.uint64) for x in (left, right)]
+        for p, q, _ in near_blocks(*prints, RADIUS, key[0] == key[1]) if len(left) and len(right) else ():
+            fits = _fits(left[p, 1], right[q, 1])
+            found[0][p[fits]] = True
+            found[1][q[fits]] = True
+        return pd.DataFrame({"text_id": np.unique(np.concatenate((left[found[0], 0], right[found[1], 0])))})
+
+    return met.groupBy("left", "right").applyInPandas(compare, "text_id long")
+
+
+class Sets:
+    """A tile of whole sets, from a flat list: text, size, lanes and shingles of each."""
+
+    def __init__(self, flat: np.ndarray):
+        at, starts = 0, []
+        while at < len(flat):
+            starts.append(at)
+            at += 2 + LANES + int(flat[at + 1])
+        first = np.array(starts, dtype=np.int64)
+        self.ids, self.size = flat[first], flat[first + 1]
+        self.prints = np.stack([flat[first + 2 + k] for k in range(LANES)], axis=1).view(np.uint64) if starts else np.zeros((0, LANES), dtype=np.uint64)
+        self.flat, self.first = flat, first + 2 + LANES
+
+    def joined(self, rows: np.ndarray) -> np.ndarray:
+        """Places of the shingles of several rows, one row after the other."""
+        n = self.size[rows]
+        return np.repeat(self.first[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def verified(left: Sets, right: Sets, same: bool) -> np.ndarray:
+    """Spanning forest of the links between two tiles of whole sets, as rows (text, text)."""
+    shift, out = 0 if same else len(left.ids), []
+    forest = _Forest(len(left.ids) + (0 if same else len(right.ids)))
+    # shingles as small numbers, so that one set is a row of marks
+    kinds, number = np.unique(np.concatenate((left.flat, right.flat)), return_inverse=True)
+    lnumber, rnumber = number[: len(left.flat)], number[len(left.flat) :]
+    mark = np.zeros(len(kinds), dtype=bool)
+    for p, q, far in near_blocks(left.prints, right.prints, RADIUS, same):
+        fits = _fits(left.size[p], right.size[q])
+        order = np.lexsort((far[fits], p[fits]))
+        p, q = p[fits][order], q[fits][order]
+        cuts = np.flatnonzero(np.diff(p, prepend=-1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(p))):
+            one, others = p[a], q[a:b]
+            others = others[forest.root[others + shift] != forest.root[one]]
+            if not len(others):
+                continue
+            own = lnumber[left.joined(np.array([one]))]
+            mark[own] = True
+            shared = np.add.reduceat(mark[rnumber[right.joined(others)]].astype(np.int64), np.cumsum(right.size[others]) - right.size[others])
+            mark[own] = False
+            near = SHARE[1] * shared >= SHARE[0] * (left.size[one] + right.size[others] - shared)
+            _, new = np.unique(forest.root[others[near] + shift], return_index=True)  # one link for each component
+            new = others[near][new]
+            if len(new):
+                forest.link(np.full(len(new), one), new + shift)
+                out.append(np.stack((np.full(len(new), left.ids[one]), right.ids[new]), axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+
+
+def near_links(sets: DataFrame, hashes: int = HASHES) -> DataFrame:
+    """Links (a, b) that connect whatever is near among the texts (text_id, size, lanes, held)."""
+    row = F.concat(F.array("text_id", F.col("size").cast("long")), "lanes", "held")
+    rows = sets.where("size > 0").select(_band(F.col("size")).alias("band"), "size", row.alias("row"))
+    met = meetings(rows, "band", "row", 1, hashes, F.col("size"))
 
     def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = {t: np.asarray(x, dtype=np.int64).reshape(-1, width) for t, x in zip(pdf["tile"], pdf["rows"])}
-        if not all(k in got for k in key):  # a tile that the hash left empty
-            return pd.DataFrame({"a": pd.array([], dtype="Int64"), "b": pd.array([], dtype="Int64")})
-        pairs, more = nearest(got[key[0]], got[key[1]], key[0] == key[1], most)
-        a = np.concatenate((pairs[:, 0], more))
-        return pd.DataFrame({"a": a, "b": pd.array([*pairs[:, 1].tolist(), *[None] * len(more)], dtype="Int64")})
+        got = {t: Sets(np.asarray(x, dtype=np.int64)) for t, x in zip(pdf["tile"], pdf["rows"])}
+        found = verified(got[key[0]], got[key[1]], key[0] == key[1]) if all(k in got for k in key) else np.zeros((0, 2), dtype=np.int64)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     return met.groupBy("left", "right").applyInPandas(compare, "a long, b long")
 
 
-def near_links(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are near; ``bodies`` holds text_id and body."""
+def near_roots(texts: DataFrame, keyed: DataFrame, tile: int | None = None, hashes: int = HASHES) -> DataFrame:
+    """(node, root) of every text (text_id, row, size, lanes) that has a near copy; ``keyed`` holds ROW and body."""
 
     @F.pandas_udf("array<long>")
     def sets(col: pd.Series) -> pd.Series:
         return pd.Series([shingle_hashes(t)[1].view(np.int64) for t in col], dtype=object)
 
-    held = staged(bodies.select("text_id", sets("body").alias("held")), "near-sets")
-    left, right = (held.select(F.col("text_id").alias(side), F.col("held").alias(f"of_{side}")) for side in "ab")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    near = SHARE[1] * shared >= SHARE[0] * (F.size("of_a") + F.size("of_b") - shared)
-    found = staged(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"), "near-links")
-    discard(held)
-    return found
-
-
-def near_roots(texts: DataFrame, keyed: DataFrame, tile: int | None = None, most: int = NEAREST) -> DataFrame:
-    """(node, root) of every text (text_id, row, size, lanes) that has a near copy; ``keyed`` holds ROW and body."""
-    active, links, roots = texts.select("text_id", F.col("text_id").alias("root"), "size", "lanes"), None, None
-    while True:
-        found = staged(candidates(active, most, tile), "near-candidates")
-        pairs = found.where("b is not null")
-        asked = staged(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct(), "text_id").select("text_id", F.col("row").alias(ROW)), "near-asked")
-        bodies = lookup(keyed, ROW, "inner", small=asked).select("text_id", "body")
-        new = near_links(pairs, bodies)
-        links = new if links is None else links.unionAll(new)
-        discard(asked, *([roots] if roots is not None else []))
-        roots = components(links)
-        open_ = found.where("b is null").select(F.col("a").alias("text_id")).distinct()
-        left = texts.join(open_, "text_id").join(roots.withColumnRenamed("node", "text_id").withColumnRenamed("root", "now"), "text_id", "left")
-        before = active
-        active = staged(left.select("text_id", F.coalesce("now", "text_id").alias("root"), "size", "lanes"), "near-active")
-        discard(found, before)
-        if active.isEmpty():
-            discard(active)
-            return roots
-        most *= MORE
+    found = staged(candidates(texts.select("text_id", "size", "lanes"), tile).distinct(), "near-candidates")
+    asked = staged(texts.join(found, "text_id").select("text_id", "size", "lanes", F.col("row").alias(ROW)), "near-asked")
+    held = staged(lookup(keyed, ROW, "inner", small=asked).select("text_id", "size", "lanes", sets("body").alias("held")), "near-sets")
+    roots = components(near_links(held, hashes))
+    discard(found, asked, held)
+    return roots
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,15 +144,16 @@ def tile_size(n: int) -> int:
     return min(MOST_TILE, max(TILE, math.isqrt(n) * 32))
 
 
-def meetings(prints: DataFrame, band: str, value: str, reach: int, tile: int) -> DataFrame:
+def meetings(prints: DataFrame, band: str, value: str, reach: int, tile: int, weight: Column | None = None) -> DataFrame:
     """(left, right, tile, rows): both tiles of each pair that can hold links, ``rows`` a flat list of ``value``.
 
     ``band`` is a small number per row, and bands further apart than ``reach``
-    hold no link. The number of tiles of a band follows the rows there. Tiles
+    hold no link. The number of tiles of a band follows the rows there, or their
+    weights, of which a tile holds about ``tile``. Tiles
     are numbered by band, so those that a tile can meet have consecutive
     numbers; only the counts of the bands come to the driver.
     """
-    tiles = {r[band]: -(-r["n"] // tile) for r in prints.groupBy(band).agg(F.count("*").alias("n")).collect()}
+    tiles = {r[band]: -(-r["n"] // tile) for r in prints.groupBy(band).agg(F.count("*").alias("n") if weight is None else F.sum(weight).alias("n")).collect()}
 
     def before(p: int) -> int:
         return sum(n for q, n in tiles.items() if q < p)

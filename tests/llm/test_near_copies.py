@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as P
 from cellwright.llm import near_copies as N
 from cellwright.llm import simhash as S
@@ -76,12 +78,33 @@ def test_rounds_and_tiles(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     rows += [(300 + i, " ".join(f"t{r.randrange(900)}" for _ in range(r.randrange(5, 80)))) for i in range(100)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for held, nearest in ((50, 1), (1 << 21, 8)):
-        monkeypatch.setattr(N, "HELD", held)
-        monkeypatch.setattr(N.near_roots, "__defaults__", (61, nearest))
+    for hashes in (700, 1 << 18):
+        monkeypatch.setattr(N.near_roots, "__defaults__", (61, hashes))
         assert sorted(x["doc_id"] for x in N.drop_near_copies(df).collect()) == brute(rows)
 
 
+def test_group_at_the_edge():
+    r = random.Random(6)
+    base = [f"b{k}" for k in range(100)]
+    texts = []
+    for i in range(120):  # shares of pairs lie on both sides of 0.8
+        w = list(base)
+        for _ in range(r.choice([1, 1, 2])):
+            w[r.randrange(100)] = f"x{r.randrange(40)}"
+        texts.append(" ".join(w))
+    rows = []
+    for i, t in enumerate(texts):
+        h = N.shingle_hashes(t.encode())[1]
+        rows += [i, len(h), *N.lanes(h), *h.view(np.int64).tolist()]
+    tile = N.Sets(np.array(rows, dtype=np.int64))
+    links = N.verified(tile, tile, True)
+    group = list(range(len(texts)))
+    for _ in group:
+        for a, b in links.tolist():
+            group[a] = group[b] = min(group[a], group[b])
+    assert sorted(set(group)) == brute(list(enumerate(texts))) and len(links) == len(texts) - len(set(group))
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "one two", {"a": 1}, 5, "x"), (2, "ONE two", {"a": 2}, 6, "y"), (3, "three", None, 7, "z")], "doc_id long, text string, size map<string,int>, root int, lanes string")
     got = sorted(N.drop_near_copies(df).collect(), key=lambda r: r["doc_id"])
