@@ -115,9 +115,14 @@ def chunks(df: DataFrame, held: F.Column, id_col: str = "doc_id", text: str = "t
 
 
 def vocabulary(chunk: DataFrame) -> DataFrame:
-    """(word, c, id) of all words of training texts, numbered from ``FIRST`` without gaps."""
+    """(word, c, id) of all words of training texts, numbered from ``FIRST`` without gaps, frequent ones first.
+
+    So the numbers of most tokens are small, and a word's count follows from its number.
+    """
     seen = chunk.select(F.explode(F.arrays_zip("words", "n")).alias("x")).where("x.n > 0")
-    table = staged(seen.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.n").alias("c")).withColumn("at", F.monotonically_increasing_id()), "vocabulary")
+    counted = staged(seen.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.n").alias("c")), "word-counts")
+    table = staged(counted.orderBy(F.desc("c"), "word").withColumn("at", F.monotonically_increasing_id()), "vocabulary")
+    discard(counted)
     table = table.withColumn("part", F.shiftrightunsigned("at", 33)).withColumn("row", F.col("at").bitwiseAND((1 << 33) - 1))
     counts = table.groupBy("part").agg(F.count("*").alias("n"))
     # one row per task that wrote the table
@@ -126,32 +131,32 @@ def vocabulary(chunk: DataFrame) -> DataFrame:
 
 
 def coded(chunk: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Chunks with the numbers and counts of their own words: uid, doc_ids, held, lens, codes, own (packed)."""
-    own = chunk.select("uid", F.posexplode("words").alias("i", "word")).join(vocab, "word").select("uid", "i", "id", "c")
+    """Chunks with the numbers of their own words: uid, doc_ids, held, lens, codes, own (packed)."""
+    own = chunk.select("uid", F.posexplode("words").alias("i", "word")).join(vocab, "word").select("uid", "i", "id")
 
     def gathered(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
-        return pd.DataFrame({"uid": [key[0]], "own": [pack(*(pdf[c].to_numpy(np.int64) for c in ("i", "id", "c")))]})
+        return pd.DataFrame({"uid": [key[0]], "own": [pack(*(pdf[c].to_numpy(np.int64) for c in ("i", "id")))]})
 
     words = own.groupBy("uid").applyInPandas(gathered, "uid long, own binary")
     return staged(chunk.drop("words", "n").join(words, "uid", "left"), "coded")
 
 
 def _tokens(row) -> tuple[np.ndarray, ...]:
-    """Word before last, last word, word, count of the word and text of each token of a chunk."""
+    """Word before last, last word, word and text of each token of a chunk."""
     codes, = unpack(row.codes)
     lens = np.frombuffer(row.lens, dtype="<i4")
-    ids, count = np.zeros((2, int(codes.max()) + 1), dtype=np.int64)
+    ids = np.zeros(int(codes.max()) + 1, dtype=np.int64)
     if row.own is not None:
-        i, number, c = unpack(row.own)
-        ids[i], count[i] = number, c
+        i, number = unpack(row.own)
+        ids[i] = number
     word = ids[codes]
     starts = np.cumsum(lens) - lens
     last = np.concatenate(([BEGIN], word[:-1]))
     last[starts] = BEGIN
     before = np.concatenate(([BEGIN], last[:-1]))
     before[starts] = BEGIN
-    return before, last, word, count[codes], np.repeat(np.arange(len(lens)), lens)
+    return before, last, word, np.repeat(np.arange(len(lens)), lens)
 
 
 def _grouped(h2: np.ndarray, h1: np.ndarray, w: np.ndarray, buckets: int):
@@ -179,32 +184,32 @@ def _steps(x: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches, buckets: int):
-    """Per chunk and bucket: training bigrams with the count of their word, and trigrams with their counts."""
+    """Per chunk and bucket: training bigrams, and trigrams with their counts."""
     for pdf in batches:
         for row in pdf.itertuples():
-            h2, h1, w, c1, doc = _tokens(row)
+            h2, h1, w, doc = _tokens(row)
             train = ~np.array(row.held, dtype=bool)[doc]
-            h2, h1, w, c1 = h2[train], h1[train], w[train], c1[train]
+            h2, h1, w = h2[train], h1[train], w[train]
             pf, first, pair, gram = _grouped(h2, h1, w, buckets)
             n = np.bincount(gram, minlength=len(first))
             pairs = dict(_cut(h1[pf] % buckets, buckets))
             out = []
             for b, t in _cut(h1[first] % buckets, buckets):
                 p = pairs[b]
-                out.append((b, pack(_steps(h1[pf[p]] // buckets), w[pf[p]], c1[pf[p]], _steps(pair[t] - p.start), h2[first[t]], n[t])))
+                out.append((b, pack(_steps(h1[pf[p]] // buckets), w[pf[p]], _steps(pair[t] - p.start), h2[first[t]], n[t])))
             if out:
                 yield pd.DataFrame(out, columns=["bucket", "blob"])
 
 
 def _summed_up(rows: list[np.ndarray]) -> np.ndarray:
-    """Columns h1, h2, w, count of w, n with the n of equal trigrams added, sorted."""
+    """Columns h1, h2, w, n with the n of equal trigrams added, sorted."""
     x = np.concatenate(rows, axis=1)
     x = x[:, np.lexsort((x[2], x[1], x[0]))]
     new = np.ones(x.shape[1], dtype=bool)
     new[1:] = (x[:3, 1:] != x[:3, :-1]).any(axis=0)
     first = np.flatnonzero(new)
     out = x[:, first]
-    out[4] = np.add.reduceat(x[4], first)
+    out[3] = np.add.reduceat(x[3], first)
     return out
 
 
@@ -212,18 +217,18 @@ def _grams(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """The bucket's tables of bigrams and trigrams, and the counts of counts of both."""
     held, size = [], 0
     for blob in pdf["blob"]:
-        h1, w, c1, pair, h2, n = unpack(blob)
+        h1, w, pair, h2, n = unpack(blob)
         h1, pair = np.cumsum(h1), np.cumsum(pair)
-        held.append(np.stack((h1[pair], h2, w[pair], c1[pair], n)))
+        held.append(np.stack((h1[pair], h2, w[pair], n)))
         size += len(n)
         if size > HELD:
             held = [_summed_up(held)]
             size = 0
-    h1, h2, w, c1, n = _summed_up(held)
+    h1, h2, w, n = _summed_up(held)
     _, first, place = np.unique((h1 << 32) | w, return_index=True, return_inverse=True)
     c = np.bincount(place, weights=n).astype(np.int64)
     times = [np.bincount(np.minimum(x, KEEP + 2), minlength=KEEP + 3)[1 : KEEP + 2].tolist() for x in (c, n)]
-    table = pack(_steps(h1[first]), w[first], c, c1[first]), pack(_steps(h1), h2, w, n)
+    table = pack(_steps(h1[first]), w[first], c), pack(_steps(h1), h2, w, n)
     return pd.DataFrame({"bucket": [key[0]], "pairs": [table[0]], "triples": [table[1]], "times2": times[:1], "times3": times[1:]})
 
 
@@ -250,8 +255,9 @@ def _discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
 class Unigrams:
     """Discounted unigram probabilities by count, and that of an unknown word."""
 
-    def __init__(self, tokens: int, words: int, times: list[int], seen_mass: float | None = None):
+    def __init__(self, tokens: int, words: int, times: list[int], firsts: np.ndarray, counts: np.ndarray):
         self.tokens, self.words, self.d = tokens, words, discounts(times)
+        self.firsts, self.counts = firsts, counts
         if not tokens:
             self.scale, self.unknown = 1.0, 1.0
             return
@@ -261,6 +267,13 @@ class Unigrams:
         self.scale = 1.0 if free >= least else (1 - least) / (1 - free)
         self.unknown = max(free, least)
 
+    def count(self, word: np.ndarray) -> np.ndarray:
+        """Count of each word by its number: numbers run from the most frequent word down."""
+        return np.where(word >= FIRST, self.counts[np.searchsorted(self.firsts, word, side="right") - 1], 0) if self.tokens else np.zeros(len(word), dtype=np.int64)
+
+    def of(self, word: np.ndarray) -> np.ndarray:
+        return self.p(self.count(word))
+
     def p(self, c: np.ndarray) -> np.ndarray:
         if not self.tokens:
             return np.ones(len(c))
@@ -290,25 +303,28 @@ class Bucket:
     That word is numbered within the bucket: by its number divided by the buckets.
     """
 
-    def __init__(self, pairs: bytes, triples: bytes, uni: Unigrams, d2: np.ndarray, d3: np.ndarray):
-        h, w, c, c1 = unpack(pairs)
+    def __init__(self, pairs: bytes, triples: bytes | None, uni: Unigrams, d2: np.ndarray, d3: np.ndarray):
+        h, w, c = unpack(pairs)
         h = np.cumsum(h)
         self.pair = (h << 32) | w
-        p1 = uni.p(c1)
+        p1 = uni.of(w)
         first, p2, self.alpha2 = _order(h, c, p1, d2)
         self.h1 = h[first]
         self.gain2 = np.log10(p2) - np.log10(p1)
+        if triples is None:
+            return
         h1, h2, w, n = unpack(triples)
         h1 = np.cumsum(h1)
         history = (h1 << 32) | h2
         low = p2[np.searchsorted(self.pair, (h1 << 32) | w)]
-        first, p3, self.alpha3 = _order(history, n, low, d3)
+        first, p3, alpha3 = _order(history, n, low, d3)
+        self.alpha3 = np.log10(alpha3)
         self.history = history[first]
         self.triple = (np.repeat(np.arange(len(first)), np.diff(np.append(first, len(n)))) << 32) | w
         self.gain3 = np.log10(p3) - np.log10(low)
 
-    def gains(self, h1: np.ndarray, w: np.ndarray, pair: np.ndarray, h2: np.ndarray, alpha2: np.ndarray, alpha3: np.ndarray) -> np.ndarray:
-        """What each trigram (its bigram's number, h2) adds to the unigram score; weights come as logarithms."""
+    def gains(self, h1: np.ndarray, w: np.ndarray, pair: np.ndarray, h2: np.ndarray, alpha2: np.ndarray) -> np.ndarray:
+        """What each trigram (its bigram's number, h2) adds to the unigram score; ``alpha2`` holds logarithms."""
 
         def at(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             k = np.minimum(np.searchsorted(table, key), len(table) - 1)
@@ -319,17 +335,18 @@ class Bucket:
         gain = np.where(seen, self.gain2[k], np.where(known, alpha2[j], 0.0))[pair]
         j, known = at(self.history, (h1[pair] << 32) | h2)
         k, seen = at(self.triple, (j << 32) | w[pair])
-        return gain + np.where(known, np.where(seen, self.gain3[k], alpha3[j]), 0.0)
+        return gain + np.where(known, np.where(seen, self.gain3[k], self.alpha3[j]), 0.0)
 
 
 def _weights(batches, uni: Unigrams, d2: np.ndarray, d3: np.ndarray):
-    """The backoff table: per bucket the logarithms of the weights of both orders' histories."""
+    """The backoff table: per bucket the logarithms of the weights of the bigrams' histories.
+
+    Those of the trigrams' histories, as many as bigrams, follow in the task that
+    asks for them from the bucket's tables, which spares a copy of that size.
+    """
     for pdf in batches:
-        out = []
-        for row in pdf.itertuples():
-            b = Bucket(row.pairs, row.triples, uni, d2, d3)
-            out.append((row.bucket, np.log10(b.alpha2).tobytes(), np.log10(b.alpha3).tobytes()))
-        yield pd.DataFrame(out, columns=["bucket", "alpha2", "alpha3"])
+        out = [(row.bucket, np.log10(Bucket(row.pairs, None, uni, d2, d3).alpha2).tobytes()) for row in pdf.itertuples()]
+        yield pd.DataFrame(out, columns=["bucket", "alpha2"])
 
 
 class Model:
@@ -348,7 +365,10 @@ def _counts_of_counts(vocab: DataFrame) -> tuple[int, int, list[int]]:
 def train(chunk: DataFrame, vocab: DataFrame) -> Model:
     """N-gram and backoff tables of the training texts in coded chunks; words are numbered below 2**31."""
     tokens, words, times = _counts_of_counts(vocab)
-    uni = Unigrams(tokens, words, times)
+    # the different counts: fewer than the root of twice the tokens
+    steps = np.array(vocab.groupBy("c").agg(F.min("id")).collect(), dtype=np.int64).reshape(-1, 2)
+    steps = steps[np.argsort(steps[:, 1])]
+    uni = Unigrams(tokens, words, times, steps[:, 1], steps[:, 0])
     buckets = max(MIN_BUCKETS, min(MANY_BUCKETS, -(-tokens // BUCKET)), -(-tokens // LARGE_BUCKET))
     # tokens after the words of each bucket; buckets of frequent words answer in several tasks
     sizes = vocab.groupBy(F.pmod("id", F.lit(buckets)).alias("b")).agg(F.sum("c").alias("c")).collect()
@@ -359,7 +379,7 @@ def train(chunk: DataFrame, vocab: DataFrame) -> Model:
     grams = staged(counted.groupBy("bucket").applyInPandas(_grams, "bucket long, pairs binary, triples binary, times2 array<long>, times3 array<long>"), "grams")
     got = grams.agg(*[F.sum(F.get(t, F.lit(r))) for t in ("times2", "times3") for r in range(KEEP + 1)]).first()
     d2, d3 = (discounts([n or 0 for n in part]) for part in (got[: KEEP + 1], got[KEEP + 1 :]))
-    weights = staged(grams.mapInPandas(partial(_weights, uni=uni, d2=d2, d3=d3), "bucket long, alpha2 binary, alpha3 binary"), "backoff")
+    weights = staged(grams.mapInPandas(partial(_weights, uni=uni, d2=d2, d3=d3), "bucket long, alpha2 binary"), "backoff")
     return Model(grams, weights, salts, uni, d2, d3)
 
 
@@ -368,7 +388,7 @@ def _asked(batches, salts: np.ndarray):
     buckets = len(salts)
     for pdf in batches:
         for row in pdf.itertuples():
-            h2, h1, w, _, doc = _tokens(row)
+            h2, h1, w, doc = _tokens(row)
             known = h1 != UNKNOWN
             h2, h1, w, doc = h2[known], h1[known], w[known], doc[known]
             pf, first, pair, gram = _grouped(h2, h1, w, buckets)
@@ -390,10 +410,10 @@ def _answered(key, asked: pd.DataFrame, model: pd.DataFrame, uni: Unigrams, d2:
     if len(model) and len(asked):
         m = model.iloc[0]
         bucket = Bucket(m["pairs"], m["triples"], uni, d2, d3)
-        alpha2, alpha3 = np.frombuffer(m["alpha2"]), np.frombuffer(m["alpha3"])
+        alpha2 = np.frombuffer(m["alpha2"])
         for row in asked.itertuples():
             h1, w, pair, h2, gram, doc = unpack(row.blob)
-            gain = bucket.gains(np.cumsum(h1), w, np.cumsum(pair), h2, alpha2, alpha3)
+            gain = bucket.gains(np.cumsum(h1), w, np.cumsum(pair), h2, alpha2)
             texts, place = np.unique(doc, return_inverse=True)
             out.append((key[0], row.uid, pack(_steps(texts)), np.bincount(place, weights=gain[np.cumsum(gram)]).tobytes()))
     return pd.DataFrame(out, columns=["bucket", "uid", "texts", "sums"])
@@ -403,7 +423,8 @@ def _alone(batches, uni: Unigrams):
     """What a chunk knows by itself: per text its numbers and unigram scores."""
     for pdf in batches:
         for row in pdf.itertuples():
-            _, _, w, c, doc = _tokens(row)
+            _, _, w, doc = _tokens(row)
+            c = uni.count(w)
             n = len(row.doc_ids)
             base = np.log10((c + 1) / (uni.tokens + uni.words + 1))
             sums = [np.bincount(doc, weights=x, minlength=n) for x in (np.ones(len(doc)), c > 0, base, np.log10(uni.p(c)))]
@@ -427,7 +448,7 @@ def score(chunk: DataFrame, model: Model) -> DataFrame:
         many = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1)
     else:
         stored = model.grams.join(model.weights, "bucket")
-    stored = stored.select("bucket", F.explode(many).alias("salt"), "pairs", "triples", "alpha2", "alpha3")
+    stored = stored.select("bucket", F.explode(many).alias("salt"), "pairs", "triples", "alpha2")
     answer = partial(_answered, uni=model.uni, d2=model.d2, d3=model.d3)
 
     def answered(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
