@@ -36,15 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tables"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in a folder for each value of ``by``, and read it again.
 
     The result no longer depends on the tasks that made it, so a lost executor
     costs a re-read, and row identifiers drawn before the write are fixed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
     return out
@@ -56,6 +56,13 @@ def shared_path(table: DataFrame) -> str:
     return path if "://" in path else f"file://{path.removeprefix('file:')}"
 
 
+def passed_on(table: DataFrame, out: DataFrame) -> DataFrame:
+    """``out``, which reads a table of ``staged`` and is discarded in its place."""
+    if path := _WRITTEN.pop(table, None):
+        _WRITTEN[out] = path
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``staged`` returned, once nothing reads them any more."""
     for t in tables:
@@ -64,14 +71,6 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
-def renamed(table: DataFrame, names: dict[str, str]) -> DataFrame:
-    """A table of ``staged`` under other column names, which can be discarded in its place."""
-    out = table.withColumnsRenamed(names)
-    if path := _WRITTEN.pop(table, None):
-        _WRITTEN[out] = path
-    return out
-
-
 #: Name of the key column that ``numbered`` adds.
 ROW = "__cellwright_row"
 

@@ -15,8 +15,8 @@ counted per chunk, packed by bucket of the last word before, added up per bucket
 and stored as partitioned tables beside that of the backoff weights: bigrams,
 trigrams and the histories of both that share this word lie in one bucket. So
 scoring sends each chunk's distinct trigrams there once, with the texts they
-stand in, and gets one sum per text back. Buckets of frequent words answer in
-several tasks, each with a copy of the tables.
+stand in, and gets one sum per text back; the task that answers reads its
+bucket's folder of the tables. Buckets of frequent words answer in several tasks.
 
 Defined cases: null text counts as empty and is the end token alone; a text
 without id is learned from (its hash is not 2) and keeps a null id; repeated
@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, lookup, read, staged
+from .common import discard, lookup, passed_on, read, shared_path, staged
 from .token_shards import _shuffles_removed
 
 #: Counts up to this are discounted.
@@ -121,13 +121,14 @@ def vocabulary(chunk: DataFrame) -> DataFrame:
     """
     seen = chunk.select(F.explode(F.arrays_zip("words", "n")).alias("x")).where("x.n > 0")
     counted = staged(seen.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.n").alias("c")), "word-counts")
-    table = staged(counted.orderBy(F.desc("c"), "word").withColumn("at", F.monotonically_increasing_id()), "vocabulary")
+    written = staged(counted.orderBy(F.desc("c"), "word").withColumn("at", F.monotonically_increasing_id()), "vocabulary")
     discard(counted)
-    table = table.withColumn("part", F.shiftrightunsigned("at", 33)).withColumn("row", F.col("at").bitwiseAND((1 << 33) - 1))
+    table = written.withColumn("part", F.shiftrightunsigned("at", 33)).withColumn("row", F.col("at").bitwiseAND((1 << 33) - 1))
     counts = table.groupBy("part").agg(F.count("*").alias("n"))
     # one row per task that wrote the table
     starts = staged(counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n") + FIRST).alias("first")), "vocabulary-starts")
-    return lookup(table, "part", "inner", small=starts).select("word", "c", (F.col("first") + F.col("row")).cast("long").alias("id"))
+    numbered = lookup(table, "part", "inner", small=starts)
+    return passed_on(written, numbered.select("word", "c", (F.col("first") + F.col("row")).cast("long").alias("id")))
 
 
 def coded(chunk: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -376,10 +377,10 @@ def train(chunk: DataFrame, vocab: DataFrame) -> Model:
     for r in sizes:
         salts[r["b"]] = -(-r["c"] // (2 * max(BUCKET, tokens // buckets)))
     counted = chunk.mapInPandas(partial(_counted, buckets=buckets), "bucket long, blob binary")
-    grams = staged(counted.groupBy("bucket").applyInPandas(_grams, "bucket long, pairs binary, triples binary, times2 array<long>, times3 array<long>"), "grams")
+    grams = staged(counted.groupBy("bucket").applyInPandas(_grams, "bucket long, pairs binary, triples binary, times2 array<long>, times3 array<long>"), "grams", "bucket")
     got = grams.agg(*[F.sum(F.get(t, F.lit(r))) for t in ("times2", "times3") for r in range(KEEP + 1)]).first()
     d2, d3 = (discounts([n or 0 for n in part]) for part in (got[: KEEP + 1], got[KEEP + 1 :]))
-    weights = staged(grams.mapInPandas(partial(_weights, uni=uni, d2=d2, d3=d3), "bucket long, alpha2 binary"), "backoff")
+    weights = staged(grams.mapInPandas(partial(_weights, uni=uni, d2=d2, d3=d3), "bucket long, alpha2 binary"), "backoff", "bucket")
     return Model(grams, weights, salts, uni, d2, d3)
 
 
@@ -404,13 +405,24 @@ def _asked(batches, salts: np.ndarray):
                 yield pd.DataFrame(out, columns=["bucket", "salt", "uid", "blob"])
 
 
-def _answered(key, asked: pd.DataFrame, model: pd.DataFrame, uni: Unigrams, d2: np.ndarray, d3: np.ndarray) -> pd.DataFrame:
+def _stored(path: str, bucket: int, *columns: str) -> list[bytes]:
+    """A bucket's row of a table that is partitioned by bucket."""
+    from pyarrow import dataset, fs
+
+    place, root = fs.FileSystem.from_uri(path)
+    folder = f"{root}/bucket={bucket}"
+    if place.get_file_info(folder).type == fs.FileType.NotFound:
+        return []
+    row = dataset.dataset(folder, filesystem=place, format="parquet").to_table(columns=list(columns)).to_pylist()[0]
+    return [row[c] for c in columns]
+
+
+def _answered(key, asked: pd.DataFrame, grams: str, weights: str, uni: Unigrams, d2: np.ndarray, d3: np.ndarray) -> pd.DataFrame:
     """What the bucket adds to the unigram score of each text of each chunk."""
     out = []
-    if len(model) and len(asked):
-        m = model.iloc[0]
-        bucket = Bucket(m["pairs"], m["triples"], uni, d2, d3)
-        alpha2 = np.frombuffer(m["alpha2"])
+    if tables := _stored(grams, key[0], "pairs", "triples"):
+        bucket = Bucket(*tables, uni, d2, d3)
+        alpha2 = np.frombuffer(_stored(weights, key[0], "alpha2")[0])
         for row in asked.itertuples():
             h1, w, pair, h2, gram, doc = unpack(row.blob)
             gain = bucket.gains(np.cumsum(h1), w, np.cumsum(pair), h2, alpha2)
@@ -441,20 +453,12 @@ def _summed(key, pdf: pd.DataFrame) -> pd.DataFrame:
 def score(chunk: DataFrame, model: Model) -> DataFrame:
     """Per text of the coded chunks: doc_id, held_out, n_tokens, n_known, base_score, score."""
     asked = chunk.mapInPandas(partial(_asked, salts=model.salts), "bucket long, salt long, uid long, blob binary")
-    many = F.array(*[F.lit(0).cast("long")])
-    if (model.salts > 1).any():
-        several = chunk.sparkSession.createDataFrame([(int(b), int(n)) for b, n in enumerate(model.salts) if n > 1], "bucket long, salts long")
-        stored = model.grams.join(model.weights, "bucket").join(F.broadcast(several), "bucket", "left")
-        many = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1)
-    else:
-        stored = model.grams.join(model.weights, "bucket")
-    stored = stored.select("bucket", F.explode(many).alias("salt"), "pairs", "triples", "alpha2")
-    answer = partial(_answered, uni=model.uni, d2=model.d2, d3=model.d3)
-
-    def answered(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return answer(key, left, right)
-
-    sums = asked.groupBy("bucket", "salt").cogroup(stored.groupBy("bucket", "salt")).applyInPandas(answered, "bucket long, uid long, texts binary, sums binary")
+    answer = partial(_answered, grams=shared_path(model.grams), weights=shared_path(model.weights), uni=model.uni, d2=model.d2, d3=model.d3)
+
+    def answered(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return answer(key, pdf)
+
+    sums = asked.groupBy("bucket", "salt").applyInPandas(answered, "bucket long, uid long, texts binary, sums binary")
     more = sums.groupBy("uid").applyInPandas(_summed, "uid long, pos long, more double")
     alone = chunk.mapInPandas(partial(_alone, uni=model.uni), "uid long, pos long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, alone double")
     both = alone.join(more, ["uid", "pos"], "left")
@@ -473,6 +477,7 @@ def op3_katz(spark, sf_dir: str) -> DataFrame:
         chunk = coded(raw, vocab)
         discard(raw)
         model = train(chunk, vocab)
+        discard(vocab)
         got = staged(score(chunk, model), "scores")
         discard(chunk, model.grams, model.weights)
     return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.uni.tokens).cast("long").alias("train_tokens"), "base_score", "score")

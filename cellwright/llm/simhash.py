@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, renamed, staged
+from .common import discard, passed_on, staged
 
 SHINGLE = 4
 RADIUS = 4
@@ -207,7 +207,7 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         discard(old, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
-            return renamed(edges, {"a": "node", "b": "root"})
+            return passed_on(edges, edges.withColumnsRenamed({"a": "node", "b": "root"}))
         seen = now
 
 
