@@ -129,9 +129,10 @@ def dark_nights(spark, sf_dir):
     return pick(solar.row_findings(spark, m), ["month", "v", "missing_explainable"], ["lat_south", "lat_north", "zenith", "distance"])
 
 
-@R.add("select o_orderkey k, case when o_totalprice = 0 then 0 else round(o_totalprice / pow(1e1, floor(log10(abs(o_totalprice))) - 2)) * pow(1e1, floor(log10(abs(o_totalprice))) - 2) end::decimal(18, 2)::double sig, floor(o_totalprice / 6e5 * 100 + 1e-9)::int pct from orders where o_totalprice * 100 % 50 <> 0")
+@R.add("""with o as (select *, pow(1e1, 2 - floor(log10(abs(o_totalprice)))) scale from orders)
+    select o_orderkey k, case when o_totalprice = 0 then 0e0 else round_even(o_totalprice * scale, 0) / scale end::decimal(18, 2)::double sig, floor(o_totalprice / 6e5 * 100 + 1e-9)::int pct from o""")
 def rounding(spark, sf_dir):
-    o = A.table(spark, sf_dir, "orders").where("o_totalprice * 100 % 50 <> 0")
+    o = A.table(spark, sf_dir, "orders")
     x = F.col("o_totalprice")
     return o.select(F.col("o_orderkey").alias("k"), scalars.significant(x).cast("decimal(18,2)").cast("double").alias("sig"), scalars.floor_percent(x / 6e5).alias("pct"))
 
@@ -179,9 +180,9 @@ def tile_set_states(spark, sf_dir):
     return tables.tile_states({s: o.where(F.col("o_orderstatus") == s).select("tile") for s in ("F", "O")})
 
 
-@R.add("select c_custkey k from customer where c_custkey not in (select o_custkey from orders) ")
+@R.add("select c_custkey k from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
 def set_difference(spark, sf_dir):
-    c, o = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    c, o = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), A.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k"))
     return c.join(o, "k", "left_anti")
 
 
