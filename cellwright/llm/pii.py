@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, staged
+from .common import discard, read, staged
 
 # Kinds in their order, and what a match of each kind is. A start
 # inside a run that has failed cannot succeed, so runs are tried from their
@@ -47,8 +47,8 @@ OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.|$)){4}$"
 CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
 EDGE = r"[\"'()\[\]{}<>,.;:!?*#$%&|]*"
 
-#: Rounds of scoring, prior count of a pattern, support it needs, confidence that makes a span.
-ROUNDS, PRIOR, SUPPORT, ACCEPT = 3, 2.0, 3, 0.9
+#: Prior count of a pattern, support it needs, confidence that makes a span, share of all confidence that ends the rounds.
+PRIOR, SUPPORT, ACCEPT, SETTLED = 2.0, 3, 0.9, 1e-4
 #: Code points of context that are looked at on each side.
 CONTEXT = 60
 
@@ -104,14 +104,28 @@ def _shape(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(token, "[0-9]", "9"), r"\p{L}+", "a")
 
 
-def discover(seeds: DataFrame, tokens: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
+def _seeded(seeds: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Tokens (m, left, right) with the kind of a seed that they touch, by two passes over each text in order."""
+    side = F.struct("start", "end", "kind")
+    both = seeds.select("uid", "start", "end", "kind", F.lit(1).alias("seed"), *[F.lit(None).cast("string").alias(c) for c in ("m", "left", "right")])
+    both = both.unionByName(tokens.select("uid", "start", "end", F.lit(None).cast("string").alias("kind"), F.lit(0).alias("seed"), "m", "left", "right"))
+    text = Window.partitionBy("uid")
+    sofar = text.orderBy("start", F.desc("seed")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = text.orderBy(F.desc("start"), F.desc("seed")).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("seed") == 1, F.struct("end", "kind"))).over(sofar)
+    coming = F.last(F.when(F.col("seed") == 1, side), ignorenulls=True).over(ahead)
+    met = both.withColumn("reach", reach).withColumn("coming", coming).where("seed = 0")
+    kind = F.when(F.col("reach.end") > F.col("start"), F.col("reach.kind")).when(F.col("coming.start") < F.col("end"), F.col("coming.kind"))
+    return met.select("m", "left", "right", kind.alias("kind"))
+
+
+def discover(seeds: DataFrame, tokens: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """(instance, kind) of confident instances that no seed covers.
 
     ``seeds``: uid, kind, start, end; ``tokens``: uid, start, end, m, left, right.
+    Confidence only grows from round to round, so the rounds settle.
     """
-    hit = tokens.join(seeds.select("uid", "kind", F.col("start").alias("s"), F.col("end").alias("e")), "uid", "left")
-    inside = F.when((F.col("s") < F.col("end")) & (F.col("e") > F.col("start")), F.col("kind"))
-    known = hit.groupBy("uid", "start", "m", "left", "right").agg(F.max(inside).alias("kind"))
+    known = _seeded(seeds, tokens)
     shape = _shape(F.col("m"))
     patterns = F.array(F.concat_ws("\t", F.lit("l"), "left", shape), F.concat_ws("\t", F.lit("r"), shape, "right"), F.concat_ws("\t", F.lit("b"), "left", "right"))
     edges = known.select("m", "kind", F.explode(patterns).alias("p")).groupBy("m", "kind", "p").agg(F.count("*").alias("n"))
@@ -121,15 +135,21 @@ def discover(seeds: DataFrame, tokens: DataFrame, rounds: int = ROUNDS, accept:
     weight = edges.groupBy("p").agg(F.sum("n").alias("all"), F.count_distinct("m").alias("instances")).where(F.col("instances") >= SUPPORT)
     weight = staged(weight, "pii-patterns")
     base = edges.where("kind is not null").groupBy("p", "kind").agg(F.sum("n").alias("w"))
-    found = None
-    for _ in range(rounds):
+    found, before = None, -1.0
+    while True:
         support = base
         if found is not None:
             grown = fresh.join(found, "m").groupBy("p", "kind").agg(F.sum(F.col("n") * F.col("c")).alias("w"))
             support = base.union(grown).groupBy("p", "kind").agg(F.sum("w").alias("w"))
         score = support.join(weight, "p").select("p", "kind", (F.col("w") / (F.col("all") + PRIOR)).alias("score")).where("score > 0.2")
         miss = fresh.join(score, "p").groupBy("m", "kind").agg(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))).alias("miss"))
-        found = staged(miss.select("m", "kind", (1 - F.exp("miss")).alias("c")), "pii-instances")
+        last, found = found, staged(miss.select("m", "kind", (1 - F.exp("miss")).alias("c")), "pii-instances")
+        if last is not None:
+            discard(last)
+        total = found.agg(F.sum("c")).first()[0] or 0.0
+        if total - before <= SETTLED * total:
+            break
+        before = total
     best = found.where(F.col("c") >= accept).groupBy("m").agg(F.max_by("kind", F.struct("c", "kind")).alias("kind"))
     return best.join(seen.select("m"), "m", "left_anti")
 

@@ -72,3 +72,14 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, "a@b.c"), (1, "a@b.c"), (None, None)], "doc_id long, text string")
     assert sorted(len(r["spans"]) for r in P.pii_spans(df).collect()) == [0, 1, 1]
     assert P.pii_spans(df.limit(0)).count() == 0
+
+
+def test_tokens_that_touch_seeds(spark):
+    import random
+
+    r = random.Random(15)
+    seeds = [(u, "email", a, a + r.randrange(1, 12)) for u in range(6) for a in r.sample(range(200), 9)]
+    tokens = [(u, a, a + r.randrange(1, 9), f"m{u}-{a}", "l", "r") for u in range(6) for a in r.sample(range(200), 40)]
+    got = P._seeded(spark.createDataFrame(seeds, "uid long, kind string, start long, end long"), spark.createDataFrame(tokens, "uid long, start long, end long, m string, left string, right string"))
+    want = {m: any(u == v and s < e and a < t for v, _, s, t in seeds) for u, a, e, m, _, _ in tokens}
+    assert {x["m"]: x["kind"] is not None for x in got.collect()} == want
