@@ -75,8 +75,6 @@ def test_edges(spark):
 
 
 def test_tokens_that_touch_seeds(spark):
-    import random
-
     r = random.Random(15)
     seeds = [(u, "email", a, a + r.randrange(1, 12)) for u in range(6) for a in r.sample(range(200), 9)]
     tokens = [(u, a, a + r.randrange(1, 9), f"m{u}-{a}", "l", "r") for u in range(6) for a in r.sample(range(200), 40)]
