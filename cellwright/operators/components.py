@@ -11,10 +11,13 @@ OFFSETS = [(0, 1), (1, 0), (1, 1), (1, -1)]
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder of the session."""
+    """Cut the lineage in the shared checkpoint folder of the session; only a local master may name none."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellwright-", dir="/tmp"))
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="cellwright-", dir="/tmp"))
     return df.checkpoint()
 
 
