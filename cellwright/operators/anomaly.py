@@ -18,7 +18,7 @@ from ..functions.months import month_index, month_text
 from ..functions.quality import band, observed_share, snow_suspected
 from ..functions.scalars import median_of, two_sided_normal
 from ..sources.cube import check_hold_out
-from .components import label_components, number_groups
+from .components import label_components, number_groups, written
 
 METHOD = "robust z against earlier years of the same calendar month, Benjamini-Hochberg on nominal p"
 VERSION = "1.0"
@@ -55,11 +55,11 @@ def pooled_spread(rows: DataFrame, s: Thresholds) -> DataFrame:
     bright = (F.col("n_base") >= s.min_base_years) & (F.col("med") >= s.pool_brightness)
     pool = rows.where(F.col("n_base") >= s.min_base_years).select("month", "n_base", F.when(bright, relative).alias("rel"))
     p = s.pool_percentile / 100
-    each = pool.groupBy("month", "n_base").agg(F.count("rel").alias("n"), F.percentile("rel", p).alias("own"))
-    whole = pool.groupBy("month").agg(F.count("rel").alias("n_all"), F.percentile("rel", p).alias("all"))
-    general = F.when(F.col("n_all") >= s.pool_min_cells, F.col("all"))
-    rho = F.when(F.col("n") >= s.pool_min_cells, F.col("own")).otherwise(general)
-    return each.join(whole, "month").select("month", "n_base", F.col("n").alias("pool_cells"), rho.alias("rho"))
+    # both groupings in one pass over the cells; rows without n_base are whole months
+    both = pool.groupingSets([["month", "n_base"], ["month"]], "month", "n_base").agg(F.count("rel").alias("n"), F.percentile("rel", p).alias("value"))
+    enough = F.when(F.col("n") >= s.pool_min_cells, F.col("value"))
+    both = both.withColumn("general", F.max(F.when(F.col("n_base").isNull(), enough)).over(Window.partitionBy("month")))
+    return both.where("n_base is not null").select("month", "n_base", F.col("n").alias("pool_cells"), F.when(F.col("n") >= s.pool_min_cells, F.col("value")).otherwise(F.col("general")).alias("rho"))
 
 
 def score_cells(cube: DataFrame, states: DataFrame, s: Thresholds = Thresholds(), mean: str = "mean_obs", valid: str = "valid", filled: str = "filled") -> DataFrame:
@@ -128,7 +128,8 @@ def mark_cells(scored: DataFrame, s: Thresholds = Thresholds(), p: str | None =
     """Add p, bh, marked, sign, run (months in a row) and effective (marked for long enough)."""
     if p is None:
         scored, p = scored.withColumn("p", two_sided_normal(F.col("z"))), "p"
-    rows = benjamini_hochberg(scored, p, s.q, ["month"], "bh")
+    # written once: the ranks of the p-values read the scored cells three times
+    rows = benjamini_hochberg(written(scored), p, s.q, ["month"], "bh")
     rows = rows.withColumn("marked", F.coalesce(F.col("bh") & (F.abs("z") >= s.z_min), F.lit(False)))
     rows = rows.withColumn("sign", F.when(F.col("marked"), F.signum("z").cast("int")).otherwise(0)).withColumn("t", month_index(F.col("month")))
     # a month that is missing, unscored or unmarked leaves a gap in t and so ends the run

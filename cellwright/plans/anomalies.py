@@ -94,13 +94,16 @@ def event_cells(spark, sf_dir):
     o as (select ev.*, lon_mid, ((lon - lon_mid + 180) % 360 + 360) % 360 - 180 off from ev join mid using (month, nr))
     select 'light-' || strftime(month, '%Y-%m') || '-' || lpad(nr::text, 3, '0') id, month, case when min(sign) > 0 then 'rise' else 'decline' end direction, count(*) n_cells,
     round(sum(6371e0 * 6371e0 * radians(8e0) * (sin(radians(lat + 4)) - sin(radians(lat - 4)))), 2) + 0e0 area_km2, round(avg(lat), 4) + 0e0 lat_mid, min(lat) lat_min, max(lat) lat_max, round(median(z), 6) + 0e0 z_median,
-    case when median(abs(z)) >= 3 then 'extreme' when median(abs(z)) >= 2 then 'strong' else 'noticeable' end band, ['insufficient', 'thin', 'medium', 'good'][min(quality) + 1] quality, min(n_base) n_base_min, round(avg(disagree::int), 6) + 0e0 disagree_share
-    from o group by month, nr, lon_mid"""
+    case when median(abs(z)) >= 3 then 'extreme' when median(abs(z)) >= 2 then 'strong' else 'noticeable' end band, ['insufficient', 'thin', 'medium', 'good'][min(quality) + 1] quality, min(n_base) n_base_min, round(avg(disagree::int), 6) + 0e0 disagree_share,
+    case when abs(lon_mid) > 1799999e-4 then 18e1 else round(lon_mid, 4) + 0e0 end lon_mid, round(((lon_mid + min(off) + 180) % 360 + 360) % 360 - 180, 4) + 0e0 lon_min, round(((lon_mid + max(off) + 180) % 360 + 360) % 360 - 180, 4) + 0e0 lon_max,
+    round((list(z order by abs(z) desc, "row", col))[1], 6) + 0e0 z_max from o group by month, nr, lon_mid"""
 )
 def events(spark, sf_dir):
     got = AN.events(AN.event_cells(marked(spark, sf_dir), A.COLS, DEMO), DEMO, "light", 8.0)
-    got = got.withColumns({"area_km2": F.round("area_km2", 2) + 0.0, "lat_mid": F.round("lat_mid", 4) + 0.0})
-    return pick(got, ["id", "month", "direction", "n_cells", "area_km2", "lat_mid", "lat_min", "lat_max", "band", "quality", "n_base_min"], ["z_median", "disagree_share"])
+    # both ends of the longitude axis are the same place
+    got = got.withColumn("lon_mid", F.when(F.abs("lon_mid") > 179.9999, 180.0).otherwise(F.col("lon_mid")))
+    got = got.withColumns({"area_km2": F.round("area_km2", 2) + 0.0} | {c: F.round(c, 4) + 0.0 for c in ("lat_mid", "lon_mid", "lon_min", "lon_max")})
+    return pick(got, ["id", "month", "direction", "n_cells", "area_km2", "lat_mid", "lat_min", "lat_max", "lon_mid", "lon_min", "lon_max", "band", "quality", "n_base_min"], ["z_median", "z_max", "disagree_share"])
 
 
 @R.add(f"{MARKED} select month, count(*) n_bright, {r('median(z)', 'median_z')}, {r('avg(marked::int)', 'marked_share')}, abs(median(z)) > 5e-1 or avg(marked::int) > 1e-1 suspicious from marked where bright group by month")
