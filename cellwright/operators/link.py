@@ -28,8 +28,7 @@ def light_per_unit(cells: DataFrame, bridge: DataFrame, e: LinkSettings = LinkSe
     klass = cell_class(F.col("mean_obs"), F.col("valid"), F.col("filled"), loaded, e)
     share = observed_share_or_null(F.col("valid"), F.col("filled"))
     c = cells.select("month", "row", "col", klass.alias("k"), light_density(F.col("mean_obs"), F.col("valid"), klass).alias("light"), snow_suspected(F.col("lat"), F.month("month"), share, e.snow).alias("snow_cell"))
-    every = with_land(bridge).crossJoin(F.broadcast(cells.select("month").distinct()))
-    z = every.join(c, ["month", "row", "col"], "left").withColumn("k", F.coalesce("k", F.lit(2)))
+    z = with_land(bridge).join(c, ["row", "col"])
     sparse = (F.col("k") == 0) & (F.col("land") < e.min_land)
     counts = (F.col("k") == 0) & ~sparse
     if e.distribution == "normalised":
@@ -40,11 +39,16 @@ def light_per_unit(cells: DataFrame, bridge: DataFrame, e: LinkSettings = LinkSe
     def area(mask: Column) -> Column:
         return F.sum(F.when(mask, F.col("area_km2")).otherwise(0.0))
 
-    g = z.groupBy("month", "unit_id").agg(
-        F.sum("area_km2").alias("area_km2"), area(counts).alias("area_covered_km2"), area(F.col("k") == 1).alias("not_loaded"), area(F.col("k") == 2).alias("no_data"),
+    there = z.groupBy("month", "unit_id").agg(
+        F.sum("area_km2").alias("there"), area(counts).alias("area_covered_km2"), area(F.col("k") == 1).alias("not_loaded"), area(F.col("k") == 2).alias("no_data"),
         area(F.col("k") == 3).alias("insufficient"), area(sparse).alias("undistributed"), area(F.coalesce("snow_cell", F.lit(False)) & (F.col("k") == 0)).alias("snow"),
-        F.sum(F.when(counts, amount).otherwise(0.0)).alias("light"), F.count("*").alias("n_cells"),
+        F.sum(F.when(counts, amount).otherwise(0.0)).alias("light"),
     )
+    # absent cells are what the unit's own total leaves over: only units, not cells, meet all months of the calendar
+    whole = bridge.groupBy("unit_id").agg(F.sum("area_km2").alias("area_km2"), F.count("*").alias("n_cells"))
+    g = whole.crossJoin(F.broadcast(cells.select("month").distinct())).join(there, ["month", "unit_id"], "left").fillna(0.0, ["there", "area_covered_km2", "light", *SHARES])
+    left_over = F.greatest(F.col("area_km2") - F.col("there"), F.lit(0.0))
+    g = g.withColumn("no_data", F.col("no_data") + F.when(left_over > 1e-12 * F.col("area_km2"), left_over).otherwise(0.0))
     g = g.withColumn("coverage", F.col("area_covered_km2") / F.col("area_km2"))
     partial = F.when(F.col("area_covered_km2") > 0, F.col("light"))
     return g.select(
@@ -61,7 +65,7 @@ def country_view(units: DataFrame, with_unclear: bool = True) -> DataFrame:
 
 def light_per_country(per_unit: DataFrame, units: DataFrame, purity: DataFrame | None = None, e: LinkSettings = LinkSettings()) -> DataFrame:
     """Units summed to countries: area-weighted shares, coverage gate, purity and a flag text."""
-    d = per_unit.join(F.broadcast(country_view(units, e.with_unclear).select("unit_id", "country", "clarity", "level")), "unit_id")
+    d = per_unit.join(country_view(units, e.with_unclear).select("unit_id", "country", "clarity", "level"), "unit_id")
     unclear = (F.col("clarity") == "unclear") & F.col("level").startswith("special")
     g = d.groupBy("month", "country").agg(
         F.sum("area_km2").alias("area_km2"), F.sum("area_covered_km2").alias("area_covered_km2"), F.sum("light_covered").alias("light_covered"),
@@ -101,7 +105,7 @@ def country_flags(e: LinkSettings = LinkSettings()) -> Column:
 
 def purity(units: DataFrame, bridge: DataFrame, key: str = "country", threshold: float = 0.9) -> DataFrame:
     """Per group: share of its area in cells whose land is mostly the group's."""
-    own = bridge.join(F.broadcast(units.select("unit_id", key).where(F.col(key).isNotNull())), "unit_id").groupBy(key, "row", "col").agg(F.sum("share").alias("share"), F.sum("area_km2").alias("area"))
+    own = bridge.join(units.select("unit_id", key).where(F.col(key).isNotNull()), "unit_id").groupBy(key, "row", "col").agg(F.sum("share").alias("share"), F.sum("area_km2").alias("area"))
     land = bridge.groupBy("row", "col").agg(F.sum("share").alias("land"))
     met = own.join(land, ["row", "col"])
     pure = F.sum(F.when(F.col("share") / F.col("land") >= threshold, F.col("area")).otherwise(0.0))
@@ -146,7 +150,7 @@ def region_per_country(units: DataFrame, bridge: DataFrame) -> DataFrame:
 
 def land_and_continent(bridge: DataFrame, units: DataFrame) -> DataFrame:
     """Per cell: land share (at most 1), continent of the greatest share, and that share."""
-    z = bridge.join(F.broadcast(units.select("unit_id", "m49_region")), "unit_id", "left")
+    z = bridge.join(units.select("unit_id", "m49_region"), "unit_id", "left")
     land = z.groupBy("row", "col").agg(F.least(F.sum("share"), F.lit(1.0)).alias("land"))
     by = z.where("m49_region <> ''").groupBy("row", "col", "m49_region").agg(F.sum("share").alias("share"))
     first = F.row_number().over(Window.partitionBy("row", "col").orderBy(F.desc("share"), "m49_region"))
@@ -174,7 +178,7 @@ def cell_year(cells: DataFrame, r: CrossSectionRules = CrossSectionRules()) -> D
 def cell_country_weights(units: DataFrame, bridge: DataFrame, cell_area: Column | None = None, r: CrossSectionRules = CrossSectionRules()) -> DataFrame:
     """Per (country, cell): weight of the cell for the country, and whether the cell is the country's alone."""
     e = r.link
-    z = with_land(bridge).join(F.broadcast(country_view(units, e.with_unclear).select("unit_id", "country")), "unit_id")
+    z = with_land(bridge).join(country_view(units, e.with_unclear).select("unit_id", "country"), "unit_id")
     t = z.groupBy("country", "row", "col").agg(F.sum("share").alias("share"), F.sum("area_km2").alias("area_km2"), F.first("land").alias("land"), F.max(F.col("area_km2") / F.col("share")).alias("cell_km2"))
     size = cell_area if cell_area is not None else F.col("cell_km2")
     w = size * F.col("share") / F.col("land") if e.distribution == "normalised" else F.col("area_km2")
