@@ -3,7 +3,8 @@
 A month is published in four steps: state 3 (being written), the month's own
 folder, comparison of what was read back, final state. A crash between the
 steps leaves state 3, which no reader accepts. Months are folders
-``year=.../mon=...``; only the month's own folder is ever replaced.
+``year=.../mon=...``; only the month's own folder is ever replaced. Whole tables
+are versions under a folder; a pointer names the one that readers see.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from __future__ import annotations
 import datetime
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FINISHED, REGION
 from ..functions.months import axis
 
 WRITING, INCOMPLETE, ABSENT = 3, 2, 5
+POINTER_SCHEMA = "version long, folder string"
 STATE_SCHEMA = "month date, state int, version long"
 
 
@@ -34,19 +36,80 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).union(b.exceptAll(a))
 
 
-def publish(df: DataFrame, path: str, **options) -> DataFrame:
-    """Write a whole table beside its place, read it back and compare, then write the place.
+def fingerprint(df: DataFrame) -> list[Column]:
+    """Number of rows and sum of their 64-bit hashes: equal for equal rows in any order."""
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(28,0)")).alias("hashes")]
+
+
+def checked_write(df: DataFrame, place: str, mode: str = "error", **options) -> DataFrame:
+    """Write a table and read it back; what is on disk must have the fingerprint taken while writing.
+
+    The rows are worked out once. A difference is an error.
+    """
+    seen = Observation()
+    df.observe(seen, *fingerprint(df)).write.mode(mode).parquet(place, **options)
+    back = df.sparkSession.read.schema(df.schema).parquet(place)
+    wrote, read = seen.get, back.agg(*fingerprint(back)).first()
+    if (wrote["n"], wrote["hashes"]) != (read["n"], read["hashes"]):
+        raise WriteMismatch(f"{place}: read back differs from what was written")
+    return back
 
-    The staged copy stays complete until the place is.
+
+def publish_set(tables: dict[str, DataFrame], path: str, **options) -> dict[str, DataFrame]:
+    """Write tables that belong together as one new version, then point readers to it.
+
+    Every table is written and checked in the version's own folder; one small
+    pointer file makes all of them visible at once. A crash before leaves
+    readers on the version before. Old versions stay until ``drop_versions``.
     """
-    spark = df.sparkSession
-    stage = f"{path}__staged_{uuid.uuid4().hex[:8]}"
-    df.write.parquet(stage, **options)
-    back = spark.read.schema(df.schema).parquet(stage)
-    if not difference(back, df).isEmpty():
-        raise WriteMismatch(f"{path}: read back differs from what was written")
-    back.write.mode("overwrite").parquet(path, **options)
-    return spark.read.schema(df.schema).parquet(path)
+    spark = next(iter(tables.values())).sparkSession
+    number = (newest(spark, path) or 0) + 1
+    # a name of its own: what a crashed run left under the number is not touched
+    folder = f"{number}-{uuid.uuid4().hex[:8]}"
+    for name, df in tables.items():
+        checked_write(df, f"{path}/versions/{folder}/{name}", **options)
+    spark.createDataFrame([(number, folder)], POINTER_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/pointer")
+    return {name: published(spark, path, name) for name in tables}
+
+
+def publish(df: DataFrame, path: str, **options) -> DataFrame:
+    """One table, published as a set of its own."""
+    return publish_set({"table": df}, path, **options)["table"]
+
+
+def newest(spark: SparkSession, path: str) -> int | None:
+    """Number of the version that readers see, none before the first."""
+    return spark.read.schema(POINTER_SCHEMA).parquet(f"{path}/pointer").agg(F.max("version")).first()[0] if _exists(spark, f"{path}/pointer") else None
+
+
+def published(spark: SparkSession, path: str, name: str = "table") -> DataFrame:
+    """A table of the newest published version."""
+    number = newest(spark, path)
+    if number is None:
+        raise ValueError(f"{path}: nothing is published")
+    folder = spark.read.schema(POINTER_SCHEMA).parquet(f"{path}/pointer").agg(F.max_by("folder", "version")).first()[0]
+    return spark.read.parquet(f"{path}/versions/{folder}/{name}")
+
+
+def drop_versions(spark: SparkSession, path: str) -> None:
+    """Remove every version but the newest; for a time when nobody reads an older one."""
+    pointer = spark.read.schema(POINTER_SCHEMA).parquet(f"{path}/pointer")
+    keep = pointer.agg(F.max_by("folder", "version")).first()[0]
+    fs, root = _folder(spark, f"{path}/versions")
+    for status in fs.listStatus(root):
+        if status.getPath().getName() != keep:
+            fs.delete(status.getPath(), True)
+
+
+def _folder(spark: SparkSession, path: str):
+    """File system and path object of a folder that any of Spark's stores may hold."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _folder(spark, path)
+    return fs.exists(place)
 
 
 class CubeWriter:
@@ -96,10 +159,7 @@ class CubeWriter:
             raise MonthExists(f"{year:04d}-{month:02d} is finished")
         self.set_state(year, month, WRITING)
         place = self.month_path(year, month)
-        rows.write.mode("overwrite").parquet(place)
-        back = self.spark.read.schema(rows.schema).parquet(place)
-        if not difference(back, rows).isEmpty():
-            raise WriteMismatch(f"{year:04d}-{month:02d}: read back differs from what was written")
+        checked_write(rows, place, "overwrite")
         self.set_state(year, month, target)
 
     def merge_month(self, rest: DataFrame, region: DataFrame, year: int, month: int) -> None:
@@ -112,6 +172,8 @@ class CubeWriter:
         stage = f"{self.path}/merge_{year}_{month}_{uuid.uuid4().hex[:8]}"
         merged.write.parquet(stage)
         self.write_month(self.spark.read.schema(rest.schema).parquet(stage), year, month)
+        fs, place = _folder(self.spark, stage)
+        fs.delete(place, True)
 
     def mark_absent(self, year: int, month: int, listed: set[tuple[int, int]]) -> None:
         """State 'not at provider', for listed months that are not finished."""

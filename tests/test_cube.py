@@ -124,6 +124,29 @@ def test_publish(spark, tmp_path):
     df = spark.range(10)
     assert sinks.publish(df, str(tmp_path / "t")).count() == 10
     assert sinks.publish(spark.range(3), str(tmp_path / "t")).count() == 3
+    assert sinks.publish(spark.range(0), str(tmp_path / "t")).count() == 0
+
+
+def test_a_failed_set_leaves_readers_on_the_old_tables(spark, tmp_path, monkeypatch):
+    place = str(tmp_path / "set")
+    with pytest.raises(ValueError):
+        sinks.published(spark, place, "a")
+    sinks.publish_set({"a": spark.range(5), "b": spark.range(6)}, place)
+    broken = spark.range(8).select(F.when(F.col("id") == 7, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish_set({"a": spark.range(7), "b": broken}, place)
+    assert [sinks.published(spark, place, n).count() for n in ("a", "b")] == [5, 6]
+    kept = sinks.fingerprint
+    with monkeypatch.context() as m:
+        # every look at the rows counts differently, as if the disk had changed them
+        calls = iter(range(100))
+        m.setattr(sinks, "fingerprint", lambda df: [(F.count(F.lit(1)) + next(calls)).alias("n"), kept(df)[1]])
+        with pytest.raises(sinks.WriteMismatch):
+            sinks.publish_set({"a": spark.range(9)}, place)
+    assert sinks.published(spark, place, "a").count() == 5
+    sinks.publish_set({"a": spark.range(2), "b": spark.range(3)}, place)
+    sinks.drop_versions(spark, place)
+    assert [sinks.published(spark, place, n).count() for n in ("a", "b")] == [2, 3] and len(list((tmp_path / "set" / "versions").iterdir())) == 1
 
 
 def test_break_models_find_a_step():
