@@ -1,17 +1,21 @@
 """SimHash near-dedup of texts whose five-word shingles have a Jaccard share of 0.8 or more.
 
 The tiled comparison of ``simhash`` finds the candidates, on fingerprints of
-128 bits over the distinct shingles of a text. Sets that share 0.8 differ by 19
-of them, with a deviation of 4; texts that share nothing by 64, with one of 6.
-``RADIUS`` lies between, so next to no link is missed (0.002 % of those at
-exactly 0.8, 0.3 % between texts of four and five shingles) and next to no pair
-is looked at in vain. Tiles are dealt by the number of shingles: sets that share
-0.8 differ by a quarter at most, so only neighbouring bands meet.
-
-Texts with a candidate meet again, tile by tile, with their whole shingle sets.
-Each candidate is verified there unless its texts are joined already, and a
-meeting returns a spanning forest of its verified links. So a group of thousands
-of near copies never gives all its pairs, and none of them is left out.
+192 bits over the distinct shingles of a text. Sets that share 0.8 differ by 29
+of them, with a deviation of 5; texts that share nothing by 96, with one of 7.
+``RADIUS`` lies between, so next to no link is missed (none of 80 000 drawn at
+exactly 0.8 with ten shingles and more, 0.2 % between texts of four and five
+shingles) and next to no pair is looked at in vain. Tiles are dealt by the
+number of shingles: sets that share 0.8 differ by a quarter at most, so only
+neighbouring bands meet.
+
+Candidate links, a spanning forest per meeting, make candidate groups; no
+verified link leaves one. Texts of a group meet again with their whole shingle
+sets: small groups share a bucket, sent once, and only a group larger than a
+tile is dealt into tiles that meet each other. Each candidate is verified there
+unless its texts are joined already, and a meeting returns a spanning forest of
+its verified links. So a group of thousands of near copies never gives all its
+pairs, and none of them is left out.
 
 Texts are compared once each, in lower case and with single spaces, so copies
 of equal words cost nothing.
@@ -28,7 +32,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ROW, discard, lookup, numbered, staged
@@ -38,9 +42,9 @@ from .token_shards import _mixed
 SHINGLE = 5
 #: Least share of two sets, as numerator and denominator.
 SHARE = (4, 5)
-LANES, RADIUS = 2, 36
-#: Shingles of a tile of whole sets.
-HASHES = 1 << 18
+LANES, RADIUS = 3, 52
+#: Shingles of a tile of whole sets, and the most to which the tiles of a large group grow.
+HASHES, MOST_HASHES = 1 << 18, 1 << 21
 
 
 def shingle_hashes(text: bytes | None, width: int = SHINGLE) -> tuple[int, np.ndarray]:
@@ -97,7 +101,7 @@ def _band(size: Column) -> Column:
 
 
 def candidates(texts: DataFrame, tile: int | None = None) -> DataFrame:
-    """(text_id) of the texts (text_id, size, lanes) that have a candidate, perhaps more than once."""
+    """Links (a, b) that connect whatever texts (text_id, size, lanes) are candidates of each other."""
     row = F.concat(F.array("text_id", F.col("size").cast("long")), "lanes")
     met = meetings(texts.select(_band(F.col("size")).alias("band"), row.alias("row")), "band", "row", 1, tile or tile_size(texts.count()))
 
@@ -105,15 +109,17 @@ def candidates(texts: DataFrame, tile: int | None = None) -> DataFrame:
         got = {t: np.asarray(x, dtype=np.int64).reshape(-1, 2 + LANES) for t, x in zip(pdf["tile"], pdf["rows"])}
         none = np.zeros((0, 2 + LANES), dtype=np.int64)  # for a tile that the hash left empty
         left, right = (got.get(k, none) for k in key)
-        found = [np.zeros(len(x), dtype=bool) for x in (left, right)]
+        same = key[0] == key[1]
+        rows, shift = (left, 0) if same else (np.concatenate((left, right)), len(left))
         prints = [np.ascontiguousarray(x[:, 2:]).view(np.uint64) for x in (left, right)]
-        for p, q, _ in near_blocks(*prints, RADIUS, key[0] == key[1]) if len(left) and len(right) else ():
+        forest = _Forest(len(rows))
+        for p, q, _ in near_blocks(*prints, RADIUS, same) if len(left) and len(right) else ():
             fits = _fits(left[p, 1], right[q, 1])
-            found[0][p[fits]] = True
-            found[1][q[fits]] = True
-        return pd.DataFrame({"text_id": np.unique(np.concatenate((left[found[0], 0], right[found[1], 0])))})
+            forest.link(p[fits], q[fits] + shift)
+        moved = np.flatnonzero(forest.root != np.arange(len(rows)))
+        return pd.DataFrame({"a": rows[moved, 0], "b": rows[forest.root[moved], 0]})
 
-    return met.groupBy("left", "right").applyInPandas(compare, "text_id long")
+    return met.groupBy("left", "right").applyInPandas(compare, "a long, b long")
 
 
 class Sets:
@@ -166,18 +172,46 @@ def verified(left: Sets, right: Sets, same: bool) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
 
 
+def _plan(groups: DataFrame, hashes: int) -> DataFrame:
+    """Tiles of each band of the groups that outgrow a tile (root, mass, band, size): first, n, low, high.
+
+    Tiles of a group are numbered by band, so those that a tile can meet have
+    consecutive numbers. They grow with the root of the group, up to ``MOST_HASHES``.
+    """
+    tile = F.least(F.lit(max(MOST_HASHES, hashes)), F.sqrt(F.lit(float(hashes)) * F.col("mass")))
+    counts = groups.where(F.col("mass") > hashes).groupBy("root", "mass", "band").agg(F.ceil(F.sum("size") / tile).alias("n"))
+    by_band = Window.partitionBy("root").orderBy("band")
+
+    def upto(last: int) -> Column:
+        return F.coalesce(F.sum("n").over(by_band.rangeBetween(Window.unboundedPreceding, last)), F.lit(0))
+
+    return counts.select("root", "band", "n", upto(-1).alias("first"), upto(-2).alias("low"), (upto(1) - 1).alias("high"))
+
+
 def near_links(sets: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """Links (a, b) that connect whatever is near among the texts (text_id, size, lanes, held)."""
+    """Links (a, b) that connect whatever is near among the texts (text_id, size, lanes, held, root, mass).
+
+    ``root`` is the candidate group and ``mass`` the number of its shingles.
+    """
+    rows = sets.where("size > 0").withColumn("band", _band(F.col("size")))
+    plan = staged(_plan(rows.select("root", "mass", "band", "size"), hashes), "near-plan")
+    dealt = lookup(rows, ["root", "band"], small=plan)
+    small = rows.where(F.col("mass") <= hashes).agg(F.sum("size")).first()[0] or 0
+    large = F.col("mass") > hashes
     row = F.concat(F.array("text_id", F.col("size").cast("long")), "lanes", "held")
-    rows = sets.where("size > 0").select(_band(F.col("size")).alias("band"), "size", row.alias("row"))
-    met = meetings(rows, "band", "row", 1, hashes, F.col("size"))
+    tile = F.when(large, F.col("first") + F.pmod(F.xxhash64("text_id"), "n")).otherwise(0)
+    others = F.when(large, F.sequence("low", "high")).otherwise(F.array(F.lit(0).cast("long")))
+    bucket = F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(-(-small // hashes) or 1)))
+    met = dealt.select(large.alias("large"), bucket.alias("bucket"), tile.cast("long").alias("tile"), row.alias("row"), F.explode(others).alias("other"))
+    met = met.select("large", "bucket", "tile", "row", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"))
 
     def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = {t: Sets(np.asarray(x, dtype=np.int64)) for t, x in zip(pdf["tile"], pdf["rows"])}
-        found = verified(got[key[0]], got[key[1]], key[0] == key[1]) if all(k in got for k in key) else np.zeros((0, 2), dtype=np.int64)
+        got = {t: Sets(np.concatenate(x.to_list())) for t, x in pdf.groupby("tile")["row"]}
+        one, other = key[-2:]
+        found = verified(got[one], got[other], one == other) if one in got and other in got else np.zeros((0, 2), dtype=np.int64)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    return met.groupBy("left", "right").applyInPandas(compare, "a long, b long")
+    return met.groupBy("large", "bucket", "left", "right").applyInPandas(compare, "a long, b long")
 
 
 def near_roots(texts: DataFrame, keyed: DataFrame, tile: int | None = None, hashes: int = HASHES) -> DataFrame:
@@ -187,11 +221,14 @@ def near_roots(texts: DataFrame, keyed: DataFrame, tile: int | None = None, hash
     def sets(col: pd.Series) -> pd.Series:
         return pd.Series([shingle_hashes(t)[1].view(np.int64) for t in col], dtype=object)
 
-    found = staged(candidates(texts.select("text_id", "size", "lanes"), tile).distinct(), "near-candidates")
-    asked = staged(texts.join(found, "text_id").select("text_id", "size", "lanes", F.col("row").alias(ROW)), "near-asked")
-    held = staged(lookup(keyed, ROW, "inner", small=asked).select("text_id", "size", "lanes", sets("body").alias("held")), "near-sets")
+    groups = components(candidates(texts.select("text_id", "size", "lanes"), tile), "candidate-stars")
+    all_nodes = groups.union(groups.select("root", "root").distinct())
+    members = staged(lookup(texts, F.col("text_id") == F.col("node"), "inner", small=all_nodes).select("text_id", "size", "lanes", F.col("row").alias(ROW), "root"), "near-members")
+    mass = members.groupBy("root").agg(F.sum("size").alias("mass"))
+    asked = staged(lookup(members, "root", "inner", small=mass), "near-asked")
+    held = staged(lookup(keyed, ROW, "inner", small=asked).select("text_id", "size", "lanes", "root", "mass", sets("body").alias("held")), "near-sets")
     roots = components(near_links(held, hashes))
-    discard(found, asked, held)
+    discard(groups, members, asked, held)
     return roots
 
 
