@@ -1,9 +1,9 @@
 """Trends per cell: Mann-Kendall, Sen slope, Hamed-Rao and Yue corrections.
 
 Series are gathered per cell (a cell has as many values as months, so a group
-is small) and worked on in Arrow batches: all pairs of a block of cells at once.
-Deseasoning, significance, and the summaries stay DataFrame operations. The
-pair statistics also exist as a self-join (``pair_statistics``).
+is small) and worked on in Arrow batches, a block of cells at once; long series by
+counting and selecting among pairs (``pair_ranks``) instead of holding them.
+Deseasoning, significance, and the summaries stay DataFrame operations.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from ..functions.quality import snow_suspected
 from ..functions.scalars import normal_quantile, two_sided_normal
 from .anomaly import benjamini_hochberg
 from .components import label_components, number_groups, written
+from .pair_ranks import SMALL, PairSlopes, kendall
 
 #: Pairs of time steps that a block of cells may have.
 PAIRS = 4_000_000
@@ -43,16 +44,14 @@ def deseason(series: DataFrame, cell: list[str], value: str = "x", t: str = "t",
 
 
 def pair_statistics(series: DataFrame, cell: list[str], value: str = "y", t: str = "t") -> DataFrame:
-    """Per cell: n, s, var_s (with ties), z and the Sen slope, by a self-join of the cell's time steps."""
-    rows = series.where(F.col(value).isNotNull()).select(*cell, F.col(t).alias("t"), F.col(value).alias("y"))
-    later = rows.select(*cell, F.col("t").alias("t2"), F.col("y").alias("y2"))
-    pairs = rows.join(later, cell).where("t < t2")
-    ties = rows.groupBy(*cell, "y").agg(F.count("*").alias("k")).groupBy(*cell).agg(F.sum(F.col("k") * (F.col("k") - 1) * (2 * F.col("k") + 5)).alias("ties"), F.sum("k").alias("n"))
-    got = pairs.groupBy(*cell).agg(F.sum(F.signum(F.col("y2") - F.col("y"))).alias("s"), F.median((F.col("y2") - F.col("y")) / (F.col("t2") - F.col("t"))).alias("slope"))
-    out = ties.join(got, cell, "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
-    var = (F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) - F.col("ties")) / 18.0
-    z = F.when(var > 0, (F.col("s") - F.signum("s")) / F.sqrt(var)).when(F.col("s") == 0, 0.0)
-    return out.select(*cell, "n", "s", var.alias("var_s"), z.alias("z"), "slope")
+    """Per cell: n, s, var_s (with ties), z and the Sen slope, by ranks of pairs that are never held (``pair_ranks``)."""
+
+    def work(y: np.ndarray) -> dict[str, np.ndarray]:
+        s, var, n = kendall(y)
+        return {"n": n, "s": s, "var_s": var, "z": score(s, var), "slope": PairSlopes(y, np.arange(y.shape[1])).median()}
+
+    got = per_block(series.where(F.col(value).isNotNull()), cell, value, t, work, {"n": "double", "s": "double", "var_s": "double", "z": "double", "slope": "double"})
+    return got.withColumn("n", F.col("n").cast("long"))
 
 
 def autocorrelation(series: DataFrame, cell: list[str], lags: int, value: str = "y", t: str = "t") -> DataFrame:
@@ -67,140 +66,101 @@ def autocorrelation(series: DataFrame, cell: list[str], lags: int, value: str =
     return d.join(ahead, [*cell, "t"]).where("square > 0").groupBy(*cell, "lag").agg((F.sum(F.col("d") * F.col("d2")) / F.first("square")).alias("rho"))
 
 
-# --- array kernels: rows are cells, columns time steps, NaN is missing
-
-
-def _kendall(y: np.ndarray) -> tuple[np.ndarray, ...]:
-    """s, its variance with ties, z and n of each row."""
-    i, j = np.triu_indices(y.shape[1], 1)
-    s = np.nansum(np.sign(y[:, j] - y[:, i]), axis=1)
-    n = np.isfinite(y).sum(axis=1).astype(float)
-    ordered = np.sort(y, axis=1)
-    fresh = np.ones(y.shape, dtype=bool)
-    fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-    # length of the run of equal values that ends at each place
-    place = np.arange(y.shape[1])
-    start = np.maximum.accumulate(np.where(fresh, place, 0), axis=1)
-    ends = np.ones(y.shape, dtype=bool)
-    ends[:, :-1] = fresh[:, 1:]
-    k = np.where(ends & np.isfinite(ordered), place - start + 1, 0).astype(float)
-    var = (n * (n - 1) * (2 * n + 5) - (k * (k - 1) * (2 * k + 5)).sum(axis=1)) / 18
-    with np.errstate(invalid="ignore", divide="ignore"):
-        z = np.where(var > 0, (s - np.sign(s)) / np.sqrt(var), np.where(s == 0, 0.0, np.nan))
-    return s, var, z, n
+# --- statistics of a block: rows are cells, columns time steps, NaN is missing
 
 
-def _slopes(y: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted slopes of all pairs of each row, NaN last, and their number."""
-    i, j = np.triu_indices(y.shape[1], 1)
-    slopes = np.sort((y[:, j] - y[:, i]) / (t[j] - t[i]), axis=1)
-    return slopes, np.isfinite(slopes).sum(axis=1)
-
+def score(s: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """Normal score of S, one step nearer to zero; zero for S = 0, none without variance."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        z = np.copysign(np.maximum(np.abs(s) - 1, 0), s) / np.sqrt(np.where(var > 0, var, np.nan))
+    return np.where(s == 0, 0.0, z)
 
-def _at(sorted_: np.ndarray, k: np.ndarray) -> np.ndarray:
-    if not sorted_.shape[1]:
-        return np.full(len(sorted_), np.nan)
-    return sorted_[np.arange(len(sorted_)), np.clip(k, 0, sorted_.shape[1] - 1)]
 
+def mid_ranks(y: np.ndarray) -> np.ndarray:
+    """Ranks with ties at their mean, row by row; NaN keeps none."""
+    return pd.DataFrame(y.T).rank().to_numpy().T
 
-def _sen(slopes: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return np.where(m > 0, (_at(slopes, (m - 1) // 2) + _at(slopes, m // 2)) / 2, np.nan)
 
+def correlogram(y: np.ndarray, lags: int) -> np.ndarray:
+    """(cells, lags): autocorrelation at lags 1 .. ``lags`` from the power spectrum of the deviations.
 
-def _sen_band(slopes: np.ndarray, m: np.ndarray, var: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
-    """Band of the slope by ranks; NaN where the variance or the ranks do not allow one."""
-    good = np.isfinite(var) & (var > 0) & (m > 0)
-    c = normal_quantile(0.5 + level / 2) * np.sqrt(np.where(good, var, 0))
-    low, high = np.floor((m - c) / 2).astype(int), np.ceil((m + c) / 2).astype(int)
-    good &= (low >= 1) & (high <= m)
-    return np.where(good, _at(slopes, low - 1), np.nan), np.where(good, _at(slopes, np.minimum(high, m - 1)), np.nan)
+    Missing steps count as no deviation, so a lag has the products of the pairs
+    that are there; mean and denominator come from all values. A constant or
+    empty row has none.
+    """
+    there = np.isfinite(y)
+    n = there.sum(axis=1, keepdims=True)
+    filled = np.where(there, y, 0.0)
+    off = np.where(there, filled - filled.sum(axis=1, keepdims=True) / np.maximum(n, 1), 0.0)
+    power = np.abs(np.fft.rfft(off, 2 * y.shape[1], axis=1)) ** 2
+    products = np.fft.irfft(power, 2 * y.shape[1], axis=1)
+    square = (off * off).sum(axis=1, keepdims=True)
+    varies = np.ptp(np.where(there, y, filled.max(axis=1, keepdims=True)), axis=1, keepdims=True) > 0
+    out = np.full((len(y), lags), np.nan)
+    width = min(lags, y.shape[1] - 1)
+    np.divide(products[:, 1 : width + 1], square, out=out[:, :width], where=varies & (square > 0))
+    return out
 
 
-def _midranks(y: np.ndarray) -> np.ndarray:
-    """Ranks with ties at their mean; NaN keeps none."""
-    order = np.argsort(y, axis=1, kind="stable")
-    s = np.take_along_axis(y, order, axis=1)
-    place = np.arange(y.shape[1])
-    fresh = np.ones(y.shape, dtype=bool)
-    fresh[:, 1:] = s[:, 1:] != s[:, :-1]
-    first = np.maximum.accumulate(np.where(fresh, place, 0), axis=1)
-    ends = np.ones(y.shape, dtype=bool)
-    ends[:, :-1] = fresh[:, 1:]
-    last = np.minimum.accumulate(np.where(ends, place, y.shape[1])[:, ::-1], axis=1)[:, ::-1]
-    ranks = np.empty(y.shape)
-    np.put_along_axis(ranks, order, (first + last) / 2 + 1, axis=1)
-    return np.where(np.isfinite(y), ranks, np.nan)
+def telling(rho: np.ndarray, n: np.ndarray, level: float = 0.05) -> np.ndarray:
+    """Autocorrelations outside the band of white noise; the others as zero."""
+    band = normal_quantile(1 - level / 2)
+    return np.where(np.abs(rho) * np.sqrt(n) > band, rho, 0.0)
 
 
-def _autocorrelation(y: np.ndarray, lags: int) -> np.ndarray:
-    """Autocorrelation of each row at lags 1 .. lags, by the pairs that are there."""
-    with np.errstate(invalid="ignore", divide="ignore"):
-        n = np.isfinite(y).sum(axis=1, keepdims=True)
-        d = y - np.where(n > 0, np.nansum(y, axis=1, keepdims=True) / np.maximum(n, 1), np.nan)
-        whole = np.nansum(d * d, axis=1)
-        out = np.array([np.nansum(d[:, k:] * d[:, :-k], axis=1) / whole for k in range(1, min(lags, y.shape[1] - 1) + 1)])
-    return np.where(whole > 0, out, np.nan)
-
-
-def _hamed_rao(y: np.ndarray, t: np.ndarray, slope: np.ndarray, lags: int, level: float = 0.05, only_widen: bool = True) -> np.ndarray:
-    """Factor of the variance for autocorrelated ranks of the detrended series."""
-    n = np.isfinite(y).sum(axis=1).astype(float)
-    rho = _autocorrelation(_midranks(y - slope[:, None] * t), lags)
-    k = np.arange(1, len(rho) + 1)[:, None]
-    weight = (n - k) * (n - k - 1) * (n - k - 2)
-    telling = np.isfinite(rho) & (np.abs(rho) > normal_quantile(1 - level / 2) / np.sqrt(np.maximum(n, 1))) & (weight > 0)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        factor = 1 + 2 / (n * (n - 1) * (n - 2)) * np.where(telling, weight * rho, 0).sum(axis=0)
-    factor = np.where((n >= 3) & (factor > 0), factor, np.nan)
-    return np.fmax(factor, 1.0) * np.where(np.isfinite(factor), 1, np.nan) if only_widen else factor
+def variance_factor(y: np.ndarray, t: np.ndarray, slope: np.ndarray, lags: int) -> np.ndarray:
+    """Hamed and Rao: widening of Var(S) by the autocorrelation of the ranks around the trend, at least 1.
 
+    1 + 2 sum_k (n-k)_3 rho_k / (n)_3 over the telling lags, (m)_3 = m (m-1) (m-2).
+    None for fewer than three values or where the sum is not positive.
+    """
+    n = np.isfinite(y).sum(axis=1, keepdims=True)
 
-def _yue(y: np.ndarray, t: np.ndarray, slope: np.ndarray, level: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Trend-free pre-whitened series, and the lag-one autocorrelation."""
-    trend = slope[:, None] * t
-    rest = y - trend
-    r1 = _autocorrelation(rest, 1)[0]
-    n = np.isfinite(y).sum(axis=1)
-    telling = np.isfinite(r1) & (np.abs(r1) > normal_quantile(1 - level / 2) / np.sqrt(np.maximum(n, 1)))
-    white = np.full(y.shape, np.nan)
-    white[:, 1:] = rest[:, 1:] - np.nan_to_num(r1)[:, None] * rest[:, :-1] + trend[:, 1:]
-    return np.where(telling[:, None], white, y), r1
+    def three(m: np.ndarray) -> np.ndarray:
+        m = np.maximum(m, 0).astype(float)
+        return m * (m - 1) * (m - 2)
 
+    rho = telling(correlogram(mid_ranks(y - np.outer(slope, t)), lags), n)
+    out = np.full(len(y), np.nan)
+    enough = n[:, 0] > 2
+    total = (three(n - np.arange(1, lags + 1)) * rho)[enough].sum(axis=1)
+    out[enough] = 1 + 2 * total / three(n[enough, 0])
+    return np.where(out > 0, np.maximum(out, 1.0), np.nan)
 
-FIELDS = ["slope", "low", "high", "low_hr", "high_hr", "z_mk", "z_hr", "factor_hr", "z_yue", "r1"]
 
+def whitened(y: np.ndarray, t: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Yue: each value less r1 times the residual of the step before, where r1 is telling; and r1.
 
-def _trend_block(y: np.ndarray, e: TrendSettings) -> dict[str, np.ndarray]:
-    t = np.arange(y.shape[1], dtype=float)
-    n = np.isfinite(y).sum(axis=1)
-    s, var, z, _ = _kendall(y)
-    slopes, m = _slopes(y, t)
-    b = _sen(slopes, m)
-    short, full = n < e.lengths.mann_kendall, n >= e.lengths.autocorrelation
-    low, high = _sen_band(slopes, m, var, e.band_level)
-    factor = _hamed_rao(y, t, b, e.hamed_rao_lags)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        z_hr = np.where(var * factor > 0, (s - np.sign(s)) / np.sqrt(var * factor), np.where(s == 0, 0.0, np.nan))
-    low_hr, high_hr = _sen_band(slopes, m, var * factor, e.band_level)
-    white, r1 = _yue(y, t, b)
-    _, _, z_yue, n_yue = _kendall(white)
-    z_yue = np.where(n_yue >= e.lengths.autocorrelation, z_yue, np.nan)
-    out = dict(zip(FIELDS, (b * 12, low * 12, high * 12, low_hr * 12, high_hr * 12, z, z_hr, factor, z_yue, r1)))
-    for name, x in out.items():
-        out[name] = np.where(short | (~full if name in ("low_hr", "high_hr", "z_hr", "factor_hr", "z_yue", "r1") else False), np.nan, x)
-    return out
-
-
-def series_statistics(series: DataFrame, cell: list[str], value: str = "y", t: str = "t", settings: TrendSettings = TrendSettings()) -> DataFrame:
-    """Per cell: n_valid, status (0 too short, 1 Mann-Kendall only, 2 all) and the statistics per year."""
-    rows = series.groupBy(*cell).agg(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(t).cast("int").alias("t"), F.col(value).cast("double").alias("y")))).alias("points"))
+    The first step then has nothing before it and is missing.
+    """
+    rest = y - np.outer(slope, t)
+    r1 = correlogram(rest, 1)
+    r = telling(r1, np.isfinite(y).sum(axis=1, keepdims=True))
+    before = np.pad(rest, ((0, 0), (1, 0)), constant_values=np.nan)[:, :-1]
+    return np.where(r == 0, y, y - r * before), r1[:, 0]
+
+
+def slope_band(slopes: PairSlopes, var: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes at the ranks that S reaches within its normal band; none where a rank does not exist."""
+    half = normal_quantile(0.5 + level / 2) * np.sqrt(np.where(var > 0, var, np.nan))
+    m = slopes.count
+    known = np.isfinite(half)
+    low = np.floor((m - np.where(known, half, 0)) / 2).astype(np.int64)
+    high = np.ceil((m + np.where(known, half, 0)) / 2).astype(np.int64)
+    known &= (low > 0) & (high <= m)
+    # 1-based ranks: the low-th, and the one after the high-th as far as there is one
+    return slopes.at(np.where(known, low - 1, -1)), slopes.at(np.where(known, np.minimum(high, m - 1), -1))
+
+
+def per_block(series: DataFrame, cell: list[str], value: str, t: str, work, fields: dict[str, str]) -> DataFrame:
+    """Gather each cell's series, lay blocks of cells side by side on their common steps, and add what ``work`` finds."""
+    points = F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(t).cast("int").alias("t"), F.col(value).cast("double").alias("y"))))
+    packed = series.groupBy(*cell).agg(points.alias("points")).select(*cell, F.col("points.t").alias("ts"), F.col("points.y").alias("ys"))
     span = series.agg(F.min(t).cast("int"), F.max(t).cast("int")).first()
     first, length = (span[0] or 0), (span[1] or 0) - (span[0] or 0) + 1
-    packed = rows.select(*cell, F.col("points.t").alias("ts"), F.col("points.y").alias("ys"))
-    names = packed.select(*cell).schema
-    block = max(1, PAIRS // max(1, length * (length - 1) // 2))
+    block = max(1, PAIRS // max(1, min(length * (length - 1) // 2, SMALL)))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for k in range(0, len(pdf), block):
                 part = pdf.iloc[k : k + block]
@@ -208,17 +168,42 @@ def series_statistics(series: DataFrame, cell: list[str], value: str = "y", t: s
                 lens = part["ts"].map(len).to_numpy()
                 if lens.sum():
                     y[np.repeat(np.arange(len(part)), lens), np.concatenate(part["ts"].to_list()) - first] = np.concatenate(part["ys"].to_list())
-                n = np.isfinite(y).sum(axis=1)
-                out = part[cell].reset_index(drop=True)
-                out["n_valid"] = n
-                out["status"] = np.where(n >= settings.lengths.autocorrelation, 2, np.where(n >= settings.lengths.mann_kendall, 1, 0))
-                for name, x in _trend_block(y, settings).items():
-                    out[name] = x
-                yield out
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names) + ", n_valid int, status int, " + ", ".join(f"{f} double" for f in FIELDS)
-    got = packed.mapInPandas(work, schema)
-    return got.select(*cell, "n_valid", "status", *[F.when(~F.isnan(f), F.col(f)).alias(f) for f in FIELDS])
+                yield part[cell].reset_index(drop=True).assign(**work(y))
+
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.select(*cell).schema)
+    got = packed.mapInPandas(blocks, keys + "".join(f", {name} {kind}" for name, kind in fields.items()))
+    return got.select(*cell, *[F.when(~F.isnan(f), F.col(f)).alias(f) if kind == "double" else F.col(f) for f, kind in fields.items()])
+
+
+FIELDS = ["slope", "low", "high", "low_hr", "high_hr", "z_mk", "z_hr", "factor_hr", "z_yue", "r1"]
+#: Those that need the length for autocorrelations.
+LONG_FIELDS = FIELDS[3:5] + FIELDS[6:]
+
+
+def block_statistics(y: np.ndarray, e: TrendSettings) -> dict[str, np.ndarray]:
+    """All statistics of a block; slopes are per year."""
+    t, n = np.arange(y.shape[1], dtype=float), np.isfinite(y).sum(axis=1)
+    s, var, _ = kendall(y)
+    slopes = PairSlopes(y, t)
+    b = slopes.median()
+    factor = variance_factor(y, t, b, e.hamed_rao_lags)
+    white, r1 = whitened(y, t, b)
+    s_yue, var_yue, n_yue = kendall(white)
+    bands = [x * 12 for v in (var, var * factor) for x in slope_band(slopes, v, e.band_level)]
+    z_hr = np.where(np.isfinite(factor) | (s == 0), score(s, var * factor), np.nan)
+    z_yue = np.where(n_yue >= e.lengths.autocorrelation, score(s_yue, var_yue), np.nan)
+    out = dict(zip(FIELDS, (b * 12, *bands, score(s, var), z_hr, factor, z_yue, r1)))
+    for name in FIELDS:
+        least = e.lengths.autocorrelation if name in LONG_FIELDS else e.lengths.mann_kendall
+        out[name] = np.where(n >= max(least, e.lengths.mann_kendall), out[name], np.nan)
+    status = (n >= e.lengths.mann_kendall).astype(np.int32) + (n >= e.lengths.autocorrelation)
+    return {"n_valid": n.astype(np.int32), "status": np.where(n >= e.lengths.autocorrelation, 2, status).astype(np.int32)} | out
+
+
+def series_statistics(series: DataFrame, cell: list[str], value: str = "y", t: str = "t", settings: TrendSettings = TrendSettings()) -> DataFrame:
+    """Per cell: n_valid, status (0 too short, 1 Mann-Kendall only, 2 all) and the statistics per year."""
+    kinds = {"n_valid": "int", "status": "int"} | dict.fromkeys(FIELDS, "double")
+    return per_block(series, cell, value, t, lambda y: block_statistics(y, settings), kinds)
 
 
 def trend_per_cell(series: DataFrame, cols: int, settings: TrendSettings = TrendSettings()) -> DataFrame:
