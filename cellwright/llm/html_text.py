@@ -1,19 +1,24 @@
 """Main text of web pages by line-block distribution.
 
-A page is read once, tag by tag, into lines, one for each block of text. Lines
-of menus, headers, footers, sidebars, notices, adverts, forms and comments, by
-element, role or name, have no weight, articles of comments or related texts
-among them. Text in an article or main element weighs ``RAISE`` times as much;
-text inside links weighs its length there and nothing elsewhere. A window slides
-over the lines and sums their weights; it ends where boilerplate or another
-landmark begins. Where the sum surges from nothing to the bound and where it
-dives again, text begins and ends; what lies between is kept, if it is not small
-against the heaviest such stretch or stands in the same container as a kept one.
-
-Defined cases: null and empty pages give empty text; unclosed and unmatched
-tags are closed by what encloses them; a hidden section that never ends gives
-way to the article, one with an end tag behind the article keeps it; repeated
-rows are read each; an empty table gives no rows.
+A page is read once, tag by tag, into lines, one for each block of text. A line
+weighs its characters, those inside links ``LINKED`` of that. Landmarks and names
+only change weights: lines of an article or main element weigh ``RAISE`` times as
+much, lines of a part with the page's first heading ``HEADED`` times, lines of a
+part whose class or id names boilerplate a tenth or a hundredth. Menus, headers,
+footers, asides, forms and the like, by element or role, are no text at all.
+
+A window slides over the lines and sums their weights; it ends where the kind of
+text changes. The page sets its own bound, ``SHARE`` of its heaviest window: where
+the sum surges over it text begins, where it dives below text ends, and what lies
+between is kept. So a page of few words keeps them, and named parts are kept where
+nothing weighs more. If the heaviest window lies in a landmark, text outside must
+outweigh it. Lines that stand in the same container as kept ones, and are no more
+doubtful, belong to it.
+
+Defined cases: null and empty pages give empty text, others only if all they hold
+is no text; unclosed and unmatched tags are closed by what encloses them; a hidden
+section that never ends gives way to the article, one with an end tag behind the
+article keeps it; repeated rows are read each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-#: Lines of a window, its least weight, least share of the heaviest stretch, weight of a character in a landmark.
-LINES, BOUND, SHARE, RAISE = 3, 80, 0.2, 80
+#: Lines of a window, and the share of the heaviest window that makes text.
+LINES, SHARE = 5, 0.2
+#: Factors of a line's weight: in a landmark, in a part with an h1, inside a link.
+RAISE, HEADED, LINKED = 3.0, 4.0, 0.05
+#: How doubtful a part is, and the factor of its lines: plain, doubtful by name, marked by name, no text.
+PLAIN, DOUBTFUL, MARKED, NO_TEXT = range(4)
+FACTOR = np.array([1.0, 0.1, 0.01, 0.0])
 
 NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 UNQUOTED = re.compile(r"[^>\"']*")
@@ -48,6 +58,11 @@ NAMES = set(
     "masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted recommended related reply replies respond search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Those that mark a part even when other words stand beside them.
+STRONG = set(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu nav navbar navigation newsletter "
+    "pagination popup promo recommended related sidebar sponsor sponsored".split()
+)
 #: Those that mark an article as none of the page's own, unless a word of state stands beside them.
 FOREIGN = set("ad ads advert adverts advertisement advertising comment comments disqus popup promo promoted recommended related reply replies respond sponsor sponsored widget".split())
 STATE = {"no", "has", "with", "without", "allow", "open", "closed", "enabled", "disabled"}
@@ -58,24 +73,27 @@ OWN = {"article", "entry", "post", "content", "story"}
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _is_boiler(tag: str, attrs: str, in_landmark: bool) -> bool:
+def _doubt(tag: str, attrs: str, in_landmark: bool) -> int:
+    """How doubtful a part is by its element, role and names."""
     if tag in BOILER and not (tag == "header" and in_landmark):
-        return True
+        return NO_TEXT
     if tag in ("body", "html") or not attrs:
-        return False
+        return PLAIN
+    out = PLAIN
     for name, *values in NAMED.findall(attrs):
         value, name = next((v for v in values if v), ""), name.lower()
         if name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
-            return True
+            return NO_TEXT
         if name in ("class", "id"):
             for one in value.split():
-                words = set(SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower()))
+                words = set(SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower())) - {""}
                 if tag in LANDMARK:
                     if words & FOREIGN and not words & STATE:
-                        return True
+                        out = MARKED
                 elif words & NAMES and not (words & OWN and words & NAMES <= {"header", "footer"}):
-                    return True
-    return False
+                    sure = words & STRONG and not words & STATE or words <= NAMES
+                    out = max(out, MARKED if sure else DOUBTFUL)
+    return out
 
 
 class _Tags:
@@ -119,27 +137,35 @@ class _Tags:
 
 
 class _Part:
-    """An open element: what encloses it, whether it is boilerplate by itself, outermost landmark, container."""
+    """An open element: what encloses it, its own doubt, outermost landmark, container, nearest part that may hold a heading."""
 
-    __slots__ = ("tag", "ended", "outer", "own", "box", "container", "within", "told", "around")
+    __slots__ = ("tag", "ended", "outer", "own", "box", "container", "home", "landmark", "headed", "within", "told", "around")
 
     def __init__(self, tag: str, outer: _Part | None):
-        self.tag, self.ended, self.outer, self.own = tag, False, outer, False
-        self.box, self.container = (outer.box, outer.container) if outer else (0, 0)
+        self.tag, self.ended, self.outer, self.own, self.headed = tag, False, outer, PLAIN, False
+        self.box, self.container, self.landmark = (outer.box, outer.container, outer.landmark) if outer else (0, 0, None)
+        if tag in LANDMARK and self.landmark is None:
+            self.landmark = self
+        self.home = self if tag in CONTAINER or tag in LANDMARK else outer.home if outer else None
 
     def settle(self) -> None:
-        """Boilerplate inside the nearest landmark, and around it; called for the outer element first.
+        """Doubt inside the nearest landmark, and around it; called for the outer element first.
 
         Around an article, a part never closed is one that ended before.
         """
         above, mark = self.outer, self.tag in LANDMARK
-        self.within = self.own or bool(above and not mark and above.within)
-        self.told = self.own and (self.ended or self.tag in ("aside", "footer", "form")) or bool(above and not mark and above.told)
-        self.around = bool(above and (above.around or mark and above.told))
+        inherits = above is not None and not mark
+        self.within = max(self.own, above.within if inherits else PLAIN)
+        sure = self.ended or self.tag in ("aside", "footer", "form")
+        self.told = max(self.own if sure else PLAIN, above.told if inherits else PLAIN)
+        self.around = max(above.around, above.told if mark else PLAIN) if above else PLAIN
+
+    def has_heading(self) -> bool:
+        return any(p is not None and p.headed for p in (self.home, self.landmark))
 
 
-def page_lines(page: str) -> list[tuple[str, int, int, int]]:
-    """(text, weight outside links, outermost landmark, container) of each block; weight -1 marks boilerplate."""
+def page_lines(page: str) -> list[tuple[str, float, int, int, int, bool]]:
+    """(text, weight, doubt, outermost landmark, container, mostly links) of each block."""
     out: list[tuple[str, int, _Part | None]] = []
     stack: list[_Part] = []
     every: list[_Part] = []
@@ -208,7 +234,11 @@ def page_lines(page: str) -> list[tuple[str, int, int, int]]:
             opened[tag] += 1
             if tag in LANDMARK:
                 part.box = part.box or len(every)
-            part.own = _is_boiler(tag, attrs, part.box > 0)
+            part.own = _doubt(tag, attrs, part.box > 0)
+            if tag == "h1" and (part.outer is None or part.outer.own < MARKED):
+                for p in (part.home, part.landmark):
+                    if p is not None:
+                        p.headed = True
             if tag in CONTAINER:
                 part.container = len(every)
             stack.append(part)
@@ -218,7 +248,23 @@ def page_lines(page: str) -> list[tuple[str, int, int, int]]:
     close_line()
     for part in every:
         part.settle()
-    return [(t, -1 if p and (p.within or p.around) else w, p.box if p else 0, (p.box or p.container) if p else 0) for t, w, p in out]
+    lines = []
+    for line, free, part in out:
+        doubt = max(part.within, part.around) if part else PLAIN
+        weight = (free + LINKED * (len(line) - free)) * FACTOR[doubt]
+        if part:
+            weight *= (RAISE if part.box else 1.0) * (HEADED if part.has_heading() else 1.0)
+        lines.append((line, weight, doubt, part.box if part else 0, (part.box or part.container) if part else 0, 2 * free < len(line)))
+    return lines
+
+
+def window_sums(weight: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the window that begins at each line, and the line behind it; ``follows``: the next line may share a window."""
+    stop = np.arange(len(weight)) + 1
+    for _ in range(LINES - 1):
+        stop = np.where(follows[stop - 1], stop + 1, stop)
+    total = np.concatenate(([0.0], np.cumsum(weight)))
+    return total[stop] - total[:-1], stop
 
 
 def main_text(page: str | None) -> str:
@@ -226,43 +272,27 @@ def main_text(page: str | None) -> str:
     lines = page_lines(page or "")
     if not lines:
         return ""
-    size, weight, box, container = np.array([(len(t), w, b, c) for t, w, b, c in lines], dtype=np.int64).T
-    usable = weight >= 0
-    weight = np.maximum(weight, 0)
-    value = np.where(usable, np.where(box > 0, weight * RAISE + np.maximum(size - weight, 0), weight), 0)
-    # sums of the windows that begin at each line; a window ends where boilerplate or another landmark begins
-    follows = np.append(usable[1:] & (box[1:] == box[:-1]), False)
-    total = np.concatenate(([0], np.cumsum(value)))
-    stop = np.arange(len(lines)) + 1
-    for _ in range(LINES - 1):
-        stop = np.where(follows[stop - 1], stop + 1, stop)
-    sums = total[stop] - total[:-1]
-    keep = np.zeros(len(lines), dtype=bool)
-    for i in np.flatnonzero((sums >= BOUND) & usable):
-        keep[i : stop[i]] = True
-
-    def stretches(on: np.ndarray) -> list[tuple[int, int, int]]:
-        starts = np.flatnonzero(on & ~np.concatenate(([False], on[:-1] & follows[:-1])))
-        ends = np.flatnonzero(on & ~np.append(on[1:] & follows[:-1], False)) + 1
-        found = []
-        for a, b in zip(starts, ends):
-            full = a + np.flatnonzero(value[a:b])  # lines without weight at either end are no text
-            if len(full):
-                found.append((full[0], full[-1] + 1, value[a:b].sum()))
-        return found
-
-    runs = stretches(keep)
-    most = max((n for _, _, n in runs), default=0)
-    final, homes = np.zeros(len(lines), dtype=bool), set()
-    for a, b, n in runs:
-        if n >= SHARE * most:
-            final[a:b] = True
-            own, place = np.unique(container[a:b], return_inverse=True)
-            homes |= {c for c in own[np.bincount(place, weights=value[a:b]) >= BOUND].tolist() if c}
-    # short stretches beside an advert or the like belong to the text of their container
-    for a, b, _ in stretches(usable & ~final & np.isin(container, list(homes))):
-        final[a:b] = True
-    return "\n\n".join(lines[i][0] for i in np.flatnonzero(final))
+    weight, doubt, box, container, linked = (np.array(x) for x in list(zip(*lines))[1:])
+    usable = doubt < NO_TEXT
+    follows = np.append(usable[1:] & (box[1:] == box[:-1]) & (doubt[1:] == doubt[:-1]) & (linked[1:] == linked[:-1]), False)
+    sums, stop = window_sums(weight, follows)
+    sums = np.where(usable, sums, 0.0)
+    top = int(sums.argmax())
+    if not sums[top] > 0:
+        return ""
+    surge = sums >= SHARE * sums[top]
+    if box[top]:
+        surge &= (box > 0) | (sums >= sums[top])
+    edge = np.zeros(len(lines) + 1, dtype=np.int64)
+    np.add.at(edge, np.flatnonzero(surge), 1)
+    np.add.at(edge, stop[surge], -1)
+    kept = np.cumsum(edge[:-1]) > 0
+    # a container that holds a heavy part of the text holds the lines beside it too, in front of an advert or behind it
+    homes = np.unique(container[surge])
+    kept |= usable & (doubt <= doubt[kept].max()) & np.isin(container, homes[homes > 0])
+    if not homes.any():  # text that stands in no container: what is no mere link belongs together
+        kept |= usable & (doubt <= doubt[kept].max()) & (container == 0) & ~linked
+    return "\n\n".join(lines[i][0] for i in np.flatnonzero(kept))
 
 
 def extract(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:

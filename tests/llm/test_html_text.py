@@ -2,6 +2,8 @@ import html
 import re
 import time
 
+import numpy as np
+
 from cellwright.llm import html_text as H
 
 
@@ -90,3 +92,57 @@ def test_windows_decide_without_landmarks(spark):
     plain = [re.sub(r"<(/?)(article|main)\b", r"<\1div", p) for p in pages]
     same = sum(H.main_text(a) == H.main_text(b) for a, b in zip(pages, plain))
     assert same >= 0.98 * len(pages)
+
+
+def test_nothing_but_landmarks_and_names_can_be_missing(spark):
+    """All pages keep their text when article and main become plain boxes."""
+    pages = [r["html"] or "" for r in H.read(spark, "/root/testdata/sf0.1", "pages").collect()]
+    assert len(pages) == 2500
+    for p in pages:
+        want = brute(p)
+        assert H.main_text(p) == want
+        assert H.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", p)) == want
+
+
+def test_pages_of_few_words_keep_them():
+    assert H.main_text("<p>Hello world</p>") == "Hello world" and H.main_text("hello") == "hello"
+    assert H.main_text('<div class="post-content"><p>Tiny.</p></div>') == "Tiny."
+    assert H.main_text('<div class="ad">Only this.</div>') == "Only this."
+    assert H.main_text("<article>a</article>") == "a" and H.main_text("<nav>a</nav><footer>b</footer>") == ""
+
+
+def test_names_lower_weights_only():
+    s = " ".join(LONG.split())
+    assert H.main_text(f'<div class="social-history"><p>{LONG}</p></div><div class="ad">Buy now</div>') == s
+    assert H.main_text(f'<main><h1>Results</h1><section id="search-results"><p>{LONG}</p><p>{LONG}</p></section></main>') == "\n\n".join(["Results", s, s])
+    box = "x y " * 75
+    assert box.strip() in H.main_text(f"<div>{box}</div><article>A teaser of few words</article>")
+
+
+def brute_windows(weight, follows):
+    out = []
+    for i in range(len(weight)):
+        j = i
+        while j - i < H.LINES - 1 and follows[j]:
+            j += 1
+        out.append((sum(weight[i : j + 1]), j + 1))
+    return out
+
+
+def test_window_sums_by_enumeration():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 9, 40):
+        weight = rng.integers(0, 50, n).astype(float)
+        follows = np.append(rng.random(n - 1) < 0.7, False)
+        sums, stop = H.window_sums(weight, follows)
+        assert [(a, b) for a, b in zip(sums.tolist(), stop.tolist())] == brute_windows(weight.tolist(), follows.tolist())
+
+
+def test_windows_are_needed(monkeypatch):
+    """Short lines outweigh one long notice by their windows; a window of one line loses them."""
+    verse = "".join(f"<p>Line {i} of it</p>" for i in range(30))
+    page = f"<div>{'A single unnamed remark of some length. ' * 3}</div><section>{verse}</section>"
+    whole = "\n\n".join(f"Line {i} of it" for i in range(30))
+    assert whole in H.main_text(page)
+    monkeypatch.setattr(H, "LINES", 1)
+    assert whole not in H.main_text(page)
