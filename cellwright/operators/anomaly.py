@@ -19,6 +19,7 @@ from ..functions.quality import band, observed_share, snow_suspected
 from ..functions.scalars import median_of, two_sided_normal
 from ..sources.cube import check_hold_out
 from .components import label_components, number_groups, written
+from .selection import with_percentiles
 
 METHOD = "robust z against earlier years of the same calendar month, Benjamini-Hochberg on nominal p"
 VERSION = "1.0"
@@ -55,8 +56,9 @@ def pooled_spread(rows: DataFrame, s: Thresholds) -> DataFrame:
     bright = (F.col("n_base") >= s.min_base_years) & (F.col("med") >= s.pool_brightness)
     pool = rows.where(F.col("n_base") >= s.min_base_years).select("month", "n_base", F.when(bright, relative).alias("rel"))
     p = s.pool_percentile / 100
-    # both groupings in one pass over the cells; rows without n_base are whole months
-    both = pool.groupingSets([["month", "n_base"], ["month"]], "month", "n_base").agg(F.count("rel").alias("n"), F.percentile("rel", p).alias("value"))
+    # both groupings from one table of the cells; rows of whole months have no n_base
+    both = written(pool.select("month", F.explode(F.array(F.col("n_base"), F.lit(None).cast("int"))).alias("n_base"), "rel"))
+    both = with_percentiles(both.groupBy("month", "n_base").agg(F.count("rel").alias("n")), both, ["month", "n_base"], {"value": (F.col("rel"), p)})
     enough = F.when(F.col("n") >= s.pool_min_cells, F.col("value"))
     both = both.withColumn("general", F.max(F.when(F.col("n_base").isNull(), enough)).over(Window.partitionBy("month")))
     return both.where("n_base is not null").select("month", "n_base", F.col("n").alias("pool_cells"), F.when(F.col("n") >= s.pool_min_cells, F.col("value")).otherwise(F.col("general")).alias("rho"))
@@ -164,10 +166,12 @@ def events(cells: DataFrame, s: Thresholds = Thresholds(), field: str = "light",
     agg = rows.groupBy(*key, "lon_mid").agg(
         F.first("sign").alias("sign"), F.count("*").alias("n_cells"), F.sum(cell_area_km2(F.col("lat"), step)).alias("area_km2"),
         F.avg("lat").alias("lat_mid"), F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"), F.min("off").alias("off_min"), F.max("off").alias("off_max"),
-        F.median("z").alias("z_median"), F.median(F.abs("z")).alias("z_abs"), F.max_by("z", F.struct(F.abs("z"), -F.col("row"), -F.col("col"))).alias("z_max"),
-        F.median("relative_change").alias("relative_change"), F.min("quality").alias("quality"), F.avg("filled_share").alias("filled_share"),
+        F.max_by("z", F.struct(F.abs("z"), -F.col("row"), -F.col("col"))).alias("z_max"),
+        F.min("quality").alias("quality"), F.avg("filled_share").alias("filled_share"),
         F.min("n_base").alias("n_base_min"), F.avg(F.col("disagree").cast("int")).alias("disagree_share"), F.avg(F.col("snow").cast("int")).alias("snow_share"),
     )
+    middles = {"z_median": (F.col("z"), 0.5), "z_abs": (F.abs("z"), 0.5), "relative_change": (F.col("relative_change"), 0.5)}
+    agg = with_percentiles(agg, rows, key, middles)
     names = {"quality": ["insufficient", "thin", "medium", "good"], "band": ["none", "noticeable", "strong", "extreme"]}
     text = F.concat_ws("; ", F.lit("p-values nominal"), F.when(F.col("disagree_share") > 0, F.format_string("classic and robust z disagree in %.0f%% of cells", F.col("disagree_share") * 100)), F.when(F.col("snow_share") > 0, F.format_string("snow suspected in %.0f%% of cells", F.col("snow_share") * 100)))
     return agg.select(
@@ -181,7 +185,9 @@ def events(cells: DataFrame, s: Thresholds = Thresholds(), field: str = "light",
 
 def month_diagnosis(marked: DataFrame, s: Thresholds = Thresholds()) -> DataFrame:
     """Per month over bright cells: median z and marked share; suspicious if the whole month seems shifted."""
-    bright = marked.where("bright").groupBy("month").agg(F.count("*").alias("n_bright"), F.median("z").alias("median_z"), F.avg(F.col("marked").cast("int")).alias("marked_share"))
+    rows = marked.where("bright").select("month", "z", "marked")
+    bright = rows.groupBy("month").agg(F.count("*").alias("n_bright"), F.avg(F.col("marked").cast("int")).alias("marked_share"))
+    bright = with_percentiles(bright, rows, ["month"], {"median_z": (F.col("z"), 0.5)})
     return bright.withColumn("suspicious", (F.abs("median_z") > s.diagnosis_median_z) | (F.col("marked_share") > s.diagnosis_marked))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import LATITUDE_BANDS, Criteria
 from ..functions.grid import cell_of
 from ..functions.quality import comparison_class
+from .selection import with_percentiles
 
 
 def log_value(x: Column, offset: float = 0.1) -> Column:
@@ -26,10 +27,16 @@ def both_valid() -> Column:
     return F.col("ref_has") & F.col("cand_has") & F.col("ref").isNotNull() & F.col("cand").isNotNull()
 
 
+def middles(q: Column) -> dict[str, tuple[Column, float]]:
+    """Median ratio and median distance from one."""
+    return {"median_q": (q, 0.5), "median_dev": (F.abs(q - 1), 0.5)}
+
+
 def ratio_measures(rows: DataFrame, by: list[str]) -> DataFrame:
     """Per group: cells, median ratio, median deviation from 1, share beyond a factor of two."""
     q = F.col("cand") / F.col("ref")
-    return rows.groupBy(*by).agg(F.count("*").alias("cells"), F.median(q).alias("median_q"), F.median(F.abs(q - 1)).alias("median_dev"), F.avg(((q > 2) | (q < 0.5)).cast("int")).alias("factor2"))
+    whole = rows.groupBy(*by).agg(F.count("*").alias("cells"), F.avg(((q > 2) | (q < 0.5)).cast("int")).alias("factor2"))
+    return with_percentiles(whole, rows, by, middles(q))
 
 
 def class_measures(cells: DataFrame, c: Criteria = Criteria()) -> DataFrame:
@@ -37,11 +44,12 @@ def class_measures(cells: DataFrame, c: Criteria = Criteria()) -> DataFrame:
     both = cells.where(both_valid()).withColumn("class", comparison_class(F.col("ref"), c))
     lit = F.col("class") != "dark"
     q = F.when(lit, F.try_divide("cand", "ref"))
-    return both.groupBy("class").agg(
+    whole = both.groupBy("class").agg(
         F.count("*").alias("cells"), log_correlation(F.col("ref"), F.col("cand"), F.lit(True), c).alias("r_log"), F.avg(F.col("cand") - F.col("ref")).alias("mean_difference"),
-        F.median(q).alias("median_q"), F.median(F.abs(q - 1)).alias("median_dev"), F.avg(((q > 2) | (q < 0.5)).cast("int")).alias("factor2"),
+        F.avg(((q > 2) | (q < 0.5)).cast("int")).alias("factor2"),
         F.avg(F.when(~lit, (F.col("cand") >= c.k4_false_from).cast("int"))).alias("false_light"),
     )
+    return with_percentiles(whole, both, ["class"], middles(q))
 
 
 def verdict(cells: DataFrame, sites: dict[str, tuple[float, float, bool]] | None = None, c: Criteria = Criteria(), step: float = 0.25) -> DataFrame:
@@ -106,10 +114,11 @@ def by_latitude(cells: DataFrame, bands: tuple = LATITUDE_BANDS, c: Criteria = C
     rows = cells.join(F.broadcast(table), (F.col("lat") >= F.col("lat_from")) & (F.col("lat") < F.col("lat_to")))
     b = both_valid()
     lit, q = b & (F.col("ref") >= c.dark_to), F.try_divide("cand", "ref")
-    return rows.groupBy("lat_from", "lat_to").agg(
-        F.count_if(lit).alias("cells"), F.median(F.when(lit, q)).alias("median_q"), F.median(F.when(lit, F.abs(q - 1))).alias("median_dev"), F.avg(F.when(lit, ((q > 2) | (q < 0.5)).cast("int"))).alias("factor2"),
+    whole = rows.groupBy("lat_from", "lat_to").agg(
+        F.count_if(lit).alias("cells"), F.avg(F.when(lit, ((q > 2) | (q < 0.5)).cast("int"))).alias("factor2"),
         F.count_if(b & (F.col("ref") < c.dark_to) & (F.col("cand") >= c.k4_false_from)).alias("false_light"), F.count_if(F.col("ref_has") & ~F.col("cand_has")).alias("only_ref"), F.count_if(F.col("cand_has") & ~F.col("ref_has")).alias("only_cand"),
     )
+    return with_percentiles(whole, rows, ["lat_from", "lat_to"], middles(F.when(lit, q)))
 
 
 def block_bootstrap(cells: DataFrame, replicates: int = 1000, seed: int = 0, per_block: int = 40, c: Criteria = Criteria()) -> DataFrame:
