@@ -8,7 +8,7 @@ from ..config import DiagnosisRules
 from ..functions import grid, months, quality, scalars, solar
 from ..operators import geometry
 from ..operators.indicators import reconcile as reconcile_codes
-from ..sources import tables
+from ..sources import blocks, places, proof, tables
 from ..sources.cube import CubeReader, dense, region_mask
 from ..sources.sinks import difference, manifest_rows, merge_region
 from . import adapters as A
@@ -245,6 +245,36 @@ def work_order(spark, sf_dir):
     return ordered.select("month", F.row_number().over(Window.orderBy("id")).alias("place"))
 
 
+@R.add(f"{CS} select month, \"row\", col, {r('mean_obs')} from cube join states using (month) where state = 1 and month >= date '1997-01-01' and month < date '1997-07-01'")
+def proven_months(spark, sf_dir):
+    """The cube written with a manifest, and half a year of its proven months read back."""
+    path = places.shared_folder(spark, "proven-cube")
+    cube = A.cube(spark, sf_dir).select("month", "row", "col", "mean_obs")
+    proof.write_proven(cube, path, A.states(spark, sf_dir).select("month", F.when(F.col("state") == 1, "loaded").otherwise("not loaded").alias("state")))
+    got = proof.proven(spark, path, "month date, row int, col int, mean_obs double")
+    return pick(got.where("month >= date '1997-01-01' and month < date '1997-07-01'"), ["month", "row", "col"], ["mean_obs"])
+
+
+@R.add(f"{A.with_(A.CUBE)} select year(month)::int as year, \"row\", col, count(*) as months, {r('sum(mean_obs)', 'total')} from cube group by year(month), \"row\", col")
+def block_totals(spark, sf_dir):
+    """A block of work a year, written with a ledger and published when all years are there."""
+    path = places.shared_folder(spark, "blocks")
+    source = places.shared_folder(spark, "block-source")
+    A.cube(spark, sf_dir).select(F.year("month").alias("year"), "row", "col", "mean_obs").write.partitionBy("year").parquet(source)
+    wanted = spark.read.parquet(source).select(F.concat(F.lit("y"), "year").alias("block"), "year").distinct()
+
+    def fetch(asked):
+        from pyarrow import dataset
+
+        fs, root = places.opened(source)
+        part = dataset.dataset(f"{root}/year={asked['year']}", filesystem=fs, format="parquet").to_table().to_pandas()
+        got = part.groupby(["row", "col"], as_index=False)["mean_obs"].agg(["count", "sum"])
+        yield got.rename(columns={"count": "months", "sum": "total"}).assign(year=asked["year"])
+
+    got = blocks.fetched(wanted, fetch, "year int, row int, col int, months long, total double", path)
+    return pick(got.select(*[F.col(c).cast("int").alias(c) for c in ("year", "row", "col")], "months", "total"), ["year", "row", "col", "months"], ["total"])
+
+
 LOG = [
     "2024-01-01 00:00:00 UTC  run started", "2024-01-01 00:00:05 UTC  2018-01: start", "2024-01-01 00:01:00 UTC  2018-01: 540 tiles reported", "2024-01-01 01:00:00 UTC  2018-01: finished", "2024-01-01 01:00:01 UTC  2018-02: start",
     "Traceback (most recent call last):", "2024-01-01 01:10:00 UTC  ERROR timeout", "2024-01-01 01:10:01 UTC  2018-02: deferred", "2024-01-02 00:00:00 UTC  run started", "2024-01-02 00:00:05 UTC  2018-02: start", "2024-01-02 00:02:00 UTC  2018-02: 188 tiles reported",

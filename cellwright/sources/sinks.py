@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from ..config import FINISHED, REGION
 from ..functions.months import axis
+from .places import create_once, handle, read_json
 
 WRITING, INCOMPLETE, ABSENT = 3, 2, 5
-POINTER_SCHEMA = "version long, folder string"
 STATE_SCHEMA = "month date, state int, version long"
 
 
@@ -31,6 +31,10 @@ class WriteMismatch(RuntimeError):
     """What was read back is not what was written."""
 
 
+class Superseded(RuntimeError):
+    """Another writer has published first."""
+
+
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of either side that the other lacks, counted with repetitions; empty if both are equal."""
     return a.exceptAll(b).union(b.exceptAll(a))
@@ -55,31 +59,46 @@ def checked_write(df: DataFrame, place: str, mode: str = "error", **options) ->
     return back
 
 
-def publish_set(tables: dict[str, DataFrame], path: str, **options) -> dict[str, DataFrame]:
-    """Write tables that belong together as one new version, then point readers to it.
+def publish_set(tables: dict[str, DataFrame], path: str, after: int | None = None, **options) -> dict[str, DataFrame]:
+    """Write tables that belong together as the version after ``after``, then point readers to it.
 
     Every table is written and checked in the version's own folder; one small
-    pointer file makes all of them visible at once. A crash before leaves
-    readers on the version before. Old versions stay until ``drop_versions``.
+    pointer file makes all of them visible at once. It is created only if nobody
+    has: of two writers that began from the same version one publishes, the other
+    gets ``Superseded`` and takes its files away. ``after`` is the version that the
+    tables were worked out from, the newest at the call by default. A crash
+    before leaves readers on the version before. Old versions stay until
+    ``drop_versions``.
     """
     spark = next(iter(tables.values())).sparkSession
-    number = (newest(spark, path) or 0) + 1
+    number = ((newest(spark, path) or 0) if after is None else after) + 1
     # a name of its own: what a crashed run left under the number is not touched
     folder = f"{number}-{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
         checked_write(df, f"{path}/versions/{folder}/{name}", **options)
-    spark.createDataFrame([(number, folder)], POINTER_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/pointer")
+    if not create_once(spark, _pointer(path, number), {"version": number, "folder": folder}):
+        fs, place = handle(spark, f"{path}/versions/{folder}")
+        fs.delete(place, True)
+        raise Superseded(f"{path}: another writer has published version {number}")
     return {name: published(spark, path, name) for name in tables}
 
 
-def publish(df: DataFrame, path: str, **options) -> DataFrame:
+def publish(df: DataFrame, path: str, after: int | None = None, **options) -> DataFrame:
     """One table, published as a set of its own."""
-    return publish_set({"table": df}, path, **options)["table"]
+    return publish_set({"table": df}, path, after, **options)["table"]
+
+
+def _pointer(path: str, number: int) -> str:
+    return f"{path}/pointer/{number:012d}.json"
 
 
 def newest(spark: SparkSession, path: str) -> int | None:
     """Number of the version that readers see, none before the first."""
-    return spark.read.schema(POINTER_SCHEMA).parquet(f"{path}/pointer").agg(F.max("version")).first()[0] if _exists(spark, f"{path}/pointer") else None
+    fs, place = handle(spark, f"{path}/pointer")
+    if not fs.exists(place):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(place)]
+    return max((int(n[:12]) for n in names if n[:1].isdigit() and n.endswith(".json")), default=None)
 
 
 def published(spark: SparkSession, path: str, name: str = "table") -> DataFrame:
@@ -87,29 +106,18 @@ def published(spark: SparkSession, path: str, name: str = "table") -> DataFrame:
     number = newest(spark, path)
     if number is None:
         raise ValueError(f"{path}: nothing is published")
-    folder = spark.read.schema(POINTER_SCHEMA).parquet(f"{path}/pointer").agg(F.max_by("folder", "version")).first()[0]
-    return spark.read.parquet(f"{path}/versions/{folder}/{name}")
+    return spark.read.parquet(f"{path}/versions/{read_json(spark, _pointer(path, number))['folder']}/{name}")
 
 
 def drop_versions(spark: SparkSession, path: str) -> None:
-    """Remove every version but the newest; for a time when nobody reads an older one."""
-    pointer = spark.read.schema(POINTER_SCHEMA).parquet(f"{path}/pointer")
-    keep = pointer.agg(F.max_by("folder", "version")).first()[0]
-    fs, root = _folder(spark, f"{path}/versions")
-    for status in fs.listStatus(root):
-        if status.getPath().getName() != keep:
-            fs.delete(status.getPath(), True)
-
-
-def _folder(spark: SparkSession, path: str):
-    """File system and path object of a folder that any of Spark's stores may hold."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, place = _folder(spark, path)
-    return fs.exists(place)
+    """Remove every version and pointer but the newest; for a time when nobody reads an older one or publishes."""
+    number = newest(spark, path)
+    keep = {read_json(spark, _pointer(path, number))["folder"], _pointer(path, number).rpartition("/")[2]}
+    for part in ("versions", "pointer"):
+        fs, root = handle(spark, f"{path}/{part}")
+        for status in fs.listStatus(root):
+            if status.getPath().getName() not in keep:
+                fs.delete(status.getPath(), True)
 
 
 class CubeWriter:
@@ -172,7 +180,7 @@ class CubeWriter:
         stage = f"{self.path}/merge_{year}_{month}_{uuid.uuid4().hex[:8]}"
         merged.write.parquet(stage)
         self.write_month(self.spark.read.schema(rest.schema).parquet(stage), year, month)
-        fs, place = _folder(self.spark, stage)
+        fs, place = handle(self.spark, stage)
         fs.delete(place, True)
 
     def mark_absent(self, year: int, month: int, listed: set[tuple[int, int]]) -> None:
