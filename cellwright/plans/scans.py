@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import DiagnosisRules
 from ..functions import grid, months, quality, scalars, solar
-from ..operators import geometry
+from ..operators import geometry, overlay
 from ..operators.indicators import reconcile as reconcile_codes
 from ..sources import blocks, places, proof, tables
 from ..sources.cube import CubeReader, dense, region_mask
@@ -235,6 +235,36 @@ def points_in_boxes(spark, sf_dir):
     return geometry.points_in_boxes(points, boxes).select("k", "box")
 
 
+def tilted_boxes(rows, key, u, v, w, h):
+    """Edges of boxes in the axes u = x + y and v = x - y: diamonds whose common areas are known in closed form."""
+    corners = [(u, v), (u + w, v), (u + w, v + h), (u, v + h)]
+    points = [F.struct(((a + b) / 2.0).alias("x"), ((a - b) / 2.0).alias("y")) for a, b in corners]
+    sides = F.array(*[F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")) for p, q in zip(points, points[1:] + points[:1])])
+    return rows.select(key.alias("shape"), F.inline(sides))
+
+
+@R.add("""with s as (select c_custkey k, (c_custkey // 2) * 61 % 20011 + (c_custkey % 2) * (case c_custkey % 3 when 2 then 3 else c_custkey % 3 end) u, (c_custkey // 2) * 97 % 19001 v from customer)
+select a.k a, b.k b, 8e2 area_a, 8e2 area_b, (40 - abs(a.u - b.u)) * (40 - abs(a.v - b.v)) / 2e0 common from s a join s b on a.k < b.k and abs(a.u - b.u) < 40 and abs(a.v - b.v) < 40
+where (40 - abs(a.u - b.u)) * (40 - abs(a.v - b.v)) >= 9505e-4 * 1600""")
+def shape_duplicates(spark, sf_dir):
+    """Outlines that two customers share almost wholly."""
+    k = F.col("c_custkey")
+    half = F.floor(k / 2)
+    u = half * 61 % 20011 + (k % 2) * F.when(k % 3 == 2, 3).otherwise(k % 3)
+    edges = tilted_boxes(A.table(spark, sf_dir, "customer"), k, u, half * 97 % 19001, F.lit(40), F.lit(40))
+    return pick(overlay.mutual_duplicates(edges, 0.9505, 60.0, 20.0), ["a", "b"], ["area_a", "area_b", "common"])
+
+
+@R.add("""with s as (select s_suppkey k, s_suppkey * 37 % 300 u, s_suppkey * 53 % 200 v, 6 + s_suppkey % 5 w, 5 + s_suppkey % 4 h from supplier),
+c as (select k, w * h area, u + i u, v + j v from s, range(10) a(i), range(8) b(j) where i < w and j < h), o as (select *, row_number() over (partition by u, v order by area, k) n from c)
+select k shape, area / 2e0 area, sum(case when n = 1 then 1 else 0 end) / 2e0 owned from o group by k, area""")
+def owned_shape_areas(spark, sf_dir):
+    """What is left to each supplier's outline when every point goes to the smallest one that covers it."""
+    k = F.col("s_suppkey")
+    edges = tilted_boxes(A.table(spark, sf_dir, "supplier"), k, k * 37 % 300, k * 53 % 200, 6 + k % 5, 5 + k % 4)
+    return pick(overlay.owned_areas(edges, 15.0, 5.0), ["shape"], ["area", "owned"])
+
+
 @R.add("""select strftime(o_orderdate, '%Y-%m') as month, (row_number() over (order by case when strftime(o_orderdate, '%Y-%m') in ('1997-03', '1996-01') then 0 when strftime(o_orderdate, '%Y-%m') >= '1998-01' then 1 else 2 end,
     case strftime(o_orderdate, '%Y-%m') when '1997-03' then 1 when '1996-01' then 2 else 0 end, strftime(o_orderdate, '%Y-%m')))::int as place from (select distinct date_trunc('month', o_orderdate) o_orderdate from orders)""")
 def work_order(spark, sf_dir):
