@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LATITUDE_BANDS, Criteria
 from ..functions.grid import cell_of
 from ..functions.quality import comparison_class
+from .resampling import drawn
 from .selection import with_percentiles
 
 
@@ -123,16 +123,9 @@ def by_latitude(cells: DataFrame, bands: tuple = LATITUDE_BANDS, c: Criteria = C
 
 def block_bootstrap(cells: DataFrame, replicates: int = 1000, seed: int = 0, per_block: int = 40, c: Criteria = Criteria()) -> DataFrame:
     """(measure, low, high): intervals of the correlation and the class medians, blocks drawn with replacement."""
-    spark = cells.sparkSession
     block = F.floor(F.col("row") / per_block) * 1000 + F.floor(F.col("col") / per_block)
     rows = cells.where(both_valid() & (F.col("ref") >= c.dark_to)).withColumn("block", block)
-    ids = [r[0] for r in rows.select("block").distinct().orderBy("block").collect()]  # at most some hundred blocks
-    rng, drawn = np.random.default_rng(seed), []
-    for i in range(replicates if ids else 0):
-        picked, times = np.unique(rng.integers(0, len(ids), len(ids)), return_counts=True)
-        drawn += [(i, int(ids[p]), int(n)) for p, n in zip(picked, times)]
-    table = spark.createDataFrame(drawn, "replicate int, block long, times int")
-    met = rows.join(F.broadcast(table), "block").withColumn("one", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
+    met = rows.join(drawn(rows, "block", replicates, seed), "block").withColumn("one", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
     q, bright = F.col("cand") / F.col("ref"), F.col("ref") >= c.medium_to
     each = met.groupBy("replicate").agg(
         log_correlation(F.col("ref"), F.col("cand"), F.lit(True), c).alias("r_log"), F.median(F.when(bright, q)).alias("bright_q"), F.median(F.when(~bright, q)).alias("medium_q"), F.median(F.when(bright, F.abs(q - 1))).alias("bright_dev"), F.median(F.when(~bright, F.abs(q - 1))).alias("medium_dev"),

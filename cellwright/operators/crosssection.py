@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CrossSectionRules
 from .components import written
+from .resampling import drawn
 
 
 def _pct(c: str) -> Column:
@@ -57,31 +57,15 @@ def least_squares(points: DataFrame, by: list[str], x: str = "x", y: str = "y")
     return g.select(*by, "n", slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"), F.when(ok & (F.col("vy") > 0), F.col("cxy") * F.col("cxy") / (F.col("vx") * F.col("vy"))).alias("r2"))
 
 
-def draws(spark: SparkSession, n: int, replicates: int, seed: int) -> DataFrame:
-    """(replicate, place): places 0 .. n - 1 drawn with replacement, from one seeded stream.
-
-    The stream is that of numpy's default generator, drawn replicate after
-    replicate, so results can be repeated elsewhere. Its size is replicates x n,
-    both small: the points are countries or blocks.
-    """
-    places = np.random.default_rng(seed).integers(0, n, (replicates, n)) if n else np.zeros((replicates, 0), dtype=int)
-    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(places)], "replicate int, places array<int>")
-    return rows.select("replicate", F.explode("places").alias("place"))
-
-
 def regression(points: DataFrame, key: str, r: CrossSectionRules = CrossSectionRules(), x: str = "x", y: str = "y") -> DataFrame:
-    """One row: least squares of all points, and the pairs-bootstrap interval of the slope."""
-    spark = points.sparkSession
-    from pyspark.sql import Window
-
-    numbered = points.withColumn("place", F.row_number().over(Window.orderBy(key)) - 1)  # one row per country
-    n = points.count()
+    """One row: least squares of all points, and the pairs-bootstrap interval of the slope; null below three points."""
     whole = least_squares(points, [], x, y)
-    if n < 3:
-        return whole.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")})
-    boot = least_squares(numbered.join(F.broadcast(draws(spark, n, r.bootstrap, r.seed)), "place"), ["replicate"], x, y)
+    again = points.join(drawn(points, key, r.bootstrap, r.seed), key)
+    again = again.withColumn("one", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
+    boot = least_squares(again, ["replicate"], x, y)
     band = boot.agg(F.percentile("slope", 0.025).alias("low"), F.percentile("slope", 0.975).alias("high"))
-    return whole.crossJoin(band)
+    enough = F.col("n") >= 3
+    return whole.crossJoin(band).withColumns({c: F.when(enough, F.col(c)) for c in ("low", "high")})
 
 
 def variants(light: DataFrame, reference: DataFrame, r: CrossSectionRules = CrossSectionRules(), **options) -> DataFrame:

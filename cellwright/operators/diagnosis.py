@@ -10,6 +10,8 @@ from ..config import DiagnosisRules
 from ..functions.grid import cell_area_km2, tile_number
 from ..functions.months import month_index
 from ..functions.quality import brightness_class, observed_share, snow_suspected
+from .components import written
+from .resampling import drawn
 
 CELL = ["row", "col"]
 
@@ -44,17 +46,13 @@ def groups_of(rows: DataFrame, groups: dict[str, Column]) -> DataFrame:
 def year_index_bootstrap(rows: DataFrame, r: DiagnosisRules = DiagnosisRules()) -> tuple[DataFrame, DataFrame]:
     """(points, replicates): pooled index per year, and per (replicate, year) under multinomial tile weights.
 
-    Only sums per tile and year meet the weights; tiles are at most some hundred.
+    Only sums per tile and year meet the draws.
     """
-    spark = rows.sparkSession
     sums = rows.where("usable").groupBy(F.year("month").alias("year"), "tile").agg(F.sum(F.col("area") * F.col("x")).alias("sx"), F.sum(F.col("area") * F.col("base")).alias("sb"))
+    sums = written(sums)
     points = sums.groupBy("year").agg(F.try_divide(F.sum("sx"), F.sum("sb")).alias("index"))
-    tiles = [t[0] for t in sums.select("tile").distinct().orderBy("tile").collect()]
-    weights = np.random.default_rng(r.seed).multinomial(len(tiles), np.full(len(tiles), 1 / len(tiles)), size=r.bootstrap) if tiles else np.zeros((0, 0), dtype=int)
-    table = spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(weights)], "replicate int, w array<int>")
-    place = F.create_map(*[F.lit(x) for i, t in enumerate(tiles) for x in (i, t)]) if tiles else F.create_map(F.lit(0), F.lit(0))
-    drawn = table.select("replicate", F.posexplode("w").alias("i", "w")).where("w > 0").select("replicate", place[F.col("i")].alias("tile"), "w")
-    boot = sums.join(F.broadcast(drawn), "tile").groupBy("replicate", "year").agg(F.try_divide(F.sum(F.col("w") * F.col("sx")), F.sum(F.col("w") * F.col("sb"))).alias("index"))
+    again = sums.join(drawn(sums, "tile", r.bootstrap, r.seed), "tile")
+    boot = again.groupBy("replicate", "year").agg(F.try_divide(F.sum(F.col("times") * F.col("sx")), F.sum(F.col("times") * F.col("sb"))).alias("index"))
     return points, boot
 
 
