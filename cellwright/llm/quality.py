@@ -12,8 +12,10 @@ out already and tell nothing of the others; they are in no sketch.
 
 The length of words is fenced on both sides, ``FENCE`` quartile distances beyond
 the quartiles. Shares, which are zero for most texts, may reach ``MULTIPLE`` times
-the quantile of the group that ``UPPER`` names; ``GUARD`` only keeps a lone
-symbol from deciding where that quantile is zero.
+the quantile of the group that ``UPPER`` names, and ``GUARD`` more. Where even that
+quantile is zero, what is above it is the exception: then the sketch's part above
+zero sets the limit by its own foot, its ``FOOT`` quantile or a tenth of its median
+if that is more, divided by ``MULTIPLE``. Without any value above zero all pass.
 
 Defined cases: null text counts as empty (no words, base rule fails); null
 language or source is a group of its own; repeated rows are counted and kept
@@ -38,7 +40,9 @@ GAMMA = (1 + ALPHA) / (1 - ALPHA)
 ZERO = -100_000
 #: Quartile distances beyond the quartiles.
 FENCE = 4.0
-#: Quantile of each share, how many times it passes, and what passes in any group.
+#: Quantile of the part above zero that is its foot.
+FOOT = 0.05
+#: Quantile of each share, how many times it passes, and what passes beside it.
 UPPER = {"symbol_share": 0.8, "dup_line_share": 0.99, "repeat_share": 0.99}
 MULTIPLE, GUARD = 1.5, 0.01
 #: Sums of parts may differ by their order; quantiles are taken with this margin of a row.
@@ -134,15 +138,21 @@ def fences(bins: DataFrame, keys: list[str]) -> DataFrame:
     """Per group and metric: its rows, and the least and greatest value that pass."""
     own = Window.partitionBy(*keys, "metric")
     run = bins.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("rows", F.sum("n").over(own))
+    run = run.withColumn("zeros", F.sum(F.when(F.col("bin") == ZERO, F.col("n")).otherwise(0.0)).over(own))
     value = F.when(F.col("bin") == ZERO, F.lit(0.0)).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bin")) / (GAMMA + 1))
 
     def quantile(q: Column | float) -> Column:
         return F.min(F.when(F.col("upto") >= q * F.col("rows") - MARGIN, value))
 
+    def above_zero(q: float) -> Column:
+        there = (F.col("bin") != ZERO) & (F.col("upto") - F.col("zeros") >= q * (F.col("rows") - F.col("zeros")) - MARGIN)
+        return F.min(F.when(there, value))
+
     upper = F.create_map(*[F.lit(x) for p in UPPER.items() for x in p])[F.col("metric")]
-    got = run.groupBy(*keys, "metric").agg(F.max("rows").alias("rows"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"), quantile(upper).alias("top"))
+    got = run.groupBy(*keys, "metric").agg(F.max("rows").alias("rows"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"), quantile(upper).alias("top"), F.greatest(above_zero(FOOT), above_zero(0.5) / 10).alias("foot"))
     reach = FENCE * (F.col("q3") - F.col("q1"))
-    high = F.when(F.col("metric").isin(*UPPER), MULTIPLE * F.col("top") + GUARD).otherwise(F.col("q3") + reach)
+    share = F.when(F.col("top") > 0, MULTIPLE * F.col("top") + GUARD).otherwise(F.col("foot") / MULTIPLE)
+    high = F.when(F.col("metric").isin(*UPPER), share).otherwise(F.col("q3") + reach)
     return got.select(*keys, "metric", "rows", (F.col("q1") - reach).alias("low"), high.alias("high"))
 
 
@@ -165,7 +175,7 @@ def judged(df: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "
     met = lookup(df, F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source")), small=small)
     ok = F.lit(True)
     for m, r in RATIOS.items():
-        ok &= _share(*r) <= F.col(f"high_{m}")
+        ok &= F.coalesce(_share(*r) <= F.col(f"high_{m}"), F.lit(True))
         if m in BOTH_SIDES:
             ok &= _share(*r) >= F.col(f"low_{m}")
     return met.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(ok, F.lit(True))).drop(*[c for c in small.columns])
@@ -190,7 +200,7 @@ def _oracle() -> str:
     bins = " union all ".join(f"select uid, lang, source, '{m}' metric, {s} x from c where not {failed}" for m, s in share.items())
     upper = "case metric " + " ".join(f"when '{m}' then {v}" for m, v in UPPER.items()) + " end"
     picked = ", ".join(f"max(case when metric = '{m}' then {s} end) {s}_{m}" for m in RATIOS for s in ("low", "high"))
-    ok = " and ".join([f"{share[m]} <= high_{m}" for m in RATIOS] + [f"{share[m]} >= low_{m}" for m in BOTH_SIDES])
+    ok = " and ".join([f"coalesce({share[m]} <= high_{m}, true)" for m in RATIOS] + [f"{share[m]} >= low_{m}" for m in BOTH_SIDES])
     return f"""
     with d as (select row_number() over () uid, doc_id, lang, source, coalesce(text, '') t from documents),
     s as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') ws, {lines} ls from d),
@@ -207,10 +217,11 @@ def _oracle() -> str:
     bl as (select lang, source, metric, bin, sum(n) n from (select lang, source, metric, bin, n from sk
         union all select g.lang, source, metric, bin, n from g join ofl on g.lang is not distinct from ofl.lang union all select lang, source, metric, bin, n from g, ofa) group by all),
     ru as (select *, case when bin = {ZERO} then 0.0 else 2 * pow({GAMMA!r}, bin) / ({GAMMA!r} + 1) end v, {upper} up,
-        sum(n) over (partition by lang, source, metric order by bin) upto, sum(n) over (partition by lang, source, metric) rows_ from bl),
+        sum(n) over (partition by lang, source, metric order by bin) upto, sum(n) over (partition by lang, source, metric) rows_, sum(case when bin = {ZERO} then n else 0 end) over (partition by lang, source, metric) z from bl),
     fe as (select lang, source, metric, min(case when upto >= 0.25 * rows_ - {MARGIN!r} then v end) q1, min(case when upto >= 0.75 * rows_ - {MARGIN!r} then v end) q3,
-        min(case when upto >= up * rows_ - {MARGIN!r} then v end) top from ru group by all),
-    li as (select lang, source, metric, q1 - {FENCE} * (q3 - q1) low, case when metric in ({", ".join(f"'{m}'" for m in UPPER)}) then {MULTIPLE} * top + {GUARD} else q3 + {FENCE} * (q3 - q1) end high from fe),
+        min(case when upto >= up * rows_ - {MARGIN!r} then v end) top, min(case when bin <> {ZERO} and upto - z >= {FOOT} * (rows_ - z) - {MARGIN!r} then v end) foot,
+        min(case when bin <> {ZERO} and upto - z >= 0.5 * (rows_ - z) - {MARGIN!r} then v end) half from ru group by all),
+    li as (select lang, source, metric, q1 - {FENCE} * (q3 - q1) low, case when metric in ({", ".join(f"'{m}'" for m in UPPER)}) then case when top > 0 then {MULTIPLE} * top + {GUARD} else greatest(foot, half / 10) / {MULTIPLE} end else q3 + {FENCE} * (q3 - q1) end high from fe),
     lim as (select lang, source, {picked} from li group by lang, source),
     j as (select c.*, {failed} base_failed, {ok} ok from c left join lim on c.lang is not distinct from lim.lang and c.source is not distinct from lim.source)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(ok, true) kept from j"""

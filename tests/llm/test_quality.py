@@ -79,3 +79,23 @@ def test_long_text_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int, rows int, metric int")
     got = {r["doc_id"]: r for r in Q.quality_rules(df).collect()}
     assert len(got) == 5 and got[0]["n_words"] == 400_001 and got[0]["n_symbols"] == 1000 and got[0]["base_failed"]
+
+
+def test_symbol_limit_is_no_constant(spark):
+    """On the documents, groups differ in every limit, and no limit is one fixed number."""
+    df = Q.staged(Q.counts(Q.read(spark, "/root/testdata/sf0.01", "documents")).drop("text"), "counts")
+    rows = Q.thresholds(df).collect()
+    for m in Q.RATIOS:
+        found = sorted({round(r[f"high_{m}"], 6) for r in rows})
+        assert len(found) >= 4 and found[-1] > 1.15 * found[0], (m, len(rows), found)
+
+
+def test_foot_of_the_part_above_zero(spark):
+    rows = [("a", 100, 1000, 0)] * 95 + [("a", 100, 1000, n) for n in (200, 210, 220, 230, 240)] + [("b", 100, 1000, 0)] * 50
+    df = spark.createDataFrame([("en", s, n, c, k, 20, 0, 0) for s, n, c, k in rows], "lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
+    got = {x["source"]: x for x in Q.thresholds(df).collect()}
+    for s in "ab":
+        assert abs(got[s]["high_symbol_share"] - 0.2 / Q.MULTIPLE) < 0.01
+        assert got[s]["high_dup_line_share"] is None  # no such text anywhere
+    kept = Q.judged(df, Q.thresholds(df))
+    assert kept.where("kept").count() == 145
