@@ -26,6 +26,7 @@ texts every token is unknown, and the unknown word has all probability.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -371,8 +372,10 @@ def train(chunk: DataFrame, vocab: DataFrame) -> Model:
     steps = steps[np.argsort(steps[:, 1])]
     uni = Unigrams(tokens, words, times, steps[:, 1], steps[:, 0])
     buckets = max(MIN_BUCKETS, min(MANY_BUCKETS, -(-tokens // BUCKET)), -(-tokens // LARGE_BUCKET))
-    # tokens after the words of each bucket; buckets of frequent words answer in several tasks
-    sizes = vocab.groupBy(F.pmod("id", F.lit(buckets)).alias("b")).agg(F.sum("c").alias("c")).collect()
+    # tokens after the words of each bucket; buckets of frequent words answer in several tasks.
+    # Nothing follows the end of a text, but every text has a token after its begin.
+    history = F.when(F.col("word") == F.lit(b""), F.lit(BEGIN)).otherwise(F.col("id"))
+    sizes = vocab.groupBy(F.pmod(history, F.lit(buckets)).alias("b")).agg(F.sum("c").alias("c")).collect()
     salts = np.ones(buckets, dtype=np.int64)
     for r in sizes:
         salts[r["b"]] = -(-r["c"] // (2 * max(BUCKET, tokens // buckets)))
@@ -400,7 +403,7 @@ def _asked(batches, salts: np.ndarray):
             for b, t in _cut(h1[first] % buckets, buckets):
                 p, k = pairs[b], tokens[b]
                 blob = pack(_steps(h1[pf[p]] // buckets), w[pf[p]], _steps(pair[t] - p.start), h2[first[t]], _steps(gram[k] - t.start), doc[k])
-                out.append((b, row.uid % int(salts[b]), row.uid, blob))
+                out.append((b, zlib.crc32(b"%d:%d" % (row.uid, b)) % int(salts[b]), row.uid, blob))
             if out:
                 yield pd.DataFrame(out, columns=["bucket", "salt", "uid", "blob"])
 
