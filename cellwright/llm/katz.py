@@ -387,6 +387,11 @@ def train(chunk: DataFrame, vocab: DataFrame) -> Model:
     return Model(grams, weights, salts, uni, d2, d3)
 
 
+def _salt(uid: int, bucket: int, salts: int) -> int:
+    """Task of a chunk among those of a bucket; a chunk's number alone has its partition in the upper bits."""
+    return zlib.crc32(b"%d:%d" % (uid, bucket)) % salts
+
+
 def _asked(batches, salts: np.ndarray):
     """Per chunk and bucket: the distinct trigrams to score, and the texts that each stands in."""
     buckets = len(salts)
@@ -403,7 +408,7 @@ def _asked(batches, salts: np.ndarray):
             for b, t in _cut(h1[first] % buckets, buckets):
                 p, k = pairs[b], tokens[b]
                 blob = pack(_steps(h1[pf[p]] // buckets), w[pf[p]], _steps(pair[t] - p.start), h2[first[t]], _steps(gram[k] - t.start), doc[k])
-                out.append((b, zlib.crc32(b"%d:%d" % (row.uid, b)) % int(salts[b]), row.uid, blob))
+                out.append((b, _salt(row.uid, b, int(salts[b])), row.uid, blob))
             if out:
                 yield pd.DataFrame(out, columns=["bucket", "salt", "uid", "blob"])
 

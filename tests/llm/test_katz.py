@@ -141,14 +141,14 @@ def test_edges(spark):
 def test_salts_follow_histories(spark, monkeypatch):
     """The begin of texts is a history of as many tokens as there are texts, their end of none; salts deal chunks evenly."""
     monkeypatch.setattr(K, "BUCKET", 500)
-    monkeypatch.setattr(K, "CHUNK", 100)
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 50).alias("text"))
     raw = K.chunks(docs, F.lit(False))
     vocab = K.vocabulary(raw)
     model = K.train(K.coded(raw, vocab), vocab)
-    salts, asked = model.salts, K._asked
+    salts = model.salts
     n = len(salts)
     assert salts[K.BEGIN % n] >= 4
-    dealt = K.coded(raw, vocab).mapInPandas(lambda b: asked(b, salts), "bucket long, salt long, uid long, blob binary").where(F.col("bucket") == K.BEGIN % n)
-    counts = [r["count"] for r in dealt.groupBy("salt").count().collect()]
-    assert len(counts) == salts[K.BEGIN % n] and max(counts) < 3 * sorted(counts)[len(counts) // 2]
+    for m in (2, 4, 8, 7):
+        for b in (0, K.BEGIN % n):
+            dealt = np.bincount([K._salt(p << 33, b, m) for p in range(800)], minlength=m)
+            assert dealt.min() > 0.6 * 800 / m and dealt.max() < 1.5 * 800 / m
