@@ -198,5 +198,19 @@ class Criteria:
     k6_desert: float = 0.5
 
 
+@dataclass(frozen=True)
+class AbsenceRules:
+    """Tiles that a provider is known to lack. At most ten, in the four northern rows, from April to August."""
+
+    most: int = 10
+    rows: tuple = (0, 1, 2, 3)
+    months: tuple = (4, 5, 6, 7, 8)
+    shown: int = 5
+
+    def __post_init__(self):
+        if self.most < 0 or self.shown < 1 or not self.months:
+            raise ValueError("most must not be negative, shown must be at least 1, months must name one")
+
+
 # Latitude bands of the comparison, north to south, lower end included.
 LATITUDE_BANDS = ((76, 80), (72, 76), (68, 72), (65, 68), (60, 65), (55, 60), (40, 55), (20, 40), (0, 20), (-20, 0), (-40, -20), (-60, -40))

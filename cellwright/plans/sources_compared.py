@@ -99,7 +99,7 @@ def month_totals(spark, sf_dir):
 
 # --- diagnosis on the cube
 
-DR = replace(DiagnosisRules(), base_years=(1995, 1996, 1997, 1998), min_base_years=3, min_level_months=20, min_base_value=30.0, dark_to=36.0, medium_to=38.0, r1_lat=(0.0, 40.0), r1_min_months=20, r1_max=70.0, r2_lat=90.0, r2_min_months=20, r2_per_year=4, r2_min_cells=3, r2_deviation=0.3, bootstrap=50, panel_lat=90.0)
+DR = replace(DiagnosisRules(), base_years=(1995, 1996, 1997, 1998), min_base_years=3, min_level_months=20, min_base_value=30.0, dark_to=36.0, medium_to=38.0, r1_lat=(0.0, 40.0), r1_min_months=20, r1_max=85.0, r2_lat=90.0, r2_min_months=20, r2_per_year=4, r2_min_cells=3, r2_deviation=0.3, bootstrap=50, panel_lat=90.0)
 WINTER = "(case when lat >= 0 then month(month) in (11, 12, 1, 2, 3, 4) else month(month) in (5, 6, 7, 8, 9, 10) end)"
 PREP = f"""{A.with_(A.CUBE)}, d0 as (select month, "row", col, lat, mean_obs x, (valid - filled) / 36e2 s, month(month) mo, year(month) yr from cube), d1 as (select *, s >= 5e-1 and not coalesce(abs(lat) >= 235e-1 and {WINTER} and s < 9e-1, false) ok from d0),
 bm as (select "row", col, mo, case when count(*) >= 3 then median(x) end base from d1 where ok and yr between 1995 and 1998 group by all), lv as (select "row", col, case when count(*) >= 20 then median(x) end level from d1 where ok and yr between 1995 and 1998 group by all),
@@ -142,7 +142,7 @@ def year_ratio(spark, sf_dir):
     return pick(DI.ratio_interval(points, boot, 2000, 1998), [], ["ratio", "low", "high"])
 
 
-@R.add(f"""{PREP}, l as (select (k // {A.COLS})::int "row", (k % {A.COLS})::int col from range({A.ROWS * A.COLS}) t(k) where k % 3 = 0), b as (select "row", col, max(x) top, count(*) n, min(lat) lat from prep where ok and yr between 1995 and 1998 group by all) select "row", col from b join l using ("row", col) where abs(lat) between 0 and 40 and n >= 20 and top < 70""")
+@R.add(f"""{PREP}, l as (select (k // {A.COLS})::int "row", (k % {A.COLS})::int col from range({A.ROWS * A.COLS}) t(k) where k % 3 = 0), b as (select "row", col, max(x) top, count(*) n, min(lat) lat from prep where ok and yr between 1995 and 1998 group by all) select "row", col from b join l using ("row", col) where abs(lat) between 0 and 40 and n >= 20 and top < 85""")
 def dark_reference_cells(spark, sf_dir):
     land = spark.range(A.ROWS * A.COLS).where("id % 3 = 0").select(F.floor(F.col("id") / A.COLS).cast("int").alias("row"), (F.col("id") % A.COLS).cast("int").alias("col"), F.lit(1.0).alias("land"))
     return DI.dark_reference(prepared(spark, sf_dir), land, DR)
