@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import DiagnosisRules
@@ -71,12 +72,17 @@ def dense_series(spark, sf_dir):
 
 
 @R.add(
-    f"""with g as (select i // 24 "row", i % 24 col from range(288) t(i)), c as (select *, 90 - 75e-1 - "row" * 15e0 lat, -180 + 75e-1 + col * 15e0 lon from g)
-    select "row"::int "row", col::int col, lat, lon, printf('h%02dv%02d', (col // 4)::int, ("row" // 4)::int) tile, ("row" * 24 + col)::bigint cell,
-    {r('6371e0 * 6371e0 * (15e0 * pi() / 180) * (sin(least(radians(lat + 75e-1), pi() / 2)) - sin(greatest(radians(lat - 75e-1), -pi() / 2)))', 'area_km2', 3)} from c"""
+    f"""with g as (select i // 24 "row", i % 24 col from range(288) t(i)), c as (select *, 90 - 75e-1 - "row" * 15e0 lat, -180 + 75e-1 + col * 15e0 lon from g),
+    p as (select floor((90 - (c_custkey * 37 % 1800) / 1e1 + 90) / 15)::int "row", floor((c_custkey * 53 % 3600) / 1e1 / 15)::int col, count(*) n from customer group by all)
+    select "row"::int "row", col::int col, lat, lon, printf('h%02dv%02d', (col // 4)::int, ("row" // 4)::int) tile, ("row" * 24 + col)::bigint cell, coalesce(n, 0)::bigint customers,
+    {r('6371e0 * 6371e0 * (15e0 * pi() / 180) * (sin(least(radians(lat + 75e-1), pi() / 2)) - sin(greatest(radians(lat - 75e-1), -pi() / 2)))', 'area_km2', 3)} from c left join p using ("row", col)"""
 )
 def grid_cells(spark, sf_dir):
-    g = grid.grid(spark, 12, 24, 15.0)
+    """All cells of a coarse grid and the customers that lie in each."""
+    k = F.col("c_custkey")
+    row, col = grid.cell_of((k * 37 % 1800) / 10.0 - 90, (k * 53 % 3600) / 10.0 - 180, 15.0)
+    held = A.table(spark, sf_dir, "customer").groupBy(row.alias("row"), col.alias("col")).agg(F.count("*").alias("n"))
+    g = grid.grid(spark, 12, 24, 15.0).join(held, ["row", "col"], "left").withColumn("customers", F.coalesce("n", F.lit(0))).drop("n")
     cols = {"tile": grid.tile_name(F.col("row"), F.col("col"), 4), "cell": grid.cell_key(F.col("row"), F.col("col"), 24), "area_km2": F.round(grid.cell_area_km2(F.col("lat"), 15.0), 3) + 0.0}
     return g.withColumns(cols)
 
@@ -117,7 +123,7 @@ def cell_masks(spark, sf_dir):
 
 
 @R.add(
-    """with m as (select unnest([date '2018-01-01', date '2018-03-01', date '2018-06-01', date '2018-12-01']) as month), h as (select month, unnest(generate_series(month::timestamp - interval 1 day, (month + interval 1 month)::timestamp + interval 1 day, interval 1 hour)) ts from m),
+    """with m as (select distinct date_trunc('month', o_orderdate)::date as month from orders), h as (select month, unnest(generate_series(month::timestamp - interval 1 day, (month + interval 1 month)::timestamp + interval 1 day, interval 1 hour)) ts from m),
     n as (select month, (epoch(ts) - 946728000) / 86400e0 n from h), a as (select month, n, radians((280.460e0 + 0.9856474e0 * n) % 360) l, radians((357.528e0 + 0.9856003e0 * n) % 360) g from n),
     d as (select month, degrees(asin(sin(radians(23.439e0 - 0.0000004e0 * n)) * sin(l + radians(1.915e0) * sin(g) + radians(0.020e0) * sin(2 * g)))) d from a),
     x as (select month, v::int v, 80e0 - 10 * v lat_south, 90e0 - 10 * v lat_north, min(d) lo, max(d) hi from d cross join range(18) t(v) group by all),
@@ -125,8 +131,9 @@ def cell_masks(spark, sf_dir):
     select month, v, lat_south, lat_north, round(zenith, 6) + 0e0 zenith, round(102 - zenith, 6) + 0e0 distance, 102 - zenith > 1 missing_explainable from z"""
 )
 def dark_nights(spark, sf_dir):
-    m = spark.createDataFrame([("2018-01-01",), ("2018-03-01",), ("2018-06-01",), ("2018-12-01",)], "m string").select(F.to_date("m").alias("month"))
-    return pick(solar.row_findings(spark, m), ["month", "v", "missing_explainable"], ["lat_south", "lat_north", "zenith", "distance"])
+    """The tile rows of every month with an order."""
+    m = A.table(spark, sf_dir, "orders").select(F.to_date(F.trunc("o_orderdate", "MM")).alias("month")).distinct()
+    return pick(solar.row_findings(m), ["month", "v", "missing_explainable"], ["lat_south", "lat_north", "zenith", "distance"])
 
 
 @R.add("""with o as (select *, pow(1e1, 2 - floor(log10(abs(o_totalprice)))) scale from orders)
@@ -161,17 +168,26 @@ def page_links(spark, sf_dir):
     return tables.links(A.table(spark, sf_dir, "pages"))
 
 
-@R.add()
+# the entities that the pages hold, the ampersand last
+ENTITIES = {"&middot;": "·", "&copy;": "©", "&quot;": '"'}
+BARE = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _entity, _char in ENTITIES.items():
+    BARE = f"replace({BARE}, '{_entity}', '{_char}')"
+
+
+@R.add(rf"select page_id, trim(regexp_replace(regexp_replace({BARE}, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as text from pages")
 def page_plain_text(spark, sf_dir):
     return A.table(spark, sf_dir, "pages").select("page_id", scalars.html_to_text(F.col("html")).alias("text"))
 
 
-@R.add("select name, count(*) n from (select regexp_extract(n_name, '^(.)', 1) as name from nation) group by name")
+@R.add("select l_orderkey k, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) - 1)::int as row, l_partkey::varchar part, 'line ' || l_linenumber line from lineitem")
 def html_table_rows(spark, sf_dir):
-    """The nations as one HTML table, read back row by row."""
-    rows = A.table(spark, sf_dir, "nation").orderBy("n_nationkey").agg(F.array_join(F.collect_list(F.concat(F.lit("<tr><td>"), F.col("n_nationkey"), F.lit("</td><td><b>"), F.col("n_name"), F.lit("</b></td></tr>"))), "").alias("value"))
-    cells = tables.html_table(rows)
-    return cells.groupBy(F.substring(F.col("cells")[1], 1, 1).alias("name")).agg(F.count("*").alias("n"))
+    """Every order as an HTML page with a table of its lines, read back row by row."""
+    line = F.struct("l_linenumber", "l_partkey")
+    pages = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    html = F.transform("lines", lambda x: F.format_string("<tr class='x'>\n<td>%d</td><TD><b>line %d</b></TD></tr>", x["l_partkey"], x["l_linenumber"]))
+    pages = pages.select("k", F.concat(F.lit("<table><tbody>"), F.array_join(html, ""), F.lit("</tbody></table>")).alias("value"))
+    return tables.html_table(pages, key=("k",)).select("k", "row", F.col("cells")[0].alias("part"), F.col("cells")[1].alias("line"))
 
 
 @R.add("""with l as (select o_orderkey k, printf('h%02dv%02d', (o_orderkey % 36)::int, (o_orderkey % 18)::int) tile, o_orderstatus s from orders) select tile, case when count(distinct s) = 1 then min(s) else 'conflict' end state from l where s in ('F', 'O') group by tile""")
@@ -268,11 +284,8 @@ def owned_shape_areas(spark, sf_dir):
 @R.add("""select strftime(o_orderdate, '%Y-%m') as month, (row_number() over (order by case when strftime(o_orderdate, '%Y-%m') in ('1997-03', '1996-01') then 0 when strftime(o_orderdate, '%Y-%m') >= '1998-01' then 1 else 2 end,
     case strftime(o_orderdate, '%Y-%m') when '1997-03' then 1 when '1996-01' then 2 else 0 end, strftime(o_orderdate, '%Y-%m')))::int as place from (select distinct date_trunc('month', o_orderdate) o_orderdate from orders)""")
 def work_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     m = A.table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month")).distinct()
-    ordered = tables.work_order(m, "1998-01", ["1997-03", "1996-01"]).coalesce(1).withColumn("id", F.monotonically_increasing_id())
-    return ordered.select("month", F.row_number().over(Window.orderBy("id")).alias("place"))
+    return m.select("month", F.row_number().over(Window.orderBy(*tables.work_rank("1998-01", ["1997-03", "1996-01"]))).alias("place"))
 
 
 @R.add(f"{CS} select month, \"row\", col, {r('mean_obs')} from cube join states using (month) where state = 1 and month >= date '1997-01-01' and month < date '1997-07-01'")
@@ -305,16 +318,19 @@ def block_totals(spark, sf_dir):
     return pick(got.select(*[F.col(c).cast("int").alias(c) for c in ("year", "row", "col")], "months", "total"), ["year", "row", "col", "months"], ["total"])
 
 
-LOG = [
-    "2024-01-01 00:00:00 UTC  run started", "2024-01-01 00:00:05 UTC  2018-01: start", "2024-01-01 00:01:00 UTC  2018-01: 540 tiles reported", "2024-01-01 01:00:00 UTC  2018-01: finished", "2024-01-01 01:00:01 UTC  2018-02: start",
-    "Traceback (most recent call last):", "2024-01-01 01:10:00 UTC  ERROR timeout", "2024-01-01 01:10:01 UTC  2018-02: deferred", "2024-01-02 00:00:00 UTC  run started", "2024-01-02 00:00:05 UTC  2018-02: start", "2024-01-02 00:02:00 UTC  2018-02: 188 tiles reported",
-]
-
-
-@R.add("select '2018-01' as month, 'finished' state, 540::int tiles, 0::bigint deferrals union all select '2018-02', 'reported', 188, 1")
+@R.add(
+    """with e as (select o_orderkey n, o_orderdate as d, strftime(o_orderdate, '%Y-%m') as month, o_custkey % 540 t, o_orderkey % 7 k from orders), m as (select * from e where k < 5),
+    s as (select month, arg_max(case k when 0 then 'start' when 1 then 'reported' when 2 then 'downloaded' when 3 then 'deferred' else 'finished' end, n) state, max(n) n, arg_max(d, n) d,
+        arg_max(t, n) filter (k = 1) tiles, count(*) filter (k = 3) deferrals from m group by month) select month, state, d as "at", tiles::int tiles, deferrals::bigint deferrals from s"""
+)
 def run_log_state(spark, sf_dir):
-    lines = spark.createDataFrame(list(enumerate(LOG)), "n int, value string")
-    return tables.log_state(tables.log_events(lines)).select("month", "state", "tiles", "deferrals")
+    """Each order as a line of a run's log, also errors and lines without a time."""
+    month, k = F.date_format("o_orderdate", "yyyy-MM"), F.col("o_orderkey") % 7
+    said = F.when(k == 0, "start").when(k == 1, F.concat((F.col("o_custkey") % 540).cast("string"), F.lit(" tiles reported"))).when(k == 2, "download finished").when(k == 3, "deferred")
+    text = F.when(k == 5, "ERROR timeout").otherwise(F.concat(month, F.lit(": "), said.when(k == 4, "finished")))
+    line = F.when(k == 6, "Traceback (most recent call last):").otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC  "), text))
+    lines = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"), line.alias("value"))
+    return tables.log_state(tables.log_events(lines)).select("month", "state", "at", "tiles", "deferrals")
 
 
 __all__ = ["R", "rs"]

@@ -127,10 +127,15 @@ def running_state(events: DataFrame) -> DataFrame:
     return events.withColumn("current", F.nullif(F.last(begins, ignorenulls=True).over(w), F.lit("")))
 
 
-def work_order(months: DataFrame, first: str, priority: list[str]) -> DataFrame:
-    """Months ('YYYY-MM') in the order of work: the priority list, then from ``first`` on, then the earlier ones."""
+def work_rank(first: str, priority: list[str]) -> list[Column]:
+    """Sort key of months ('YYYY-MM'): the priority list, then from ``first`` on, then the earlier ones."""
     place: Column = F.array_position(F.array(*[F.lit(p) for p in priority]).cast("array<string>"), F.col("month"))
-    return months.orderBy(F.when(place > 0, 0).when(F.col("month") >= first, 1).otherwise(2), place, "month")
+    return [F.when(place > 0, 0).when(F.col("month") >= first, 1).otherwise(2), place, F.col("month")]
+
+
+def work_order(months: DataFrame, first: str, priority: list[str]) -> DataFrame:
+    """Months in the order of work."""
+    return months.orderBy(*work_rank(first, priority))
 
 
 def projection(rows: DataFrame, open_months: int, raw_bytes: float) -> DataFrame:
