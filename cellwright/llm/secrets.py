@@ -5,11 +5,12 @@ hexadecimal runs. The method looks at candidate strings, runs of the characters
 that keys are written in: a window slides over a candidate and the Shannon
 entropy of its characters, within the alphabet of their class (hexadecimal,
 base-36, base-64), follows from counts that change by one character in and one
-out. Every window above the high bound of its class opens a span, and the span
-goes on over neighbouring windows above the low bound, so a dip cuts no key. No
-span opens in a window that an allow-list pattern covers (words with hyphens,
-file paths, dates, UUIDs, runs of one class of letters), nor in one that neither
-mixes letters with digits nor holds many letters of either case.
+out. Windows have 20 characters, 16 in candidates of 16 to 19. Every window above
+the high bound of its class opens a span, and the span goes on over neighbouring
+windows above the low bound, so a dip cuts no key. No span opens in a window that
+an allow-list pattern covers (words and short numbers joined by hyphens, slashes
+and the like, dates, runs of one class of letters), nor in one that neither mixes
+letters with digits nor holds many letters of either case; UUIDs divide candidates.
 
 Defined cases: null text counts as empty; rows that repeat are scanned each;
 an empty table gives no rows; candidates of any length cost time in proportion
@@ -38,17 +39,24 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Shorter runs fail as a whole, so only those of full length are looked for.
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-WINDOW = 20
-#: Bits a character that open and that continue a span: quantiles 0.005 and 0.00005 of
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: Window of a candidate, and of one that is shorter than that.
+WINDOW, SHORT = 20, 16
+#: Bits a character that open and that continue a span, by window: quantiles 0.005 and 0.00005 of
 #: windows of random keys, of the narrowest alphabet of the class (16, 32, 64 characters).
-BOUNDS = {"hex": (2.82, 2.48), "base36": (3.28, 2.96), "base64": (3.6, 3.3)}
+BOUNDS = {
+    WINDOW: {"hex": (2.82, 2.48), "base36": (3.28, 2.96), "base64": (3.6, 3.3)},
+    SHORT: {"hex": (2.6, 2.18), "base36": (3.02, 2.65), "base64": (3.32, 2.98)},
+}
 #: Upper and lower case letters, of each, that a window without a digit needs to open a span.
-MIXED = 7
+MIXED = {WINDOW: 7, SHORT: 6}
+#: A size (640x480), a word with two digits at most after it, or a short number: what slugs and paths are joined of.
+SEGMENT = r"(?>[0-9]{1,5}x[0-9]{0,5}|x[0-9]{1,5}|[A-Z]?[a-z]+[0-9]{0,2}|[A-Z]+[0-9]{0,2}|[0-9]{1,8})"
+UUID = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])")
 ALLOWED = (
+    re.compile(rf"[-_/+=]*{SEGMENT}(?:[-_/+=]+{SEGMENT})*[-_/+=]*"),
     re.compile(r"[a-z]+([-_/][a-z]+)+", re.I),
-    re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[A-Z]?[a-z]+"),
-    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
+    re.compile(r"[a-z]+|[A-Z]+|[0-9]+"),
     re.compile(r"[0-9T:Z/_-]+"),
     re.compile(r"(.)\1+|[-=_+/]+"),
     re.compile(r"([A-Z][a-z]+){2,}|[a-z]+([A-Z][a-z]+)+"),
@@ -63,6 +71,11 @@ def char_class(s: str) -> str:
     return "base36" if re.fullmatch(r"[0-9a-z]+|[0-9A-Z]+", s) else "base64"
 
 
+def window_of(s: str) -> int:
+    """Window that slides over a candidate."""
+    return WINDOW if len(s) >= WINDOW else SHORT
+
+
 def window_entropies(s: str, size: int = WINDOW) -> list[float]:
     """Entropy of each window, by counts that change by one character in and one out."""
     counts: dict[str, int] = {}
@@ -84,26 +97,27 @@ def window_entropies(s: str, size: int = WINDOW) -> list[float]:
 def _opens(w: str) -> bool:
     """Whether a window may be that of a key by what its characters are."""
     upper, lower = sum(c.isupper() for c in w), sum(c.islower() for c in w)
-    if not (upper + lower and any(c.isdigit() for c in w)) and min(upper, lower) < MIXED:
+    if not (upper + lower and any(c.isdigit() for c in w)) and min(upper, lower) < MIXED[len(w)]:
         return False
     return not any(p.fullmatch(w) for p in ALLOWED)
 
 
 def entropy_spans(s: str) -> list[tuple[int, int]]:
     """Starts and ends of all stretches with a window above the high bound and none below the low one."""
-    if any(p.fullmatch(s) for p in ALLOWED):
+    if len(s) < SHORT or any(p.fullmatch(s) for p in ALLOWED):
         return []
     out, since, opened = [], None, False
-    entropies = window_entropies(s)
+    size = window_of(s)
+    entropies = window_entropies(s, size)
     for i, e in enumerate([*entropies, 0.0]):
-        w = s[i : i + WINDOW]
-        high, low = BOUNDS[char_class(w)] if i < len(entropies) else (1.0, 1.0)
+        w = s[i : i + size]
+        high, low = BOUNDS[size][char_class(w)] if i < len(entropies) else (1.0, 1.0)
         if e >= low:
             since = i if since is None else since
             opened = opened or e >= high and _opens(w)
         elif since is not None:
             if opened:
-                out.append((since, i - 1 + WINDOW))
+                out.append((since, i - 1 + size))
             since, opened = None, False
     # stretches of windows may overlap where they are read as characters
     joined: list[tuple[int, int]] = []
@@ -114,6 +128,16 @@ def entropy_spans(s: str) -> list[tuple[int, int]]:
     return joined
 
 
+def candidates(text: str) -> Iterator[tuple[int, str]]:
+    """Start and characters of each run that keys are written in, divided by the UUIDs in it."""
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        for u in UUID.finditer(m[0]):
+            yield at, text[at : m.start() + u.start()]
+            at = m.start() + u.end()
+        yield at, text[at : m.end()]
+
+
 def without(a: int, b: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """What is left of a span beside the base spans, sorted by start."""
     out = []
@@ -136,9 +160,9 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
         out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     base = sorted((a, b) for a, b, _ in out)
-    for m in CANDIDATE.finditer(text):
-        for a, b in entropy_spans(m[0]):
-            rest = without(m.start() + a, m.start() + b, base)
+    for at, s in candidates(text):
+        for a, b in entropy_spans(s):
+            rest = without(at + a, at + b, base)
             out += [(x, y, "entropy") for x, y in rest if text[x:y].strip("+/_=-")]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
