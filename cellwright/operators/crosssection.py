@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CrossSectionRules
 from .components import written
-from .resampling import drawn
+from .resampling import drawn, drawn_by
 
 
 def _pct(c: str) -> Column:
@@ -57,32 +57,46 @@ def least_squares(points: DataFrame, by: list[str], x: str = "x", y: str = "y")
     return g.select(*by, "n", slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"), F.when(ok & (F.col("vy") > 0), F.col("cxy") * F.col("cxy") / (F.col("vx") * F.col("vy"))).alias("r2"))
 
 
-def regression(points: DataFrame, key: str, r: CrossSectionRules = CrossSectionRules(), x: str = "x", y: str = "y") -> DataFrame:
-    """One row: least squares of all points, and the pairs-bootstrap interval of the slope; null below three points."""
-    whole = least_squares(points, [], x, y)
-    again = points.join(drawn(points, key, r.bootstrap, r.seed), key)
+def regression(points: DataFrame, key: str, r: CrossSectionRules = CrossSectionRules(), x: str = "x", y: str = "y", by: tuple = ()) -> DataFrame:
+    """Least squares of all points, and the pairs-bootstrap interval of the slope; null below three points.
+
+    One row, or one a group of ``by``; groups are worked out together and each as if it were alone.
+    """
+    whole = least_squares(points, list(by), x, y)
+    draws = drawn_by(points, list(by), key, r.bootstrap, r.seed) if by else drawn(points, key, r.bootstrap, r.seed)
+    again = points.join(draws, [*by, key])
     again = again.withColumn("one", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
-    boot = least_squares(again, ["replicate"], x, y)
-    band = boot.agg(F.percentile("slope", 0.025).alias("low"), F.percentile("slope", 0.975).alias("high"))
+    boot = least_squares(again, [*by, "replicate"], x, y)
+    band = boot.groupBy(*by).agg(F.percentile("slope", 0.025).alias("low"), F.percentile("slope", 0.975).alias("high"))
     enough = F.col("n") >= 3
-    return whole.crossJoin(band).withColumns({c: F.when(enough, F.col(c)) for c in ("low", "high")})
+    both = whole.join(band, list(by), "left") if by else whole.crossJoin(band)
+    return both.withColumns({c: F.when(enough, F.col(c)) for c in ("low", "high")})
 
 
-def variants(light: DataFrame, reference: DataFrame, r: CrossSectionRules = CrossSectionRules(), **options) -> DataFrame:
-    """The main regression and its counter-checks, one row each."""
-    light, reference = written(light), written(reference)  # read by every variant
-    main = select_countries(light, reference, r, **options)
+def variant_points(light: DataFrame, reference: DataFrame, r: CrossSectionRules = CrossSectionRules(), **options) -> tuple[list[str], DataFrame]:
+    """Names of the main regression and its counter-checks, and (country, x, variant, y): a country's point in each that it is in.
+
+    Countries are selected once, without a limit of purity.
+    """
+    rows = select_countries(light, reference, r, purity_limit=float("-inf"), **options).where("included")
+
+    def pure(limit: float) -> Column:
+        return F.col("light_purity") >= limit
+
+    main = pure(r.purity_limit)
     sets = {"main": (main, "light_sum"), "pure_cells_only": (main, "light_pure")}
-    for limit in r.purity_variants:
-        sets[f"purity_{int(limit * 100)}"] = (select_countries(light, reference, r, purity_limit=limit, **options), "light_sum")
-    sets["without_few_months"] = (main.where(~F.col("few_months")), "light_sum")
-    sets["without_unclear_territory"] = (main.where(F.col("territory") != "unclear"), "light_sum")
-    out = None
-    for name, (rows, value) in sets.items():
-        points = rows.where(F.col("included") & (F.col(value) > 0)).select("country", F.log("gdp").alias("x"), F.log(value).alias("y"))
-        one = regression(points, "country", r).select(F.lit(name).alias("variant"), "n", "slope", "intercept", "r2", "low", "high")
-        out = one if out is None else out.unionByName(one)
-    return out
+    sets |= {f"purity_{int(limit * 100)}": (pure(limit), "light_sum") for limit in r.purity_variants}
+    sets |= {"without_few_months": (main & ~F.col("few_months"), "light_sum"), "without_unclear_territory": (main & (F.col("territory") != "unclear"), "light_sum")}
+    member = F.array_compact(F.array(*[F.when(wanted & (F.col(value) > 0), F.struct(F.lit(name).alias("variant"), F.log(value).alias("y"))) for name, (wanted, value) in sets.items()]))
+    return list(sets), rows.select("country", F.log("gdp").alias("x"), F.inline(member))
+
+
+def variants(light: DataFrame, reference: DataFrame, r: CrossSectionRules = CrossSectionRules(), **options) -> DataFrame:
+    """The main regression and its counter-checks, one row each, in one grouped regression."""
+    names, points = variant_points(light, reference, r, **options)
+    got = regression(written(points), "country", r, by=("variant",))  # read by the line and by the draws
+    names = light.sparkSession.createDataFrame([(name,) for name in names], "variant string")
+    return names.join(got, "variant", "left").select("variant", F.coalesce("n", F.lit(0)).alias("n"), "slope", "intercept", "r2", "low", "high")
 
 
 def residuals(points: DataFrame, k: int = 10, key: str = "country", x: str = "x", y: str = "y") -> DataFrame:

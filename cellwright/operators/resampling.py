@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Draws of one replicate that a task expands at once.
+RUN = 4096
+
+
 def uniform(seed: int, *counters: Column | str) -> Column:
     """Uniform in [0, 1) of 53 bits from a seed and counters."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in counters]), 11) / float(1 << 53)
@@ -29,3 +33,21 @@ def drawn(units: DataFrame, unit: str, replicates: int, seed: int) -> DataFrame:
     replicate, draw = (F.col("id") / max(n, 1)).cast("long"), F.col("id") % max(n, 1)
     draws = draws.select(replicate.cast("int").alias("replicate"), F.least(F.floor(uniform(seed, replicate, draw) * n), F.lit(max(n - 1, 0))).cast("long").alias("place"))
     return draws.groupBy("replicate", "place").agg(F.count("*").alias("times")).join(numbered, "place").select("replicate", unit, "times")
+
+
+def drawn_by(units: DataFrame, by: list[str], unit: str, replicates: int, seed: int) -> DataFrame:
+    """(by..., replicate, unit, times): the draws of ``drawn`` in every group of units, all groups at once.
+
+    Each group has the draws that ``drawn`` gives for its units alone. Replicates and runs of
+    ``RUN`` draws become rows before the draws do, so no row holds more than one run.
+    """
+    names = units.select(*by, unit).distinct()
+    numbered = names.withColumn("place", (F.row_number().over(Window.partitionBy(*by).orderBy(unit)) - 1).cast("long"))
+    runs = names.groupBy(*by).agg(F.count("*").alias("n"))
+    runs = runs.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")) if replicates else runs.withColumn("replicate", F.lit(0)).where("false")
+    runs = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN).cast("long"))).alias("run"))
+    first, last = F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, F.col("n")) - 1
+    draws = runs.select(*by, "n", "replicate", F.explode(F.sequence(first, last)).alias("draw"))
+    place = F.least(F.floor(uniform(seed, F.col("replicate").cast("long"), F.col("draw")) * F.col("n")), F.col("n") - 1).cast("long")
+    times = draws.groupBy(*by, "replicate", place.alias("place")).agg(F.count("*").alias("times"))
+    return times.join(numbered, [*by, "place"]).select(*by, "replicate", unit, "times")

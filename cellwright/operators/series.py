@@ -71,23 +71,31 @@ def country_documents(months: DataFrame, years: DataFrame, population: DataFrame
     """
     m = with_status(months, r).withColumn("year", F.year("month"))
     m = m.join(population, ["country", "year"], "left") if population is not None else m.withColumn("population", F.lit(None).cast("double"))
-    m = m.withColumns({"per_head": F.try_divide("shown", "population"), "per_km2": F.try_divide("shown", "area_km2")})
     text = month_text(F.col("month"))
+    # the months of a country are shuffled once: windows and the last grouping keep to that
+    own = Window.partitionBy("country")
+    span, same = own.orderBy("t").rangeBetween(-(r.window - 1), 0), Window.partitionBy("country", "mo")
+    m = m.withColumns({"per_head": F.try_divide("shown", "population"), "per_km2": F.try_divide("shown", "area_km2"), "t": month_index(F.col("month")), "mo": F.month("month"), "ok": F.when(F.col("status") == "valid", F.col("shown"))})
+    m = m.withColumns({"n_span": F.count("ok").over(span), "mean": F.avg("ok").over(span)}).withColumn("middle", F.median("ok").over(same))
 
     def ordered(c: Column) -> Column:
         return F.array_sort(F.collect_list(c))
 
-    points = m.groupBy("country").agg(
-        ordered(F.struct(text.alias("month"), "status", significant(F.col("shown")).alias("sum"), significant(F.col("per_head")).alias("per_head"), significant(F.col("per_km2")).alias("per_km2"), floor_percent(F.col("coverage")).alias("coverage"), floor_percent(F.col("share_snow")).alias("snow"), floor_percent(F.col("share_not_loaded")).alias("not_loaded"))).alias("points"),
+    def some(c: Column) -> Column:
+        return F.when(F.size(c) > 0, c)
+
+    point = F.struct(text.alias("month"), "status", significant(F.col("shown")).alias("sum"), significant(F.col("per_head")).alias("per_head"), significant(F.col("per_km2")).alias("per_km2"), floor_percent(F.col("coverage")).alias("coverage"), floor_percent(F.col("share_snow")).alias("snow"), floor_percent(F.col("share_not_loaded")).alias("not_loaded"))
+    rolling = F.when(F.col("n_span") == r.window, F.struct(text.alias("month"), significant(F.col("mean")).alias("value")))
+    season = F.when(F.col("ok").isNotNull(), F.struct(text.alias("month"), significant(F.col("ok") - F.col("middle")).alias("value")))
+    least = F.least(*[F.count_if(F.col("ok").isNotNull() & (F.col("mo") == k)) for k in range(1, 13)])
+    parts = m.groupBy("country").agg(
+        ordered(point).alias("points"), some(ordered(rolling)).alias("rolling"), F.when(least >= r.per_calendar_month, some(ordered(season))).alias("season"),
         F.first("area_km2").alias("area_km2"), F.max_by("flags", "month").alias("flags"), *[F.count_if(F.col("status") == s).alias(f"months_{s}") for s in ("low", "snow", "not_loaded")],
     )
-    rolling = trailing_mean(m, ["country"], "shown", r).groupBy("country").agg(ordered(F.struct(month_text(F.col("month")).alias("month"), significant(F.col("mean")).alias("value"))).alias("rolling"))
-    season = seasonal_deviation(m, ["country"], "shown", r).groupBy("country").agg(ordered(F.struct(month_text(F.col("month")).alias("month"), significant(F.col("deviation")).alias("value"))).alias("season"))
     y = checked_years(years, r)
-    valid = y.where("valid")
-    index = index_to_base(valid, ["country"], "year", "light_sum", r.index_year).groupBy("country").agg(ordered(F.struct("year", "index")).alias("index"))
-    by_year = y.groupBy("country").agg(ordered(F.struct("year", "valid", "reason", significant(F.when(F.col("valid"), F.col("light_sum"))).alias("light_sum"), floor_percent(F.col("light_coverage")).alias("coverage"), floor_percent(F.col("light_purity")).alias("purity"))).alias("years"))
-    out = points
-    for part in (rolling, season, by_year, index):
-        out = out.join(part, "country", "left")
-    return out
+    base = F.max(F.when(F.col("valid") & (F.col("year") == r.index_year), F.col("light_sum"))).over(own)
+    y = y.withColumn("base", base)
+    index = F.when(F.col("valid") & (F.col("base") > 0) & F.col("light_sum").isNotNull(), F.struct("year", F.rint(100.0 * F.col("light_sum") / F.col("base")).cast("int").alias("index")))
+    year = F.struct("year", "valid", "reason", significant(F.when(F.col("valid"), F.col("light_sum"))).alias("light_sum"), floor_percent(F.col("light_coverage")).alias("coverage"), floor_percent(F.col("light_purity")).alias("purity"))
+    by_year = y.groupBy("country").agg(ordered(year).alias("years"), some(ordered(index)).alias("index"))
+    return parts.join(by_year, "country", "left")

@@ -288,6 +288,24 @@ def regression_with_interval(spark, sf_dir):
     return pick(CS.regression(points(spark, sf_dir), "country", LOOSE), ["n"], ["slope", "intercept", "r2", "low", "high"])
 
 
+def _variant(name: str, value: str, more: str) -> str:
+    return f"select '{name}' variant, ln(gdp) x, ln({value}) y from f where gdp is not null and light_sum > 0 and light_coverage >= 9e-1 and {value} > 0 and {more}"
+
+
+VARIANTS = f"""{CROSS}, f as (select * from (select * from country_year where year = 1999) join ref using (country)), pts as ({' union all '.join([
+    _variant('main', 'light_sum', 'light_purity >= 1e-1'), _variant('pure_cells_only', 'light_pure', 'light_purity >= 1e-1'), _variant('purity_5', 'light_sum', 'light_purity >= 5e-2'),
+    _variant('purity_30', 'light_sum', 'light_purity >= 3e-1'), _variant('without_few_months', 'light_sum', 'light_purity >= 1e-1 and not coalesce(share_few_months > 1 / 3e0, false)'),
+    _variant('without_unclear_territory', 'light_sum', 'light_purity >= 1e-1')])})"""
+
+
+@R.add(f"{VARIANTS} select variant, count(*) n, case when count(*) >= 3 then round(regr_slope(y, x), 6) + 0e0 end slope, case when count(*) >= 3 then round(regr_r2(y, x), 6) + 0e0 end r2 from pts group by variant")
+def regression_variant_lines(spark, sf_dir):
+    """The lines of all variants, without the intervals of ``regression_variants``."""
+    light, gdp = cross_inputs(spark, sf_dir)
+    _, pts = CS.variant_points(light.withColumn("area_not_loaded", F.lit(0.0)), gdp, LOOSE)
+    return pick(CS.least_squares(pts, ["variant"]), ["variant", "n"], ["slope", "r2"])
+
+
 @R.add()
 def regression_variants(spark, sf_dir):
     light, gdp = cross_inputs(spark, sf_dir)

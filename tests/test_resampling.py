@@ -25,6 +25,24 @@ def test_draws(spark):
     assert R.drawn(units.limit(0), "u", 500, 7).count() == 0
 
 
+def test_draws_of_groups(spark, monkeypatch):
+    monkeypatch.setattr(R, "RUN", 7)
+    units = spark.range(60).select(F.when(F.col("id") < 40, "a").when(F.col("id") < 59, "b").otherwise("c").alias("g"), F.format_string("u%02d", F.col("id") % 40).alias("u"))
+    got = sorted(tuple(r) for r in R.drawn_by(units.unionAll(units), ["g"], "u", 30, 5).collect())
+    want = sorted((g, r["replicate"], r["u"], r["times"]) for g in "abc" for r in R.drawn(units.where(F.col("g") == g), "u", 30, 5).collect())
+    assert got == want and R.drawn_by(units.limit(0), ["g"], "u", 30, 5).count() == 0 and R.drawn_by(units, ["g"], "u", 0, 5).count() == 0
+
+
+def test_grouped_regression(spark):
+    pts = spark.range(30).select(F.format_string("c%02d", "id").alias("country"), F.when(F.col("id") < 25, "a").when(F.col("id") < 27, "b").otherwise("c").alias("g"), F.rand(1).alias("x"), F.rand(2).alias("y")).collect()
+    pts, rules = spark.createDataFrame(pts, "country string, g string, x double, y double"), CrossSectionRules(bootstrap=40)
+    got = {r["g"]: r for r in X.regression(pts, "country", rules, by=("g",)).collect()}
+    for g in "abc":
+        alone = X.regression(pts.where(F.col("g") == g), "country", rules).first()
+        assert all(got[g][c] == (alone[c] if alone[c] is None else pytest.approx(alone[c])) for c in ("n", "slope", "intercept", "r2", "low", "high")), g
+    assert got["b"]["slope"] is None and got["b"]["low"] is None
+
+
 def test_slope_interval_is_that_of_pairs_bootstrap(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=60)
