@@ -135,3 +135,13 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, "token=abcdef", "x"), (1, "token=abcdef", "x"), (None, None, None)], "doc_id long, text string, spans string")
     assert sorted(len(r["spans"]) for r in S.secret_spans(df).collect()) == [0, 1, 1]
     assert S.secret_spans(df.limit(0)).count() == 0
+
+
+def test_long_candidates():
+    key = "Q7xz0LpV9sKd3TfYb1Rw"
+    slug = "ab-12/" * 30_000
+    assert S.scan(slug) == [] and S.scan("=" * 200_000) == []
+    (a, b, kind), = S.scan(slug + key)
+    assert kind == "entropy" and a > len(slug) - 20 and b == len(slug) + 20
+    whole = key * 10_000
+    assert S.scan(whole) == [(0, len(whole), "entropy")]
