@@ -22,25 +22,57 @@ from .geometry import boxes_to_blocks
 EDGE = ("x1", "y1", "x2", "y2")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that must not be broadcast.
+
+    Rows per shape, edge and strip are many more than the file sizes that the
+    planner goes by let it expect, and a broadcast is built in the driver.
+    """
+    return df.hint("merge")
+
+
 def shapes_of(edges: DataFrame) -> DataFrame:
-    """(shape, west, south, east, north, area, turn): box, area and direction of each shape."""
-    twice = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))
+    """(shape, west, south, east, north, area, turn, cx, cy, blur): box, area, direction and centre of gravity of each shape.
+
+    ``blur`` bounds the rounding error of the centre.
+    """
+    x1, y1, x2, y2 = (F.col(c) for c in EDGE)
+    cross = x1 * y2 - x2 * y1
+    reach = F.greatest(F.abs(x1 + x2), F.abs(y1 + y2)) * (F.abs(x1 * y2) + F.abs(x2 * y1))
     got = edges.dropna(subset=["shape", *EDGE]).groupBy("shape").agg(
-        F.min(F.least("x1", "x2")).alias("west"), F.min(F.least("y1", "y2")).alias("south"), F.max(F.greatest("x1", "x2")).alias("east"), F.max(F.greatest("y1", "y2")).alias("north"), (twice / 2).alias("signed"),
+        F.min(F.least("x1", "x2")).alias("west"), F.min(F.least("y1", "y2")).alias("south"), F.max(F.greatest("x1", "x2")).alias("east"), F.max(F.greatest("y1", "y2")).alias("north"), (F.sum(cross) / 2).alias("signed"),
+        F.sum((x1 + x2) * cross).alias("mx"), F.sum((y1 + y2) * cross).alias("my"), ((F.count("*") + 8) * F.sum(reach) * 1e-15).alias("error"),
     )
-    return got.where("signed <> 0").select("shape", "west", "south", "east", "north", F.abs("signed").alias("area"), F.signum("signed").alias("turn"))
+    centre = [(F.col(m) / (6 * F.col("signed"))).alias(c) for m, c in (("mx", "cx"), ("my", "cy"))]
+    return got.where("signed <> 0").select("shape", "west", "south", "east", "north", F.abs("signed").alias("area"), F.signum("signed").alias("turn"), *centre, (F.col("error") / F.abs("signed")).alias("blur"))
+
+
+def cores(shapes: DataFrame, least_share: float) -> DataFrame:
+    """Shapes with their boxes cut to where the centre of a part of at least that share can lie.
+
+    A part's centre is off the whole one's by the share left out times the box's
+    side at most. The centre of what two shapes have in common lies in the cores
+    of both, so cores that do not meet belong to no mutual duplicates.
+    """
+    out = {}
+    for low, high, c in (("west", "east", "cx"), ("south", "north", "cy")):
+        off = (1 - least_share + 1e-9) * (F.col(high) - F.col(low)) + F.col("blur")
+        out |= {low: F.greatest(F.col(low), F.col(c) - off), high: F.least(F.col(high), F.col(c) + off)}
+    return shapes.withColumns(out)
 
 
 def candidate_pairs(shapes: DataFrame, block: float, least_share: float = 0.0) -> DataFrame:
-    """(a, b) with a < b whose boxes overlap; with a least share only those whose areas allow it both ways.
+    """(a, b) with a < b whose boxes overlap; with a least share only those whose areas and centres allow it both ways.
 
     Areas are banded by the share, so shapes of very different size in one block
-    are not even compared.
+    are not even compared. A pair that shares several blocks is taken in the one
+    that holds the lower left corner of what its boxes share.
     """
     sides = []
     if least_share > 0:
-        band = F.floor(F.log("area") / -np.log(least_share))
-        shapes = shapes.withColumn("band", band)
+        band = F.floor(F.log("area") / -np.log(min(least_share, 1 - 1e-9)))
+        shapes = cores(shapes, least_share).withColumn("band", band)
+        block = block * max(2 * (1 - least_share), 1e-3)
     for end in ("a", "b"):
         cols = [F.col(c).alias(f"{c}_{end}") for c in ("shape", "west", "south", "east", "north", "area")]
         side = boxes_to_blocks(shapes, block)
@@ -50,10 +82,14 @@ def candidate_pairs(shapes: DataFrame, block: float, least_share: float = 0.0) -
         else:
             side = side.withColumn("key", F.lit(0))
         sides.append(side.select(F.col("bx"), F.col("by"), "key", *cols))
-    met = sides[0].join(sides[1], ["bx", "by", "key"]).where("shape_a < shape_b and west_a < east_b and west_b < east_a and south_a < north_b and south_b < north_a")
+    met = shuffled(sides[0]).join(sides[1], ["bx", "by", "key"]).where("shape_a < shape_b")
+    met = met.where(F.col("bx") == F.floor(F.greatest("west_a", "west_b") / block)).where(F.col("by") == F.floor(F.greatest("south_a", "south_b") / block))
     if least_share > 0:
+        met = met.where("west_a <= east_b and west_b <= east_a and south_a <= north_b and south_b <= north_a")
         met = met.where((F.least("area_a", "area_b") >= least_share * F.greatest("area_a", "area_b") * (1 - 1e-9)))
-    return met.select(F.col("shape_a").alias("a"), F.col("shape_b").alias("b"), "area_a", "area_b").distinct()
+    else:
+        met = met.where("west_a < east_b and west_b < east_a and south_a < north_b and south_b < north_a")
+    return met.select(F.col("shape_a").alias("a"), F.col("shape_b").alias("b"), "area_a", "area_b")
 
 
 def edge_strips(edges: DataFrame, strip: float) -> DataFrame:
@@ -75,9 +111,9 @@ def common_areas(edges: DataFrame, pairs: DataFrame, shapes: DataFrame, strip: f
     turns = shapes.select("shape", "turn", "south")
     pairs = pairs.select("a", "b")
     for end in ("a", "b"):
-        pairs = pairs.join(turns.select(F.col("shape").alias(end), F.col("turn").alias(f"turn_{end}"), F.col("south").alias(f"south_{end}")), end)
+        pairs = pairs.join(shuffled(turns.select(F.col("shape").alias(end), F.col("turn").alias(f"turn_{end}"), F.col("south").alias(f"south_{end}"))), end)
     one, two = (lines.select(F.col("shape").alias(k), "strip", *[F.col(c).alias(f"{c}_{k}") for c in ("lo", "hi", "m", "c", "way")]) for k in ("a", "b"))
-    met = pairs.join(one, "a").join(two, ["b", "strip"])
+    met = pairs.join(shuffled(one), "a").join(shuffled(two), ["b", "strip"])
     met = met.withColumns({"lo": F.greatest("lo_a", "lo_b"), "hi": F.least("hi_a", "hi_b"), "ground": F.least("south_a", "south_b")}).where("lo < hi")
 
     def height(k: str, x: str) -> Column:
@@ -96,7 +132,7 @@ def mutual_duplicates(edges: DataFrame, share: float = 0.95, block: float = 5.0,
     shapes = written(shapes_of(edges))
     pairs = written(candidate_pairs(shapes, block, share))
     common = common_areas(edges, pairs, shapes, strip)
-    both = pairs.join(common, ["a", "b"])
+    both = pairs.join(shuffled(common), ["a", "b"])
     return both.where((F.col("common") >= share * F.col("area_a")) & (F.col("common") >= share * F.col("area_b")))
 
 
@@ -104,7 +140,7 @@ def overlaps(edges: DataFrame, block: float = 5.0, strip: float = 1.0, least: fl
     """(low, high): pairs that share area; ``low`` comes first, by area, then by name."""
     shapes = written(shapes_of(edges))
     pairs = written(candidate_pairs(shapes, block))
-    common = pairs.join(common_areas(edges, pairs, shapes, strip), ["a", "b"]).where(F.col("common") > least * F.least("area_a", "area_b"))
+    common = pairs.join(shuffled(common_areas(edges, pairs, shapes, strip)), ["a", "b"]).where(F.col("common") > least * F.least("area_a", "area_b"))
     first = (F.col("area_a") < F.col("area_b")) | ((F.col("area_a") == F.col("area_b")) & (F.col("a") < F.col("b")))
     return common.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("high"))
 
@@ -122,11 +158,11 @@ def priority_rounds(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
     while not left.isEmpty():
         number += 1
         waiting = edges.select(F.col("high").alias("shape")).distinct()
-        done = left.join(waiting, "shape", "left_anti").withColumn("round", F.lit(number))
+        done = left.join(shuffled(waiting), "shape", "left_anti").withColumn("round", F.lit(number))
         done = written(done)
         out = done if out is None else out.union(done)
-        left = written(left.join(done, "shape", "left_anti"))
-        edges = written(edges.join(done.select(F.col("shape").alias("low")), "low", "left_anti"))
+        left = written(left.join(shuffled(done), "shape", "left_anti"))
+        edges = written(edges.join(shuffled(done.select(F.col("shape").alias("low"))), "low", "left_anti"))
     return out if out is not None else shapes.select("shape", F.lit(0).alias("round"))
 
 
@@ -175,7 +211,7 @@ def owned_areas(edges: DataFrame, block: float = 5.0, strip: float = 1.0) -> Dat
     lines = written(edge_strips(edges, strip))
     kind = lines.schema["shape"].dataType.simpleString()
     own = lines.withColumn("of", F.col("shape"))
-    taking = pairs.join(lines.withColumnRenamed("shape", "low"), "low").select(F.col("low").alias("shape"), "strip", "lo", "hi", "m", "c", "way", F.col("high").alias("of"))
+    taking = pairs.join(shuffled(lines.withColumnRenamed("shape", "low")), "low").select(F.col("low").alias("shape"), "strip", "lo", "hi", "m", "c", "way", F.col("high").alias("of"))
 
     def left(key, pdf: pd.DataFrame) -> pd.DataFrame:
         mine = pdf["shape"] == key[0]
@@ -183,4 +219,4 @@ def owned_areas(edges: DataFrame, block: float = 5.0, strip: float = 1.0) -> Dat
 
     got = own.unionByName(taking).groupBy("of", "strip").applyInPandas(left, f"of {kind}, strip long, owned double")
     sums = got.groupBy(F.col("of").alias("shape")).agg(F.sum("owned").alias("owned"))
-    return shapes.select("shape", "area").join(sums, "shape").join(priority_rounds(shapes, pairs), "shape")
+    return shapes.select("shape", "area").join(shuffled(sums), "shape").join(shuffled(priority_rounds(shapes, pairs)), "shape")

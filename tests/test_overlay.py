@@ -98,3 +98,33 @@ def test_odd_rows(spark):
     rows = ring("a", [(0, 0), (1, 0), (1, 1)]) + ring("line", [(0, 0), (5, 5)])
     df = table(spark, rows).union(spark.createDataFrame([(None, 1.0, 1.0, 2.0, 2.0), ("b", None, 1.0, 2.0, 2.0)], "shape string, x1 double, y1 double, x2 double, y2 double"))
     assert [(r["shape"], r["owned"], r["round"]) for r in O.owned_areas(df).collect()] == [("a", pytest.approx(0.5), 1)]
+
+
+def blob(name, x, y, rng):
+    """A square with a spike of little area on one side, so boxes say little about it."""
+    reach = rng.choice([0, 0, 3, 9])
+    return ring(name, [(x, y), (x + 2, y), (x + 2, y + 1 + 0.001), (x + 2 + reach, y + 1 + 0.002), (x + 2, y + 1 + 0.003), (x + 2, y + 2), (x, y + 2)][:: rng.choice([1, -1])])
+
+
+@pytest.mark.parametrize("share", [0.7, 0.95, 1.0])
+def test_candidates_lose_no_duplicates(spark, share):
+    rng = random.Random(5)
+    rows = [r for k in range(60) for r in blob(f"s{k:02d}", 1000 + rng.choice([0, 0.01, 0.05, 0.3, 1]), rng.choice([0, 0.02, 0.2]), rng)]
+    df = table(spark, rows)
+    shapes = O.shapes_of(df)
+    common = {(r["a"], r["b"]): r["common"] for r in O.common_areas(df, O.candidate_pairs(shapes, 3.0), shapes, 1.0).collect()}
+    area = {r["shape"]: r["area"] for r in shapes.collect()}
+    tolerance = 1e-10
+    wanted = {(a, b) for (a, b), c in common.items() if c >= share * (1 - tolerance) * max(area[a], area[b])}
+    pairs = [(r["a"], r["b"]) for r in O.candidate_pairs(shapes, 3.0, share).collect()]
+    assert len(pairs) == len(set(pairs)) and wanted <= set(pairs) and len(wanted) > 20
+
+
+def test_neighbours_are_no_candidates(spark):
+    rows = [r for k in range(100) for r in ring(f"s{k:02d}", [(k * 0.4, 0), (k * 0.4 + 4, 0), (k * 0.4 + 4, 4), (k * 0.4, 4)])]
+    df = table(spark, rows)
+    shapes = O.shapes_of(df)
+    pairs = O.candidate_pairs(shapes, 6.0, 0.95)
+    assert 0 < O.candidate_pairs(shapes, 6.0, 0.9).count() < 400 and pairs.count() < 200
+    for got in (pairs, O.common_areas(df, O.candidate_pairs(shapes, 6.0), shapes, 2.0)):
+        assert "Broadcast" not in got._jdf.queryExecution().toString()
