@@ -199,13 +199,32 @@ def _owned(own: pd.DataFrame, others: pd.DataFrame) -> float:
     return total
 
 
+def outlines(edges: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(shape, area, first): the first shape, by area, then by name, that has the same edges.
+
+    Edges are compared as a set by their number and two sums of 64-bit hashes;
+    which way round a shape is given and where it begins do not matter.
+    """
+    way = edges.dropna(subset=["shape", *EDGE]).join(shuffled(shapes.select("shape", "turn")), "shape")
+    back = F.col("turn") < 0
+    ends = [F.when(back, F.col(b)).otherwise(F.col(a)) + F.lit(0.0) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *ends).cast("decimal(20,0)")).alias(f"sum{seed}") for seed in (1, 2)]
+    marks = written(way.groupBy("shape").agg(F.count("*").alias("n"), *sums).join(shuffled(shapes.select("shape", "area")), "shape"))
+    firsts = marks.groupBy("n", "sum1", "sum2").agg(F.min(F.struct("area", "shape"))["shape"].alias("first"))
+    return marks.join(shuffled(firsts), ["n", "sum1", "sum2"]).select("shape", "area", "first")
+
+
 def owned_areas(edges: DataFrame, block: float = 5.0, strip: float = 1.0) -> DataFrame:
     """(shape, area, owned, round): area that is left to each shape when every point goes to its smallest shape.
 
     The smaller neighbours of a shape are all that can take from it, whatever
     they lost themselves, so every shape is worked out in its own strips; no
-    shape waits for another. Ties of area go to the smaller key.
+    shape waits for another. Ties of area go to the smaller key. Of shapes with
+    the same edges the first takes all that any of them could, so only it meets
+    others; its copies keep nothing and are settled in its round.
     """
+    every = written(outlines(edges, shapes_of(edges)))
+    edges = written(edges.join(shuffled(every.where("shape = first").select("shape")), "shape", "left_semi"))
     shapes = written(shapes_of(edges))
     pairs = written(overlaps(edges, block, strip))
     lines = written(edge_strips(edges, strip))
@@ -219,4 +238,6 @@ def owned_areas(edges: DataFrame, block: float = 5.0, strip: float = 1.0) -> Dat
 
     got = own.unionByName(taking).groupBy("of", "strip").applyInPandas(left, f"of {kind}, strip long, owned double")
     sums = got.groupBy(F.col("of").alias("shape")).agg(F.sum("owned").alias("owned"))
-    return shapes.select("shape", "area").join(shuffled(sums), "shape").join(shuffled(priority_rounds(shapes, pairs)), "shape")
+    firsts = sums.join(shuffled(priority_rounds(shapes, pairs)), "shape").withColumnRenamed("shape", "first")
+    own = F.when(F.col("shape") == F.col("first"), F.col("owned")).otherwise(F.lit(0.0))
+    return every.join(shuffled(firsts), "first").select("shape", "area", own.alias("owned"), "round")

@@ -128,3 +128,14 @@ def test_neighbours_are_no_candidates(spark):
     assert 0 < O.candidate_pairs(shapes, 6.0, 0.9).count() < 400 and pairs.count() < 200
     for got in (pairs, O.common_areas(df, O.candidate_pairs(shapes, 6.0), shapes, 2.0)):
         assert "Broadcast" not in got._jdf.queryExecution().toString()
+
+
+def test_copies_wait_for_nobody(spark):
+    big, small = [(0, 0), (6, 0), (6, 4), (0, 4)], [(4, 1), (9, 1), (9, 3), (4, 3)]
+    rows = [r for k in range(12) for r in ring(f"b{k:02d}", big[k % 4 :] + big[: k % 4])]
+    rows += [r for k in range(12) for r in ring(f"a{k:02d}", small[:: 1 if k % 2 else -1])]
+    rows += ring("c", [(0, 0), (6, 0), (6, 4), (3, 4), (0, 4)])  # the same area, another outline
+    got = {r["shape"]: r for r in O.owned_areas(table(spark, rows)).collect()}
+    assert len(got) == 25 and {s: r["owned"] for s, r in got.items() if r["owned"] > 1e-9} == pytest.approx({"a00": 10, "b00": 20})
+    assert {s: r["area"] for s, r in got.items()} == pytest.approx({s: 10 if s < "b" else 24 for s in got})
+    assert {s: r["round"] for s, r in got.items()} == {s: 1 if s < "b" else 2 if s < "c" else 3 for s in got}
