@@ -66,11 +66,12 @@ def set_hash(values: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.array_distinct(values)), "\n"), 256)
 
 
-@F.pandas_udf(T.StringType())
-def unescape_html(text: pd.Series) -> pd.Series:
+@F.udf(T.StringType(), useArrow=False)
+def unescape_html(text: str | None) -> str | None:
+    """Entities to characters, in batches of some rows: an Arrow batch holds up to 10 000 whole pages, several times over in Python."""
     import html
 
-    return text.map(lambda t: None if t is None else html.unescape(t))
+    return None if text is None else html.unescape(text)
 
 
 def html_to_text(page: Column) -> Column:

@@ -142,3 +142,15 @@ def test_month_state_stream(spark, tmp_path):
     q.awaitTermination(180)
     got = spark.table("states").collect()
     assert len(got) == 5 and not any(r["accepted"] for r in got if r["month"] == "2020-02")
+
+
+def test_pages_reach_python_a_few_at_a_time(spark):
+    import html
+
+    page = "<p>&amp;lt; &lt;b&gt; &notit; &copy &#x41; &#128512; &#xD800; &unknown; a&b &</p>"
+    df = spark.createDataFrame([(k, page * k if k else None) for k in range(300)], "k int, page string")
+    got = df.select("k", html_to_text(F.col("page")).alias("text"))
+    inner = page.replace("<p>", " ").replace("</p>", " ")
+    assert {r["k"]: r["text"] for r in got.collect()} == {k: " ".join(html.unescape(inner * k).split()) if k else None for k in range(300)}
+    plan = got._jdf.queryExecution().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
