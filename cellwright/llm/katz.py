@@ -32,6 +32,8 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ from .token_shards import _shuffles_removed
 KEEP = 5
 #: Tokens after which a chunk is closed; tokens that a bucket should hold; buckets at least.
 CHUNK, BUCKET, MIN_BUCKETS = 4_000_000, 2_000_000, 16
+#: Bytes of texts that are split into words at once.
+PIECE = 1 << 20
 #: From this many buckets on, buckets grow to this many tokens before there are more of them.
 MANY_BUCKETS, LARGE_BUCKET = 256, 32_000_000
 #: Trigrams of a bucket that are held before equal ones are added up.
@@ -50,12 +54,6 @@ HELD = 4_000_000
 UNKNOWN, BEGIN, FIRST = 0, 1, 2
 
 
-class _Numbers(dict):
-    def __missing__(self, key):
-        value = self[key] = len(self)
-        return value
-
-
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of non-negative integers as byte planes, compressed."""
     import zstandard
@@ -82,36 +80,65 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts as local word numbers; the empty word is the end token."""
+def _split(body: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts in lower case, an empty one before and after white space at either end, and how many of them each text has."""
+    text = pc.fill_null(body.cast(pa.binary()).view(pa.string()), "")
+    words = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    return words.flatten(), pc.list_value_length(words).to_numpy().astype(np.int64)
 
-    def row():
-        tokens = np.concatenate(codes).astype("<u4")
-        lens = np.fromiter(map(len, codes), dtype="<i4", count=len(codes))
-        trained = np.repeat(~np.array(held), lens)
-        n = np.bincount(tokens[trained], minlength=len(number))
-        return {"doc_ids": ids, "held": held, "lens": lens.tobytes(), "codes": pack(tokens), "words": list(number), "n": n.tolist()}
 
-    for pdf in batches:
-        number, codes, ids, held, size = _Numbers(), [], [], [], 0
-        for i, h, text in zip(pdf["doc_id"], pdf["held"], pdf["body"]):
-            w = (text or b"").lower().split()
-            w.append(b"")
-            codes.append(np.array(list(map(number.__getitem__, w)), dtype="<u4"))
-            ids.append(None if pd.isna(i) else int(i))
-            held.append(bool(h))
-            size += len(w)
-            if size >= CHUNK:
-                yield pd.DataFrame([row()])
-                number, codes, ids, held, size = _Numbers(), [], [], [], 0
-        if codes:
-            yield pd.DataFrame([row()])
+def _slices(body: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of ``PIECE`` bytes together, or of one text."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(body).to_numpy(zero_copy_only=False)))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, side="right")))
+        yield at, to
+        at = to
+
+
+def _chunk(ids: pa.Array, held: pa.Array, pieces: list[tuple[pa.Array, np.ndarray]]) -> pa.RecordBatch:
+    """Texts as local word numbers; the empty word is the end token."""
+    coded = pa.chunked_array([p[0] for p in pieces]).dictionary_encode()
+    number = coded.chunk(0).dictionary
+    codes = np.concatenate([c.indices.to_numpy() for c in coded.chunks]).astype(np.int64)
+    end = pc.index(number, "").as_py()
+    if end < 0:
+        end, number = len(number), pa.concat_arrays([number, pa.array([""])])
+    text = np.repeat(np.arange(len(ids)), np.concatenate([p[1] for p in pieces]))
+    full = codes != end
+    lens = np.bincount(text[full], minlength=len(ids)) + 1
+    tokens = np.full(int(lens.sum()), end, dtype="<u4")
+    last = np.zeros(len(tokens), dtype=bool)
+    last[np.cumsum(lens) - 1] = True
+    tokens[~last] = codes[full]
+    n = np.bincount(tokens[np.repeat(~held.to_numpy(zero_copy_only=False), lens)], minlength=len(number))
+
+    def listed(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    row = {"doc_ids": listed(ids), "held": listed(held), "lens": pa.array([lens.astype("<i4").tobytes()]), "codes": pa.array([pack(tokens)]), "words": listed(number.view(pa.binary())), "n": listed(pa.array(n, pa.int64()))}
+    return pa.RecordBatch.from_pydict(row)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, held, body = batch.column("doc_id"), batch.column("held"), batch.column("body")
+        start, pieces, size = 0, [], 0
+        for at, to in _slices(body):
+            pieces.append(_split(body.slice(at, to - at)))
+            size += len(pieces[-1][0]) + to - at
+            if size >= CHUNK or to == len(body):
+                yield _chunk(ids.slice(start, to - start), held.slice(start, to - start), pieces)
+                start, pieces, size = to, [], 0
+        # the worker goes on with other stages
+        pa.default_memory_pool().release_unused()
 
 
 def chunks(df: DataFrame, held: F.Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The texts as written chunks: uid, doc_ids, held, lens, codes, words, n (counts in training texts)."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text).cast("binary").alias("body"))
-    cut = rows.mapInPandas(_chunks, "doc_ids array<long>, held array<boolean>, lens binary, codes binary, words array<binary>, n array<long>")
+    cut = rows.mapInArrow(_chunks, "doc_ids array<long>, held array<boolean>, lens binary, codes binary, words array<binary>, n array<long>")
     return staged(cut.withColumn("uid", F.monotonically_increasing_id()), "chunks")
 
 
@@ -145,32 +172,75 @@ def coded(chunk: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def _tokens(row) -> tuple[np.ndarray, ...]:
-    """Word before last, last word, word and text of each token of a chunk."""
+    """Word before last, last word, word and text of each token of a chunk, and the words' numbers.
+
+    Words are places in the sorted numbers of the chunk's own words: small, so
+    several of them fit into one sort key.
+    """
     codes, = unpack(row.codes)
     lens = np.frombuffer(row.lens, dtype="<i4")
     ids = np.zeros(int(codes.max()) + 1, dtype=np.int64)
     if row.own is not None:
         i, number = unpack(row.own)
         ids[i] = number
-    word = ids[codes]
+    ids, place = np.unique(np.concatenate(([UNKNOWN, BEGIN], ids)), return_inverse=True)
+    word = place[2:].astype(np.int32)[codes]
+    del codes
     starts = np.cumsum(lens) - lens
-    last = np.concatenate(([BEGIN], word[:-1]))
+    last = np.concatenate((word[:1], word[:-1]))
     last[starts] = BEGIN
-    before = np.concatenate(([BEGIN], last[:-1]))
+    before = np.concatenate((last[:1], last[:-1]))
     before[starts] = BEGIN
-    return before, last, word, np.repeat(np.arange(len(lens)), lens)
+    return before, last, word, np.repeat(np.arange(len(lens), dtype=np.int32), lens), ids
 
 
-def _grouped(h2: np.ndarray, h1: np.ndarray, w: np.ndarray, buckets: int):
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys, equal ones as they come, and the sorted keys; the array given is used up.
+
+    Keys and places are sorted as one number where that holds both.
+    """
+    bits = len(key).bit_length()
+    if len(key) and int(key.max()).bit_length() + bits < 64:
+        key <<= bits
+        key |= np.arange(len(key), dtype=np.int64)
+        key.sort()
+        order = (key & ((1 << bits) - 1)).astype(np.int32 if bits < 32 else np.int64)
+        key >>= bits
+        return order, key
+    order = np.argsort(key, kind="stable")
+    return order, key[order]
+
+
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and number of each run of equal keys."""
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    number = np.cumsum(new, dtype=np.int32 if len(key) < 1 << 31 else np.int64)
+    number -= 1
+    return np.flatnonzero(new), number
+
+
+def _grouped(h2: np.ndarray, h1: np.ndarray, w: np.ndarray, ids: np.ndarray, buckets: int):
     """Distinct bigrams and trigrams, bucket by bucket of the last word before.
 
-    Returns the first token of each bigram, the first token and the bigram of
-    each trigram, and the trigram of each token.
+    Returns the order of the tokens by trigram, the first token of each bigram,
+    the first token and the bigram of each trigram, and the trigram of each token
+    in that order.
     """
-    top = int(h1.max()) // buckets + 1 if len(h1) else 1
-    _, pair_first, pair = np.unique(((h1 % buckets * top + h1 // buckets) << 32) | w, return_index=True, return_inverse=True)
-    _, first, gram = np.unique((pair << 32) | h2, return_index=True, return_inverse=True)
-    return pair_first, first, pair[first], gram
+    place = np.empty(len(ids), dtype=np.int64)
+    place[np.lexsort((ids, ids % buckets))] = np.arange(len(ids))
+    key = place[h1]
+    key *= len(ids)
+    key += w
+    order, key = _sorted(key)
+    pair_first, pair = _numbered(key)
+    key[:] = pair
+    key *= len(ids)
+    key += h2[order]
+    again, key = _sorted(key)
+    order, pair = order[again], pair[again]
+    first, gram = _numbered(key)
+    return order, order[pair_first], order[first], pair[first], gram
 
 
 def _cut(bucket: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
@@ -189,16 +259,17 @@ def _counted(batches, buckets: int):
     """Per chunk and bucket: training bigrams, and trigrams with their counts."""
     for pdf in batches:
         for row in pdf.itertuples():
-            h2, h1, w, doc = _tokens(row)
+            h2, h1, w, doc, ids = _tokens(row)
             train = ~np.array(row.held, dtype=bool)[doc]
             h2, h1, w = h2[train], h1[train], w[train]
-            pf, first, pair, gram = _grouped(h2, h1, w, buckets)
+            _, pf, first, pair, gram = _grouped(h2, h1, w, ids, buckets)
             n = np.bincount(gram, minlength=len(first))
-            pairs = dict(_cut(h1[pf] % buckets, buckets))
+            of_pair, of_gram, w, h2 = ids[h1[pf]], ids[h1[first]], ids[w[pf]], ids[h2[first]]
+            pairs = dict(_cut(of_pair % buckets, buckets))
             out = []
-            for b, t in _cut(h1[first] % buckets, buckets):
+            for b, t in _cut(of_gram % buckets, buckets):
                 p = pairs[b]
-                out.append((b, pack(_steps(h1[pf[p]] // buckets), w[pf[p]], _steps(pair[t] - p.start), h2[first[t]], n[t])))
+                out.append((b, pack(_steps(of_pair[p] // buckets), w[p], _steps(pair[t] - p.start), h2[t], n[t])))
             if out:
                 yield pd.DataFrame(out, columns=["bucket", "blob"])
 
@@ -206,12 +277,17 @@ def _counted(batches, buckets: int):
 def _summed_up(rows: list[np.ndarray]) -> np.ndarray:
     """Columns h1, h2, w, n with the n of equal trigrams added, sorted."""
     x = np.concatenate(rows, axis=1)
-    x = x[:, np.lexsort((x[2], x[1], x[0]))]
-    new = np.ones(x.shape[1], dtype=bool)
-    new[1:] = (x[:3, 1:] != x[:3, :-1]).any(axis=0)
-    first = np.flatnonzero(new)
-    out = x[:, first]
-    out[3] = np.add.reduceat(x[3], first)
+    _, b2, b3 = (int(c.max()).bit_length() for c in x[:3])
+    if int(x[0].max()).bit_length() + b2 + b3 < 64:
+        key = (x[0] << (b2 + b3)) | (x[1] << b3) | x[2]
+        order, key = _sorted(key)
+        first, _ = _numbered(key)
+    else:
+        order = np.lexsort((x[2], x[1], x[0]))
+        y = x[:3, order]
+        first = np.flatnonzero(np.append(True, (y[:, 1:] != y[:, :-1]).any(axis=0)))
+    out = x[:, order[first]]
+    out[3] = np.add.reduceat(x[3][order], first)
     return out
 
 
@@ -227,8 +303,10 @@ def _grams(key, pdf: pd.DataFrame) -> pd.DataFrame:
             held = [_summed_up(held)]
             size = 0
     h1, h2, w, n = _summed_up(held)
-    _, first, place = np.unique((h1 << 32) | w, return_index=True, return_inverse=True)
-    c = np.bincount(place, weights=n).astype(np.int64)
+    order, pair = _sorted((h1 << 32) | w)
+    first, _ = _numbered(pair)
+    c = np.add.reduceat(n[order], first)
+    first = order[first]
     times = [np.bincount(np.minimum(x, KEEP + 2), minlength=KEEP + 3)[1 : KEEP + 2].tolist() for x in (c, n)]
     table = pack(_steps(h1[first]), w[first], c), pack(_steps(h1), h2, w, n)
     return pd.DataFrame({"bucket": [key[0]], "pairs": [table[0]], "triples": [table[1]], "times2": times[:1], "times3": times[1:]})
@@ -397,17 +475,17 @@ def _asked(batches, salts: np.ndarray):
     buckets = len(salts)
     for pdf in batches:
         for row in pdf.itertuples():
-            h2, h1, w, doc = _tokens(row)
+            h2, h1, w, doc, ids = _tokens(row)
             known = h1 != UNKNOWN
             h2, h1, w, doc = h2[known], h1[known], w[known], doc[known]
-            pf, first, pair, gram = _grouped(h2, h1, w, buckets)
-            order = np.argsort(gram, kind="stable")
-            gram, doc = gram[order], doc[order]
-            pairs, tokens = dict(_cut(h1[pf] % buckets, buckets)), dict(_cut(h1[first[gram]] % buckets, buckets))
+            order, pf, first, pair, gram = _grouped(h2, h1, w, ids, buckets)
+            doc = doc[order]
+            of_pair, of_gram, w, h2 = ids[h1[pf]], ids[h1[first]], ids[w[pf]], ids[h2[first]]
+            pairs = dict(_cut(of_pair % buckets, buckets))
             out = []
-            for b, t in _cut(h1[first] % buckets, buckets):
-                p, k = pairs[b], tokens[b]
-                blob = pack(_steps(h1[pf[p]] // buckets), w[pf[p]], _steps(pair[t] - p.start), h2[first[t]], _steps(gram[k] - t.start), doc[k])
+            for b, t in _cut(of_gram % buckets, buckets):
+                p, k = pairs[b], slice(*np.searchsorted(gram, (t.start, t.stop)))
+                blob = pack(_steps(of_pair[p] // buckets), w[p], _steps(pair[t] - p.start), h2[t], _steps(gram[k] - t.start), doc[k])
                 out.append((b, _salt(row.uid, b, int(salts[b])), row.uid, blob))
             if out:
                 yield pd.DataFrame(out, columns=["bucket", "salt", "uid", "blob"])
@@ -443,11 +521,11 @@ def _alone(batches, uni: Unigrams):
     """What a chunk knows by itself: per text its numbers and unigram scores."""
     for pdf in batches:
         for row in pdf.itertuples():
-            _, _, w, doc = _tokens(row)
-            c = uni.count(w)
+            _, _, w, doc, ids = _tokens(row)
+            c = uni.count(ids)
             n = len(row.doc_ids)
             base = np.log10((c + 1) / (uni.tokens + uni.words + 1))
-            sums = [np.bincount(doc, weights=x, minlength=n) for x in (np.ones(len(doc)), c > 0, base, np.log10(uni.p(c)))]
+            sums = [np.bincount(doc, weights=x[w], minlength=n) for x in (np.ones(len(ids)), c > 0, base, np.log10(uni.p(c)))]
             yield pd.DataFrame({"uid": row.uid, "pos": np.arange(n), "doc_id": pd.array(row.doc_ids, dtype="Int64"), "held_out": row.held, "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base_score": sums[2], "alone": sums[3]})
 
 

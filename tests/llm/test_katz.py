@@ -152,3 +152,40 @@ def test_salts_follow_histories(spark, monkeypatch):
         for b in (0, K.BEGIN % n):
             dealt = np.bincount([K._salt(p << 33, b, m) for p in range(800)], minlength=m)
             assert dealt.min() > 0.6 * 800 / m and dealt.max() < 1.5 * 800 / m
+
+
+def chunk_rows(texts, held=None):
+    import pyarrow as pa
+
+    n = len(texts)
+    batch = pa.record_batch({"doc_id": pa.array([None if i == 1 else i for i in range(n)], pa.int64()), "held": pa.array([bool(held and held[i]) for i in range(n)]), "body": pa.array(texts, pa.binary())})
+    return pa.Table.from_batches(list(K._chunks(iter([batch])))).to_pandas()
+
+
+def test_words_of_chunks(monkeypatch):
+    monkeypatch.setattr(K, "PIECE", 40)
+    monkeypatch.setattr(K, "CHUNK", 30)
+    texts = [b"  A b\tC\x0b\x0cd\r\n e ", b"", None, b"x", b" \n", b"\xc3\x80\xff q\x1c\x85r \xe2\x80\x83Z", b"w " * 70, b"A a", "ÄÖ É".encode()] * 3
+    got = []
+    for row in chunk_rows(texts, [i % 2 for i in range(len(texts))]).itertuples():
+        codes, = K.unpack(row.codes)
+        ends = np.cumsum(np.frombuffer(row.lens, "<i4"))
+        got += [[row.words[c] for c in codes[a:b]] for a, b in zip(np.append(0, ends), ends)]
+        trained = [c for a, b, h in zip(np.append(0, ends), ends, row.held) if not h for c in codes[a:b]]
+        assert list(row.n) == np.bincount(trained, minlength=len(row.words)).tolist() and len(set(row.words)) == len(row.words)
+    assert got == [[*(t or b"").lower().split(), b""] for t in texts]
+
+
+def test_memory_of_a_chunk():
+    import tracemalloc
+
+    r = np.random.default_rng(7)
+    row = chunk_rows([b" ".join(b"w%d" % x for x in r.zipf(1.3, 2000) % 20000) for _ in range(200)])
+    assert len(row) == 1
+    words = len(row["words"][0])
+    row["uid"], row["own"] = 0, [K.pack(np.arange(words), np.arange(words) + K.FIRST)]
+    tracemalloc.start()
+    assert len(next(K._asked(iter([row]), np.ones(16, dtype=np.int64)))) == 16
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 85 * 200 * 2001
