@@ -74,8 +74,24 @@ def unescape_html(text: str | None) -> str | None:
     return None if text is None else html.unescape(text)
 
 
-def html_to_text(page: Column) -> Column:
-    """Plain text of a page: scripts, styles and tags out, entities decoded, white space squeezed."""
+@F.udf(T.StringType(), useArrow=False)
+def unescape_closed(text: str | None) -> str | None:
+    """As ``unescape_html``, but a name or number without its semicolon is text; of the ampersand the semicolon may be missing."""
+    import html
+    import re
+    from html.entities import html5
+
+    def char(m: re.Match) -> str:
+        return html.unescape(m[0]) if m[1][0] == "#" else html5.get(m[1], m[0])
+
+    return None if text is None else re.sub(r"&(amp;?|[0-9A-Za-z]+;|#[0-9]+;|#[xX][0-9A-Fa-f]+;)", char, text)
+
+
+def html_to_text(page: Column, unclosed: bool = True) -> Column:
+    """Plain text of a page: scripts, styles and tags out, entities decoded, white space squeezed.
+
+    unclosed: entities without their semicolon, too, as browsers do; else of these ``&amp`` alone.
+    """
     bare = F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    bare = unescape_html(F.regexp_replace(bare, r"(?s)<[^>]*>", " "))
+    bare = (unescape_html if unclosed else unescape_closed)(F.regexp_replace(bare, r"(?s)<[^>]*>", " "))
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
